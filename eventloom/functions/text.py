@@ -14,11 +14,15 @@ from eventloom.schemas import (
 # Unicode character classes for Java regexes; the defaults there are ASCII-only.
 SPACE = r"\s\p{Z}\x1c-\x1f\x85"
 WORD = r"\p{L}\p{N}_"
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(c: Column) -> Column:
     """Drop leading and trailing Unicode white space."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def text_lines(c: Column) -> Column:

@@ -11,7 +11,7 @@ Title similarity is the Ratcliff-Obershelp ratio 2M/(la+lb), M being the
 number of characters in matching blocks. It is costly and cannot be indexed,
 so records meet only in blocks that no match can miss:
 
-    u:url   d:day   p:place   g:grid cell
+    u:url   d:day   p:place   g:grid cell   c:day and grid cell
 
 and a pair leaves its block only if cheap upper bounds on M allow the ratio
 the rule asks for. The bounds run inside the join, so rejected pairs are
@@ -21,6 +21,8 @@ never written or shuffled. Only what is left reaches the Python function.
 from __future__ import annotations
 
 import datetime
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -43,9 +45,12 @@ from eventloom.schemas import (
 
 CELL_DEGREES = GEO_KM / KM_PER_DEGREE
 
-# A block with more rows is split over several tasks.
-HOT_BLOCK_ROWS = 50_000
-MAX_SPLITS = 64
+# A block with more rows is split over several tasks, and a task gets about
+# this many pairs to look at.
+HOT_BLOCK_ROWS = 10_000
+MAX_SPLITS = 1_024
+TASK_PAIRS = 20_000_000
+PAIR_WORDS = 4
 
 # What match rules look at; records equal in all of these are interchangeable.
 CONTENT = ["title_n", "start_dt", "place_n", "lat", "lon"]
@@ -90,8 +95,12 @@ def similarity_udf():
 
 
 def with_signature(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Add {prefix}_len and three 64-bit sets: characters, and two of character pairs."""
-    chars = F.split(F.col(text), "")
+    """Add sets of the characters and character pairs of a text, as bit masks.
+
+    {prefix}_len, {prefix}_c (64 bits), {prefix}_p0.. (256 bits), and the parts
+    of the length the masks do not account for: {prefix}_c_free, {prefix}_p_free.
+    """
+    words = [f"{prefix}_p{w}" for w in range(PAIR_WORDS)]
 
     def bit(c: Column) -> Column:
         return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(c, F.lit(64)).cast("int"))
@@ -99,21 +108,23 @@ def with_signature(df: DataFrame, text: str, prefix: str) -> DataFrame:
     def either(bits: Column) -> Column:
         return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x))
 
-    grams = F.col("_grams")
+    def word(w: int) -> Column:
+        return F.transform(F.filter("_pairs", lambda g: F.pmod(F.shiftright(g, 8), F.lit(PAIR_WORDS)) == w), bit)
+
+    pairs = F.transform(
+        F.slice("_chars", 2, F.greatest(F.size("_chars") - 1, F.lit(0))),
+        lambda c, i: F.xxhash64(F.concat(F.get("_chars", i), c)),
+    )
+    set_bits = reduce(Column.__add__, [F.bit_count(F.col(c)) for c in words])
     return (
         df.withColumn(f"{prefix}_len", F.length(text))
-        .withColumn("_chars", chars)
-        .withColumn(
-            "_grams",
-            F.transform(
-                F.slice("_chars", 2, F.greatest(F.size("_chars") - 1, F.lit(0))),
-                lambda c, i: F.xxhash64(F.concat(F.get("_chars", i), c)),
-            ),
-        )
-        .withColumn(f"{prefix}_chars", either(F.transform("_chars", lambda c: bit(F.xxhash64(c)))))
-        .withColumn(f"{prefix}_pairs0", either(F.transform(grams, bit)))
-        .withColumn(f"{prefix}_pairs1", either(F.transform(grams, lambda g: bit(F.shiftrightunsigned(g, 6)))))
-        .drop("_chars", "_grams")
+        .withColumn("_chars", F.split(F.col(text), ""))
+        .withColumn("_pairs", pairs)
+        .withColumn(f"{prefix}_c", either(F.transform("_chars", lambda c: bit(F.xxhash64(c)))))
+        .withColumns({c: either(word(w)) for w, c in enumerate(words)})
+        .withColumn(f"{prefix}_c_free", F.col(f"{prefix}_len") - F.bit_count(F.col(f"{prefix}_c")))
+        .withColumn(f"{prefix}_p_free", F.col(f"{prefix}_len") - set_bits)
+        .drop("_chars", "_pairs")
     )
 
 
@@ -123,26 +134,28 @@ def may_exceed(text: str, prefix: str, least: Column) -> Column:
     With S = la + lb, the ratio exceeds `least` only if 2M > least * S. Every
     character of one side missing in the other is unmatched. M characters in
     k blocks hold M - k character pairs in common, and blocks are separated by
-    unmatched characters, so k <= 1 + S - 2M. The edit distance is at most the
-    number of unmatched characters S - 2M.
+    unmatched characters, so k <= 1 + S - 2M; hence 3M <= S + la - (pairs of
+    one side missing in the other). The edit distance is at most the number of
+    unmatched characters S - 2M.
+
+    The expression runs once per pair looked at: it stays small enough to be
+    compiled, and takes one bit count per mask word.
     """
-    la, lb = F.col(f"l.{prefix}_len"), F.col(f"r.{prefix}_len")
-    total = la + lb
-    need = least * total
 
-    def missing(part: str, a: str, b: str) -> Column:
-        return F.bit_count(F.col(f"{a}.{prefix}_{part}").bitwiseAND(F.bitwise_not(F.col(f"{b}.{prefix}_{part}"))))
+    def both(column: str) -> tuple[Column, Column]:
+        return F.col(f"l.{prefix}_{column}"), F.col(f"r.{prefix}_{column}")
 
-    def pairs_missing(a: str, b: str) -> Column:
-        return F.greatest(missing("pairs0", a, b), missing("pairs1", a, b))
+    def shared(column: str) -> Column:
+        one, other = both(column)
+        return F.bit_count(one.bitwiseAND(other))
 
+    la, lb = both("len")
+    total = la + lb
+    pairs = reduce(Column.__add__, [shared(f"p{w}") for w in range(PAIR_WORDS)])
     edits = (F.ceil((F.lit(1.0) - least) * total) - 1).cast("int")
     return (
-        (2 * F.least(la, lb) > need)
-        & (2 * (la - missing("chars", "l", "r")) > need)
-        & (2 * (lb - missing("chars", "r", "l")) > need)
-        & (2 * (la + total - pairs_missing("l", "r")) > 3 * need)
-        & (2 * (lb + total - pairs_missing("r", "l")) > 3 * need)
+        (2 * (F.least(*both("c_free")) + shared("c")) > least * total)
+        & (2 * (F.least(*both("p_free")) + pairs + total) > 3 * least * total)
         & (F.call_function("levenshtein", F.col(f"l.{text}"), F.col(f"r.{text}"), edits) >= 0)
     )
 
@@ -150,45 +163,55 @@ def may_exceed(text: str, prefix: str, least: Column) -> Column:
 # -- blocked join -------------------------------------------------------------
 
 
-def hot_blocks(blocks: DataFrame, hot_rows: int | None = None) -> tuple[dict, DataFrame | None]:
-    """Sizes of blocks, and the blocks that are to be split.
+@dataclass
+class Blocks:
+    """Sizes of blocks. `hot` lists those to be split; None when no block is."""
+
+    rows: int
+    pairs: float
+    hot: DataFrame | None
+
+    def tasks(self, spark) -> int:
+        """Pairs, not bytes, are the work, so partitions are counted by pairs."""
+        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, int(self.pairs // TASK_PAIRS)))
 
-    `blocks` holds one row per record and block in column `blk`. At most
-    10,000 blocks can hold more than a 10,000th of all rows, so the second
-    result is small enough to broadcast at any scale. It is None when no block
-    is hot.
+
+def block_sizes(blocks: DataFrame, hot_rows: int | None = None) -> Blocks:
+    """Sizes of the blocks of rows in column `blk`.
+
+    At most 10,000 blocks can hold more than a 10,000th of all rows, so `hot`
+    is small enough to broadcast at any scale.
     """
     sizes = blocks.groupBy("blk").agg(F.count("*").alias("n"))
-    row = sizes.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0)).alias("pairs"),
-        F.coalesce(F.max("n"), F.lit(0)).alias("largest"),
-    ).first()
-    limit = max(hot_rows or HOT_BLOCK_ROWS, row["rows"] // 10_000)
+    n = F.col("n").cast("double")
+    row = sizes.agg(F.sum("n").alias("rows"), F.sum(n * n).alias("pairs"), F.max("n").alias("largest")).first()
+    rows, largest = row["rows"] or 0, row["largest"] or 0
+    limit = max(hot_rows or HOT_BLOCK_ROWS, rows // 10_000)
     hot = None
-    if row["largest"] > limit:
+    if largest > limit:
         splits = F.least(F.lit(MAX_SPLITS), F.ceil(F.col("n") / limit)).cast("int")
         hot = sizes.filter(F.col("n") > limit).select("blk", splits.alias("splits"))
-    return row.asDict(), hot
+    return Blocks(rows, row["pairs"] or 0.0, hot)
 
 
-def blocked_join(left: DataFrame, right: DataFrame, condition: Column, hot: DataFrame | None = None) -> DataFrame:
+def blocked_join(left: DataFrame, right: DataFrame, condition: Column, sizes: Blocks) -> DataFrame:
     """Join l and r on `blk` under `condition`.
 
     The right rows of a hot block are spread over `splits` tasks; its left
     rows go to each of them.
     """
     keys = ["blk"]
-    if hot is not None:
+    if sizes.hot is not None:
         keys.append("salt")
-        hot = F.broadcast(hot)
+        hot = F.broadcast(sizes.hot)
         splits = F.coalesce("splits", F.lit(1))
         left = left.join(hot, "blk", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), splits - 1))).drop("splits")
         right = right.join(hot, "blk", "left").withColumn("salt", F.pmod(F.xxhash64("rank"), splits).cast("int")).drop("splits")
+    tasks = sizes.tasks(left.sparkSession)
     on = condition
     for k in keys:
         on = (F.col(f"l.{k}") == F.col(f"r.{k}")) & on
-    return left.alias("l").join(right.alias("r"), on)
+    return left.repartition(tasks, *keys).alias("l").join(right.repartition(tasks, *keys).alias("r"), on)
 
 
 # -- places -------------------------------------------------------------------
@@ -209,8 +232,8 @@ def similar_places(places: DataFrame, threshold: float = PLACE_SIM, metric=None,
     names = with_signature(names, "place", "p").withColumn("band", F.floor(F.log(factor, F.col("p_len"))))
     left = names.withColumn("blk", F.col("band"))
     right = names.withColumn("blk", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    hot = hot_blocks(right.select("blk"), hot_rows)[1] if hot_rows else None
-    pairs = blocked_join(left, right, may_exceed("place", "p", F.lit(threshold)), hot)
+    sizes = block_sizes(left.select("blk"), hot_rows)
+    pairs = blocked_join(left, right, may_exceed("place", "p", F.lit(threshold)), sizes)
     pairs = pairs.select(F.col("l.place").alias("place_l"), F.col("r.place").alias("place_r"))
     return pairs.withColumn("place_sim", metric("place_l", "place_r")).filter(F.col("place_sim") > threshold)
 
@@ -246,35 +269,68 @@ def _block(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit(kind + ":"), *[x for p in parts for x in (p.cast("string"), F.lit("/"))])
 
 
+def _kind(blocks: list[Column], least: float | None, by_position: bool = False) -> Column:
+    """Blocks of one kind, the ratio their pairs have to exceed, whether they have to be close."""
+
+    def entry(block: Column) -> Column:
+        return F.struct(
+            block.alias("blk"),
+            F.lit(least).cast("double").alias("least"),
+            F.lit(by_position).alias("by_position"),
+        )
+
+    return F.transform(F.array_compact(F.array(*blocks)), entry)
+
+
 def _own_blocks(df: DataFrame) -> DataFrame:
     """One row per record and block it lives in."""
     titled = F.col("title_n") != ""
+    cell = (_cell(F.col("lat")), _cell(F.col("lon")))
     blocks = F.array(
         F.when(F.col("url") != "", _block("u", F.col("url"))),
         F.when(titled, _block("d", F.col("start_dt"))),
         F.when(titled & (F.col("place_n") != ""), _block("p", F.col("place_n"))),
-        F.when(titled, _block("g", _cell(F.col("lat")), _cell(F.col("lon")))),
+        F.when(titled, _block("g", *cell)),
+        F.when(titled, _block("c", F.col("start_dt"), *cell)),
     )
     return df.withColumn("blk", F.explode(F.array_compact(blocks)))
 
 
+def sizes_of(nodes: DataFrame, hot_rows: int | None = None) -> Blocks:
+    return block_sizes(_own_blocks(nodes).select("blk"), hot_rows)
+
+
 def _earlier_blocks(df: DataFrame, places: DataFrame) -> DataFrame:
-    """Blocks in which an earlier record looks for later ones.
+    """Blocks in which an earlier record looks for later ones, with what it asks of them.
 
-    Its own URL, the days around its date, the names similar to its place and
-    the cells around its own.
+    Its own URL, the days around its date, the names similar to its place, the
+    cells around its own, and the cells of the next days.
     """
     titled = F.col("title_n") != ""
-    spans = [F.date_add("start_dt", d) for d in range(-TITLE_DATE_DAYS, TITLE_DATE_DAYS + 1)]
-    cells = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    around = F.array(
-        F.when(F.col("url") != "", _block("u", F.col("url"))),
-        *[F.when(titled, _block("d", d)) for d in spans],
-        *[F.when(titled, _block("g", _cell(F.col("lat")) + dy, _cell(F.col("lon")) + dx)) for dy, dx in cells],
+
+    def days(n):
+        return [F.date_add("start_dt", d) for d in range(-n, n + 1)]
+
+    cells = [
+        (_cell(F.col("lat")) + dy, _cell(F.col("lon")) + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)
+    ]
+    around = F.concat(
+        _kind([F.when(F.col("url") != "", _block("u", F.col("url")))], None),
+        _kind([F.when(titled, _block("d", d)) for d in days(TITLE_DATE_DAYS)], TITLE_DATE_SIM),
+        _kind([F.when(titled, _block("g", *c)) for c in cells], TITLE_PLACE_SIM, True),
+        _kind([F.when(titled, _block("c", d, *c)) for d in days(NEARBY_DAYS) for c in cells], NEARBY_SIM, True),
+    )
+    here = df.withColumn("_b", F.explode(around)).select(*df.columns, "_b.*")
+    named = (
+        df.filter(titled)
+        .join(places.select(F.col("place_l").alias("place_n"), "place_r"), "place_n")
+        .select(
+            *df.columns,
+            _block("p", F.col("place_r")).alias("blk"),
+            F.lit(TITLE_PLACE_SIM).alias("least"),
+            F.lit(False).alias("by_position"),
+        )
     )
-    here = df.withColumn("blk", F.explode(F.array_compact(around)))
-    named = df.filter(titled).join(places.select(F.col("place_l").alias("place_n"), "place_r"), "place_n")
-    named = named.withColumn("blk", _block("p", F.col("place_r"))).select(*here.columns)
     return here.unionByName(named)
 
 
@@ -293,40 +349,30 @@ def candidate_pairs(
     earlier: DataFrame,
     later: DataFrame,
     places: DataFrame,
-    hot: DataFrame | None = None,
+    sizes: Blocks,
     extra: Column | None = None,
 ) -> DataFrame:
-    """Pairs that may match, with the title ratio `need` they have to exceed.
+    """Pairs that may match: columns of l and r, l.least being the title ratio to exceed.
 
     Both sides hold the columns of `match_features` and a title signature
-    (`with_signature(..., "title_n", "t")`). A URL match has need NULL.
+    (`with_signature(..., "title_n", "t")`). A URL match has l.least NULL.
     `extra` is a further condition on l and r; by default l comes before r.
     """
-    date_diff = day_distance(F.col("l.start_dt"), F.col("r.start_dt"))
+    order = F.col("l.rank") < F.col("r.rank") if extra is None else extra
     near = geo_close(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))
-    kind = F.substring("l.blk", 1, 1)
-    need = (
-        F.when(kind == "u", F.lit(None).cast("double"))
-        .when((kind == "d") & (date_diff <= NEARBY_DAYS) & near, F.lit(NEARBY_SIM))
-        .when(kind == "d", F.lit(TITLE_DATE_SIM))
-        .otherwise(F.lit(TITLE_PLACE_SIM))
-    )
-    # Pairs of close dates meet in their day block under a lower threshold.
-    wanted = (
-        (kind == "d")
-        | ((kind == "p") & (date_diff > TITLE_DATE_DAYS))
-        | ((kind == "g") & (date_diff > TITLE_DATE_DAYS) & near)
+    condition = (
+        order
+        & (F.col("l.least").isNull() | may_exceed("title_n", "t", F.col("l.least")))
+        & (~F.col("l.by_position") | near)
     )
-    order = F.col("l.rank") < F.col("r.rank") if extra is None else extra
-    condition = order & ((kind == "u") | (wanted & may_exceed("title_n", "t", need)))
-    return blocked_join(_earlier_blocks(earlier, places), _own_blocks(later), condition, hot).withColumn("need", need)
+    return blocked_join(_earlier_blocks(earlier, places), _own_blocks(later), condition, sizes)
 
 
 def matching_pairs(
     earlier: DataFrame,
     later: DataFrame,
     places: DataFrame,
-    hot: DataFrame | None = None,
+    sizes: Blocks,
     metric=None,
     extra: Column | None = None,
     keep: list[Column] | None = None,
@@ -334,15 +380,16 @@ def matching_pairs(
     """Rows `keep` of the pairs that match; a pair may show up in two blocks."""
     metric = metric or similarity_udf()
     keep = keep or [F.col("l.rank").alias("src"), F.col("r.rank").alias("dst")]
-    found = candidate_pairs(earlier, later, places, hot, extra).select(
+    by_title = F.col("l.least").isNotNull()
+    found = candidate_pairs(earlier, later, places, sizes, extra).select(
         *keep,
-        "need",
+        F.col("l.least").alias("_least"),
         # The URL rule needs no ratio, and empty strings cost nothing.
-        F.when(F.col("need").isNotNull(), F.col("l.title_n")).alias("_a"),
-        F.when(F.col("need").isNotNull(), F.col("r.title_n")).alias("_b"),
+        F.when(by_title, F.col("l.title_n")).alias("_a"),
+        F.when(by_title, F.col("r.title_n")).alias("_b"),
     )
     scored = found.withColumn("_sim", metric("_a", "_b"))
-    return scored.filter(F.col("need").isNull() | (F.col("_sim") > F.col("need"))).drop("need", "_a", "_b", "_sim")
+    return scored.filter(F.col("_least").isNull() | (F.col("_sim") > F.col("_least"))).drop("_least", "_a", "_b", "_sim")
 
 
 def match_pairs(canonical: DataFrame, ref_date: datetime.date, metric=None, hot_rows: int | None = None) -> DataFrame:
@@ -354,9 +401,9 @@ def match_pairs(canonical: DataFrame, ref_date: datetime.date, metric=None, hot_
     metric = metric or similarity_udf()
     feats = with_signature(match_features(canonical, ref_date), "title_n", "t")
     places = similar_places(feats, metric=metric)
-    hot = hot_blocks(_own_blocks(feats).select("blk"), hot_rows)[1]
+    sizes = sizes_of(feats, hot_rows)
     sides = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "lr" for c in ["rank", "url", *CONTENT]]
-    pairs = matching_pairs(feats, feats, places, hot, metric, keep=sides).distinct()
+    pairs = matching_pairs(feats, feats, places, sizes, metric, keep=sides).distinct()
     same_url = (F.col("url_l") != "") & (F.col("url_l") == F.col("url_r"))
     title, date, geo = F.col("title_sim"), F.col("date_diff"), F.col("geo_close")
     return (

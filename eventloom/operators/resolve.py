@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from eventloom.operators.match import (
     CONTENT,
+    Blocks,
     _own_blocks,
-    hot_blocks,
     match_features,
     matching_pairs,
     similar_places,
+    sizes_of,
     with_signature,
 )
 from eventloom.storage import cut_lineage
@@ -67,29 +68,30 @@ def greedy_leaders(pairs: DataFrame) -> DataFrame:
 def match_nodes(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, members): one node per set of interchangeable records.
 
-    nodes holds the columns of `feats` with the least rank of the set; members
-    maps (rank, node) for all records that can match anything. The others match
+    nodes holds the columns of `feats` with the least rank of the set and the
+    title signature; members maps (rank, node) for all records that can match
+    anything. The others match
     nobody, not even their own copies, and are in neither.
     """
     per_url = feats.filter("url <> ''").groupBy("url").count().filter("count > 1").select("url", F.lit(True).alias("_shared"))
     known = feats.join(per_url, "url", "left").withColumn("url", F.when(F.col("_shared"), F.col("url")).otherwise(F.lit(""))).drop("_shared")
+    # Without a shared URL, a record needs a title and something to go with it.
     by_title = (F.col("title_n") != "") & (F.col("start_dt").isNotNull() | (F.col("place_n") != "") | F.col("lat").isNotNull())
     known = known.filter((F.col("url") != "") | by_title)
     known = cut_lineage(known.withColumn("key", F.md5(F.to_json(F.struct("url", *CONTENT)))))
     nodes = known.groupBy("key", "url", *CONTENT).agg(F.min("rank").alias("rank"))
-    nodes = cut_lineage(nodes)
+    nodes = cut_lineage(with_signature(nodes, "title_n", "t"))
     members = known.select("key", "rank").join(nodes.select("key", F.col("rank").alias("node")), "key").select("rank", "node")
     return nodes.drop("key"), members
 
 
-def _window_end(nodes: DataFrame, max_pairs: int) -> int | None:
+def _window_end(nodes: DataFrame, sizes: Blocks, max_pairs: int) -> int | None:
     """Largest rank so that blocks up to it hold about `max_pairs` pairs; None for all.
 
     Only a histogram of at most WINDOW_STEPS steps per block leaves the
     executors, summed up over the blocks.
     """
-    stats, _ = hot_blocks(_own_blocks(nodes).select("blk"))
-    if stats["pairs"] <= max_pairs:
+    if sizes.pairs <= max_pairs:
         return None
     steps = nodes.approxQuantile("rank", [i / WINDOW_STEPS for i in range(1, WINDOW_STEPS)], 0.001)
     steps = sorted({int(s) for s in steps})
@@ -113,7 +115,7 @@ def _window_end(nodes: DataFrame, max_pairs: int) -> int | None:
     head = nodes.filter(F.col("rank") <= steps[0])
     if head.count() in (0, nodes.count()):
         return steps[0]
-    inner = _window_end(head, max_pairs)
+    inner = _window_end(head, sizes_of(head), max_pairs)
     return steps[0] if inner is None else inner
 
 
@@ -128,26 +130,24 @@ def leader_assignment(
 
     Each record is compared with the leader as it came in.
     """
-    feats = cut_lineage(match_features(canonical, ref_date))
-    nodes, members = match_nodes(feats)
-    nodes = cut_lineage(with_signature(nodes, "title_n", "t"))
+    nodes, members = match_nodes(match_features(canonical, ref_date))
     places = cut_lineage(similar_places(nodes, metric=metric, hot_rows=hot_rows))
 
     todo, joined = nodes, []
     while True:
-        end = _window_end(todo, window_pairs)
+        sizes = sizes_of(todo, hot_rows)
+        end = _window_end(todo, sizes, window_pairs)
         # A window without matches may be followed by a larger one.
         window_pairs *= 4
         head = todo if end is None else todo.filter(F.col("rank") <= end)
-        hot = hot_blocks(_own_blocks(todo).select("blk"), hot_rows)[1]
-        pairs = cut_lineage(matching_pairs(head, head, places, hot, metric).distinct())
+        pairs = cut_lineage(matching_pairs(head, head, places, sizes, metric).distinct())
         settled = cut_lineage(greedy_leaders(pairs))
         joined.append(settled)
         if end is None:
             break
         leaders = head.join(settled.select(F.col("dst").alias("rank")), "rank", "left_anti")
         rest = todo.filter(F.col("rank") > end)
-        hits = matching_pairs(leaders, rest, places, hot, metric).groupBy("dst").agg(F.min("src").alias("leader"))
+        hits = matching_pairs(leaders, rest, places, sizes, metric).groupBy("dst").agg(F.min("src").alias("leader"))
         hits = cut_lineage(hits)
         joined.append(hits)
         todo = cut_lineage(rest.join(hits.select(F.col("dst").alias("rank")), "rank", "left_anti"))
@@ -161,6 +161,20 @@ def leader_assignment(
     return followers.unionByName(heads)
 
 
+def earliest_matches(canonical: DataFrame, ref_date: datetime.date, metric=None, hot_rows: int | None = None) -> DataFrame:
+    """(other_id, earliest_id): the earliest record before it that a record matches."""
+    nodes, members = match_nodes(match_features(canonical, ref_date))
+    places = cut_lineage(similar_places(nodes, metric=metric, hot_rows=hot_rows))
+    first = matching_pairs(nodes, nodes, places, sizes_of(nodes, hot_rows), metric).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("src"))
+    # A copy matches the first of its kind, if nothing earlier.
+    own = F.when(F.col("node") < F.col("rank"), F.col("node"))
+    return (
+        members.join(first, "node", "left")
+        .select(F.col("rank").alias("other_id"), F.least("src", own).alias("earliest_id"))
+        .filter("earliest_id is not null")
+    )
+
+
 def membership(canonical: DataFrame, assignment: DataFrame) -> DataFrame:
     """(event_id, cluster_id, is_leader) for every record; ids are ranks."""
     return canonical.select("rank").join(assignment, "rank", "left").select(

@@ -56,12 +56,15 @@ def write_feed(feed: DataFrame, path: str, fmt: str = "json") -> None:
     feed.select(*FEED_SCHEMA.names).write.mode("overwrite").format(fmt).save(path)
 
 
+def split_records(df: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """JSON texts in `column` parsed into (good, quarantined); one bad record stops nothing."""
+    options = {"columnNameOfCorruptRecord": "_corrupt"}
+    rows = df.withColumn("_r", F.from_json(column, f"{schema}, _corrupt string", options))
+    is_bad = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull()
+    good = rows.filter(~is_bad).select(*[c for c in df.columns if c != column], "_r.*").drop("_corrupt")
+    return good, rows.filter(is_bad).drop("_r")
+
+
 def read_raw_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Raw JSON-lines records split into (good, quarantined)."""
-    rows = (
-        spark.read.text(path)
-        .select("value", F.from_json("value", schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    )
-    good = rows.filter("r is not null and r._corrupt is null").select("r.*").drop("_corrupt")
-    bad = rows.filter("r is null or r._corrupt is not null").select("value")
-    return good, bad
+    """Raw JSON-lines files split into (good, quarantined)."""
+    return split_records(spark.read.text(path), "value", schema)
