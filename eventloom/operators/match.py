@@ -45,9 +45,10 @@ from eventloom.schemas import (
 
 CELL_DEGREES = GEO_KM / KM_PER_DEGREE
 
-# A block with more rows is split over several tasks, and a task gets about
-# this many pairs to look at.
-HOT_BLOCK_ROWS = 10_000
+# A block with more rows is split over several tasks; a sort-merge join keeps
+# this many rows of a key in its fast in-memory buffer. A task gets about
+# TASK_PAIRS pairs to look at.
+HOT_BLOCK_ROWS = 4_000
 MAX_SPLITS = 1_024
 TASK_PAIRS = 20_000_000
 PAIR_WORDS = 4

@@ -10,11 +10,15 @@ from eventloom.operators.canonical import union_feeds
 from eventloom.sources.captions import caption_title, post_events
 from eventloom.sources.pages import page_events
 
+TEXT_TABLES = ("documents", "pages", "conversations")
 REF_DATE = datetime.date(1998, 9, 2)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    # A table of fewer row groups than cores, as in tests, is spread; large tables never are.
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores else df
 
 
 def line_of(*parts) -> Column:
