@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from eventloom.functions.dates import parse_any_date
 from eventloom.functions.text import normalize_location, normalize_title, to_degrees
+from eventloom.storage import cut_lineage
 from eventloom.schemas import (
     GEO_KM,
     KM_PER_DEGREE,
@@ -231,6 +232,7 @@ def similar_places(places: DataFrame, threshold: float = PLACE_SIM, metric=None,
         .withColumn("rank", F.xxhash64("place"))
     )
     names = with_signature(names, "place", "p").withColumn("band", F.floor(F.log(factor, F.col("p_len"))))
+    names = cut_lineage(names)
     left = names.withColumn("blk", F.col("band"))
     right = names.withColumn("blk", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     sizes = block_sizes(left.select("blk"), hot_rows)

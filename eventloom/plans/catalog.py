@@ -240,7 +240,7 @@ def date_parse(spark, sf):
         .otherwise(F.date_format(day, "EEE d MMMM yyyy"))
     )
     parsed = parse_any_date(F.col("t"), REF_DATE)
-    return table(spark, sf, "orders").select("o_orderkey", text.alias("t")).select(
+    return table(spark, sf, "orders", spread=True).select("o_orderkey", text.alias("t")).select(
         "o_orderkey", parsed.cast("string").alias("parsed")
     )
 
@@ -258,7 +258,7 @@ def _earliest(raw: DataFrame) -> DataFrame:
 
 
 def match_url(spark, sf):
-    rows = table(spark, sf, "events").select(
+    rows = table(spark, sf, "events", spread=True).select(
         F.concat(F.lit("https://x.example/"), F.col("user_id").cast("string")).alias("url"),
         F.col("event_type").alias("title"),
         F.col("event_id").alias("ingest_ord"),
@@ -267,7 +267,7 @@ def match_url(spark, sf):
 
 
 def match_date_band(spark, sf):
-    rows = table(spark, sf, "orders").select(
+    rows = table(spark, sf, "orders", spread=True).select(
         digest(F.col("o_custkey") % 50).alias("title"),
         order_day().cast("string").alias("start_date"),
         F.col("o_orderkey").alias("ingest_ord"),
@@ -276,7 +276,7 @@ def match_date_band(spark, sf):
 
 
 def match_place(spark, sf):
-    rows = table(spark, sf, "orders").select(
+    rows = table(spark, sf, "orders", spread=True).select(
         digest(F.col("o_custkey")).alias("title"),
         digest(F.col("o_orderpriority")).alias("city"),
         F.col("o_orderkey").alias("ingest_ord"),
@@ -309,7 +309,7 @@ def match_rules(spark, sf):
 
 
 def leaders_url(spark, sf):
-    rows = table(spark, sf, "events").select(
+    rows = table(spark, sf, "events", spread=True).select(
         F.concat(F.lit("https://x.example/"), F.col("user_id").cast("string")).alias("url"),
         F.col("event_id").alias("ingest_ord"),
     )

@@ -14,11 +14,13 @@ TEXT_TABLES = ("documents", "pages", "conversations")
 REF_DATE = datetime.date(1998, 9, 2)
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf: str, name: str, spread: bool = False) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    # A table of fewer row groups than cores, as in tests, is spread; large tables never are.
+    # Costly work on a table of fewer row groups than cores, as in tests, is
+    # spread; large tables never are.
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores else df
+    wanted = spread or name in TEXT_TABLES
+    return df.repartition(cores) if wanted and df.rdd.getNumPartitions() < cores else df
 
 
 def line_of(*parts) -> Column:
@@ -48,7 +50,7 @@ def order_posts(spark, sf) -> DataFrame:
         line_of("👶 Ages ", (k % 5).cast("string"), "-", (k % 5 + 4).cast("string")),
         line_of("#kids #", F.col("o_orderstatus"), "_", (k % 10).cast("string")),
     )
-    return table(spark, sf, "orders").select(
+    return table(spark, sf, "orders", spread=True).select(
         F.lit("kids").alias("hashtag"),
         F.when(k % 13 != 0, k.cast("string")).alias("code"),
         caption.alias("caption"),
@@ -139,7 +141,7 @@ def weekly_orders(spark, sf) -> DataFrame:
     k = F.col("o_orderkey")
     days = F.datediff(order_day(), F.lit("1992-01-01").cast("date"))
     kind = F.when(k % 4 == 0, "yourdaysout").when(k % 4 == 1, "allevents").when(k % 4 == 2, "facebook").otherwise("instagram")
-    return table(spark, sf, "orders").select(
+    return table(spark, sf, "orders", spread=True).select(
         digest(F.col("o_custkey")).alias("title"),
         F.when(k % 3 != 0, F.col("o_orderpriority")).otherwise(F.lit("")).alias("description"),
         F.date_add(F.lit("1992-01-01").cast("date"), days - days % 7).cast("string").alias("start_date"),
