@@ -244,8 +244,10 @@ def similar_places(places: DataFrame, threshold: float = PLACE_SIM, metric=None,
 # -- records ------------------------------------------------------------------
 
 
-def match_features(canonical: DataFrame, ref_date: datetime.date, relaxed_dates: bool = False) -> DataFrame:
-    """(rank, url, title_n, start_dt, place_n, lat, lon) of canonical records.
+def match_features(
+    canonical: DataFrame, ref_date: datetime.date, relaxed_dates: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(rank, *keep, url, title_n, start_dt, place_n, lat, lon) of canonical records.
 
     A missing longitude counts as 0; unparsable coordinates give no position.
     """
@@ -254,6 +256,7 @@ def match_features(canonical: DataFrame, ref_date: datetime.date, relaxed_dates:
     lon = to_degrees(F.when(F.col("longitude") == "", F.lit("0")).otherwise(F.col("longitude")))
     return canonical.select(
         "rank",
+        *keep,
         "url",
         normalize_title(F.col("title")).alias("title_n"),
         parse_any_date(F.col("start_date"), ref_date, relaxed_dates).alias("start_dt"),

@@ -23,7 +23,9 @@ from __future__ import annotations
 import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from eventloom.functions.text import normalize_location
 
 from eventloom.operators.match import (
     CONTENT,
@@ -68,8 +70,8 @@ def greedy_leaders(pairs: DataFrame) -> DataFrame:
 def match_nodes(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, members): one node per set of interchangeable records.
 
-    nodes holds the columns of `feats` with the least rank of the set and the
-    title signature; members maps (rank, node) for all records that can match
+    nodes holds the columns of `feats` with the least and the last rank of the
+    set and the title signature; members maps (rank, node) for all records that can match
     anything. The others match
     nobody, not even their own copies, and are in neither.
     """
@@ -79,7 +81,7 @@ def match_nodes(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_title = (F.col("title_n") != "") & (F.col("start_dt").isNotNull() | (F.col("place_n") != "") | F.col("lat").isNotNull())
     known = known.filter((F.col("url") != "") | by_title)
     known = cut_lineage(known.withColumn("key", F.md5(F.to_json(F.struct("url", *CONTENT)))))
-    nodes = known.groupBy("key", "url", *CONTENT).agg(F.min("rank").alias("rank"))
+    nodes = known.groupBy("key", "url", *CONTENT).agg(F.min("rank").alias("rank"), F.max("rank").alias("last_rank"))
     nodes = cut_lineage(with_signature(nodes, "title_n", "t"))
     members = known.select("key", "rank").join(nodes.select("key", F.col("rank").alias("node")), "key").select("rank", "node")
     return nodes.drop("key"), members
@@ -119,25 +121,15 @@ def _window_end(nodes: DataFrame, sizes: Blocks, max_pairs: int) -> int | None:
     return steps[0] if inner is None else inner
 
 
-def leader_assignment(
-    canonical: DataFrame,
-    ref_date: datetime.date,
-    metric=None,
-    window_pairs: int = WINDOW_PAIRS,
-    hot_rows: int | None = None,
+def _settle(
+    nodes: DataFrame, members: DataFrame, places: DataFrame, metric, window_pairs: int, hot_rows: int | None
 ) -> DataFrame:
-    """(rank, leader) for the records of clusters with two or more members.
-
-    Each record is compared with the leader as it came in.
-    """
-    nodes, members = match_nodes(match_features(canonical, ref_date))
-    places = cut_lineage(similar_places(nodes, metric=metric, hot_rows=hot_rows))
-
+    """(rank, leader) of clusters with two or more members, leaders taken as they came in."""
     todo, joined = nodes, []
     while True:
         sizes = sizes_of(todo, hot_rows)
         end = _window_end(todo, sizes, window_pairs)
-        # A window without matches may be followed by a larger one.
+        # What is left after a window is sparser, so the next one may be larger.
         window_pairs *= 4
         head = todo if end is None else todo.filter(F.col("rank") <= end)
         pairs = cut_lineage(matching_pairs(head, head, places, sizes, metric).distinct())
@@ -155,12 +147,161 @@ def leader_assignment(
             break
 
     node_leader = reduce(DataFrame.unionByName, joined).withColumnRenamed("dst", "node")
-    all_members = members.join(node_leader, "node", "left").select("rank", F.coalesce("leader", "node").alias("leader"))
-    followers = cut_lineage(all_members.filter("rank <> leader"))
+    found = members.join(node_leader, "node", "left").select("rank", F.coalesce("leader", "node").alias("leader"))
+    return _with_heads(found.filter("rank <> leader"))
+
+
+def _with_heads(followers: DataFrame) -> DataFrame:
+    followers = cut_lineage(followers)
     heads = followers.select("leader").distinct().select(F.col("leader").alias("rank"), "leader")
     return followers.unionByName(heads)
 
 
+def leader_assignment(
+    canonical: DataFrame,
+    ref_date: datetime.date,
+    metric=None,
+    window_pairs: int = WINDOW_PAIRS,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """(rank, leader) for the records of clusters with two or more members.
+
+    Each record is compared with the leader as it came in.
+    """
+    nodes, members = match_nodes(match_features(canonical, ref_date))
+    places = cut_lineage(similar_places(nodes, metric=metric, hot_rows=hot_rows))
+    return _settle(nodes, members, places, metric, window_pairs, hot_rows)
+
+
+# -- comparing with the merged record ------------------------------------------
+
+# Fields the match rules look at.
+STATE = ["title", "start_date", "city", "venue_name", "latitude", "longitude", "url"]
+RANK_CHUNKS = 512
+
+
+def leader_states(rows: DataFrame, chunks: int = RANK_CHUNKS) -> DataFrame:
+    """The merged record of each cluster over time: (rank, from_rank, to_rank, *STATE).
+
+    `rows` holds (rank, leader, priority, *STATE) of the members. A state holds
+    for records ranked after from_rank, up to and including to_rank. Only
+    members that can change the record are ordered, and these in chunks of
+    rank, so a cluster of any size is never ordered by one task.
+    """
+
+    def value(f):
+        return F.when(F.col(f) != "", F.struct(F.col("rank").alias("r"), F.col(f).alias("v")))
+
+    per_priority = rows.groupBy("leader", "priority").agg(
+        F.min("rank").alias("_r"), *[F.min(value(f)).alias(f"_{f}") for f in STATE]
+    )
+    firsts = per_priority.groupBy("leader").agg(
+        F.min_by("priority", "_r").alias("_head"), *[F.min(f"_{f}").alias(f"_first_{f}") for f in STATE]
+    )
+    known = rows.join(firsts, "leader")
+    overrides = F.col("priority") > F.col("_head")
+    fills = F.lit(False)
+    for f in STATE:
+        fills = fills | F.coalesce(F.col(f"_first_{f}.r") == F.col("rank"), F.lit(False))
+    known = cut_lineage(known.filter(overrides | fills | (F.col("rank") == F.col("leader"))))
+
+    bounds = known.approxQuantile("rank", [i / chunks for i in range(1, chunks)], 0.0005)
+    bounds = F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]).cast("array<bigint>")
+    known = known.withColumn("chunk", F.size(F.filter(bounds, lambda b: b < F.col("rank"))))
+
+    inside = Window.partitionBy("leader", "chunk").orderBy("rank")
+    across = Window.partitionBy("leader").orderBy("chunk")
+    override = {f: F.when(overrides & (F.col(f) != ""), F.col(f)) for f in STATE}
+    carried = (
+        known.groupBy("leader", "chunk").agg(*[F.max(F.when(override[f].isNotNull(), value(f))).alias(f"_{f}") for f in STATE])
+        .select("leader", "chunk", *[F.last(f"_{f}.v", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_before_{f}") for f in STATE])
+    )
+
+    def state(f):
+        first = F.when(F.col(f"_first_{f}.r") <= F.col("rank"), F.col(f"_first_{f}.v"))
+        return F.coalesce(F.col(f"_running_{f}"), F.col(f"_before_{f}"), first, F.lit("")).alias(f)
+
+    states = (
+        known.withColumns({f"_running_{f}": F.last(override[f], ignorenulls=True).over(inside) for f in STATE})
+        .join(carried, ["leader", "chunk"])
+        .select("leader", "chunk", "rank", *[state(f) for f in STATE])
+        .withColumn("_now", F.struct(*STATE))
+        .withColumn("_changed", ~F.lag("_now").over(inside).eqNullSafe(F.col("_now")))
+        .filter("_changed")
+    )
+    starts = states.groupBy("leader", "chunk").agg(F.min("rank").alias("_start"))
+    starts = starts.select("leader", "chunk", F.lead("_start").over(across).alias("_next_chunk"))
+    to_rank = F.coalesce(F.lead("rank").over(inside), F.col("_next_chunk"), F.lit(2**63 - 1))
+    return (
+        states.join(starts, ["leader", "chunk"])
+        .withColumn("to_rank", to_rank)
+        .select(F.col("leader").alias("rank"), F.col("rank").alias("from_rank"), "to_rank", *STATE)
+    )
+
+
+def merged_assignment(
+    canonical: DataFrame,
+    ref_date: datetime.date,
+    priority: Column,
+    metric=None,
+    window_pairs: int = WINDOW_PAIRS,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Like `leader_assignment`, each record compared with its leader as merged by then.
+
+    Which cluster a record joins depends on earlier records only. So, starting
+    from leaders as they came in, the clusters give the states of every leader
+    over time, the states give every record its first match, and these give the
+    next clusters. What is settled for the lowest ranks stays settled; the
+    clusters that repeat themselves are the result.
+    """
+    feats = match_features(canonical, ref_date)
+    nodes, members = match_nodes(feats)
+    # A state may show the venue of a record that itself goes by its city.
+    names = canonical.select(F.explode(F.array("city", "venue_name")).alias("name")).distinct()
+    names = names.select(normalize_location(F.col("name")).alias("place_n"))
+    places = cut_lineage(similar_places(names, metric=metric, hot_rows=hot_rows))
+    assignment = _settle(nodes, members, places, metric, window_pairs, hot_rows)
+
+    narrow = canonical.select("rank", priority.alias("priority"), *STATE)
+    shared_urls = nodes.filter("url <> ''").select("url").distinct().withColumn("_shared", F.lit(True))
+    sizes = sizes_of(nodes, hot_rows)
+    node_features = ["url", *CONTENT, *[c for c in nodes.columns if c.startswith("t_")]]
+    always = F.lit(2**63 - 1).alias("to_rank")
+    settled, first_round = False, True
+    while not settled:
+        rows = cut_lineage(narrow.join(assignment, "rank"))
+        states = match_features(leader_states(rows), ref_date, keep=("from_rank", "to_rank"))
+        states = states.join(shared_urls, "url", "left").withColumn("url", F.when(F.col("_shared"), F.col("url")).otherwise(F.lit(""))).drop("_shared")
+        if first_round:
+            # Leaders that look the same all the time leave everything as it is.
+            first_round = False
+            states = cut_lineage(states)
+            looks = F.struct("url", *CONTENT)
+            if states.groupBy("rank").agg((F.min(looks) != F.max(looks)).alias("c")).filter("c").isEmpty():
+                break
+        states = with_signature(states, "title_n", "t").select("rank", "from_rank", "to_rank", *node_features)
+        alone = (
+            members.join(assignment, "rank", "left_anti")
+            .join(nodes.select(F.col("rank").alias("node"), *node_features), "node")
+            .select("rank", F.col("rank").alias("from_rank"), always, *node_features)
+        )
+        leaders = cut_lineage(states.unionByName(alone))
+        in_time = (F.col("l.from_rank") < F.col("r.last_rank")) & (F.col("l.to_rank") >= F.col("r.rank"))
+        kept = [F.col("l.rank").alias("leader"), F.col("l.from_rank"), F.col("l.to_rank"), F.col("r.rank").alias("node")]
+        hits = matching_pairs(leaders, nodes, places, sizes, metric, extra=in_time, keep=kept)
+        first = (
+            members.join(hits, "node")
+            .filter("from_rank < rank and rank <= to_rank")
+            .groupBy("rank").agg(F.min("leader").alias("leader"))
+        )
+        following = _with_heads(first)
+        change = following.alias("n").join(assignment.alias("o"), "rank", "full").filter(~F.col("n.leader").eqNullSafe(F.col("o.leader")))
+        settled = change.isEmpty()
+        assignment = following
+    return assignment
+
+
 def earliest_matches(canonical: DataFrame, ref_date: datetime.date, metric=None, hot_rows: int | None = None) -> DataFrame:
     """(other_id, earliest_id): the earliest record before it that a record matches."""
     nodes, members = match_nodes(match_features(canonical, ref_date))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from eventloom.operators.canonical import RANK_STEP, to_canonical
 from eventloom.operators.match import match_pairs
-from eventloom.operators.merge import cluster_sources, merge_clusters
-from eventloom.operators.resolve import leader_assignment, membership
+from eventloom.operators.merge import cluster_sources, merge_clusters, override_priority
+from eventloom.operators.resolve import leader_assignment, membership, merged_assignment
 
 REF = datetime.date(2026, 1, 1)
 
@@ -95,3 +95,14 @@ def test_long_lists_stay_whole_in_the_child_table(spark):
 
 def test_no_input(spark):
     assert assigned(canonical_of(spark, naive.random_events(1, 1)).limit(0)) == {}
+
+
+@pytest.mark.parametrize("seed", [10, 11, 12])
+def test_merged_mode_equals_mutating_loop(spark, seed):
+    events = naive.random_events(seed, 150)
+    canonical = canonical_of(spark, events)
+    assignment = merged_assignment(canonical, REF, override_priority())
+    rows = membership(canonical, assignment).collect()
+    got = {r.event_id % RANK_STEP: r.cluster_id % RANK_STEP for r in rows}
+    expected = {m: c["head"]["ingest_ord"] for c in naive.fold(events, mutate=True) for m in c["members"]}
+    assert got == expected
