@@ -104,33 +104,25 @@ def with_signature(df: DataFrame, text: str, prefix: str) -> DataFrame:
     """
     words = [f"{prefix}_p{w}" for w in range(PAIR_WORDS)]
 
-    def bit(c: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(c, F.lit(64)).cast("int"))
+    def mask(items: str) -> Column:
+        return F.expr(f"aggregate({items}, 0L, (acc, h) -> acc | shiftleft(1L, cast(pmod(h, 64) as int)))")
 
-    def either(bits: Column) -> Column:
-        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x))
-
-    def word(w: int) -> Column:
-        return F.transform(F.filter("_pairs", lambda g: F.pmod(F.shiftright(g, 8), F.lit(PAIR_WORDS)) == w), bit)
-
-    pairs = F.transform(
-        F.slice("_chars", 2, F.greatest(F.size("_chars") - 1, F.lit(0))),
-        lambda c, i: F.xxhash64(F.concat(F.get("_chars", i), c)),
+    pairs = F.expr(
+        "transform(slice(_chars, 2, greatest(size(_chars) - 1, 0)), (c, i) -> xxhash64(concat(get(_chars, i), c)))"
     )
-    set_bits = reduce(Column.__add__, [F.bit_count(F.col(c)) for c in words])
     return (
         df.withColumn(f"{prefix}_len", F.length(text))
         .withColumn("_chars", F.split(F.col(text), ""))
         .withColumn("_pairs", pairs)
-        .withColumn(f"{prefix}_c", either(F.transform("_chars", lambda c: bit(F.xxhash64(c)))))
-        .withColumns({c: either(word(w)) for w, c in enumerate(words)})
-        .withColumn(f"{prefix}_c_free", F.col(f"{prefix}_len") - F.bit_count(F.col(f"{prefix}_c")))
-        .withColumn(f"{prefix}_p_free", F.col(f"{prefix}_len") - set_bits)
+        .withColumn(f"{prefix}_c", mask("transform(_chars, c -> xxhash64(c))"))
+        .withColumns({c: mask(f"filter(_pairs, h -> pmod(shiftright(h, 8), {PAIR_WORDS}) = {w})") for w, c in enumerate(words)})
+        .withColumn(f"{prefix}_c_free", F.expr(f"{prefix}_len - bit_count({prefix}_c)"))
+        .withColumn(f"{prefix}_p_free", F.expr(f"{prefix}_len - " + " - ".join(f"bit_count({c})" for c in words)))
         .drop("_chars", "_pairs")
     )
 
 
-def may_exceed(text: str, prefix: str, least: Column) -> Column:
+def may_exceed(text: str, prefix: str, least: str) -> Column:
     """Necessary condition for ratio(l.text, r.text) > least, from cheap to costly.
 
     With S = la + lb, the ratio exceeds `least` only if 2M > least * S. Every
@@ -144,21 +136,19 @@ def may_exceed(text: str, prefix: str, least: Column) -> Column:
     compiled, and takes one bit count per mask word.
     """
 
-    def both(column: str) -> tuple[Column, Column]:
-        return F.col(f"l.{prefix}_{column}"), F.col(f"r.{prefix}_{column}")
+    def shared(column: str) -> str:
+        return f"bit_count(l.{prefix}_{column} & r.{prefix}_{column})"
 
-    def shared(column: str) -> Column:
-        one, other = both(column)
-        return F.bit_count(one.bitwiseAND(other))
+    def smaller(column: str) -> str:
+        return f"least(l.{prefix}_{column}, r.{prefix}_{column})"
 
-    la, lb = both("len")
-    total = la + lb
-    pairs = reduce(Column.__add__, [shared(f"p{w}") for w in range(PAIR_WORDS)])
-    edits = (F.ceil((F.lit(1.0) - least) * total) - 1).cast("int")
-    return (
-        (2 * (F.least(*both("c_free")) + shared("c")) > least * total)
-        & (2 * (F.least(*both("p_free")) + pairs + total) > 3 * least * total)
-        & (F.call_function("levenshtein", F.col(f"l.{text}"), F.col(f"r.{text}"), edits) >= 0)
+    total = f"(l.{prefix}_len + r.{prefix}_len)"
+    pairs = " + ".join(shared(f"p{w}") for w in range(PAIR_WORDS))
+    edits = f"cast(ceil((1D - {least}) * {total}) - 1 as int)"
+    return F.expr(
+        f"2 * ({smaller('c_free')} + {shared('c')}) > {least} * {total}"
+        f" AND 2 * ({smaller('p_free')} + {pairs} + {total}) > 3 * {least} * {total}"
+        f" AND levenshtein(l.{text}, r.{text}, {edits}) >= 0"
     )
 
 
@@ -236,7 +226,7 @@ def similar_places(places: DataFrame, threshold: float = PLACE_SIM, metric=None,
     left = names.withColumn("blk", F.col("band"))
     right = names.withColumn("blk", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     sizes = block_sizes(left.select("blk"), hot_rows)
-    pairs = blocked_join(left, right, may_exceed("place", "p", F.lit(threshold)), sizes)
+    pairs = blocked_join(left, right, may_exceed("place", "p", f"{threshold}D"), sizes)
     pairs = pairs.select(F.col("l.place").alias("place_l"), F.col("r.place").alias("place_r"))
     return pairs.withColumn("place_sim", metric("place_l", "place_r")).filter(F.col("place_sim") > threshold)
 
@@ -266,40 +256,18 @@ def match_features(
     )
 
 
-def _cell(c: Column) -> Column:
-    return F.floor(c / CELL_DEGREES)
-
-
-def _block(kind: str, *parts: Column) -> Column:
-    """Block name, NULL when a part is NULL."""
-    return F.concat(F.lit(kind + ":"), *[x for p in parts for x in (p.cast("string"), F.lit("/"))])
-
-
-def _kind(blocks: list[Column], least: float | None, by_position: bool = False) -> Column:
-    """Blocks of one kind, the ratio their pairs have to exceed, whether they have to be close."""
-
-    def entry(block: Column) -> Column:
-        return F.struct(
-            block.alias("blk"),
-            F.lit(least).cast("double").alias("least"),
-            F.lit(by_position).alias("by_position"),
-        )
-
-    return F.transform(F.array_compact(F.array(*blocks)), entry)
-
-
 def _own_blocks(df: DataFrame) -> DataFrame:
-    """One row per record and block it lives in."""
-    titled = F.col("title_n") != ""
-    cell = (_cell(F.col("lat")), _cell(F.col("lon")))
-    blocks = F.array(
-        F.when(F.col("url") != "", _block("u", F.col("url"))),
-        F.when(titled, _block("d", F.col("start_dt"))),
-        F.when(titled & (F.col("place_n") != ""), _block("p", F.col("place_n"))),
-        F.when(titled, _block("g", *cell)),
-        F.when(titled, _block("c", F.col("start_dt"), *cell)),
-    )
-    return df.withColumn("blk", F.explode(F.array_compact(blocks)))
+    """One row per record and block it lives in; a block without all its parts is NULL."""
+    cell = f"floor(lat / {CELL_DEGREES}D), '/', floor(lon / {CELL_DEGREES}D)"
+    blocks = f"""
+        array(
+            if(url <> '', concat('u:', url), null),
+            if(title_n <> '', concat('d:', start_dt), null),
+            if(title_n <> '' and place_n <> '', concat('p:', place_n), null),
+            if(title_n <> '', concat('g:', {cell}), null),
+            if(title_n <> '', concat('c:', start_dt, '/', {cell}), null)
+        )"""
+    return df.withColumn("blk", F.expr(f"explode(array_compact({blocks}))"))
 
 
 def sizes_of(nodes: DataFrame, hot_rows: int | None = None) -> Blocks:
@@ -312,27 +280,39 @@ def _earlier_blocks(df: DataFrame, places: DataFrame) -> DataFrame:
     Its own URL, the days around its date, the names similar to its place, the
     cells around its own, and the cells of the next days.
     """
-    titled = F.col("title_n") != ""
 
-    def days(n):
-        return [F.date_add("start_dt", d) for d in range(-n, n + 1)]
+    def entry(block: str, least: float | None = None, by_position: bool = False) -> str:
+        asked = "cast(null as double)" if least is None else f"{least}D"
+        return f"named_struct('blk', {block}, 'least', {asked}, 'by_position', {str(by_position).lower()})"
+
+    def days(n: int, inner: str) -> str:
+        return f"transform(sequence(-{n}, {n}), d -> {inner})"
 
-    cells = [
-        (_cell(F.col("lat")) + dy, _cell(F.col("lon")) + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)
+    def cells(inner: str) -> str:
+        return f"flatten(transform(sequence(-1, 1), y -> transform(sequence(-1, 1), x -> {inner})))"
+
+    cell = f"floor(lat / {CELL_DEGREES}D) + y, '/', floor(lon / {CELL_DEGREES}D) + x"
+    day = "date_add(start_dt, d)"
+    titled = [
+        days(TITLE_DATE_DAYS, entry(f"concat('d:', {day})", TITLE_DATE_SIM)),
+        cells(entry(f"concat('g:', {cell})", TITLE_PLACE_SIM, True)),
+        f"flatten({days(NEARBY_DAYS, cells(entry(f"concat('c:', {day}, '/', {cell})", NEARBY_SIM, True)))})",
     ]
-    around = F.concat(
-        _kind([F.when(F.col("url") != "", _block("u", F.col("url")))], None),
-        _kind([F.when(titled, _block("d", d)) for d in days(TITLE_DATE_DAYS)], TITLE_DATE_SIM),
-        _kind([F.when(titled, _block("g", *c)) for c in cells], TITLE_PLACE_SIM, True),
-        _kind([F.when(titled, _block("c", d, *c)) for d in days(NEARBY_DAYS) for c in cells], NEARBY_SIM, True),
-    )
-    here = df.withColumn("_b", F.explode(around)).select(*df.columns, "_b.*")
+    around = f"""
+        filter(
+            concat(
+                array({entry("if(url <> '', concat('u:', url), null)")}),
+                if(title_n <> '', concat({", ".join(titled)}), array())
+            ),
+            b -> b.blk is not null
+        )"""
+    here = df.withColumn("_b", F.expr(f"explode({around})")).select(*df.columns, "_b.*")
     named = (
-        df.filter(titled)
+        df.filter("title_n <> ''")
         .join(places.select(F.col("place_l").alias("place_n"), "place_r"), "place_n")
         .select(
             *df.columns,
-            _block("p", F.col("place_r")).alias("blk"),
+            F.concat(F.lit("p:"), "place_r").alias("blk"),
             F.lit(TITLE_PLACE_SIM).alias("least"),
             F.lit(False).alias("by_position"),
         )
@@ -368,7 +348,7 @@ def candidate_pairs(
     near = geo_close(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))
     condition = (
         order
-        & (F.col("l.least").isNull() | may_exceed("title_n", "t", F.col("l.least")))
+        & (F.col("l.least").isNull() | may_exceed("title_n", "t", "l.least"))
         & (~F.col("l.by_position") | near)
     )
     return blocked_join(_earlier_blocks(earlier, places), _own_blocks(later), condition, sizes)

@@ -189,52 +189,55 @@ def leader_states(rows: DataFrame, chunks: int = RANK_CHUNKS) -> DataFrame:
     rank, so a cluster of any size is never ordered by one task.
     """
 
-    def value(f):
-        return F.when(F.col(f) != "", F.struct(F.col("rank").alias("r"), F.col(f).alias("v")))
+    def dated(f, condition="true"):
+        return f"case when {f} <> '' and {condition} then named_struct('r', rank, 'v', {f}) end"
 
     per_priority = rows.groupBy("leader", "priority").agg(
-        F.min("rank").alias("_r"), *[F.min(value(f)).alias(f"_{f}") for f in STATE]
+        F.min("rank").alias("_r"), *[F.expr(f"min({dated(f)}) as _{f}") for f in STATE]
     )
     firsts = per_priority.groupBy("leader").agg(
-        F.min_by("priority", "_r").alias("_head"), *[F.min(f"_{f}").alias(f"_first_{f}") for f in STATE]
+        F.min_by("priority", "_r").alias("_head"), *[F.expr(f"min(_{f}) as _first_{f}") for f in STATE]
     )
-    known = rows.join(firsts, "leader")
-    overrides = F.col("priority") > F.col("_head")
-    fills = F.lit(False)
-    for f in STATE:
-        fills = fills | F.coalesce(F.col(f"_first_{f}.r") == F.col("rank"), F.lit(False))
-    known = cut_lineage(known.filter(overrides | fills | (F.col("rank") == F.col("leader"))))
+    fills = " or ".join(f"_first_{f}.r <=> rank" for f in STATE)
+    known = cut_lineage(rows.join(firsts, "leader").filter(f"priority > _head or rank = leader or {fills}"))
 
     bounds = known.approxQuantile("rank", [i / chunks for i in range(1, chunks)], 0.0005)
-    bounds = F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]).cast("array<bigint>")
-    known = known.withColumn("chunk", F.size(F.filter(bounds, lambda b: b < F.col("rank"))))
+    bounds = ", ".join(f"{int(b)}L" for b in sorted(set(bounds)))
+    known = known.withColumn("chunk", F.expr(f"size(filter(array({bounds}), b -> b < rank))") if bounds else F.lit(0))
 
-    inside = Window.partitionBy("leader", "chunk").orderBy("rank")
-    across = Window.partitionBy("leader").orderBy("chunk")
-    override = {f: F.when(overrides & (F.col(f) != ""), F.col(f)) for f in STATE}
+    inside = "over (partition by leader, chunk order by rank)"
+    across = "over (partition by leader order by chunk"
+    override = "priority > _head"
     carried = (
-        known.groupBy("leader", "chunk").agg(*[F.max(F.when(override[f].isNotNull(), value(f))).alias(f"_{f}") for f in STATE])
-        .select("leader", "chunk", *[F.last(f"_{f}.v", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_before_{f}") for f in STATE])
+        known.groupBy("leader", "chunk")
+        .agg(*[F.expr(f"max({dated(f, override)}) as _{f}") for f in STATE])
+        .selectExpr(
+            "leader",
+            "chunk",
+            *[
+                f"last(_{f}.v, true) {across} rows between unbounded preceding and 1 preceding) as _before_{f}"
+                for f in STATE
+            ],
+        )
     )
-
-    def state(f):
-        first = F.when(F.col(f"_first_{f}.r") <= F.col("rank"), F.col(f"_first_{f}.v"))
-        return F.coalesce(F.col(f"_running_{f}"), F.col(f"_before_{f}"), first, F.lit("")).alias(f)
-
+    running = [f"last(case when {f} <> '' and {override} then {f} end, true) {inside} as _running_{f}" for f in STATE]
+    now = [
+        f"coalesce(_running_{f}, _before_{f}, case when _first_{f}.r <= rank then _first_{f}.v end, '') as {f}"
+        for f in STATE
+    ]
+    state = f"struct({', '.join(STATE)})"
     states = (
-        known.withColumns({f"_running_{f}": F.last(override[f], ignorenulls=True).over(inside) for f in STATE})
+        known.selectExpr("*", *running)
         .join(carried, ["leader", "chunk"])
-        .select("leader", "chunk", "rank", *[state(f) for f in STATE])
-        .withColumn("_now", F.struct(*STATE))
-        .withColumn("_changed", ~F.lag("_now").over(inside).eqNullSafe(F.col("_now")))
+        .selectExpr("leader", "chunk", "rank", *now)
+        .withColumn("_changed", F.expr(f"not (lag({state}) {inside} <=> {state})"))
         .filter("_changed")
     )
     starts = states.groupBy("leader", "chunk").agg(F.min("rank").alias("_start"))
-    starts = starts.select("leader", "chunk", F.lead("_start").over(across).alias("_next_chunk"))
-    to_rank = F.coalesce(F.lead("rank").over(inside), F.col("_next_chunk"), F.lit(2**63 - 1))
+    starts = starts.selectExpr("leader", "chunk", f"lead(_start) {across}) as _next_chunk")
     return (
         states.join(starts, ["leader", "chunk"])
-        .withColumn("to_rank", to_rank)
+        .withColumn("to_rank", F.expr(f"coalesce(lead(rank) {inside}, _next_chunk, {2**63 - 1}L)"))
         .select(F.col("leader").alias("rank"), F.col("rank").alias("from_rank"), "to_rank", *STATE)
     )
 
@@ -262,6 +265,8 @@ def merged_assignment(
     names = names.select(normalize_location(F.col("name")).alias("place_n"))
     places = cut_lineage(similar_places(names, metric=metric, hot_rows=hot_rows))
     assignment = _settle(nodes, members, places, metric, window_pairs, hot_rows)
+    if assignment.isEmpty():
+        return assignment
 
     narrow = canonical.select("rank", priority.alias("priority"), *STATE)
     shared_urls = nodes.filter("url <> ''").select("url").distinct().withColumn("_shared", F.lit(True))
