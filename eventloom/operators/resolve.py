@@ -67,6 +67,18 @@ def greedy_leaders(pairs: DataFrame) -> DataFrame:
     return from_leaders.groupBy("dst").agg(F.min("src").alias("leader"))
 
 
+def _keep_shared_urls(records: DataFrame, shared: DataFrame) -> DataFrame:
+    """Blank the URLs that are not in `shared`(url)."""
+    # Records without URL, maybe most of them, get keys of their own and spread.
+    key = F.expr("if(url = '', concat(' ', rank), url)")
+    return (
+        records.withColumn("_url", key)
+        .join(shared.select(F.col("url").alias("_url"), F.col("url").alias("_known")), "_url", "left")
+        .withColumn("url", F.coalesce("_known", F.lit("")))
+        .drop("_url", "_known")
+    )
+
+
 def match_nodes(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, members): one node per set of interchangeable records.
 
@@ -75,8 +87,8 @@ def match_nodes(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     anything. The others match
     nobody, not even their own copies, and are in neither.
     """
-    per_url = feats.filter("url <> ''").groupBy("url").count().filter("count > 1").select("url", F.lit(True).alias("_shared"))
-    known = feats.join(per_url, "url", "left").withColumn("url", F.when(F.col("_shared"), F.col("url")).otherwise(F.lit(""))).drop("_shared")
+    shared = feats.filter("url <> ''").groupBy("url").count().filter("count > 1")
+    known = _keep_shared_urls(feats, shared)
     # Without a shared URL, a record needs a title and something to go with it.
     by_title = (F.col("title_n") != "") & (F.col("start_dt").isNotNull() | (F.col("place_n") != "") | F.col("lat").isNotNull())
     known = known.filter((F.col("url") != "") | by_title)
@@ -269,7 +281,7 @@ def merged_assignment(
         return assignment
 
     narrow = canonical.select("rank", priority.alias("priority"), *STATE)
-    shared_urls = nodes.filter("url <> ''").select("url").distinct().withColumn("_shared", F.lit(True))
+    shared_urls = nodes.filter("url <> ''").select("url").distinct()
     sizes = sizes_of(nodes, hot_rows)
     node_features = ["url", *CONTENT, *[c for c in nodes.columns if c.startswith("t_")]]
     always = F.lit(2**63 - 1).alias("to_rank")
@@ -277,7 +289,7 @@ def merged_assignment(
     while not settled:
         rows = cut_lineage(narrow.join(assignment, "rank"))
         states = match_features(leader_states(rows), ref_date, keep=("from_rank", "to_rank"))
-        states = states.join(shared_urls, "url", "left").withColumn("url", F.when(F.col("_shared"), F.col("url")).otherwise(F.lit(""))).drop("_shared")
+        states = _keep_shared_urls(states, shared_urls)
         if first_round:
             # Leaders that look the same all the time leave everything as it is.
             first_round = False

@@ -355,7 +355,7 @@ def merge_survivorship(spark, sf):
 def provenance(spark, sf):
     rows = _customer_clusters(spark, sf).withColumn("source_type", source_type(F.col("source"), F.col("url")))
     heads = rows.groupBy("cluster").agg(F.min("rank").alias("leader"))
-    return cluster_sources(rows.join(heads, "cluster")).select(
+    return cluster_sources(rows.join(heads, "cluster")).filter("kind <> 'type'").select(
         F.col("leader").alias("cluster_id"), "kind", "value"
     )
 

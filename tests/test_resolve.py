@@ -24,7 +24,7 @@ def assigned(canonical, **options):
     return {r.event_id % RANK_STEP: r.cluster_id % RANK_STEP for r in rows}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_pairs_equal_brute_force(spark, seed):
     events = naive.random_events(seed, 150)
     order = naive.ordered(events)
@@ -42,7 +42,7 @@ def test_pairs_equal_brute_force(spark, seed):
         assert got == expected
 
 
-@pytest.mark.parametrize("seed", [3, 4, 5])
+@pytest.mark.parametrize("seed", [3, 4])
 def test_leaders_equal_naive_loop(spark, seed):
     events = naive.random_events(seed, 200)
     assert assigned(canonical_of(spark, events)) == naive.leaders(events)
@@ -78,6 +78,8 @@ def test_merge_equals_sequential_fold(spark):
         assert r.confidence == pytest.approx(c["conf"])
         assert r.all_sources == sorted(c["sources"])
         assert r.all_urls == sorted(c["urls"])
+        by_ord = {e["ingest_ord"]: naive.source_type(e) for e in events}
+        assert r.source_types == sorted({by_ord[m] for m in c["members"]})
 
 
 def test_long_lists_stay_whole_in_the_child_table(spark):
@@ -97,7 +99,7 @@ def test_no_input(spark):
     assert assigned(canonical_of(spark, naive.random_events(1, 1)).limit(0)) == {}
 
 
-@pytest.mark.parametrize("seed", [10, 11, 12])
+@pytest.mark.parametrize("seed", [10, 11])
 def test_merged_mode_equals_mutating_loop(spark, seed):
     events = naive.random_events(seed, 150)
     canonical = canonical_of(spark, events)
