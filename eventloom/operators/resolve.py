@@ -25,7 +25,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from eventloom.functions.text import normalize_location
+from eventloom.functions.dates import parse_any_date
+from eventloom.functions.text import normalize_location, normalize_title, strip, to_degrees
 
 from eventloom.operators.match import (
     CONTENT,
@@ -187,12 +188,13 @@ def leader_assignment(
 
 # -- comparing with the merged record ------------------------------------------
 
-# Fields the match rules look at.
+# Fields the match rules look at, see `_state_values`.
 STATE = ["title", "start_date", "city", "venue_name", "latitude", "longitude", "url"]
-RANK_CHUNKS = 512
+CHUNK_ROWS = 100_000
+MAX_CHUNKS = 4_096
 
 
-def leader_states(rows: DataFrame, chunks: int = RANK_CHUNKS) -> DataFrame:
+def leader_states(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The merged record of each cluster over time: (rank, from_rank, to_rank, *STATE).
 
     `rows` holds (rank, leader, priority, *STATE) of the members. A state holds
@@ -213,7 +215,8 @@ def leader_states(rows: DataFrame, chunks: int = RANK_CHUNKS) -> DataFrame:
     fills = " or ".join(f"_first_{f}.r <=> rank" for f in STATE)
     known = cut_lineage(rows.join(firsts, "leader").filter(f"priority > _head or rank = leader or {fills}"))
 
-    bounds = known.approxQuantile("rank", [i / chunks for i in range(1, chunks)], 0.0005)
+    chunks = min(MAX_CHUNKS, known.count() // chunk_rows)
+    bounds = known.approxQuantile("rank", [i / chunks for i in range(1, chunks)], 0.0001) if chunks > 1 else []
     bounds = ", ".join(f"{int(b)}L" for b in sorted(set(bounds)))
     known = known.withColumn("chunk", F.expr(f"size(filter(array({bounds}), b -> b < rank))") if bounds else F.lit(0))
 
@@ -254,6 +257,47 @@ def leader_states(rows: DataFrame, chunks: int = RANK_CHUNKS) -> DataFrame:
     )
 
 
+def _state_values(canonical: DataFrame, shared_urls: DataFrame, priority: Column) -> DataFrame:
+    """(rank, priority, *STATE) with values reduced to what matching sees of them.
+
+    A value that is not empty but means nothing to the rules becomes a blank:
+    it still fills a field, and exchanging it for another one is no change.
+    """
+
+    def seen(field: str, meaning: Column) -> Column:
+        return F.when(F.col(field) == "", F.lit("")).otherwise(F.coalesce(F.nullif(meaning, F.lit("")), F.lit(" ")))
+
+    urls = shared_urls.select(F.col("url").alias("_url"))
+    rows = canonical.withColumn("_key", F.expr("if(url = '', concat(' ', rank), url)")).join(
+        urls, F.col("_key") == F.col("_url"), "left"
+    )
+    return rows.select(
+        "rank",
+        priority.alias("priority"),
+        seen("title", normalize_title(F.col("title"))).alias("title"),
+        seen("start_date", F.col("start_dt").cast("string")).alias("start_date"),
+        *[seen(c, normalize_location(F.col(c))).alias(c) for c in ("city", "venue_name")],
+        *[seen(c, strip(F.col(c))).alias(c) for c in ("latitude", "longitude")],
+        seen("url", F.col("_url")).alias("url"),
+    )
+
+
+def _state_features(states: DataFrame) -> DataFrame:
+    """The columns of `match_features` from states."""
+    lat, lon = to_degrees(F.col("latitude")), to_degrees(F.expr("if(longitude = '', '0', longitude)"))
+    return states.select(
+        "rank",
+        "from_rank",
+        "to_rank",
+        F.trim("url").alias("url"),
+        F.trim("title").alias("title_n"),
+        F.col("start_date").try_cast("date").alias("start_dt"),
+        F.expr("trim(if(city <> '', city, venue_name))").alias("place_n"),
+        F.when(lon.isNotNull(), lat).alias("lat"),
+        F.when(lat.isNotNull(), lon).alias("lon"),
+    )
+
+
 def merged_assignment(
     canonical: DataFrame,
     ref_date: datetime.date,
@@ -261,6 +305,7 @@ def merged_assignment(
     metric=None,
     window_pairs: int = WINDOW_PAIRS,
     hot_rows: int | None = None,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Like `leader_assignment`, each record compared with its leader as merged by then.
 
@@ -270,8 +315,7 @@ def merged_assignment(
     next clusters. What is settled for the lowest ranks stays settled; the
     clusters that repeat themselves are the result.
     """
-    feats = match_features(canonical, ref_date)
-    nodes, members = match_nodes(feats)
+    nodes, members = match_nodes(match_features(canonical, ref_date))
     # A state may show the venue of a record that itself goes by its city.
     names = canonical.select(F.explode(F.array("city", "venue_name")).alias("name")).distinct()
     names = names.select(normalize_location(F.col("name")).alias("place_n"))
@@ -280,30 +324,28 @@ def merged_assignment(
     if assignment.isEmpty():
         return assignment
 
-    narrow = canonical.select("rank", priority.alias("priority"), *STATE)
     shared_urls = nodes.filter("url <> ''").select("url").distinct()
+    dated = canonical.withColumn("start_dt", parse_any_date(F.col("start_date"), ref_date))
+    values = cut_lineage(_state_values(dated, shared_urls, priority))
     sizes = sizes_of(nodes, hot_rows)
-    node_features = ["url", *CONTENT, *[c for c in nodes.columns if c.startswith("t_")]]
-    always = F.lit(2**63 - 1).alias("to_rank")
+    features = ["url", *CONTENT, *[c for c in nodes.columns if c.startswith("t_")]]
+    by_node = nodes.select(F.col("rank").alias("node"), *features)
     settled, first_round = False, True
     while not settled:
-        rows = cut_lineage(narrow.join(assignment, "rank"))
-        states = match_features(leader_states(rows), ref_date, keep=("from_rank", "to_rank"))
-        states = _keep_shared_urls(states, shared_urls)
-        if first_round:
+        states = cut_lineage(leader_states(cut_lineage(values.join(assignment, "rank")), chunk_rows))
+        moving = states.filter("from_rank > rank").select("rank").distinct()
+        if first_round and moving.isEmpty():
             # Leaders that look the same all the time leave everything as it is.
-            first_round = False
-            states = cut_lineage(states)
-            looks = F.struct("url", *CONTENT)
-            if states.groupBy("rank").agg((F.min(looks) != F.max(looks)).alias("c")).filter("c").isEmpty():
-                break
-        states = with_signature(states, "title_n", "t").select("rank", "from_rank", "to_rank", *node_features)
-        alone = (
-            members.join(assignment, "rank", "left_anti")
-            .join(nodes.select(F.col("rank").alias("node"), *node_features), "node")
-            .select("rank", F.col("rank").alias("from_rank"), always, *node_features)
+            break
+        first_round = False
+        states = with_signature(_state_features(states.join(moving, "rank", "left_semi")), "title_n", "t")
+        still = (
+            members.join(assignment.filter("rank <> leader"), "rank", "left_anti")
+            .join(moving, "rank", "left_anti")
+            .join(by_node, "node")
+            .select("rank", F.col("rank").alias("from_rank"), F.lit(2**63 - 1).alias("to_rank"), *features)
         )
-        leaders = cut_lineage(states.unionByName(alone))
+        leaders = cut_lineage(states.select(*still.columns).unionByName(still))
         in_time = (F.col("l.from_rank") < F.col("r.last_rank")) & (F.col("l.to_rank") >= F.col("r.rank"))
         kept = [F.col("l.rank").alias("leader"), F.col("l.from_rank"), F.col("l.to_rank"), F.col("r.rank").alias("node")]
         hits = matching_pairs(leaders, nodes, places, sizes, metric, extra=in_time, keep=kept)

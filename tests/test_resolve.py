@@ -99,11 +99,11 @@ def test_no_input(spark):
     assert assigned(canonical_of(spark, naive.random_events(1, 1)).limit(0)) == {}
 
 
-@pytest.mark.parametrize("seed", [10, 11])
-def test_merged_mode_equals_mutating_loop(spark, seed):
+@pytest.mark.parametrize("seed, chunk_rows", [(10, 100_000), (11, 2)])
+def test_merged_mode_equals_mutating_loop(spark, seed, chunk_rows):
     events = naive.random_events(seed, 150)
     canonical = canonical_of(spark, events)
-    assignment = merged_assignment(canonical, REF, override_priority())
+    assignment = merged_assignment(canonical, REF, override_priority(), chunk_rows=chunk_rows)
     rows = membership(canonical, assignment).collect()
     got = {r.event_id % RANK_STEP: r.cluster_id % RANK_STEP for r in rows}
     expected = {m: c["head"]["ingest_ord"] for c in naive.fold(events, mutate=True) for m in c["members"]}
