@@ -62,7 +62,7 @@ def greedy_leaders(pairs: DataFrame) -> DataFrame:
             )
         )
     if not rounds:
-        return pairs.select("dst", F.col("src").alias("leader")).limit(0)
+        return pairs.select("dst", F.col("src").alias("leader")).filter("false")
     members = reduce(DataFrame.unionByName, rounds)
     from_leaders = pairs.join(members.select(F.col("dst").alias("src")), "src", "left_anti")
     return from_leaders.groupBy("dst").agg(F.min("src").alias("leader"))
