@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import datetime
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
