@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import chat, decontaminate, language, secret_scan, topk, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op4_chat_format": chat.op4_chat_format,
+    "op5_topk": topk.op5_topk,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_language_id": language.op10_language_id,
 }
 
+#: The other queries are tested against brute force, held-out accuracy or a round trip.
 ORACLE = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op4_chat_format": chat.ORACLE,
+    "op5_topk": topk.ORACLE,
 }
