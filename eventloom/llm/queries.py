@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, decontaminate, language, lm_score, secret_scan, topk, toxicity
+from . import byte_bpe, chat, decontaminate, jaccard_join, language, lm_score, secret_scan, topk, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_lm_score": lm_score.op2_lm_score,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_chat_format": chat.op4_chat_format,
     "op5_topk": topk.op5_topk,
     "op6_secret_scan": secret_scan.op6_secret_scan,
@@ -18,6 +19,7 @@ QUERIES = {
 #: The other queries are tested against brute force, held-out accuracy or a round trip.
 ORACLE = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op3_jaccard_join": jaccard_join.ORACLE,
     "op4_chat_format": chat.ORACLE,
     "op5_topk": topk.ORACLE,
 }
