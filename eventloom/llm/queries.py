@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, decontaminate, jaccard_join, language, lm_score, secret_scan, topk, toxicity
+from . import byte_bpe, chat, decontaminate, jaccard_join, language, lm_score, repeats, secret_scan, topk, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat_format": chat.op4_chat_format,
     "op5_topk": topk.op5_topk,
     "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_repeats": repeats.op7_repeats,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_language_id": language.op10_language_id,
