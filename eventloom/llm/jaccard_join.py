@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_text, table, written
@@ -271,6 +271,22 @@ def jaccard_groups(
     )
 
 
+def rows_of(docs: DataFrame, kept: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs with a kept (__id, __key); of repeated rows one."""
+
+    def keys(batches):
+        import xxhash
+
+        for rows, column in batches:
+            yield rows, {"__key": [None if b is None else xxhash.xxh3_128_digest(b) for b in column.to_pylist()]}
+
+    own = map_text(docs, keys, "__key binary", text).withColumn("__id", F.col(f"row.{key}"))
+    # Rows with the same id and text are told apart by a number.
+    same = Window.partitionBy("__id", "__key").orderBy(F.lit(0))
+    hit = own["__id"].eqNullSafe(kept["__id"]) & own["__key"].eqNullSafe(kept["__key"])
+    return own.join(kept, hit, "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1").select("row.*")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose sets of three-word shingles have a similarity of .9 and more."""
     found = jaccard_groups(table(spark, sf_dir, "documents"), 3, 90, keep=["doc_id"])
