@@ -44,8 +44,8 @@ KINDS = ["assign", "access", "hex", "random"]
 LEAST_RUN = 20
 LEAST_CHANGES = 4
 #: How often ordinary writing changes between kinds of characters inside a run.
-CHANGE_RATE = 0.08
-CHANCE = 1e-3
+CHANGE_RATE = 0.12
+CHANCE = 0.01
 FALSE_RATE = 1e-3
 #: -log10 of p-values is counted in bins of a tenth, up to this many.
 BINS = 400

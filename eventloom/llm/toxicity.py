@@ -32,7 +32,7 @@ from .language import remainder
 ORDER = 6
 DISCOUNT = 0.75
 #: Labelled rows of each class that are learned from, about.
-SAMPLE = 3_000
+SAMPLE = 2_500
 FOLDS = 3
 #: Characters of a sampled row that are learned from at most, from several places.
 SAMPLE_CHARS = 20_000
@@ -51,11 +51,10 @@ def words(body: bytes | None) -> list[bytes]:
 
 
 class Model(NamedTuple):
-    """Log of the toxic chance over the ordinary one, of letters and of contexts' freed shares."""
+    """ln of the toxic chance over the ordinary one."""
 
-    counts: tuple[dict, dict]  # of each class: letters with the context before them
-    totals: tuple[dict, dict]  # of each class: context to (letters seen, different ones)
-    shared: dict  # letters with context to Kneser-Ney chance, context to (freed share,)
+    letters: dict[str, float]  # of contexts with a letter that some class has seen
+    contexts: dict[str, float]  # of any other letter after a context that some class has seen
     curve: np.ndarray
 
 
@@ -135,21 +134,32 @@ def chance(shared: dict, context: str, letter: str) -> float:
         context = context[1:]
 
 
+def compare(classes: list[tuple[dict, dict]], shared: dict) -> tuple[dict[str, float], dict[str, float]]:
+    """Logarithms of the first class's chances over the second's, of seen letters and of freed shares.
+
+    The chance of a letter that a class has not seen after a context is the
+    share that its discount frees times the shared chance, which both have.
+    """
+    freed = [{c: DISCOUNT * kinds / seen for c, (seen, kinds) in totals.items()} for _, totals in classes]
+    contexts = {c: math.log(freed[0].get(c, 1.0) / freed[1].get(c, 1.0)) for c in {*freed[0], *freed[1]}}
+    letters = {}
+    for context, letter in {*classes[0][0], *classes[1][0]}:
+        low = chance(shared, context[1:], letter)
+        p = []
+        for (counts, totals), free in zip(classes, freed, strict=True):
+            seen = totals[context][0] if context in totals else 1
+            p.append(max(counts.get((context, letter), 0) - DISCOUNT, 0.0) / seen + free.get(context, 1.0) * low)
+        letters[context + letter] = math.log(max(p[0], 1e-12) / max(p[1], 1e-12))
+    return letters, contexts
+
+
 def difference(model: Model, word: bytes) -> float:
     """ln of the word's chance in the toxic class over that in the ordinary one."""
-    total = 0.0
-    for context, letter in _steps(word):
-        own = [t.get(context) for t in model.totals]
-        if own[0] is None and own[1] is None:
-            continue
-        low = chance(model.shared, context[1:], letter)
-        p = [
-            low
-            if t is None
-            else (max(c.get((context, letter), 0) - DISCOUNT, 0.0) + DISCOUNT * t[1] * low) / t[0]
-            for c, t in zip(model.counts, own, strict=True)
-        ]
-        total += math.log(max(p[0], 1e-12) / max(p[1], 1e-12))
+    total, s = 0.0, _spelled(word)
+    for i in range(1, len(s)):
+        at = max(0, i - ORDER + 1)
+        found = model.letters.get(s[at : i + 1])
+        total += model.contexts.get(s[at:i], 0.0) if found is None else found
     return total
 
 
@@ -195,7 +205,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def _model(counts: dict[int, Counter]) -> Model:
     classes = [count_class(counts[y]) for y in (1, 0)]
     shared = _chances(shared_backoff([c for c, _ in classes]))
-    return Model(tuple(c for c, _ in classes), tuple(t for _, t in classes), shared, np.zeros(6))
+    return Model(*compare(classes, shared), np.zeros(6))
 
 
 def train(rows: list[tuple[bytes, int]], weights: tuple[float, float]) -> Model | None:
