@@ -69,5 +69,9 @@ def parse_any_date(c: Column, ref_date: datetime.date | Column, relaxed: bool =
 
 
 def written_date(c: Column) -> Column:
-    """Date in the first ten characters, as written; no time-zone shift."""
-    return F.substring(c, 1, 10).try_cast("date")
+    """Date in the first ten characters, as written; no time-zone shift.
+
+    These must be four, two and two digits with dashes; anything else is NULL.
+    """
+    head = F.substring(c, 1, 10)
+    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), head.try_cast("date"))

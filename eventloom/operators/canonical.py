@@ -11,7 +11,7 @@ from eventloom.schemas import FEED_SCHEMA, MERGED_FIELDS, RAW_FIELDS
 from eventloom.storage import cut_lineage
 
 # Ranks pack (100 - priority, ingest_ord) in one BIGINT; the order must stay below this.
-RANK_STEP = 10**16
+RANK_STEP = 10**17
 
 
 def per_source_limit(df: DataFrame, n: int, source: str = "source", order: str = "ord") -> DataFrame:
@@ -50,6 +50,9 @@ def with_ingest_order(df: DataFrame, *order: str) -> DataFrame:
 def to_canonical(raw: DataFrame) -> DataFrame:
     """Canonical records from raw events holding a unique BIGINT `ingest_ord`.
 
+    An order that is missing, negative or too large for a rank fails the job;
+    `check_order` does so for repeated ones.
+
     An absent key (NULL or no such column) falls back; an empty one does not.
     Adds source_type, confidence and rank: the order in which records are
     resolved, trusted sources first and ingest order within them.
@@ -59,6 +62,9 @@ def to_canonical(raw: DataFrame) -> DataFrame:
     given = [F.col(c).cast("string").alias(c) for c in RAW_FIELDS if c in raw.columns]
     rows = raw.select(F.col("ingest_ord").cast("bigint").alias("ingest_ord"), *given, *absent)
     kind, empty = F.col("source_type"), F.lit("")
+    order = F.col("ingest_ord")
+    fits = order.isNotNull() & (order >= 0) & (order < RANK_STEP)
+    order = F.when(fits, order).otherwise(F.raise_error(F.lit("ingest_ord must be from 0 to 10 ** 17 - 1")).cast("bigint"))
     fallback = {
         "start_date": F.coalesce("start_date", "date_raw", empty),
         "venue_name": F.coalesce("venue_name", "location_raw", empty),
@@ -72,11 +78,18 @@ def to_canonical(raw: DataFrame) -> DataFrame:
             *[fallback.get(c, F.coalesce(c, empty)).alias(c) for c in MERGED_FIELDS + ["source"]],
             "source_type",
             base_confidence(kind).alias("confidence"),
-            ((100 - type_priority(kind)) * F.lit(RANK_STEP) + F.col("ingest_ord")).alias("rank"),
+            ((100 - type_priority(kind)) * F.lit(RANK_STEP) + order).alias("rank"),
         )
     )
 
 
+def check_order(canonical: DataFrame) -> DataFrame:
+    """The records as they are; raises if two have the same rank."""
+    if not canonical.groupBy("rank").count().filter("count > 1").isEmpty():
+        raise ValueError("ingest_ord is not unique")
+    return canonical
+
+
 def feed_columns(df: DataFrame) -> DataFrame:
     """The 18 feed columns, confidence to two decimals."""
     return df.select(

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom.functions.dates import written_date
-from eventloom.functions.text import normalize_location
+from eventloom.functions.text import normalize_location, strip
 
 
 def feed_order(feed: DataFrame, tie: str = "cluster_id") -> DataFrame:
@@ -32,12 +32,19 @@ def feed_health(feed: DataFrame) -> DataFrame:
     return feed.agg(F.count("*").alias("events_count")).select(F.lit("ok").alias("status"), "events_count")
 
 
-def count_by_source(feed: DataFrame) -> DataFrame:
-    """Records per provenance entry, most frequent first."""
-    entries = F.coalesce("all_sources", F.array(F.coalesce("source", F.lit("unknown"))))
+def count_by_source(feed: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Records per provenance entry, most frequent first.
+
+    `sources` are the rows of `merge.feed_sources`, for a feed without lists; a
+    record that has no list counts under its source.
+    """
+    if sources is None:
+        entries = F.coalesce("all_sources", F.array(F.coalesce("source", F.lit("unknown"))))
+        found = feed.select(F.explode(entries).alias("source"))
+    else:
+        found = sources.filter("kind = 'source'").select(F.col("value").alias("source"))
     return (
-        feed.select(F.explode(entries).alias("source"))
-        .groupBy("source").agg(F.count("*").alias("n"))
+        found.groupBy("source").agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "source")
     )
 
@@ -45,7 +52,7 @@ def count_by_source(feed: DataFrame) -> DataFrame:
 def count_by_location(feed: DataFrame, n: int = 10, seen: str = "cluster_id") -> DataFrame:
     """Records per county, else city; the `n` largest, ties by first appearance."""
     place = F.coalesce(
-        F.nullif(F.trim("county"), F.lit("")), F.nullif(F.trim("city"), F.lit("")), F.lit("Unknown")
+        F.nullif(strip(F.col("county")), F.lit("")), F.nullif(strip(F.col("city")), F.lit("")), F.lit("Unknown")
     )
     return (
         feed.groupBy(place.alias("place"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,7 +33,8 @@ from eventloom.plans import renderings as r
 from eventloom.plans.integrate import build_feed, resolve_events
 from eventloom.plans.renderings import REF_DATE, digest, order_day, table
 from eventloom.sources import captions, lines, pages
-from eventloom.storage import split_records
+from eventloom.schemas import FEED_SCHEMA
+from eventloom.storage import checkpoint_dir, read_feed, split_records, write_feed
 
 
 def joined(c):
@@ -380,7 +382,26 @@ def merge_single(canonical: DataFrame) -> DataFrame:
 
 def stage_counts(spark, sf):
     raw = r.weekly_orders(spark, sf)
-    return report.stage_counts(raw=raw, canonical=to_canonical(raw), posts=r.order_posts(spark, sf))
+    return report.stage_counts(raw=raw, canonical=to_canonical(raw), resolved=resolve_events(raw, REF_DATE))
+
+
+def resolved_by_source(spark, sf):
+    return report.count_by_source(resolve_events(r.weekly_orders(spark, sf), REF_DATE))
+
+
+def feed_roundtrip(spark, sf):
+    """The feed written, read again and counted by day; a path without files is an empty feed."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    rows = r.customer_feed(spark, sf)
+    absent = [F.lit("").alias(c) for c in FEED_SCHEMA.names if c not in rows.columns]
+    write_feed(rows.select("*", *absent), path)
+    back = read_feed(spark, path, multi_line=False).unionByName(read_feed(spark, path + "-none"))
+    return back.groupBy("start_date").agg(
+        F.count("*").alias("n"),
+        F.min("title").alias("first_title"),
+        F.max(joined("all_urls")).alias("last_urls"),
+        F.round(F.max("confidence"), 2).alias("best"),
+    )
 
 
 def feed_health(spark, sf):
@@ -454,7 +475,7 @@ QUERIES = {
         date_title_pairs, id_zip, caption_fields, caption_documents, hashtags, post_events, source_types,
         title_norm, location_norm, date_parse, decay, match_url, match_date_band, match_place, match_geo,
         match_rules, leaders_url, resolve_orders, resolve_documents, merge_survivorship, provenance,
-        feed_order, feed_output, stage_counts, feed_health, sample_feed, count_by_source, count_by_location,
+        feed_order, feed_output, stage_counts, resolved_by_source, feed_roundtrip, feed_health, sample_feed, count_by_source, count_by_location,
         upcoming, upcoming_shown, search_text, age_band, county_filter, display, search_feed,
     ]
 }

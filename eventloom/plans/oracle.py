@@ -6,7 +6,7 @@ from eventloom.functions.text import SPACE, WORD
 from eventloom.schemas import NOISE_LINES, TITLE_MARKERS, TITLE_STOP_WORDS
 from eventloom.sources import captions, lines
 
-STEP = 10**16
+STEP = 10**17
 
 
 def quoted(items) -> str:
@@ -116,8 +116,12 @@ ORDER_POSTS = """
 CUSTOMER_FEED = """
     feed as (
         select c_name as title, c_mktsegment as description,
-            cast(date '1998-08-25' + cast(c_custkey % 40 as int) as varchar) as start_date,
-            case when c_custkey % 3 = 0 then '  ' else 'County ' || n_name end as county,
+            date '1998-08-25' + cast(c_custkey % 40 as int) as written,
+            case c_custkey % 41 when 7 then '1998' when 8 then strftime(written, '%Y-%m') when 9 then ' ' || strftime(written, '%Y-%m-%d')
+                when 10 then '1998-9-01T10:00' else strftime(written, '%Y-%m-%d') end as start_date,
+            case when c_custkey % 41 not in (7, 8, 9, 10) then written end as day,
+            case when c_custkey % 3 <> 0 then 'County ' || n_name when c_custkey % 9 <> 0 then c_mktsegment else 'Unknown' end as place,
+            case when c_custkey % 3 = 0 then chr(9) || ' ' else 'County ' || n_name end as county,
             case when c_custkey % 9 = 0 then '' else ' ' || c_mktsegment || ' ' end as city,
             '' as venue_name, 'allevents:' || c_custkey as source, (c_custkey % 10) / 10 as confidence,
             ['allevents', c_mktsegment] as all_sources,
@@ -134,7 +138,7 @@ WEEKLY = """
             ['yourdaysout', 'allevents', 'facebook', 'instagram'][o_orderkey % 4 + 1] as source_type,
             [100, 90, 50, 30][o_orderkey % 4 + 1] as priority,
             source_type || ':' || o_orderkey as source,
-            o_orderkey as k, (100 - priority) * 10000000000000000 + o_orderkey as rank
+            o_orderkey as k, (100 - priority) * 100000000000000000 + o_orderkey as rank
         from orders)"""
 
 CUSTOMER_CLUSTERS = """
@@ -189,8 +193,8 @@ ORACLE = {
         select link as path, min(page_id) as first_pos from clean group by link""",
     "jsonld_events": f"""
         with d as (
-            select *, doc_id % 5 as shape, 'https://allevents.in/dublin/' || doc_id as page,
-                {caption_title('text')} as title from documents)
+            select *, [0, 0, 2, 3, 0, 0, 2, 3][doc_id % 8 + 1] as shape, 'https://allevents.in/dublin/' || doc_id as page,
+                split_part(text, chr(10), 1) as title from documents)
         select doc_id as page_id, title, text as description,
             cast(date '2000-01-01' + cast(n_chars as int) as varchar) as start_date, '' as end_date, page as url,
             case shape when 2 then 'Barn' when 3 then 'Town Square' else 'Hall ' || source end as venue_name,
@@ -343,9 +347,24 @@ ORACLE = {
         with {WEEKLY}
         select title, start_date, 'IE' as country, source, priority / 100 as confidence, source_type as all_sources, '' as all_urls
         from weekly""",
-    "stage_counts": """
+    "stage_counts": f"""
+        with {WEEKLY}
         select 'raw' as stage, count(*) as n from orders union all select 'canonical', count(*) from orders
-        union all select 'posts', count(*) from orders""",
+        union all select 'resolved', count(distinct title || start_date) from weekly""",
+    "resolved_by_source": f"""
+        with {WEEKLY},
+        grouped as (
+            select count(*) as n_members, arg_min(source_type, rank) as head_type, list(source) as sources
+            from weekly group by title, start_date),
+        entries as (
+            select unnest(case when n_members = 1 then [head_type] else list_distinct(list_append(sources, head_type)) end) as source
+            from grouped)
+        select source, count(*) as n from entries group by source""",
+    "feed_roundtrip": f"""
+        with {CUSTOMER_FEED}
+        select start_date, count(*) as n, min(title) as first_title, max(array_to_string(all_urls, '|')) as last_urls,
+            round(max(confidence), 2) as best
+        from feed group by start_date""",
     "feed_health": "select 'ok' as status, count(*) as events_count from customer",
     "sample_feed": f"""
         with {CUSTOMER_FEED}
@@ -356,16 +375,16 @@ ORACLE = {
         with {CUSTOMER_FEED} select source, count(*) as n from (select unnest(all_sources) as source from feed) group by source""",
     "count_by_location": f"""
         with {CUSTOMER_FEED}
-        select coalesce(nullif(trim(county), ''), nullif(trim(city), ''), 'Unknown') as place, count(*) as n
+        select place, count(*) as n
         from feed group by 1 order by n desc, min(cluster_id) limit 10""",
     "upcoming": f"""
         with {CUSTOMER_FEED}
         select cluster_id, start_date, title[:60] as title from feed
-        where datediff('day', date '1998-09-02', cast(start_date as date)) between 1 and 15""",
+        where datediff('day', date '1998-09-02', day) between 1 and 15""",
     "upcoming_shown": f"""
         with {CUSTOMER_FEED}
         select start_date, title[:60] as title from feed
-        where datediff('day', date '1998-09-02', cast(start_date as date)) between 1 and 15
+        where datediff('day', date '1998-09-02', day) between 1 and 15
         order by start_date, confidence desc, cluster_id limit 10""",
     "search_text": "select doc_id from documents where contains(lower(source) || lower(text), 'tion the')",
     "age_band": f"""
@@ -377,7 +396,7 @@ ORACLE = {
             event_type as source_badge from events""",
     "search_feed": f"""
         with {CUSTOMER_FEED}
-        select cluster_id, title, start_date, strftime(cast(start_date as date), '%a %-d %b %Y') as date_label,
+        select cluster_id, title, start_date, coalesce(strftime(day, '%a %-d %b %Y'), start_date) as date_label,
             'allevents' as source_badge
         from feed where county = 'County NATION_3'""",
 }

@@ -7,7 +7,8 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from eventloom.operators.canonical import union_feeds
-from eventloom.sources.captions import caption_title, post_events
+from eventloom.sources.captions import post_events
+from eventloom.sources.lines import group_events
 from eventloom.sources.pages import page_events
 
 TEXT_TABLES = ("documents", "pages", "conversations")
@@ -73,7 +74,7 @@ def document_group_pages(spark, sf) -> DataFrame:
 
 
 def document_pages(spark, sf) -> DataFrame:
-    """Documents as detail pages holding JSON-LD, in five shapes by key."""
+    """Documents as detail pages holding JSON-LD, in eight shapes by key."""
     k = F.col("doc_id")
     day = F.date_add(F.lit("2000-01-01").cast("date"), F.col("n_chars").cast("int"))
     address = F.struct(
@@ -82,7 +83,7 @@ def document_pages(spark, sf) -> DataFrame:
     geo = F.struct((53 + k % 7 / 10).alias("latitude"), (-6 - k % 3 / 10).alias("longitude"))
     event = F.struct(
         F.lit("Event").alias("@type"),
-        caption_title(F.split("text", "\n")).alias("name"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("name"),
         F.col("text").alias("description"),
         day.cast("string").alias("startDate"),
         F.struct(line_of("Hall ", F.col("source")).alias("name"), address.alias("address"), geo.alias("geo")).alias("location"),
@@ -94,13 +95,17 @@ def document_pages(spark, sf) -> DataFrame:
     def script(body):
         return F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
 
-    shape = k % 5
+    shape = k % 8
     html = (
         F.when(shape == 0, script(one))
         .when(shape == 1, script(F.concat(F.lit('[7, {"@type": "Place"}, '), one, F.lit("]"))))
         .when(shape == 2, F.concat(script(F.lit('{"@type": "Event", broken')), script(flat)))
         .when(shape == 3, script(F.replace(loose, F.lit("\\n"), F.lit("\n"))))
-        .otherwise(F.concat(script(F.lit('{"@type": "MusicEvent", "name": "x"}')), script(one)))
+        .when(shape == 4, F.concat(script(F.lit('{"@type": "MusicEvent", "name": "x"}')), script(one)))
+        # More than one value in a block is no JSON; the next block counts.
+        .when(shape == 5, F.concat(script(F.concat(F.lit('{"@type": "Place"},'), loose)), script(one)))
+        .when(shape == 6, F.concat(script(F.concat(F.lit("["), one, F.lit("] garbage"))), script(flat)))
+        .otherwise(F.concat(script(F.concat(one, F.lit("],[1"))), script(loose)))
     )
     return table(spark, sf, "documents").select(
         k.alias("page_id"),
@@ -109,6 +114,18 @@ def document_pages(spark, sf) -> DataFrame:
     )
 
 
+def document_notices(spark, sf) -> DataFrame:
+    """Documents as community pages with a dated entry on top; odd ones have no event id."""
+    k = F.col("doc_id")
+    day = F.date_add(F.lit("2000-01-01").cast("date"), F.col("n_chars").cast("int"))
+    link = line_of('<a href="/events/7', F.lpad(k.cast("string"), 15, "1"), '">x</a>')
+    return table(spark, sf, "documents").select(
+        k.alias("group_id"),
+        F.when(k % 2 == 0, link).otherwise(F.lit("")).alias("html"),
+        text_of(F.lit("Upcoming events"), F.date_format(day, "EEE, MMM d, yyyy"), F.col("text")).alias("visible_text"),
+    )
+
+
 def document_posts(spark, sf) -> DataFrame:
     """Documents as captions of posts, with a date line."""
     day = F.date_add(F.lit("2000-01-01").cast("date"), F.col("n_chars").cast("int"))
@@ -123,12 +140,14 @@ def document_posts(spark, sf) -> DataFrame:
 
 
 def document_listings(spark, sf) -> DataFrame:
-    """Every document twice: as a detail page of tier 1 and as a post of tier 3."""
+    """Every document three times: detail page (tier 1), community page entries (2), post (3)."""
     pages = page_events(document_pages(spark, sf)).withColumn("ingest_ord", F.col("page_id") * 2)
-    # Places of the rendering say nothing about a document.
-    pages = pages.drop("page_id", "city", "venue_name", "latitude", "longitude")
+    pages = pages.drop("page_id")
     posts = post_events(document_posts(spark, sf)).withColumn("ingest_ord", F.col("doc_id") * 2 + 1)
-    return union_feeds({1: pages, 3: posts.drop("doc_id")})
+    groups = group_events(document_notices(spark, sf))
+    # A page has far fewer entries than 10 ** 5.
+    groups = groups.withColumn("ingest_ord", F.lit(10**16) + F.col("group_id") * 10**5 + F.col("idx")).drop("group_id", "idx")
+    return union_feeds({1: pages, 2: groups, 3: posts.drop("doc_id")})
 
 
 def digest(c: Column) -> Column:
@@ -156,14 +175,23 @@ def customer_feed(spark, sf) -> DataFrame:
     """A feed of customers x nations with counties, cities and ages missing here and there."""
     k = F.col("c_custkey")
     nation = table(spark, sf, "nation")
+    day = F.date_add(F.lit("1998-08-25").cast("date"), (k % 40).cast("int")).cast("string")
+    # Beginnings of dates, and dates not where they belong, are no dates.
+    start = (
+        F.when(k % 41 == 7, F.substring(day, 1, 4))
+        .when(k % 41 == 8, F.substring(day, 1, 7))
+        .when(k % 41 == 9, F.concat(F.lit(" "), day))
+        .when(k % 41 == 10, F.concat(F.substring(day, 1, 5), F.lit("9-01T10:00")))
+        .otherwise(day)
+    )
     return (
         table(spark, sf, "customer")
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             F.col("c_name").alias("title"),
             F.col("c_mktsegment").alias("description"),
-            F.date_add(F.lit("1998-08-25").cast("date"), (k % 40).cast("int")).cast("string").alias("start_date"),
-            F.when(k % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit("County "), "n_name")).alias("county"),
+            start.alias("start_date"),
+            F.when(k % 3 == 0, F.lit("\t ")).otherwise(F.concat(F.lit("County "), "n_name")).alias("county"),
             F.when(k % 9 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), "c_mktsegment", F.lit(" "))).alias("city"),
             F.lit("").alias("venue_name"),
             F.concat(F.lit("allevents:"), k.cast("string")).alias("source"),

@@ -4,19 +4,24 @@ import naive
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators.canonical import RANK_STEP, to_canonical
+from eventloom.operators.canonical import RANK_STEP, check_order, to_canonical
 from eventloom.operators.match import match_pairs
-from eventloom.operators.merge import cluster_sources, merge_clusters, override_priority
+from eventloom.operators import report
+from eventloom.operators.merge import feed_sources, merge_clusters, override_priority
 from eventloom.operators.resolve import leader_assignment, membership, merged_assignment
 
 REF = datetime.date(2026, 1, 1)
 
 
-def canonical_of(spark, events):
+def raw_of(spark, events):
     fields = naive.MERGED + ["source"]
     schema = ", ".join(f"{f} string" for f in fields) + ", ingest_ord bigint"
     rows = [tuple(e[f] for f in fields) + (e["ingest_ord"],) for e in events]
-    return to_canonical(spark.createDataFrame(rows, schema)).cache()
+    return spark.createDataFrame(rows, schema)
+
+
+def canonical_of(spark, events):
+    return to_canonical(raw_of(spark, events)).cache()
 
 
 def assigned(canonical, **options):
@@ -82,17 +87,30 @@ def test_merge_equals_sequential_fold(spark):
         assert r.source_types == sorted({by_ord[m] for m in c["members"]})
 
 
-def test_long_lists_stay_whole_in_the_child_table(spark):
+def test_provenance_as_lists_and_as_rows(spark):
     events = naive.random_events(9, 80)
     canonical = canonical_of(spark, events)
-    assignment = leader_assignment(canonical, REF)
-    merged = {r.cluster_id: r for r in merge_clusters(canonical, assignment, inline_members=2).collect()}
-    rows = cluster_sources(canonical.join(assignment, "rank")).filter("kind = 'url'").groupBy("leader").agg(F.array_sort(F.collect_list("value")).alias("urls"))
-    expected = {c["head"]["ingest_ord"]: c for c in naive.fold(events)}
-    for r in rows.collect():
-        c = expected[r.leader % RANK_STEP]
-        assert r.urls == sorted(c["urls"])
-        assert (merged[r.leader].all_urls is None) == (len(c["members"]) > 2)
+    assignment = leader_assignment(canonical, REF).cache()
+    lists, rows = merge_clusters(canonical, assignment), feed_sources(canonical, assignment)
+    by_kind = rows.groupBy("cluster_id", "kind").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    found = {(r.cluster_id % RANK_STEP, r.kind): r["values"] for r in by_kind.collect()}
+    for c in naive.fold(events):
+        key = c["head"]["ingest_ord"]
+        assert found[key, "url"] == sorted(c["urls"]) and found[key, "source"] == sorted(c["sources"])
+    none = merge_clusters(canonical, assignment, lists=False)
+    assert none.filter("all_urls IS NOT NULL OR all_sources IS NOT NULL").count() == 0
+    counted = [{tuple(r) for r in report.count_by_source(*a).collect()} for a in ((lists,), (none, rows))]
+    assert counted[0] == counted[1]
+
+
+def test_orders_that_make_no_rank(spark):
+    events = naive.random_events(1, 5)
+    for bad in (-1, RANK_STEP):
+        with pytest.raises(Exception, match="ingest_ord"):
+            to_canonical(raw_of(spark, [dict(events[0], ingest_ord=bad)])).collect()
+    twice = [dict(e, ingest_ord=7, source="web:1", url="") for e in events[:2]]
+    with pytest.raises(ValueError, match="unique"):
+        check_order(canonical_of(spark, twice))
 
 
 def test_no_input(spark):
