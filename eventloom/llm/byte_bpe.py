@@ -129,6 +129,17 @@ def count_pieces(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame
     return docs.select(docs[text]).mapInArrow(scan, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
+def _packed(rows: pa.Table) -> dict[str, bytes]:
+    """Bytes of the ids by piece."""
+    out: dict[str, bytes] = {}
+    for batch in rows.to_batches():
+        ids = batch.column("ids")
+        at, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<i4")
+        for i, piece in enumerate(batch.column("piece").to_pylist()):
+            out[piece] = flat[at[i] : at[i + 1]].tobytes()
+    return out
+
+
 class _Known(dict):
     """Bytes of a piece's ids; a piece that is not known gets the number, from -1 down, of its place in tail."""
 
@@ -158,8 +169,7 @@ def encode_texts(
     counts = written(count_pieces(docs, pattern, text))
     frequent = counts.where(F.col("n") >= hot_threshold(counts, "n", most_words)).select("piece")
     own = frequent.repartition(spark.sparkContext.defaultParallelism * 4).select("piece", encoded(F.col("piece")).alias("ids"))
-    ids = {r["piece"]: struct.pack(f"<{len(r['ids'])}i", *r["ids"]) for r in own.toLocalIterator()}
-    held = spark.sparkContext.broadcast(ids)
+    held = spark.sparkContext.broadcast(_packed(own.toArrow()))
 
     def scan(batches):
         import regex
@@ -176,9 +186,9 @@ def encode_texts(
             yield rows, {"known": pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), numbers), "tail": tails}
 
     part = map_text(docs, scan, "known array<int>, tail array<string>", text, keep)
-    tail = F.get(F.transform(F.array(literal), lambda r: F.transform("tail", lambda piece: encode_piece(r, piece))), F.lit(0))
-    part = part.withColumn("tail_ids", F.when(F.size("tail") > 0, tail))
-    whole = F.flatten(F.transform("known", lambda i: F.when(i < 0, F.get(F.col("tail_ids"), -1 - i)).otherwise(F.array(i))))
+    tail = let(literal, lambda r: F.transform("tail", lambda piece: encode_piece(r, piece)))
+    # Bound once for a row; a column would be put into the inner function and evaluated for each id.
+    whole = let(tail, lambda t: F.flatten(F.transform("known", lambda i: F.when(i < 0, F.get(t, -1 - i)).otherwise(F.array(i)))))
     return part.select("row", F.when(F.size("tail") > 0, whole).otherwise(F.col("known")).alias("ids"))
 
 

@@ -183,7 +183,7 @@ def fill_tables(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         .mapInArrow(dense, "segment int, zeros binary, ones binary")
     )
     out = np.zeros((2, _SEGMENTS, 16 << SEGMENT_BITS), np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         out[0, r["segment"]] = np.frombuffer(r["zeros"], np.uint8)
         out[1, r["segment"]] = np.frombuffer(r["ones"], np.uint8)
     return out[0].ravel(), out[1].ravel()
@@ -263,7 +263,7 @@ def _learn(grams: DataFrame, zeros: np.ndarray, ones: np.ndarray) -> Model:
 
     for turn in range(ROUNDS):
         total, mass = np.zeros_like(weights), np.zeros(GATES)
-        for r in grams.mapInArrow(learn(weights, RATE / (1 + turn)), "weights binary, mass binary").toLocalIterator():
+        for r in grams.mapInArrow(learn(weights, RATE / (1 + turn)), "weights binary, mass binary").collect():
             m = np.frombuffer(r["mass"])
             total += np.frombuffer(r["weights"]).reshape(weights.shape) * m[:, None]
             mass += m
@@ -281,7 +281,7 @@ def _learn(grams: DataFrame, zeros: np.ndarray, ones: np.ndarray) -> Model:
         yield pa.RecordBatch.from_pydict({"hits": [hits.tobytes()]})
 
     hits = np.zeros((2, GATES, MAP_BINS))
-    for r in grams.mapInArrow(observe, "hits binary").toLocalIterator():
+    for r in grams.mapInArrow(observe, "hits binary").collect():
         hits += np.frombuffer(r["hits"]).reshape(hits.shape)
     prior = _squash(np.linspace(-8, 8, MAP_BINS))
     tables.unpersist()
@@ -367,7 +367,7 @@ def score_texts(
     n_all, kinds = n_words + ends, n_kinds + (ends > 0)
     below = math.log10(n_all + 0.1 * (kinds + 1))
     frequent = counts.where(F.col("n") >= hot_threshold(counts, "n", most_tokens))
-    known = sc.broadcast({bytes(r["token"]): r["n"] for r in frequent.toLocalIterator()})
+    known = sc.broadcast({bytes(r["token"]): r["n"] for r in frequent.collect()})
     model = sc.broadcast(_learn(grams, *fill_tables(grams)))
     end_score = math.log10(ends + 0.1) - below
 

@@ -132,7 +132,7 @@ def _mark(rows: DataFrame, column: str) -> np.ndarray:
 
     kind = "part int, bits binary"
     out = np.zeros((64, (1 << MARK_BITS) // 512), np.uint8)
-    for r in rows.select(column).mapInArrow(mark, kind).repartition("part").mapInArrow(add, kind).toLocalIterator():
+    for r in rows.select(column).mapInArrow(mark, kind).repartition("part").mapInArrow(add, kind).collect():
         out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
