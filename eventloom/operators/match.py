@@ -11,7 +11,10 @@ Title similarity is the Ratcliff-Obershelp ratio 2M/(la+lb), M being the
 number of characters in matching blocks. It is costly and cannot be indexed,
 so records meet only in blocks that no match can miss:
 
-    u:url   d:day   p:place   g:grid cell   c:day and grid cell
+    d:day   p:place   g:grid cell   c:day and grid cell
+
+Equal URLs need no pairs at all: who shares one is settled by the least rank
+per URL (see `resolve`).
 
 and a pair leaves its block only if cheap upper bounds on M allow the ratio
 the rule asks for. The bounds run inside the join, so rejected pairs are
@@ -260,7 +263,6 @@ def _own_blocks(df: DataFrame) -> DataFrame:
     cell = f"floor(lat / {CELL_DEGREES}D), '/', floor(lon / {CELL_DEGREES}D)"
     blocks = f"""
         array(
-            if(url <> '', concat('u:', url), null),
             if(title_n <> '', concat('d:', start_dt), null),
             if(title_n <> '' and place_n <> '', concat('p:', place_n), null),
             if(title_n <> '', concat('g:', {cell}), null),
@@ -276,13 +278,12 @@ def sizes_of(nodes: DataFrame, hot_rows: int | None = None) -> Blocks:
 def _earlier_blocks(df: DataFrame, places: DataFrame) -> DataFrame:
     """Blocks in which an earlier record looks for later ones, with what it asks of them.
 
-    Its own URL, the days around its date, the names similar to its place, the
-    cells around its own, and the cells of the next days.
+    The days around its date, the names similar to its place, the cells around
+    its own, and the cells of the next days.
     """
 
-    def entry(block: str, least: float | None = None, by_position: bool = False) -> str:
-        asked = "cast(null as double)" if least is None else f"{least}D"
-        return f"named_struct('blk', {block}, 'least', {asked}, 'by_position', {str(by_position).lower()})"
+    def entry(block: str, least: float, by_position: bool = False) -> str:
+        return f"named_struct('blk', {block}, 'least', {least}D, 'by_position', {str(by_position).lower()})"
 
     def days(n: int, inner: str) -> str:
         return f"transform(sequence(-{n}, {n}), d -> {inner})"
@@ -297,15 +298,8 @@ def _earlier_blocks(df: DataFrame, places: DataFrame) -> DataFrame:
         cells(entry(f"concat('g:', {cell})", TITLE_PLACE_SIM, True)),
         f"flatten({days(NEARBY_DAYS, cells(entry(f"concat('c:', {day}, '/', {cell})", NEARBY_SIM, True)))})",
     ]
-    around = f"""
-        filter(
-            concat(
-                array({entry("if(url <> '', concat('u:', url), null)")}),
-                if(title_n <> '', concat({", ".join(titled)}), array())
-            ),
-            b -> b.blk is not null
-        )"""
-    here = df.withColumn("_b", F.expr(f"explode({around})")).select(*df.columns, "_b.*")
+    around = f"filter(concat({', '.join(titled)}), b -> b.blk is not null)"
+    here = df.filter("title_n <> ''").withColumn("_b", F.expr(f"explode({around})")).select(*df.columns, "_b.*")
     named = (
         df.filter("title_n <> ''")
         .join(places.select(F.col("place_l").alias("place_n"), "place_r"), "place_n")
@@ -340,14 +334,14 @@ def candidate_pairs(
     """Pairs that may match: columns of l and r, l.least being the title ratio to exceed.
 
     Both sides hold the columns of `match_features` and a title signature
-    (`with_signature(..., "title_n", "t")`). A URL match has l.least NULL.
+    (`with_signature(..., "title_n", "t")`).
     `extra` is a further condition on l and r; by default l comes before r.
     """
     order = F.col("l.rank") < F.col("r.rank") if extra is None else extra
     near = geo_close(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))
     condition = (
         order
-        & (F.col("l.least").isNull() | may_exceed("title_n", "t", "l.least"))
+        & may_exceed("title_n", "t", "l.least")
         & (~F.col("l.by_position") | near)
     )
     return blocked_join(_earlier_blocks(earlier, places), _own_blocks(later), condition, sizes)
@@ -362,19 +356,19 @@ def matching_pairs(
     extra: Column | None = None,
     keep: list[Column] | None = None,
 ) -> DataFrame:
-    """Rows `keep` of the pairs that match; a pair may show up in two blocks."""
+    """Rows `keep` of the pairs that match by title; a pair may show up in two blocks."""
     metric = metric or similarity_udf()
     keep = keep or [F.col("l.rank").alias("src"), F.col("r.rank").alias("dst")]
-    by_title = F.col("l.least").isNotNull()
+    # Equal titles have the ratio 1; as nulls they cost nothing on their way.
+    differ = F.col("l.title_n") != F.col("r.title_n")
     found = candidate_pairs(earlier, later, places, sizes, extra).select(
         *keep,
         F.col("l.least").alias("_least"),
-        # The URL rule needs no ratio, and empty strings cost nothing.
-        F.when(by_title, F.col("l.title_n")).alias("_a"),
-        F.when(by_title, F.col("r.title_n")).alias("_b"),
+        F.when(differ, F.col("l.title_n")).alias("_a"),
+        F.when(differ, F.col("r.title_n")).alias("_b"),
     )
     scored = found.withColumn("_sim", metric("_a", "_b"))
-    return scored.filter(F.col("_least").isNull() | (F.col("_sim") > F.col("_least"))).drop("_least", "_a", "_b", "_sim")
+    return scored.filter(F.col("_a").isNull() | (F.col("_sim") > F.col("_least"))).drop("_least", "_a", "_b", "_sim")
 
 
 def match_pairs(canonical: DataFrame, ref_date: datetime.date, metric=None, hot_rows: int | None = None) -> DataFrame:
@@ -388,7 +382,8 @@ def match_pairs(canonical: DataFrame, ref_date: datetime.date, metric=None, hot_
     places = similar_places(feats, metric=metric)
     sizes = sizes_of(feats, hot_rows)
     sides = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "lr" for c in ["rank", "url", *CONTENT]]
-    pairs = matching_pairs(feats, feats, places, sizes, metric, keep=sides).distinct()
+    by_url = feats.filter("url <> ''").alias("l").join(feats.alias("r"), F.expr("l.url = r.url AND l.rank < r.rank")).select(*sides)
+    pairs = matching_pairs(feats, feats, places, sizes, metric, keep=sides).unionByName(by_url).distinct()
     same_url = (F.col("url_l") != "") & (F.col("url_l") == F.col("url_r"))
     title, date, geo = F.col("title_sim"), F.col("date_diff"), F.col("geo_close")
     return (

@@ -44,28 +44,44 @@ WINDOW_PAIRS = 200_000_000
 WINDOW_STEPS = 128
 
 
-def greedy_leaders(pairs: DataFrame) -> DataFrame:
-    """(dst, leader) for every record of `pairs` that is not a leader itself.
+def greedy_leaders(pairs: DataFrame, urls: DataFrame) -> DataFrame:
+    """(dst, leader) for every record of `pairs` or `urls` that is not a leader itself.
 
-    `pairs` is a written table of (src, dst), src earlier than dst. A record
+    `pairs` is a written table of (src, dst), src earlier than dst; `urls` one
+    of (rank, url): all with the same URL match, which stays one row per record. A record
     without undecided earlier partners is a leader; whoever matches a leader is
-    a member; a member takes the earliest of the leaders it matches.
+    a member; a member takes the earliest of the leaders it matches. A URL has
+    one leader at most.
     """
-    live, rounds = pairs, []
-    while not live.isEmpty():
-        leaders = live.select("src").distinct().join(live.select(F.col("dst").alias("src")), "src", "left_anti")
-        members = cut_lineage(live.join(leaders, "src", "left_semi").select("dst").distinct())
+    live, named, rounds = pairs, urls, []
+    while not (live.isEmpty() and named.isEmpty()):
+        # The least undecided record of a URL waits for nobody there.
+        firsts = named.groupBy("url").agg(F.min("rank").alias("first"))
+        waiting = named.join(firsts, "url").filter("rank > first").select("rank")
+        blocked = live.select(F.col("dst").alias("rank")).unionByName(waiting).distinct()
+        open_ = live.select(F.col("src").alias("rank")).unionByName(named.select("rank")).distinct()
+        leaders = cut_lineage(open_.join(blocked, "rank", "left_anti"))
+        by_pair = live.join(leaders.withColumnRenamed("rank", "src"), "src", "left_semi").select("dst")
+        led = named.join(leaders, "rank", "left_semi").select("url")
+        by_url = named.join(led, "url", "left_semi").join(leaders, "rank", "left_anti").select(F.col("rank").alias("dst"))
+        members = cut_lineage(by_pair.unionByName(by_url).distinct())
         rounds.append(members)
-        live = cut_lineage(
-            live.join(members, "dst", "left_anti").join(
-                members.select(F.col("dst").alias("src")), "src", "left_anti"
-            )
-        )
+        gone = members.select(F.col("dst").alias("src"))
+        live = cut_lineage(live.join(members, "dst", "left_anti").join(gone, "src", "left_anti"))
+        decided = leaders.unionByName(members.select(F.col("dst").alias("rank")))
+        named = cut_lineage(named.join(decided, "rank", "left_anti"))
     if not rounds:
         return pairs.select("dst", F.col("src").alias("leader")).filter("false")
     members = reduce(DataFrame.unionByName, rounds)
-    from_leaders = pairs.join(members.select(F.col("dst").alias("src")), "src", "left_anti")
-    return from_leaders.groupBy("dst").agg(F.min("src").alias("leader"))
+    from_leaders = pairs.join(members.select(F.col("dst").alias("src")), "src", "left_anti").select("dst", F.col("src").alias("leader"))
+    heads = urls.join(members.select(F.col("dst").alias("rank")), "rank", "left_anti").select("url", F.col("rank").alias("leader"))
+    from_urls = urls.join(heads, "url").filter("leader < rank").select(F.col("rank").alias("dst"), "leader")
+    found = from_leaders.unionByName(from_urls).groupBy("dst").agg(F.min("leader").alias("leader"))
+    return found.join(members, "dst", "left_semi")
+
+
+def _urls(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("url <> ''").select("rank", "url")
 
 
 def _keep_shared_urls(records: DataFrame, shared: DataFrame) -> DataFrame:
@@ -146,14 +162,16 @@ def _settle(
         window_pairs *= 4
         head = todo if end is None else todo.filter(F.col("rank") <= end)
         pairs = cut_lineage(matching_pairs(head, head, places, sizes, metric).distinct())
-        settled = cut_lineage(greedy_leaders(pairs))
+        settled = cut_lineage(greedy_leaders(pairs, cut_lineage(_urls(head))))
         joined.append(settled)
         if end is None:
             break
         leaders = head.join(settled.select(F.col("dst").alias("rank")), "rank", "left_anti")
         rest = todo.filter(F.col("rank") > end)
-        hits = matching_pairs(leaders, rest, places, sizes, metric).groupBy("dst").agg(F.min("src").alias("leader"))
-        hits = cut_lineage(hits)
+        # One leader at most has a URL.
+        same = _urls(rest).join(_urls(leaders).withColumnRenamed("rank", "src"), "url").select("src", F.col("rank").alias("dst"))
+        hits = matching_pairs(leaders, rest, places, sizes, metric).unionByName(same)
+        hits = cut_lineage(hits.groupBy("dst").agg(F.min("src").alias("leader")))
         joined.append(hits)
         todo = cut_lineage(rest.join(hits.select(F.col("dst").alias("rank")), "rank", "left_anti"))
         if todo.isEmpty():
@@ -298,6 +316,44 @@ def _state_features(states: DataFrame) -> DataFrame:
     )
 
 
+def united_spans(hits: DataFrame) -> DataFrame:
+    """(leader, from_rank, to_rank, node) with spans that touch or overlap made one."""
+    keys = Window.partitionBy("leader", "node").orderBy("from_rank", "to_rank")
+    before = F.max("to_rank").over(keys.rowsBetween(Window.unboundedPreceding, -1))
+    apart = hits.withColumn("_new", F.when(F.col("from_rank") <= before, 0).otherwise(1))
+    return (
+        apart.withColumn("_run", F.sum("_new").over(keys.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("leader", "node", "_run")
+        .agg(F.min("from_rank").alias("from_rank"), F.max("to_rank").alias("to_rank"))
+        .drop("_run")
+    )
+
+
+def first_in_time(members: DataFrame, hits: DataFrame, chunk_rows: int) -> DataFrame:
+    """(rank, leader): for each member the least leader with a span of its node's that holds it.
+
+    Members and beginnings of spans are put in one order by rank, and the last
+    span's end is carried forward: members plus spans, never their product.
+    Members of a node are ordered in chunks of rank; a span that reaches over
+    several chunks stands in each.
+    """
+    spans = united_spans(hits)
+    chunks = min(MAX_CHUNKS, members.count() // chunk_rows)
+    bounds = members.approxQuantile("rank", [i / chunks for i in range(1, chunks)], 0.0001) if chunks > 1 else []
+    bounds = ", ".join(f"{int(b)}L" for b in sorted(set(bounds)))
+    placed = members.withColumn("chunk", F.expr(f"size(filter(array({bounds}), b -> b < rank))") if bounds else F.lit(0))
+    ends = placed.groupBy("node", "chunk").agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
+    here = cut_lineage(spans.join(ends, "node").filter("from_rank < high and to_rank >= low").drop("low", "high"))
+    asked = here.select("leader", "node", "chunk").distinct().join(placed, ["node", "chunk"])
+    events = here.select("leader", "node", "chunk", F.col("from_rank").alias("at"), F.lit(1).alias("kind"), "to_rank").unionByName(
+        asked.select("leader", "node", "chunk", F.col("rank").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("to_rank"))
+    )
+    # A span holds ranks after its beginning.
+    order = Window.partitionBy("leader", "node", "chunk").orderBy("at", "kind")
+    held = events.withColumn("_end", F.last("to_rank", True).over(order)).filter("kind = 0 and at <= _end")
+    return held.groupBy(F.col("at").alias("rank")).agg(F.min("leader").alias("leader"))
+
+
 def merged_assignment(
     canonical: DataFrame,
     ref_date: datetime.date,
@@ -349,11 +405,10 @@ def merged_assignment(
         in_time = (F.col("l.from_rank") < F.col("r.last_rank")) & (F.col("l.to_rank") >= F.col("r.rank"))
         kept = [F.col("l.rank").alias("leader"), F.col("l.from_rank"), F.col("l.to_rank"), F.col("r.rank").alias("node")]
         hits = matching_pairs(leaders, nodes, places, sizes, metric, extra=in_time, keep=kept)
-        first = (
-            members.join(hits, "node")
-            .filter("from_rank < rank and rank <= to_rank")
-            .groupBy("rank").agg(F.min("leader").alias("leader"))
-        )
+        # A leader shows one URL for most of its time: spans of equal ones are united before nodes meet them.
+        shown = united_spans(leaders.filter("url <> ''").select(F.col("rank").alias("leader"), "from_rank", "to_rank", F.col("url").alias("node")))
+        same = shown.join(_urls(nodes), F.col("node") == F.col("url")).select("leader", "from_rank", "to_rank", F.col("rank").alias("node"))
+        first = first_in_time(members, hits.unionByName(same), chunk_rows)
         following = _with_heads(first)
         change = following.alias("n").join(assignment.alias("o"), "rank", "full").filter(~F.col("n.leader").eqNullSafe(F.col("o.leader")))
         settled = change.isEmpty()
@@ -365,7 +420,10 @@ def earliest_matches(canonical: DataFrame, ref_date: datetime.date, metric=None,
     """(other_id, earliest_id): the earliest record before it that a record matches."""
     nodes, members = match_nodes(match_features(canonical, ref_date))
     places = cut_lineage(similar_places(nodes, metric=metric, hot_rows=hot_rows))
-    first = matching_pairs(nodes, nodes, places, sizes_of(nodes, hot_rows), metric).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("src"))
+    least = _urls(nodes).groupBy("url").agg(F.min("rank").alias("src"))
+    same = _urls(nodes).join(least, "url").filter("src < rank").select("src", F.col("rank").alias("dst"))
+    found = matching_pairs(nodes, nodes, places, sizes_of(nodes, hot_rows), metric).unionByName(same)
+    first = found.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("src"))
     # A copy matches the first of its kind, if nothing earlier.
     own = F.when(F.col("node") < F.col("rank"), F.col("node"))
     return (
