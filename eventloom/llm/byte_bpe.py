@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import re
 import struct
 import zlib
 from collections import Counter
@@ -45,6 +46,46 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@functools.lru_cache(8)
+def _class(name: str) -> str:
+    """The characters of a class as ranges for a set, without those beyond U+FFFF."""
+    import regex
+
+    own = regex.compile(name).match
+    held = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and own(chr(c))]
+    starts = [c for i, c in enumerate(held) if not i or held[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(held) if i + 1 == len(held) or held[i + 1] != c + 1]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+
+
+@functools.lru_cache(4)
+def splitter(pattern: str) -> Callable[[bytes], list[str]]:
+    """Finds a pattern's matches in a UTF-8 text.
+
+    The standard library is twice as fast as the module that knows Unicode's
+    classes, so they are spelled out for it; texts with characters beyond U+FFFF
+    and patterns with other classes go to the module.
+    """
+    import regex
+
+    general, astral = regex.compile(pattern).findall, re.compile(rb"[\xf0-\xff]").search
+    plain, inside, at = "", False, 0
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        name = pattern[at : at + 5] if two in ("\\p", "\\P") else two if two[0] == "\\" else pattern[at]
+        at += len(name)
+        inside = (inside or name == "[") and name != "]"
+        if name in ("\\p{L}", "\\p{N}", "\\s"):
+            name = _class(name) if inside else f"[{_class(name)}]"
+        elif name == "\\S" and not inside:
+            name = f"[^{_class(chr(92) + 's')}]"
+        elif name[0] == "\\":
+            return lambda body: general(body.decode())
+        plain += name
+    fast = re.compile(plain).findall
+    return lambda body: (general if astral(body) else fast)(body.decode())
+
+
 def _literal(value: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
@@ -110,9 +151,7 @@ def count_pieces(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame
     """(piece, n): every distinct piece of the texts and how often it stands in them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        split, seen = regex.compile(pattern).findall, Counter()
+        split, seen = splitter(pattern), Counter()
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_pydict({"piece": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
@@ -121,12 +160,12 @@ def count_pieces(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame
 
         for batch in batches:
             for body in batch.column(0).to_pylist():
-                seen.update(split(body or ""))
+                seen.update(split(body or b""))
                 if len(seen) >= COUNTED_WORDS:
                     yield out()
         yield out()
 
-    return docs.select(docs[text]).mapInArrow(scan, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    return docs.select(docs[text].cast("binary")).mapInArrow(scan, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def _packed(rows: pa.Table) -> dict[str, bytes]:
@@ -172,14 +211,12 @@ def encode_texts(
     held = spark.sparkContext.broadcast(_packed(own.toArrow()))
 
     def scan(batches):
-        import regex
-
-        split, known = regex.compile(pattern).findall, _Known(held.value)
+        split, known = splitter(pattern), _Known(held.value)
         for rows, column in batches:
             found, sizes, tails = [], [0], []
             for body in column.to_pylist():
                 known.tail = {}
-                found.append(b"".join(map(known.__getitem__, split((body or b"").decode()))))
+                found.append(b"".join(map(known.__getitem__, split(body or b""))))
                 sizes.append(len(found[-1]) // 4)
                 tails.append(list(known.tail))
             numbers = pa.array(np.frombuffer(b"".join(found), np.int32))
