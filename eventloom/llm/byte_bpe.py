@@ -5,8 +5,8 @@ higher-order function: a fold over a word's bytes that in each step joins the
 neighbours of least rank, looked up in a literal map of the ranks (in buckets,
 as a map is searched in sequence). Pieces are counted over all texts; the most
 frequent ones, at most MOST_WORDS, are encoded once and known to every worker,
-the others are encoded in their rows by the same fold. Decoding looks each id's
-bytes up and concatenates them.
+the others, and words of more than LONGEST bytes, are merged by the same rule as
+they come. Decoding looks each id's bytes up and concatenates them.
 
 Bytes stand as characters of ISO-8859-1 inside the columns. Null texts are
 empty; empty texts have no ids. Nulls and unknown numbers among ids to decode
@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
+import heapq
 import json
 import re
 import struct
@@ -28,11 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import hot_threshold, map_text, table, written
 
 #: Distinct pieces that every worker knows, at most.
 MOST_WORDS = 400_000
+#: Bytes of a word that the fold takes at most, and rare words that a worker keeps for a while.
+LONGEST, RECENT_WORDS = 128, 200_000
 #: Pieces that a worker counts before it hands their counts on.
 COUNTED_WORDS = 300_000
 BUCKETS = 1 << 16
@@ -179,17 +184,69 @@ def _packed(rows: pa.Table) -> dict[str, bytes]:
     return out
 
 
+def merged(ranks: dict[bytes, int], word: bytes) -> list[int]:
+    """What encode_piece computes, for one word: the first neighbours of least rank are joined again and again."""
+    if word in ranks:
+        return [ranks[word]]
+    if len(word) > LONGEST:
+        return _merged_long(ranks, word)
+    parts = [word[i : i + 1] for i in range(len(word))]
+    rank = ranks.get
+    pairs = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+    while pairs and (least := min(pairs)) != NEVER:
+        i = pairs.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
+        if i < len(pairs):
+            pairs[i] = rank(parts[i] + parts[i + 1], NEVER)
+    return [ranks[p] for p in parts]
+
+
+def _merged_long(ranks: dict[bytes, int], word: bytes) -> list[int]:
+    """The same with the neighbours in a heap, for words of any length."""
+    n = len(word)
+    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap: list[tuple[int, int, int, int]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n and (rank := ranks.get(word[i : end[j]])) is not None:
+            heapq.heappush(heap, (rank, i, end[i], end[j]))
+
+    for i in range(n - 1):
+        offer(i)
+    alive = [True] * n
+    while heap:
+        _, i, middle, stop = heapq.heappop(heap)
+        # Neighbours that have changed since they were offered are passed over.
+        if not alive[i] or end[i] != middle or after[i] >= n or end[after[i]] != stop:
+            continue
+        j = after[i]
+        alive[j], end[i], after[i] = False, stop, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
+
+
 class _Known(dict):
-    """Bytes of a piece's ids; a piece that is not known gets the number, from -1 down, of its place in tail."""
+    """Bytes of a piece's ids; those of rare pieces are merged as they come and kept for a while."""
 
-    def __init__(self, ids: dict) -> None:
+    def __init__(self, ids: dict[str, bytes], ranks: dict[bytes, int]) -> None:
         super().__init__(ids)
-        self.tail: dict[str, bytes] = {}
+        self.ranks, self.recent = ranks, {}
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.tail.get(piece)
+        found = self.recent.get(piece)
         if found is None:
-            found = self.tail[piece] = struct.pack("<i", -1 - len(self.tail))
+            if len(self.recent) >= RECENT_WORDS:
+                self.recent.clear()
+            ids = merged(self.ranks, piece.encode())
+            found = self.recent[piece] = struct.pack(f"<{len(ids)}i", *ids)
         return found
 
 
@@ -204,33 +261,26 @@ def encode_texts(
     """Rows (row, ids) with the ids of every text."""
     spark = docs.sparkSession
     literal = rank_map(ranks)
-    encoded = lambda piece: let(literal, lambda r: encode_piece(r, piece))
     counts = written(count_pieces(docs, pattern, text))
-    frequent = counts.where(F.col("n") >= hot_threshold(counts, "n", most_words)).select("piece")
-    own = frequent.repartition(spark.sparkContext.defaultParallelism * 4).select("piece", encoded(F.col("piece")).alias("ids"))
-    held = spark.sparkContext.broadcast(_packed(own.toArrow()))
+    frequent = counts.where(F.col("n") >= hot_threshold(counts, "n", most_words)).where(F.octet_length("piece") <= LONGEST)
+    own = frequent.repartition(spark.sparkContext.defaultParallelism * 4).select(
+        "piece", let(literal, lambda r: encode_piece(r, F.col("piece"))).alias("ids")
+    )
+    words, held = (spark.sparkContext.broadcast(x) for x in (_packed(own.toArrow()), ranks))
 
     def scan(batches):
-        split, known = splitter(pattern), _Known(held.value)
+        split, known = splitter(pattern), _Known(words.value, held.value)
         for rows, column in batches:
-            found, sizes, tails = [], [0], []
-            for body in column.to_pylist():
-                known.tail = {}
-                found.append(b"".join(map(known.__getitem__, split(body or b""))))
-                sizes.append(len(found[-1]) // 4)
-                tails.append(list(known.tail))
+            found = [b"".join(map(known.__getitem__, split(body or b""))) for body in column.to_pylist()]
+            at = np.cumsum([0, *(len(x) // 4 for x in found)])
             numbers = pa.array(np.frombuffer(b"".join(found), np.int32))
-            yield rows, {"known": pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), numbers), "tail": tails}
+            yield rows, {"ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), numbers)}
 
-    part = map_text(docs, scan, "known array<int>, tail array<string>", text, keep)
-    tail = let(literal, lambda r: F.transform("tail", lambda piece: encode_piece(r, piece)))
-    # Bound once for a row; a column would be put into the inner function and evaluated for each id.
-    whole = let(tail, lambda t: F.flatten(F.transform("known", lambda i: F.when(i < 0, F.get(t, -1 - i)).otherwise(F.array(i)))))
-    return part.select("row", F.when(F.size("tail") > 0, whole).otherwise(F.col("known")).alias("ids"))
+    return map_text(docs, scan, "ids array<int>", text, keep)
 
 
 def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes that ids stand for."""
+    """The bytes that ids stand for, as a column function."""
     by_id = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         by_id[rank] = piece.decode("latin-1")
@@ -238,15 +288,40 @@ def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
     return F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "ISO-8859-1")
 
 
+def decode_texts(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Rows (row, ids, body) of rows (row, ids): the binary pieces of the ids, concatenated."""
+    held = encoded.sparkSession.sparkContext.broadcast({rank: piece for piece, rank in ranks.items()})
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = held.value.get
+        for batch in batches:
+            bodies = [b"".join([piece(i, b"") for i in ids or ()]) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bodies, pa.binary())], names=["row", "ids", "body"])
+
+    return encoded.select("row", "ids").mapInArrow(scan, T.StructType([*encoded.select("row", "ids").schema.fields, T.StructField("body", T.BinaryType())]))
+
+
+def with_digests(decoded: DataFrame) -> DataFrame:
+    """Rows (row, ids, n_tokens, ids_sha256, decoded_sha256) of rows (row, ids, body)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(1).to_pylist()
+            columns = [
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]),
+                pa.array([hashlib.sha256(x).hexdigest() for x in batch.column(2).to_pylist()]),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["row", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    fields = T._parse_datatype_string("n_tokens bigint, ids_sha256 string, decoded_sha256 string").fields
+    return decoded.mapInArrow(scan, T.StructType([*decoded.select("row", "ids").schema.fields, *fields]))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Ids of every document and the texts that they decode to."""
     import public_tokenizers
 
     ranks = read_ranks(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     found = encode_texts(table(spark, sf_dir, "documents"), ranks, pattern or public_tokenizers.PATTERN, keep=["doc_id"])
-    return found.select(
-        "row.doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decode_ids(F.col("ids"), ranks), 256).alias("decoded_sha256"),
-    )
+    return with_digests(decode_texts(found, ranks)).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

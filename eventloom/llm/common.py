@@ -72,7 +72,7 @@ def hot_threshold(counts: DataFrame, column: str, most: int) -> int:
         if total + row["count"] > most:
             break
         total, bits = total + row["count"], row["bits"]
-    return 1 << (bits - 1)
+    return min(1 << (bits - 1), (1 << 63) - 1)
 
 
 #: How tables of the driver are found.

@@ -36,3 +36,27 @@ def test_decoding_leaves_out_unknown_ids(spark):
     df = spark.createDataFrame([([*ids, None, 999_999],), ([],), (None,)], "ids array<int>")
     got = [r[0] for r in df.select(byte_bpe.decode_ids(F.col("ids"), ranks)).collect()]
     assert got[0].decode() == "Größe 中文" and got[1] == b"" and not got[2]
+
+
+def test_long_words(spark):
+    import random
+
+    ranks, rng = byte_bpe.read_ranks(PATH), random.Random(2)
+    for n in (1, 2, 50, 127, 128, 129, 700, 3000):
+        for letters in (b"ab", b"x", bytes(range(97, 123)), b"\xc3\xa9\x00"):
+            word = bytes(rng.choices(letters, k=n))
+            want = library()._encode_single_piece(word)
+            assert byte_bpe.merged(ranks, word) == want
+            if n < 3000 and word not in ranks:
+                assert byte_bpe._merged_long(ranks, word) == want
+
+
+def test_split_as_the_module():
+    import random
+
+    import regex
+
+    rng, signs = random.Random(1), "ab zéÜ0129²½ \t\n\r\x0b\x1c\x1f\x85\xa0\u2003\u3000中文'slltdmve!?-_[]\\^\u0301\u0660Ⅷ"
+    for i in range(3000):
+        text = "".join(rng.choices(signs + "😀𝒳" * (i % 3 == 0), k=rng.randrange(30)))
+        assert byte_bpe.splitter(PATTERN)(text.encode()) == regex.findall(PATTERN, text)
