@@ -35,9 +35,9 @@ from .common import hot_threshold, map_text, table, written
 from .language import remainder
 
 #: Tokens with their counts that every worker knows, at most.
-MOST_TOKENS = 300_000
+MOST_TOKENS = 200_000
 #: Distinct tokens and grams that a worker counts before it hands them on.
-COUNTED = 600_000
+COUNTED = 400_000
 #: Byte that stands before a text's first and after its last; UTF-8 has none.
 EDGE = 0xFF
 #: For each order the bits of the number of buckets; a bucket has the 15 nodes of half a byte.
@@ -45,8 +45,8 @@ BUCKET_BITS = (5, 13, 16, 18, 19, 19)
 ORDERS = len(BUCKET_BITS)
 SEGMENT_BITS = 14
 #: Bytes looked at together, and grams whose chance a worker keeps.
-SLAB = 4 << 20
-KEPT_GRAMS = 2_000_000
+SLAB = 2 << 20
+KEPT_GRAMS = 1_000_000
 GATES, MAP_BINS = 15 * 8, 33
 ROUNDS, STEP_GRAMS, RATE = 3, 512, 0.02
 
@@ -367,12 +367,12 @@ def score_texts(
     n_all, kinds = n_words + ends, n_kinds + (ends > 0)
     below = math.log10(n_all + 0.1 * (kinds + 1))
     frequent = counts.where(F.col("n") >= hot_threshold(counts, "n", most_tokens))
-    known = sc.broadcast({bytes(r["token"]): r["n"] for r in frequent.collect()})
+    known = sc.broadcast({bytes(r["token"]): math.log10(r["n"] + 0.1) - below for r in frequent.collect()})
     model = sc.broadcast(_learn(grams, *fill_tables(grams)))
     end_score = math.log10(ends + 0.1) - below
 
     def scan(batches):
-        values = {t: math.log10(n + 0.1) - below for t, n in known.value.items()}
+        values = known.value
         chances = _Chances(model.value)
         for rows, column in batches:
             bodies = column.to_pylist()
