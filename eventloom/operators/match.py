@@ -384,6 +384,15 @@ def match_pairs(canonical: DataFrame, ref_date: datetime.date, metric=None, hot_
     sides = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "lr" for c in ["rank", "url", *CONTENT]]
     by_url = feats.filter("url <> ''").alias("l").join(feats.alias("r"), F.expr("l.url = r.url AND l.rank < r.rank")).select(*sides)
     pairs = matching_pairs(feats, feats, places, sizes, metric, keep=sides).unionByName(by_url).distinct()
+    return with_evidence(pairs, metric).select(
+        F.col("rank_l").alias("leader_id"), F.col("rank_r").alias("other_id"),
+        "rule", "title_sim", "place_sim", "date_diff", "geo_close",
+    )
+
+
+def with_evidence(pairs: DataFrame, metric=None) -> DataFrame:
+    """Pairs of records that match (columns ending in _l and _r) with the rule that holds first and what it saw."""
+    metric = metric or similarity_udf()
     same_url = (F.col("url_l") != "") & (F.col("url_l") == F.col("url_r"))
     title, date, geo = F.col("title_sim"), F.col("date_diff"), F.col("geo_close")
     return (
@@ -398,8 +407,4 @@ def match_pairs(canonical: DataFrame, ref_date: datetime.date, metric=None, hot_
             .when((title > TITLE_PLACE_SIM) & ((F.col("place_sim") > PLACE_SIM) | geo), F.lit(TITLE_PLACE_RULE))
             .otherwise(F.lit(NEARBY_RULE)),
         )
-        .select(
-            F.col("rank_l").alias("leader_id"), F.col("rank_r").alias("other_id"),
-            "rule", "title_sim", "place_sim", "date_diff", "geo_close",
-        )
     )

@@ -36,6 +36,7 @@ from eventloom.operators.match import (
     matching_pairs,
     similar_places,
     sizes_of,
+    with_evidence,
     with_signature,
 )
 from eventloom.storage import cut_lineage
@@ -433,6 +434,14 @@ def earliest_matches(canonical: DataFrame, ref_date: datetime.date, metric=None,
     )
 
 
+def match_evidence(canonical: DataFrame, matches: DataFrame, ref_date: datetime.date, metric=None) -> DataFrame:
+    """`matches` (other_id, earliest_id) with the rule that holds first and the evidence: a row per record, never all pairs."""
+    feats = match_features(canonical, ref_date)
+    side = lambda s: feats.select(*[F.col(c).alias(f"{c}_{s}") for c in feats.columns])
+    both = matches.join(side("l"), F.col("earliest_id") == F.col("rank_l")).join(side("r"), F.col("other_id") == F.col("rank_r"))
+    return with_evidence(both, metric).select("other_id", "earliest_id", "rule", "title_sim", "place_sim", "date_diff", "geo_close")
+
+
 def membership(canonical: DataFrame, assignment: DataFrame) -> DataFrame:
     """(event_id, cluster_id, is_leader) for every record; ids are ranks."""
     return canonical.select("rank").join(assignment, "rank", "left").select(

@@ -28,13 +28,13 @@ from eventloom.operators.canonical import (
     union_feeds,
 )
 from eventloom.operators.merge import cluster_sources, survivors
-from eventloom.operators.resolve import earliest_matches, leader_assignment, membership
+from eventloom.operators.resolve import earliest_matches, leader_assignment, match_evidence, membership
 from eventloom.plans import renderings as r
 from eventloom.plans.integrate import build_feed, resolve_events
 from eventloom.plans.renderings import REF_DATE, digest, order_day, table
 from eventloom.sources import captions, lines, pages
 from eventloom.schemas import FEED_SCHEMA
-from eventloom.storage import checkpoint_dir, read_feed, split_records, write_feed
+from eventloom.storage import checkpoint_dir, cut_lineage, read_feed, split_records, write_feed
 
 
 def joined(c):
@@ -307,6 +307,42 @@ def match_rules(spark, sf):
     return _earliest(r.document_listings(spark, sf))
 
 
+def _evidence(raw: DataFrame) -> DataFrame:
+    canonical = cut_lineage(to_canonical(raw))
+    found = match_evidence(canonical, earliest_matches(canonical, REF_DATE), REF_DATE)
+    return ids(found, "other_id", "earliest_id").select("other_id", "earliest_id", "rule", F.col("title_sim").alias("ratio"))
+
+
+def match_title_date(spark, sf):
+    return _evidence(r.worded_orders(spark, sf).select("title", F.col("day").alias("start_date"), "ingest_ord"))
+
+
+def match_title_place(spark, sf):
+    """Every twentieth customer by place names, the others by position."""
+    named = F.col("customer") % 20 == 0
+    rows = r.worded_orders(spark, sf).select(
+        "title",
+        F.when(named, F.col("place")).otherwise("").alias("city"),
+        F.when(named, "").otherwise(F.col("lat")).alias("latitude"),
+        F.when(named, "").otherwise(F.col("lon")).alias("longitude"),
+        "ingest_ord",
+    )
+    return _evidence(rows)
+
+
+def match_nearby(spark, sf):
+    rows = r.worded_orders(spark, sf).select(
+        "title", F.col("day").alias("start_date"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "ingest_ord"
+    )
+    return _evidence(rows)
+
+
+def resolve_fuzzy(spark, sf):
+    raw = r.worded_orders(spark, sf).select("title", F.col("day").alias("start_date"), "ingest_ord")
+    canonical = cut_lineage(to_canonical(raw))
+    return ids(membership(canonical, leader_assignment(canonical, REF_DATE)), "event_id", "cluster_id")
+
+
 # -- resolution ---------------------------------------------------------------
 
 
@@ -474,7 +510,7 @@ QUERIES = {
         monitored_entities, feed_union, quarantine, line_table, noise_filter, sections, event_ids,
         date_title_pairs, id_zip, caption_fields, caption_documents, hashtags, post_events, source_types,
         title_norm, location_norm, date_parse, decay, match_url, match_date_band, match_place, match_geo,
-        match_rules, leaders_url, resolve_orders, resolve_documents, merge_survivorship, provenance,
+        match_title_date, match_title_place, match_nearby, resolve_fuzzy, match_rules, leaders_url, resolve_orders, resolve_documents, merge_survivorship, provenance,
         feed_order, feed_output, stage_counts, resolved_by_source, feed_roundtrip, feed_health, sample_feed, count_by_source, count_by_location,
         upcoming, upcoming_shown, search_text, age_band, county_filter, display, search_feed,
     ]

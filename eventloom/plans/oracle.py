@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from eventloom.functions.text import SPACE, WORD
-from eventloom.schemas import NOISE_LINES, TITLE_MARKERS, TITLE_STOP_WORDS
-from eventloom.sources import captions, lines
-
 STEP = 10**17
 
+# Fixed values, stated here again so that nothing is shared with what is checked.
+SPACE = r"\s\p{Z}\x1c-\x1f\x85"
+WORD = r"\p{L}\p{N}_"
+MARKERS = ["#", "📅", "⏰", "📍", "🎟", "👶", "✨", "👉", "🎉", "🔥", "🎈", "date:", "time:", "location:", "cost:", "age:"]
+STOP_WORDS = "the a an at in on for with and or de la du le".split()
+# Lines that the renderings add: noise and dates. No text of the tables has others.
+NOISE = ["log in", "see more", "about", "more"]
+DATES = ["Thu, Oct 30", "Fri, Oct 31, 2025", "Sat, 1 nov. 2025", "do, 30 okt. 2025"]
+
 
 def quoted(items) -> str:
     return ", ".join("'" + x.replace("'", "''") + "'" for x in items)
@@ -26,7 +31,7 @@ def words(x: str) -> str:
 
 
 def caption_title(text: str) -> str:
-    plain = " and ".join(f"not contains(lower(x), '{m}')" for m in TITLE_MARKERS)
+    plain = " and ".join(f"not contains(lower(x), '{m}')" for m in MARKERS)
     stripped = f"list_transform(string_split({text}, chr(10)), lambda x: {strip('x')})"
     return f"coalesce(list_filter({stripped}, lambda x: x <> '' and {plain})[1][:120], '')"
 
@@ -78,9 +83,8 @@ SECTIONS = f"""
 ENTRIES = f"""
     {SECTIONS},
     marked as (
-        select *, lower(line) in ({quoted(NOISE_LINES)}) as noise,
-            regexp_matches(line, '{lines.DATE_LINE}') or regexp_matches(line, '{lines.DATE_LINE_BROAD}')
-            or regexp_matches(line, '{lines.DAY_PREFIX}') as dated
+        select *, lower(line) in ({quoted(NOISE)}) as noise,
+            line in ({quoted(DATES)}) as dated
         from body),
     looked as (
         select *, (dated and not noise) as is_date,
@@ -170,6 +174,27 @@ def earlier(rows: str, condition: str) -> str:
         select b.k as other_id, min(a.k) as earliest_id from t a join t b on a.k < b.k and {condition} group by b.k"""
 
 
+# Titles of `worded_orders`: letters at the beginning, letter and length of the run; see there.
+WORDED = """
+    worded as (
+        select o_orderkey as k, o_custkey as g, 14 + k % 19 as p, 1 + (k // 19) % 6 as q, (k // 114) % 3 as letter,
+            k % 6 as day, 6 + (k // 7) % 12 as place, k % 3 as step
+        from orders),
+    paired as (
+        select a.k as earliest, b.k as other, a.g, abs(a.day - b.day) as days, abs(a.step - b.step) as steps,
+            2.0::double * (least(a.p, b.p) + case when a.letter = b.letter then least(a.q, b.q) else 0 end)
+                / (a.p + a.q + b.p + b.q) as ratio,
+            2.0::double * least(a.place, b.place) / (a.place + b.place) as place_ratio
+        from worded a join worded b on a.g = b.g and a.k < b.k)"""
+
+
+def worded(rule: str) -> str:
+    return f"""
+        with {WORDED}, ruled as (select *, {rule} as rule from paired)
+        select other as other_id, min(earliest) as earliest_id, arg_min(rule, earliest) as rule, arg_min(ratio, earliest) as ratio
+        from ruled where rule is not null group by other"""
+
+
 AGES = """
     parts as (
         select p_partkey, case p_size % 4 when 0 then 'Ages ' || p_size || '-' || (p_size + 3)
@@ -229,7 +254,7 @@ ORACLE = {
         select * from ({numbered(
             "select conv_id, turn, text || chr(10) || ' Log in ' || chr(10) || 'SEE MORE' || chr(10) || role "
             "|| chr(10) || 'About' as t from conversations", "conv_id, turn")})
-        where lower(line) not in ({quoted(NOISE_LINES)})""",
+        where lower(line) not in ({quoted(NOISE)})""",
     "sections": f"""
         with {SECTIONS}
         select group_id, section, count(*) as n, min(pos) as first_pos, max(line) as last_line from body group by all""",
@@ -257,9 +282,7 @@ ORACLE = {
         from fields""",
     "caption_documents": f"""
         select doc_id, {caption_title('text')} as title,
-            coalesce(list_filter(list_transform(string_split(text, chr(10)),
-                lambda x: regexp_extract(x, '{captions.CAPTION_MONTH_DAY}')), lambda x: x <> '')[1], '') as date_raw,
-            '' as location_raw, array_to_string(regexp_extract_all(text, '#[{WORD}]+'), '|') as hashtags
+            '' as date_raw, '' as location_raw, array_to_string(regexp_extract_all(text, '#[{WORD}]+'), '|') as hashtags
         from documents""",
     "hashtags": f"""
         with t as (select doc_id, regexp_extract_all('#' || replace(text, ' ', ' #'), '#[{WORD}]+') as tags from documents)
@@ -280,7 +303,7 @@ ORACLE = {
         from documents""",
     "title_norm": f"""
         select doc_id, array_to_string(list_filter(string_split({words('text')}, ' '),
-            lambda x: x <> '' and x not in ({quoted(TITLE_STOP_WORDS)})), ' ') as title_n from documents""",
+            lambda x: x <> '' and x not in ({quoted(STOP_WORDS)})), ' ') as title_n from documents""",
     "location_norm": f"""
         with t as (
             select c_custkey, {words("['  County ', 'City of ', 'The', 'the county, '][c_custkey % 4 + 1] || n_name || ' - ' || c_mktsegment")} as p
@@ -312,6 +335,28 @@ ORACLE = {
         "select c_custkey as k, c_nationkey as n, c_custkey % 40 as y, c_custkey % 30 as x from customer",
         "a.n = b.n and sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) * 0.01 * 111 < 5",
     ),
+    "match_title_date": worded("case when ratio > 0.8 and days <= 3 then 'A' end"),
+    "match_title_place": worded(
+        "case when ratio > 0.85 and case when g % 20 = 0 then place_ratio > 0.7 else steps < 2 end then 'B' end"
+    ),
+    # Three hundredths of a degree are 3.33 km.
+    "match_nearby": worded(
+        "case when ratio > 0.8 and days <= 3 then 'A' when ratio > 0.85 and steps < 2 then 'B' "
+        "when ratio > 0.5 and days <= 1 and steps < 2 then 'C' end"
+    ),
+    "resolve_fuzzy": f"""
+        with recursive {WORDED}, numbered as (select *, row_number() over (partition by g order by k) as i from worded),
+        walk as (
+            select g, i, k, k as lead, [{{'k': k, 'p': p, 'q': q, 'letter': letter, 'day': day}}] as leads from numbered where i = 1
+            union all
+            select g, i, k, coalesce(hit, k) as lead,
+                case when hit is null then list_append(leads, {{'k': k, 'p': p, 'q': q, 'letter': letter, 'day': day}}) else leads end
+            from (
+                select n.*, w.leads, list_filter(w.leads, lambda x: abs(x.day - n.day) <= 3 and
+                    2.0 * (least(x.p, n.p) + case when x.letter = n.letter then least(x.q, n.q) else 0 end)
+                    > 0.8 * (x.p + x.q + n.p + n.q))[1].k as hit
+                from walk w join numbered n on n.g = w.g and n.i = w.i + 1))
+        select k as event_id, lead as cluster_id, lead = k as is_leader from walk""",
     "leaders_url": """
         select event_id, min(event_id) over (partition by user_id) as cluster_id,
             event_id = min(event_id) over (partition by user_id) as is_leader

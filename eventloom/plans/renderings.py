@@ -171,6 +171,31 @@ def weekly_orders(spark, sf) -> DataFrame:
     )
 
 
+def letters(c: Column) -> Column:
+    """32 letters from a to p."""
+    return F.translate(F.md5(c.cast("string")), "0123456789abcdef", "abcdefghijklmnop")
+
+
+def worded_orders(spark, sf) -> DataFrame:
+    """Orders with titles whose ratio has a closed form: a beginning of their customer's letters, then a run of another.
+
+    With b letters in common at the beginning and r in runs of the same letter,
+    two titles of a customer have 2 (b + r) of all their letters in common.
+    """
+    k, g = F.col("o_orderkey"), F.col("o_custkey")
+    run = F.repeat(F.get(F.array(F.lit("q"), F.lit("r"), F.lit("s")), (F.floor(k / 114) % 3).cast("int")), (1 + F.floor(k / 19) % 6).cast("int"))
+    step = (k % 3 * 3).cast("string")
+    return table(spark, sf, "orders", spread=True).select(
+        F.concat(F.substring(letters(g), F.lit(1), (14 + k % 19).cast("int")), run).alias("title"),
+        F.date_add(F.lit("2000-01-01").cast("date"), (g % 3000 * 10 + k % 6).cast("int")).cast("string").alias("day"),
+        F.substring(letters(F.concat(F.lit("p"), g.cast("string"))), F.lit(1), (6 + F.floor(k / 7) % 12).cast("int")).alias("place"),
+        F.concat((g % 160 - 80).cast("string"), F.lit(".0"), step).alias("lat"),
+        (F.floor(g / 160) % 340 - 170).cast("string").alias("lon"),
+        g.alias("customer"),
+        k.alias("ingest_ord"),
+    )
+
+
 def customer_feed(spark, sf) -> DataFrame:
     """A feed of customers x nations with counties, cities and ages missing here and there."""
     k = F.col("c_custkey")
