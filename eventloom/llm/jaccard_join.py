@@ -37,7 +37,7 @@ KEPT_WORDS = 400_000
 #: Bits of the map that says which sets are needed; what it lets through too much is dropped later.
 NEEDED_BITS = 24
 
-_C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
@@ -65,10 +65,14 @@ def shingle_set(known: dict, body: bytes | None, size: int) -> np.ndarray:
     width = min(size, len(words))
     if not width:
         return h
-    total = np.full(len(h) - width + 1, width, np.uint64)
-    for i in range(width):
-        total = _mix(total * _C[i % len(_C)] + h[i : len(h) - width + 1 + i])
-    return np.unique(total)
+    n = len(h) - width + 1
+    total = h[:n] * _ODD + np.uint64(width)
+    for i in range(1, width):
+        # Powers of an odd number keep the words' places apart.
+        total *= _ODD
+        total += h[i : n + i]
+    total = np.sort(_mix(total))
+    return total[np.concatenate(([True], total[1:] != total[:-1]))]
 
 
 def set_key(own: np.ndarray) -> bytes | None:
@@ -135,7 +139,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, text: str, keep: list[st
 
 
 def _needed_sets(docs: DataFrame, keys: DataFrame, size: int, text: str) -> DataFrame:
-    """(set_key, cells) of the wanted keys: the texts are read again, what is not needed goes at once."""
+    """(text_key, cells) of the wanted texts: they are read again, and only what is needed is split."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << NEEDED_BITS, bool)
@@ -151,20 +155,21 @@ def _needed_sets(docs: DataFrame, keys: DataFrame, size: int, text: str) -> Data
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         known, wanted = _Words(), np.unpackbits(held.value)
         for batch in batches:
             found: dict[bytes, np.ndarray] = {}
             for body in batch.column(0).to_pylist():
-                own = shingle_set(known, body, size)
-                key = set_key(own)
-                if key and wanted[int.from_bytes(key[:8], "little") >> (64 - NEEDED_BITS)]:
-                    found[key] = own.astype(np.int64)
+                key = xxhash.xxh3_128_digest(body or b"")
+                if key not in found and wanted[int.from_bytes(key[:8], "little") >> (64 - NEEDED_BITS)]:
+                    found[key] = shingle_set(known, body, size).astype(np.int64)
             yield pa.RecordBatch.from_pydict(
-                {"set_key": pa.array(list(found), pa.binary()), "cells": pa.array(list(found.values()), pa.list_(pa.int64()))}
+                {"text_key": pa.array(list(found), pa.binary()), "cells": pa.array(list(found.values()), pa.list_(pa.int64()))}
             )
 
-    sets = docs.select(docs[text].cast("binary")).mapInArrow(scan, "set_key binary, cells array<bigint>")
-    return sets.join(keys, "set_key", "left_semi").groupBy("set_key").agg(F.min("cells").alias("cells"))
+    sets = docs.select(docs[text].cast("binary")).mapInArrow(scan, "text_key binary, cells array<bigint>")
+    return sets.join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.min("cells").alias("cells"))
 
 
 def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, size: int, percent: int, text: str) -> DataFrame:
@@ -172,10 +177,10 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, size: int, p
     spark = docs.sparkSession
     if pairs.isEmpty():
         return spark.createDataFrame([], "a bigint, b bigint")
-    own = members.select("member", "set_key")
+    own = members.select("member", "text_key")
     ids = pairs.select(F.col("a").alias("member")).unionByName(pairs.select(F.col("b").alias("member"))).distinct()
     wanted = written(ids.join(own, "member"))
-    sets = _needed_sets(docs, wanted.select("set_key"), size, text).join(wanted, "set_key").select("member", "cells")
+    sets = _needed_sets(docs, wanted.select("text_key"), size, text).join(wanted, "text_key").select("member", "cells")
     sets = written(sets)
     x = pairs.join(sets.select(F.col("member").alias("a"), F.col("cells").alias("x")), "a")
     xy = x.join(sets.select(F.col("member").alias("b"), F.col("cells").alias("y")), "b")
@@ -198,8 +203,8 @@ def jaccard_groups(
     some = lines.where("set_key IS NOT NULL")
     members = written(
         some.groupBy("set_key")
-        .agg(F.min("line").alias("member"), F.min(F.struct("group_key", "n", "prefix")).alias("g"))
-        .select("set_key", "member", "g.*")
+        .agg(F.min(F.struct("line", "text_key")).alias("m"), F.min(F.struct("group_key", "n", "prefix")).alias("g"))
+        .select("set_key", F.col("m.line").alias("member"), "m.text_key", "g.*")
     )
     groups = members.groupBy("group_key").agg(
         F.min("member").alias("g"), F.min("n").alias("n"), F.min("prefix").alias("prefix")
