@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hot_threshold, map_text, table, written
+from .common import hot_threshold, map_text, small, table, written
 
 #: Distinct pieces that every worker knows, at most.
 MOST_WORDS = 400_000
@@ -163,7 +163,7 @@ def count_pieces(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame
             seen.clear()
             return batch
 
-        for batch in batches:
+        for batch in small(batches):
             for body in batch.column(0).to_pylist():
                 seen.update(split(body or b""))
                 if len(seen) >= COUNTED_WORDS:
@@ -294,7 +294,7 @@ def decode_texts(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = held.value.get
-        for batch in batches:
+        for batch in small(batches):
             bodies = [b"".join([piece(i, b"") for i in ids or ()]) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bodies, pa.binary())], names=["row", "ids", "body"])
 
@@ -305,7 +305,7 @@ def with_digests(decoded: DataFrame) -> DataFrame:
     """Rows (row, ids, n_tokens, ids_sha256, decoded_sha256) of rows (row, ids, body)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids = batch.column(1).to_pylist()
             columns = [
                 pa.array([len(x) for x in ids], pa.int64()),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,29 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else None
-    if not folder:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-        folder = tempfile.mkdtemp(prefix="eventloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from eventloom.storage import run_dir
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: lineage ends here, lost executors don't matter."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that are Python objects at a time.
+SMALL_ROWS = 1_000
+
+
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that few texts are in memory twice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SMALL_ROWS):
+            yield batch.slice(at, SMALL_ROWS)
+
+
 def map_text(
     docs: DataFrame,
     scan: Callable[[Iterator[tuple[pa.Array, pa.Array]]], Iterator[tuple[pa.Array, dict]]],
@@ -56,7 +53,7 @@ def map_text(
         from pyspark.sql.pandas.types import to_arrow_type
 
         types = {f.name: to_arrow_type(f.dataType) for f in extra.fields}
-        pairs = ((b.column(0), b.column(1)) for b in batches if b.num_rows)
+        pairs = ((b.column(0), b.column(1)) for b in small(batches))
         for kept, out in scan(pairs):
             columns = [v if isinstance(v := out[n], pa.Array) else pa.array(v, t) for n, t in types.items()]
             yield pa.RecordBatch.from_arrays([kept, *columns], names=["row", *types])
@@ -78,6 +75,3 @@ def hot_threshold(counts: DataFrame, column: str, most: int) -> int:
 #: How tables of the driver are found.
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-WORDS_IN_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")

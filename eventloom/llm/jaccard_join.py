@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_text, table, written
+from .common import map_text, small, table, written
 from .graph import components
 
 #: Counters of the sketch that orders shingles, as a power of two: 2 ** 21 take 8 MB.
@@ -86,7 +86,7 @@ def shingle_sketch(docs: DataFrame, size: int, text: str = "text") -> np.ndarray
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = _Words(), np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches:
+        for batch in small(batches):
             for body in batch.column(0).to_pylist():
                 np.add.at(total, (shingle_set(known, body, size) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         for i, part in enumerate(total.reshape(-1, 1 << SEGMENT_BITS)):
@@ -158,7 +158,7 @@ def _needed_sets(docs: DataFrame, keys: DataFrame, size: int, text: str) -> Data
         import xxhash
 
         known, wanted = _Words(), np.unpackbits(held.value)
-        for batch in batches:
+        for batch in small(batches):
             found: dict[bytes, np.ndarray] = {}
             for body in batch.column(0).to_pylist():
                 key = xxhash.xxh3_128_digest(body or b"")

@@ -5,8 +5,9 @@ case and runs of other ASCII than letters as one blank, hashed into a table.
 Their embeddings are averaged and a linear layer gives the languages' logits.
 Both are trained by stochastic gradient descent in numpy, on passages of a
 bounded sample of labelled documents. A second part of the sample calibrates a
-temperature and the rejection: the least confidence at which accepted passages
-err no more often than MAX_ERROR.
+temperature and the rejection: texts are refused below the confidence under
+which at least MAX_ERROR of the passages, LEAST_ERRORS at least, were taken for
+another language.
 
 Texts that are null or have no letter get `und`, score 0, and are rejected; so
 do all texts if there is nothing to learn from. Whole texts are read. Documents
@@ -30,8 +31,8 @@ PASSAGES, PASSAGE_CHARS = 3, 240
 #: Languages with the most documents that are told apart.
 MAX_LANGS = 500
 BUCKET_BITS, WIDTH, ORDERS = 17, 16, 4
-EPOCHS, BATCH, RATE = 3, 64, 20.0
-MAX_ERROR = 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 3, 250, 64, 20.0
+MAX_ERROR, LEAST_ERRORS = 0.5, 5
 #: Bytes looked at together.
 SLAB = 1 << 20
 
@@ -91,8 +92,10 @@ def train(passages: list[tuple[bytes, int]], check: list[tuple[bytes, int]], lan
     bias = np.zeros(len(langs), np.float32)
     features = [grams(normal(body)).ravel() for body, _ in passages]
     labels = np.array([y for _, y in passages], int)
-    steps, done = max(1, EPOCHS * -(-len(passages) // BATCH)), 0
-    for _ in range(EPOCHS):
+    batches = max(1, -(-len(passages) // BATCH))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+    steps, done = epochs * batches, 0
+    for _ in range(epochs):
         order = rng.permutation(len(passages))
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
@@ -117,11 +120,12 @@ def train(passages: list[tuple[bytes, int]], check: list[tuple[bytes, int]], lan
     loss = {t: -np.log(_softmax(z / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in np.geomspace(0.25, 8, 21)}
     temperature = min(loss, key=loss.get)
     p = _softmax(z / temperature)
-    order = np.argsort(-p.max(axis=1), kind="stable")
+    top = p.max(axis=1)
+    order = np.argsort(top, kind="stable")
     errors = np.cumsum(p.argmax(axis=1)[order] != truth[order])
-    fine = np.flatnonzero(errors <= MAX_ERROR * np.arange(1, len(order) + 1))
-    # Nothing is refused if all accepted together err seldom enough.
-    least = 0.0 if len(fine) and fine[-1] == len(order) - 1 else float(p.max(axis=1)[order][fine[-1]]) if len(fine) else 1.0
+    wrong = np.flatnonzero((errors >= MAX_ERROR * np.arange(1, len(order) + 1)) & (errors >= LEAST_ERRORS))
+    # Nothing is refused if even the least sure ones are mostly right.
+    least = float(np.nextafter(top[order][wrong[-1]], 2)) if len(wrong) else 0.0
     return model._replace(temperature=float(temperature), least=least)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_threshold, map_text, table, written
+from .common import hot_threshold, map_text, small, table, written
 from .language import remainder
 
 #: Tokens with their counts that every worker knows, at most.
@@ -117,7 +117,7 @@ def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             for _, part in _slabs(batch.column(0).to_pylist()):
                 new, n = np.unique(grams_of(part)[0], return_counts=True)
                 keys, counts = _summed(np.concatenate((keys, new)), np.concatenate((counts, n)))
@@ -340,7 +340,7 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
             seen.clear()
             return batch
 
-        for batch in batches:
+        for batch in small(batches):
             for body in batch.column(0).to_pylist():
                 seen.update(tokens(body))
                 if len(seen) >= COUNTED:

@@ -30,15 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, table, written
+from .common import map_text, small, table, written
 
 LENGTH, GRAM = 400, 64
 #: Different surroundings in a bucket that one task sorts.
 HOT = 2_000
 #: Bits of the maps that say which anchors and texts matter; what they let through too much is dropped later.
-MARK_BITS = 26
+MARK_BITS = 25
 #: Texts and surroundings that a task remembers having handed on.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 BLOCK_BITS = 19
 
 _WINDOW = LENGTH - GRAM + 1
@@ -155,7 +155,7 @@ def _repeated_grams(texts: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in small(batches):
             found = []
             for body in batch.column(0).to_pylist():
                 if body and (key := text_key(body)) not in seen:
@@ -186,7 +186,7 @@ def _surroundings(texts: DataFrame, marks: np.ndarray, whole: bool) -> DataFrame
         seen: set[bytes] = set()
         given: set[tuple] = set()
         bits = held.value
-        for batch in batches:
+        for batch in small(batches):
             out: dict[str, list] = {"gram": [], "left": [], "right": [], "back": [], "ahead": [], "text": [], "place": []}
             if whole:
                 out = {"gram": [], "left": [], "right": [], "back": [], "around": []}
@@ -288,7 +288,7 @@ _COVER = "gram bigint, left bigint, right bigint, more_back int, more_ahead int"
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Rows of equal anchors, which stand together."""
     own: list[tuple] = []
-    for batch in batches:
+    for batch in small(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if own and own[0][0] != row[0]:
                 yield own
@@ -388,7 +388,7 @@ def without_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None
     spans = repeated_spans(docs, text)
 
     def key_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_pydict({"text": [text_key(b) for b in batch.column(0).to_pylist()]})
 
     keys = _long_texts(docs, text).mapInArrow(key_only, "text binary")
@@ -405,7 +405,7 @@ def without_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in small(batches):
             out: dict = {"n_bytes": [], "removed": [], "kept": []}
             for body, own, all_ in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 body = body or b""

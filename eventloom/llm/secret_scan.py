@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_text, table
+from .common import map_text, small, table
 
 # Fixed patterns.
 ASSIGN = re.compile(
@@ -175,7 +175,7 @@ def count_runs(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((64, BINS + 1), np.int64)
-        for batch in batches:
+        for batch in small(batches):
             for _, slab, _ in _slabs(batch.column(0).to_pylist()):
                 found, classes = _key_like(slab, np.frombuffer(slab, np.uint8))
                 counts[:, 0] += classes
