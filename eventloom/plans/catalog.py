@@ -34,7 +34,7 @@ from eventloom.plans.integrate import build_feed, resolve_events
 from eventloom.plans.renderings import REF_DATE, digest, order_day, table
 from eventloom.sources import captions, lines, pages
 from eventloom.schemas import FEED_SCHEMA
-from eventloom.storage import checkpoint_dir, cut_lineage, read_feed, split_records, write_feed
+from eventloom.storage import cut_lineage, read_feed, run_dir, split_records, write_feed
 
 
 def joined(c):
@@ -427,7 +427,7 @@ def resolved_by_source(spark, sf):
 
 def feed_roundtrip(spark, sf):
     """The feed written, read again and counted by day; a path without files is an empty feed."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/feed-{uuid.uuid4().hex}"
     rows = r.customer_feed(spark, sf)
     absent = [F.lit("").alias(c) for c in FEED_SCHEMA.names if c not in rows.columns]
     write_feed(rows.select("*", *absent), path)

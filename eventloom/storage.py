@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,24 +11,35 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventloom.schemas import FEED_SCHEMA
 
-_local_dirs: dict[str, str] = {}
+_local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
     Taken from spark.checkpoint.dir or the context; only a local-mode session
-    without either gets a temporary folder.
+    without either gets a temporary folder, which goes when Python ends.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="eventloom-")
-    return _local_dirs[app]
+        _local_dirs[app] = tempfile.TemporaryDirectory(prefix="eventloom-", ignore_cleanup_errors=True)
+    return _local_dirs[app].name
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/eventloom-{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove the intermediate tables; to be called when results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -36,7 +48,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Lost executors then cost a re-read, never a recomputation of earlier rounds.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/eventloom/{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
