@@ -56,7 +56,7 @@ def test_query(spark, tables, docs):
 def test_battery_finds_keys_and_leaves_writing(spark):
     rng = random.Random(6)
     keys = [base64.b64encode(rng.randbytes(30)).decode() for _ in range(40)]
-    words = ["internationalisationally", "AnotherCamelCasedIdentifierName", "UPPERCASEWORDSALLTHEWAY", "a" * 40, "12345678901234567890123"]
+    words = ["internationalisationally", "AnotherCamelCasedIdentifierName", "UPPERCASEWORDSALLTHEWAY", "h" * 40, "snake_cased_identifier_name"]
     rows = [(i, f"see {k} and {rng.choice(words)} there") for i, k in enumerate(keys)]
     rows += [(100 + i, f"only {w} here") for i, w in enumerate(words * 20)]
     docs = spark.createDataFrame(rows, "doc_id int, text string")
