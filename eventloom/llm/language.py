@@ -4,10 +4,10 @@ A text's features are its byte n-grams of one to four bytes, ASCII in lower
 case and runs of other ASCII than letters as one blank, hashed into a table.
 Their embeddings are averaged and a linear layer gives the languages' logits.
 Both are trained by stochastic gradient descent in numpy, on passages of a
-bounded sample of labelled documents. A second part of the sample calibrates a
-temperature and the rejection: texts are refused below the confidence under
-which at least MAX_ERROR of the passages, LEAST_ERRORS at least, were taken for
-another language.
+bounded sample of labelled documents. The whole texts of another part of the
+sample calibrate a temperature and the rejection: texts are refused below the
+confidence under which at least MAX_ERROR of them, LEAST_ERRORS at least, were
+taken for another language.
 
 Texts that are null or have no letter get `und`, score 0, and are rejected; so
 do all texts if there is nothing to learn from. Whole texts are read. Documents
@@ -84,8 +84,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(passages: list[tuple[bytes, int]], check: list[tuple[bytes, int]], langs: list[str], seed: int = 1) -> Model:
-    """Gradient descent over passages, calibration on check: pairs of text and number of its language."""
+def train(passages: list[tuple[bytes, int]], langs: list[str], seed: int = 1) -> Model:
+    """Gradient descent over passages: pairs of text and number of its language."""
     rng = np.random.default_rng(seed)
     table_ = rng.normal(0, 0.1, (1 << BUCKET_BITS, WIDTH)).astype(np.float32)
     layer = np.zeros((WIDTH, len(langs)), np.float32)
@@ -112,11 +112,13 @@ def train(passages: list[tuple[bytes, int]], check: list[tuple[bytes, int]], lan
             layer -= (rate * 0.1 * mean.T @ wrong).astype(np.float32)
             bias -= (0.01 * rate * wrong.sum(axis=0)).astype(np.float32)
             np.subtract.at(table_, ids, np.repeat(rate * back * WIDTH, sizes, axis=0))
-    model = Model(langs, (table_ @ layer).astype(np.float32), bias, 1.0, 0.0)
-    if not check:
+    return Model(langs, (table_ @ layer).astype(np.float32), bias, 1.0, 0.0)
+
+
+def calibrated(model: Model, z: np.ndarray, truth: np.ndarray) -> Model:
+    """The model with the temperature and the refusal that suit logits of texts whose languages are known."""
+    if not len(z):
         return model
-    z = _logits(model, [normal(body) for body, _ in check])
-    truth = np.array([y for _, y in check])
     loss = {t: -np.log(_softmax(z / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in np.geomspace(0.25, 8, 21)}
     temperature = min(loss, key=loss.get)
     p = _softmax(z / temperature)
@@ -175,16 +177,21 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     passages = F.array(*[
         F.substring(F.col("text"), (size * at / max(1, PASSAGES - 1)).cast("int") + 1, F.lit(PASSAGE_CHARS)) for at in range(PASSAGES)
     ])
-    rows = (
-        labelled.where((F.pmod("h", F.lit(1 << 30)) < F.try_element_at(limit, "lang")))
-        .select("h", "lang", F.array_distinct(passages).alias("passages"))
-        .collect()
-    )
+    chosen = labelled.where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(limit, "lang"))
+    # Most of the sample teaches; whole texts of the rest calibrate.
+    teaches = F.pmod(F.shiftright("h", 30), F.lit(5)) > 0
+    rows = chosen.where(teaches).select("h", "lang", F.array_distinct(passages).alias("passages")).collect()
     number = {x: i for i, x in enumerate(langs)}
     rows.sort(key=lambda r: r["h"])
-    pairs = [[(p.encode(), number[r["lang"]]) for p in r["passages"]] for r in rows]
-    check = [x for i, one in enumerate(pairs) if i % 5 == 0 for x in one]
-    return train([x for i, one in enumerate(pairs) if i % 5 or len(pairs) < 50 for x in one], check, langs)
+    model = train([(p.encode(), number[r["lang"]]) for r in rows for p in r["passages"]], langs)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scan(batches):
+        for kept, column in batches:
+            yield kept, {"z": _logits(held.value, [normal(b) for b in column.to_pylist()]).tolist()}
+
+    known = map_text(chosen.where(~teaches), scan, "z array<double>", "text", ["lang"]).collect()
+    return calibrated(model, np.array([r["z"] for r in known]), np.array([number[r["row"]["lang"]] for r in known], int))
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

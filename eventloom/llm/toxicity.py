@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_text, table
+from .common import map_text, table, written
 from .language import remainder
 
 ORDER = 6
@@ -252,7 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     rows = (
         docs.where(learn)
         .select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text"))
-        .join(chosen, "key")
+        # Some SAMPLE rows of each class: small enough for every worker, while the texts would fill the disks.
+        .join(F.broadcast(written(chosen)), "key")
         .select(F.xxhash64("text").alias("h"), body.alias("text"), "toxic")
         .groupBy("h")
         .agg(F.min(F.struct("toxic", "text")).alias("one"))

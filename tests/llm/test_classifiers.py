@@ -24,7 +24,7 @@ def test_language_without_rows(spark, tables):
 
 
 def test_long_texts_are_read_whole():
-    model = language.train([(b"aaaa", 0), (b"bbbb", 1)] * 40, [], ["a", "b"])
+    model = language.train([(b"aaaa", 0), (b"bbbb", 1)] * 40, ["a", "b"])
     ends = [language.normal(b"aaaa " * 30_000), language.normal(b"aaaa " * 10_000 + b"bbbb " * 20_000), language.normal(b"bb")]
     z = language._logits(model, ends)
     assert z[:, 1].argmax() == 2 or z[1].argmax() == 1
