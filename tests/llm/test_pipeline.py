@@ -34,7 +34,7 @@ def test_every_stage(spark, tables, tmp_path):
     items = [tuple(r) for r in table(spark, tables[0], "benchmark").select("item_id", "text").collect()]
     assert {i for i, _ in rows[3]} == {i for i, t in rows[2] if not contaminated(t, items)[-1]}
     after = dict(rows[4])
-    assert after[208] == "[secret] [secret] ſecret=abcdefghijklmnop"
+    assert after[208] == '[secret]" [secret] ſecret=abcdefghijklmnop'
     assert all(after[i] == t for i, t in rows[3] if i != 208)
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
                             mergeable_ranks=byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
