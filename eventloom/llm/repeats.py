@@ -34,11 +34,11 @@ from .common import map_text, small, table, written
 
 LENGTH, GRAM = 400, 64
 #: Different surroundings in a bucket that one task sorts.
-HOT = 2_000
+HOT = 20_000
 #: Bits of the maps that say which anchors and texts matter; what they let through too much is dropped later.
-MARK_BITS = 25
+MARK_BITS = 26
 #: Texts and surroundings that a task remembers having handed on.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 BLOCK_BITS = 19
 
 _WINDOW = LENGTH - GRAM + 1
@@ -184,7 +184,7 @@ def _surroundings(texts: DataFrame, marks: np.ndarray, whole: bool) -> DataFrame
 
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         seen: set[bytes] = set()
-        given: set[tuple] = set()
+        given: set[int] = set()
         bits = held.value
         for batch in small(batches):
             out: dict[str, list] = {"gram": [], "left": [], "right": [], "back": [], "ahead": [], "text": [], "place": []}
@@ -202,7 +202,7 @@ def _surroundings(texts: DataFrame, marks: np.ndarray, whole: bool) -> DataFrame
                     left = xxh3_64_intdigest(body[first : first + LENGTH], place - first)
                     right = xxh3_64_intdigest(body[last : last + LENGTH], place - last)
                     if whole:
-                        if (mine := (gram, left, right)) in given:
+                        if (mine := hash((gram, left, right))) in given:
                             continue
                         if len(given) < REMEMBERED:
                             given.add(mine)
@@ -286,14 +286,15 @@ _COVER = "gram bigint, left bigint, right bigint, more_back int, more_ahead int"
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows of equal anchors, which stand together."""
+    """Different surroundings of equal anchors; rows are sorted by both."""
     own: list[tuple] = []
     for batch in small(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if own and own[0][0] != row[0]:
                 yield own
                 own = []
-            own.append(row)
+            if not own or own[-1][:3] != row[:3]:
+                own.append(row)
     if own:
         yield own
 
@@ -354,12 +355,14 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     kinds = sites.groupBy(*one).agg(F.count("place").alias("n"))
     buckets = kinds.groupBy("gram").agg(F.sum("n").alias("places"), F.count("n").alias("kinds")).where("places > 1")
     kinds = written(kinds.join(buckets, "gram"))
-    several = kinds.where("kinds > 1").select(*one, "kinds")
-    around = _surroundings(texts, _mark(several, "gram"), True).groupBy(*one).agg(F.min("back").alias("back"), F.min("around").alias("around"))
-    around = written(around.join(several, one))
-    columns = [*one, "back", "around"]
-    small = around.where(F.col("kinds") <= HOT).select(*columns).repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_buckets, _COVER)
-    found = small.unionByName(_counted_strings(around.where(F.col("kinds") > HOT).select(*columns)))
+    around = _surroundings(texts, _mark(kinds.where("kinds > 1"), "gram"), True)
+    # At most one in HOT surroundings has a bucket of that size, so these are few.
+    hot = F.broadcast(written(kinds.where(F.col("kinds") > HOT).select("gram").distinct()))
+    sorted_ = around.join(hot, "gram", "left_anti").select(*around.columns).repartition("gram").sortWithinPartitions(*one)
+    found = sorted_.mapInArrow(_sorted_buckets, _COVER)
+    if not hot.isEmpty():
+        large = around.join(hot, "gram", "left_semi").groupBy(*one).agg(F.min("back").alias("back"), F.min("around").alias("around"))
+        found = found.unionByName(_counted_strings(large))
     # Surroundings that stand in several places are covered as far as they go.
     full = kinds.where("n > 1").select(*one, F.lit(LENGTH).alias("more_back"), F.lit(LENGTH).alias("more_ahead"))
     cover = full.unionByName(found).groupBy(*one).agg(F.max("more_back").alias("more_back"), F.max("more_ahead").alias("more_ahead"))
