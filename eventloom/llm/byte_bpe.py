@@ -30,14 +30,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import hot_threshold, map_text, small, table, written
 
 #: Distinct pieces that every worker knows, at most.
 MOST_WORDS = 400_000
 #: Bytes of a word that the fold takes at most, and rare words that a worker keeps for a while.
-LONGEST, RECENT_WORDS = 128, 200_000
+LONGEST, RECENT_WORDS = 128, 50_000
 #: Pieces that a worker counts before it hands their counts on.
 COUNTED_WORDS = 300_000
 BUCKETS = 1 << 16
@@ -257,8 +256,13 @@ def encode_texts(
     text: str = "text",
     keep: list[str] | None = None,
     most_words: int = MOST_WORDS,
+    digests: bool = False,
 ) -> DataFrame:
-    """Rows (row, ids) with the ids of every text."""
+    """Rows (row, ids) with the ids of every text.
+
+    With digests also n_tokens, ids_sha256 (of the decimal ids, joined by a
+    blank) and decoded_sha256 (of the bytes that the ids decode to).
+    """
     spark = docs.sparkSession
     literal = rank_map(ranks)
     counts = written(count_pieces(docs, pattern, text))
@@ -270,13 +274,27 @@ def encode_texts(
 
     def scan(batches):
         split, known = splitter(pattern), _Known(words.value, held.value)
+        pieces = {rank: piece for piece, rank in held.value.items()}
         for rows, column in batches:
             found = [b"".join(map(known.__getitem__, split(body or b""))) for body in column.to_pylist()]
             at = np.cumsum([0, *(len(x) // 4 for x in found)])
             numbers = pa.array(np.frombuffer(b"".join(found), np.int32))
-            yield rows, {"ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), numbers)}
+            out = {"ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), numbers)}
+            if digests:
+                out |= {"n_tokens": np.diff(at), "ids_sha256": [], "decoded_sha256": []}
+                for x in found:
+                    ids = np.frombuffer(x, np.int32).tolist()
+                    out["ids_sha256"].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(decoded(pieces, ids)).hexdigest())
+            yield rows, out
+
+    more = ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else ""
+    return map_text(docs, scan, "ids array<int>" + more, text, keep)
+
 
-    return map_text(docs, scan, "ids array<int>", text, keep)
+def decoded(pieces: dict[int, bytes], ids: list[int]) -> bytes:
+    """The binary pieces of the ids, concatenated."""
+    return b"".join([pieces[i] for i in ids])
 
 
 def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -288,40 +306,11 @@ def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
     return F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "ISO-8859-1")
 
 
-def decode_texts(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Rows (row, ids, body) of rows (row, ids): the binary pieces of the ids, concatenated."""
-    held = encoded.sparkSession.sparkContext.broadcast({rank: piece for piece, rank in ranks.items()})
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = held.value.get
-        for batch in small(batches):
-            bodies = [b"".join([piece(i, b"") for i in ids or ()]) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bodies, pa.binary())], names=["row", "ids", "body"])
-
-    return encoded.select("row", "ids").mapInArrow(scan, T.StructType([*encoded.select("row", "ids").schema.fields, T.StructField("body", T.BinaryType())]))
-
-
-def with_digests(decoded: DataFrame) -> DataFrame:
-    """Rows (row, ids, n_tokens, ids_sha256, decoded_sha256) of rows (row, ids, body)."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            ids = batch.column(1).to_pylist()
-            columns = [
-                pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(x).hexdigest() for x in batch.column(2).to_pylist()]),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["row", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    fields = T._parse_datatype_string("n_tokens bigint, ids_sha256 string, decoded_sha256 string").fields
-    return decoded.mapInArrow(scan, T.StructType([*decoded.select("row", "ids").schema.fields, *fields]))
-
-
 def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Ids of every document and the texts that they decode to."""
     import public_tokenizers
 
     ranks = read_ranks(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    found = encode_texts(table(spark, sf_dir, "documents"), ranks, pattern or public_tokenizers.PATTERN, keep=["doc_id"])
-    return with_digests(decode_texts(found, ranks)).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    docs = table(spark, sf_dir, "documents")
+    found = encode_texts(docs, ranks, pattern or public_tokenizers.PATTERN, keep=["doc_id"], digests=True)
+    return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
