@@ -58,9 +58,8 @@ def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    found = byte_bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
-    done = byte_bpe.with_digests(byte_bpe.decode_texts(found, ranks))
-    return done.select("row.*", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    found = byte_bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], digests=True)
+    return found.select("row.*", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
