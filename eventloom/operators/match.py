@@ -52,7 +52,6 @@ CELL_DEGREES = GEO_KM / KM_PER_DEGREE
 # this many rows of a key in its fast in-memory buffer. A task gets about
 # TASK_PAIRS pairs to look at.
 HOT_BLOCK_ROWS = 4_000
-MAX_SPLITS = 1_024
 TASK_PAIRS = 20_000_000
 PAIR_WORDS = 4
 
@@ -167,14 +166,14 @@ class Blocks:
 
     def tasks(self, spark) -> int:
         """Pairs, not bytes, are the work, so partitions are counted by pairs."""
-        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, int(self.pairs // TASK_PAIRS)))
+        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(self.pairs // TASK_PAIRS))
 
 
 def block_sizes(blocks: DataFrame, hot_rows: int | None = None) -> Blocks:
     """Sizes of the blocks of rows in column `blk`.
 
     At most 10,000 blocks can hold more than a 10,000th of all rows, so `hot`
-    is small enough to broadcast at any scale.
+    is small enough to broadcast at any scale, and none is split into more parts.
     """
     sizes = blocks.groupBy("blk").agg(F.count("*").alias("n"))
     n = F.col("n").cast("double")
@@ -183,7 +182,7 @@ def block_sizes(blocks: DataFrame, hot_rows: int | None = None) -> Blocks:
     limit = max(hot_rows or HOT_BLOCK_ROWS, rows // 10_000)
     hot = None
     if largest > limit:
-        splits = F.least(F.lit(MAX_SPLITS), F.ceil(F.col("n") / limit)).cast("int")
+        splits = F.ceil(F.col("n") / limit).cast("int")
         hot = sizes.filter(F.col("n") > limit).select("blk", splits.alias("splits"))
     return Blocks(rows, row["pairs"] or 0.0, hot)
 
