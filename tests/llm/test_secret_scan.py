@@ -6,7 +6,6 @@ import re
 from pyspark.sql import functions as F
 
 from eventloom.llm import secret_scan as S
-from eventloom.llm.common import table
 
 ASSIGN = re.compile(
     r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"""
