@@ -210,7 +210,11 @@ def jaccard_groups(
         F.min("member").alias("g"), F.min("n").alias("n"), F.min("prefix").alias("prefix")
     )
     in_group = written(members.select("group_key", "member").join(groups.select("group_key", "g"), "group_key").select("g", "member"))
-    postings = written(groups.select("g", "n", F.posexplode("prefix").alias("pos", "shingle")))
+    # Dealt by shingle once, for both the sums and the join; most shingles are in one prefix only and go at once.
+    # A shingle that very many documents have stands last in their order, so a prefix seldom has it.
+    postings = groups.select("g", "n", F.posexplode("prefix").alias("pos", "shingle")).repartition("shingle")
+    tops = postings.groupBy("shingle").agg(F.min(F.struct("pos", "g", "n")).alias("p"), F.count("g").alias("many"))
+    shared = written(postings.join(tops.where("many > 1").drop("many"), "shingle"))
 
     def close(a: str, b: str):
         """What the first shared shingle's places allow: no more can be shared than stands from there on."""
@@ -218,11 +222,8 @@ def jaccard_groups(
         return (100 + percent) * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
     # First round: the group with a posting's earliest place, and the groups with the same prefix.
-    tops = postings.groupBy("shingle").agg(F.min(F.struct("pos", "g", "n")).alias("p"), F.count("g").alias("many"))
     stars = (
-        postings.alias("x")
-        .join(tops.where("many > 1").alias("t"), "shingle")
-        .select("shingle", F.struct("x.pos", "x.g", "x.n").alias("x"), F.col("t.p").alias("p"))
+        shared.select("shingle", F.struct("pos", "g", "n").alias("x"), "p")
         .where("x.g <> p.g")
         .where(close("x", "p"))
         .select(F.least("x.g", "p.g").alias("a"), F.greatest("x.g", "p.g").alias("b"))
@@ -237,7 +238,7 @@ def jaccard_groups(
         in_group.join(roots, in_group["member"] == roots["node"], "left").select("g", "member", F.coalesce("root", "member").alias("root"))
     )
     spans = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    marked = postings.join(spans, "g")
+    marked = shared.drop("p").join(spans, "g")
     open_ = marked.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("shingle")
     marked = written(marked.join(open_, "shingle"))
     near = (
