@@ -6,6 +6,7 @@ import tiktoken
 
 from .test_decontaminate import naive as contaminated
 from .test_jaccard_join import naive as groups
+from .test_secret_scan import naive as secrets
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -35,7 +36,7 @@ def test_every_stage(spark, tables, tmp_path):
     assert {i for i, _ in rows[3]} == {i for i, t in rows[2] if not contaminated(t, items)[-1]}
     after = dict(rows[4])
     assert after[208] == '[secret]" [secret] ſecret=abcdefghijklmnop'
-    assert all(after[i] == t for i, t in rows[3] if i != 208)
+    assert all(after[i] == t for i, t in rows[3] if not secrets(t))
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
                             mergeable_ranks=byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
     assert {r["doc_id"]: r["ids"] for r in kept[-1].collect()} == {i: enc.encode_ordinary(t) for i, t in after.items()}
