@@ -9,9 +9,14 @@ SPACE = r"\s\p{Z}\x1c-\x1f\x85"
 WORD = r"\p{L}\p{N}_"
 MARKERS = ["#", "📅", "⏰", "📍", "🎟", "👶", "✨", "👉", "🎉", "🔥", "🎈", "date:", "time:", "location:", "cost:", "age:"]
 STOP_WORDS = "the a an at in on for with and or de la du le".split()
-# Lines that the renderings add: noise and dates. No text of the tables has others.
+# Lines that the renderings add; no text of the tables has other noise. Then the beginnings of date lines.
 NOISE = ["log in", "see more", "about", "more"]
-DATES = ["Thu, Oct 30", "Fri, Oct 31, 2025", "Sat, 1 nov. 2025", "do, 30 okt. 2025"]
+DATE_LINES = [
+    '(?i)^[\\p{L}\\p{N}_]{2,9},?[\\s\\p{Z}\\x1c-\\x1f\\x85]+(?:[\\p{L}\\p{N}_]{3,9}[\\s\\p{Z}\\x1c-\\x1f\\x85]+\\d{1,2},?[\\s\\p{Z}\\x1c-\\x1f\\x85]+\\d{4}|[\\p{L}\\p{N}_]{3,9}[\\s\\p{Z}\\x1c-\\x1f\\x85]+\\d{1,2}(?:[\\s\\p{Z}\\x1c-\\x1f\\x85]+at[\\s\\p{Z}\\x1c-\\x1f\\x85]+\\d{1,2}:\\d{2}[\\s\\p{Z}\\x1c-\\x1f\\x85]*(?:AM|PM|IST|GMT|UTC))?|[\\p{L}\\p{N}_]{3,9}\\.?[\\s\\p{Z}\\x1c-\\x1f\\x85]+\\d{1,2}(?:[\\s\\p{Z}\\x1c-\\x1f\\x85]+\\d{4})?)',
+    '(?i)^[\\p{L}\\p{N}_]{3,9}[,.]?[\\s\\p{Z}\\x1c-\\x1f\\x85]+[\\p{L}\\p{N}_]{2,9}[.,]?[\\s\\p{Z}\\x1c-\\x1f\\x85]+\\d{1,2}(?:[,:][\\s\\p{Z}\\x1c-\\x1f\\x85]+\\d{1,2}:\\d{2}[\\s\\p{Z}\\x1c-\\x1f\\x85]*(?:AM|PM|IST|GMT|UTC))?(?:[\\s\\p{Z}\\x1c-\\x1f\\x85]+\\d{4})?',
+    '^[\\p{L}\\p{N}_]{2,3}[,.][\\s\\p{Z}\\x1c-\\x1f\\x85]',
+]
+DATED = " or ".join(f"regexp_matches(line, '{p}')" for p in DATE_LINES)
 
 
 def quoted(items) -> str:
@@ -84,7 +89,7 @@ ENTRIES = f"""
     {SECTIONS},
     marked as (
         select *, lower(line) in ({quoted(NOISE)}) as noise,
-            line in ({quoted(DATES)}) as dated
+            {DATED} as dated
         from body),
     looked as (
         select *, (dated and not noise) as is_date,
