@@ -233,7 +233,7 @@ def jaccard_groups(
     links = verified(docs, members, tried, size, percent, text)
     roots = components(links)
 
-    # Second round: groups that share a shingle and have members in different components.
+    # Second round: groups that share a shingle, or single ones, that have members in different components.
     placed = written(
         in_group.join(roots, in_group["member"] == roots["node"], "left").select("g", "member", F.coalesce("root", "member").alias("root"))
     )
@@ -244,10 +244,12 @@ def jaccard_groups(
     near = (
         marked.alias("x")
         .join(marked.alias("y"), "shingle")
-        .where("x.g <= y.g AND (x.low <> y.low OR x.high <> y.high OR x.low <> x.high)")
+        .where("x.g < y.g AND (x.low <> y.low OR x.high <> y.high OR x.low <> x.high)")
         .where(close("x", "y"))
         .select(F.col("x.g").alias("gx"), F.col("y.g").alias("gy"))
         .distinct()
+        # Members of one group share all of its prefix, whether or not a second group has any of it.
+        .unionByName(spans.where("low <> high").select(F.col("g").alias("gx"), F.col("g").alias("gy")))
     )
     more = (
         near.join(placed.select(F.col("g").alias("gx"), F.col("member").alias("a"), F.col("root").alias("ra")), "gx")

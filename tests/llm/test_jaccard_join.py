@@ -45,6 +45,20 @@ def test_query_and_no_rows(spark, tables, docs):
     assert jaccard_join.op3_jaccard_join(spark, tables[1]).count() == 0
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (1, 2, 0)])
+def test_links_inside_a_group_that_shares_no_shingle(spark, order):
+    rare = "r1 r2 r3 r4"
+    other, same = (" ".join(["x1 x2", *(f"{c}{i}" for i in range(26))]) for c in "ab")
+    tails = [f"{other} c", f"{same} c", f"{same} d"]
+    rows = [(i, f"{rare} {tails[i]}") for i in order]
+    # Repeated rows make all but the rare shingles frequent, so the three texts have one prefix of their own.
+    rows += [(10 + i, t) for i, t in enumerate(tails * 5)]
+    found = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    out = jaccard_join.jaccard_groups(found, 3, 90, keep=["doc_id"]).collect()
+    got = Counter((r["row"]["doc_id"], r["n_shingles"], r["component"]) for r in out)
+    assert got == naive(rows, 3, 90) and got[2, len(tails[2].split()) + 2, 1] == 1
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
