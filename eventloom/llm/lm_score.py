@@ -131,11 +131,11 @@ def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _log_count(n: np.ndarray) -> np.ndarray:
-    """Counts as twelfths of powers of two, in a byte."""
-    return np.minimum(255, np.rint(12 * np.log2(1 + n))).astype(np.uint8)
+    """Counts as 1024ths of powers of two; no 64-bit count fills the two bytes."""
+    return np.rint(1024 * np.log2(1.0 + n)).astype(np.uint16)
 
 
-_COUNT = (2 ** (np.arange(256) / 12) - 1).astype(np.float32)
+_COUNT = (2 ** (np.arange(1 << 16) / 1024) - 1).astype(np.float32)
 
 
 def fill_tables(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -182,10 +182,10 @@ def fill_tables(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         .repartition("segment")
         .mapInArrow(dense, "segment int, zeros binary, ones binary")
     )
-    out = np.zeros((2, _SEGMENTS, 16 << SEGMENT_BITS), np.uint8)
+    out = np.zeros((2, _SEGMENTS, 16 << SEGMENT_BITS), np.uint16)
     for r in rows.collect():
-        out[0, r["segment"]] = np.frombuffer(r["zeros"], np.uint8)
-        out[1, r["segment"]] = np.frombuffer(r["ones"], np.uint8)
+        out[0, r["segment"]] = np.frombuffer(r["zeros"], np.uint16)
+        out[1, r["segment"]] = np.frombuffer(r["ones"], np.uint16)
     return out[0].ravel(), out[1].ravel()
 
 

@@ -46,6 +46,11 @@ def test_chances_of_all_bytes_sum_to_one():
         assert abs((2 ** lm_score.log2_chances(model, keys)).sum() - 1) < 1e-9
 
 
+def test_counts_do_not_saturate():
+    n = np.array([0, 1, 2, 3, 100, 2_490_000, 30_000_000, 9_000_000_000, 1 << 62])
+    assert np.allclose(lm_score._COUNT[lm_score._log_count(n)], n, rtol=1e-3)
+
+
 def test_grams_do_not_cross_texts():
     keys, starts = lm_score.grams_of([b"abc", b"", b"z"])
     assert starts.tolist() == [0, 4, 5] and len(keys) == 7
