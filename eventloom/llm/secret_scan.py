@@ -5,8 +5,10 @@ a sign, a value of 12 and more characters), `access` (AKIA and letters or
 digits, 18 and more in all) and `hex` (16 and more of 0-9a-f).
 
 The battery adds spans of kind `random`: runs of 20 and more characters of
-base64's alphabets. The encoding (hexadecimal, base32, base62, base64, base64url)
-is inferred from the characters. Under it, chi-squared uniformity of the
+base64's alphabets, and of their parts of 20 and more: between `=` that is not
+padding, between `/`, `-`, `_` and `+`, and what is left between plain words at
+those signs. Every part counts as a run. The encoding (hexadecimal, base32,
+base62, base64, base64url) is inferred from the characters. Under it, chi-squared uniformity of the
 alphabet, runs about the median and serial correlation must all be what chance
 gives (Bonferroni, level CHANCE). How far a run is from ordinary writing is the
 binomial tail of its changes between lower case, capitals, digits and signs.
@@ -14,7 +16,7 @@ These p-values pass Benjamini-Hochberg control at level FALSE_RATE within
 classes of equal length (powers of two), over the runs of the whole table.
 
 Null texts are empty. A text without finds has no spans. Added spans that touch
-a base span are left out. Repeated rows are separate rows.
+a base span are left out, and of those that overlap the longest stays. Repeated rows are separate rows.
 """
 
 from __future__ import annotations
@@ -42,6 +44,10 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"api")
 
 KINDS = ["assign", "access", "hex", "random"]
 LEAST_RUN = 20
+#: A run's fields with the signs after them, what they are cut into, and pieces that are plain words or numbers.
+FIELD = re.compile(rb"[^=]+=*")
+PIECES = [re.compile(rb"[^/]+"), re.compile(rb"[^_-]+"), re.compile(rb"[^/+_-]+")]
+PLAIN = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}")
 LEAST_CHANGES = 4
 #: How often ordinary writing changes between kinds of characters inside a run.
 CHANGE_RATE = 0.12
@@ -153,10 +159,39 @@ def _slabs(bodies: list[bytes | None]) -> Iterator[tuple[int, bytes, np.ndarray]
         at = end
 
 
+def parts_of(run: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the long parts of a run that may be a key beside a name, a sign or a path."""
+    found = set()
+    for field in FIELD.finditer(run):
+        # Only signs at the run's end are padding.
+        first, body = field.start(), field[0] if field.end() == len(run) else field[0].rstrip(b"=")
+        found.add((first, first + len(body)))
+        for pieces in PIECES:
+            found.update((first + m.start(), first + m.end()) for m in pieces.finditer(body))
+        start = end = None
+        for m in PIECES[-1].finditer(body):
+            if PLAIN.fullmatch(m[0]):
+                if start is not None:
+                    found.add((first + start, first + end))
+                start = None
+            else:
+                start, end = m.start() if start is None else start, m.end()
+        if start is not None:
+            found.add((first + start, first + end))
+    found.discard((0, len(run)))
+    return sorted(v for v in found if v[1] - v[0] >= LEAST_RUN)
+
+
 def _key_like(slab: bytes, raw: np.ndarray) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
-    """(start, end, class of length, bin) of runs that the battery lets pass; how many runs each class has."""
+    """(start, end, class of length, bin) of runs and parts that the battery lets pass; how many each class has."""
     kind = _KIND[raw]
     starts, ends = _runs(kind > 0, LEAST_RUN)
+    signs = np.flatnonzero(kind == 4)
+    signed = np.flatnonzero(np.searchsorted(signs, ends) > np.searchsorted(signs, starts))
+    parts = [(int(starts[i]) + a, int(starts[i]) + b) for i in signed for a, b in parts_of(slab[starts[i] : ends[i]])]
+    if parts:
+        more = np.array(parts)
+        starts, ends = np.concatenate((starts, more[:, 0])), np.concatenate((ends, more[:, 1]))
     sizes = ends - starts
     classes = np.bincount(np.log2(sizes).astype(int), minlength=64) if len(sizes) else np.zeros(64, int)
     turns = np.flatnonzero(kind[1:] != kind[:-1]) + 1
@@ -249,10 +284,10 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
                 for i, runs in own.items():
                     body = raw[starts[i] : starts[i + 1] - 1]
                     points = np.concatenate(([0], np.cumsum((body & 0xC0) != 0x80)))
-                    base = out[first + i]
-                    for s, e in runs:
+                    # Longest first: a part only counts where the whole run does not.
+                    for s, e in sorted(runs, key=lambda v: (v[0] - v[1], v[0])):
                         a, b = int(points[s - starts[i]]), int(points[e - starts[i]])
-                        if all(b <= x or y <= a for x, y, _ in base):
+                        if all(b <= x or y <= a for x, y, _ in out[first + i]):
                             out[first + i] = [*out[first + i], (a, b, 3)]
                     out[first + i] = sorted(out[first + i], key=lambda v: (v[0], v[2], v[1]))
             yield rows, {"spans": [[{"start": s, "end": e, "kind": k} for s, e, k in one] for one in out]}

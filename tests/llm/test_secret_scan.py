@@ -64,6 +64,28 @@ def test_battery_finds_keys_and_leaves_writing(spark):
     assert len(hit) >= 36 and not any(found[i] for i in found if i >= 100)
 
 
+def test_keys_that_touch_a_name_a_sign_or_a_path(spark):
+    rng = random.Random(8)
+    before = ["AWS_ACCESS_VALUE=", "client_key=", "x?a=1&sig=", "some/long/path/name/", "internationalisation-", "deploy_name_live_"]
+    keys = [base64.b64encode(rng.randbytes(30)).decode() for _ in range(30)]
+    keys += ["".join(rng.choices(S.ENCODINGS["base62"], k=32)) for _ in range(30)]
+    rows = [(i * 60 + j, f"é {b}{k} end") for i, b in enumerate(before) for j, k in enumerate(keys)]
+    plain = ["a_name=AnotherCamelCasedIdentifierName", "some/Long/path-to/an_ordinary/File"]
+    rows += [(1000 + i, f"only {w} here") for i, w in enumerate(plain * 20)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    found = {r["row"]["doc_id"]: r["spans"] for r in S.find_secrets(docs, keep=["doc_id"]).collect()}
+    for i, b in enumerate(before):
+        at = 2 + len(b)
+        hit = [j for j, k in enumerate(keys) if any(s["start"] <= at and s["end"] >= at + len(k) for s in found[i * 60 + j])]
+        assert len(hit) >= 48, (b, len(hit))
+    assert not any(found[i] for i in found if i >= 1000)
+
+
+def test_parts_of_a_run():
+    run = b"A_NAME=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY=="
+    assert (7, len(run)) in S.parts_of(run) and S.parts_of(b"=" * 30) == S.parts_of(b"a" * 30) == []
+
+
 def test_redaction(spark):
     df = spark.createDataFrame(
         [("abcdefghij", [(2, 4, 0), (3, 5, 1), (8, 10, 3)]), ("é☃x", [(1, 2, 0)]), ("same", [])], f"t string, {S._SPANS}"
