@@ -1,19 +1,25 @@
-"""LM scoring: logistic mixing of hashed-context bit predictors, beside a count model of tokens.
+"""LM scoring: logistic mixing of context bit predictors, beside a count model of tokens.
 
 The model codes a text's bytes and an end mark bit by bit. For each order from 0
-to 5 a hashed table holds how often either bit followed the last bytes and the
-bits of the byte so far, counted over all training texts. The predictors'
-log-odds are mixed by weights that a gate picks (how well the two longest
-contexts are known, and the bit's place in the byte); the weights are learned
-online, bit by bit in small steps over the training text's distinct 6-grams by
-their counts, each predicted without its own occurrence. The mix is refined by an adaptive
-map from gate and mixed chance to what really came. The text's log10 chance and
-bits per byte are sums over its bytes.
-
-Tables are of fixed size (BUCKET_BITS): what a table of contexts holds is
-bounded, what is counted to fill it grows with the corpus. The token model
-counts all words of all training texts; frequent ones, at most MOST_TOKENS, are
-known to every worker, the others are joined.
+to 5 it knows exactly how often either bit followed the last bytes and the bits
+of the byte so far in all training texts. The predictors' log-odds are mixed by
+weights that a gate picks (how well the two longest contexts are known, and the
+bit's place in the byte); the weights are learned online, bit by bit in small
+steps over the training text's distinct 6-grams by their counts, each predicted
+without its own occurrence. The mix is refined by an adaptive map from gate and
+mixed chance to what really came. The text's log10 chance and bits per byte are
+sums over its bytes.
+
+What is counted grows with the corpus: the distinct 6-grams are dealt by their
+last three context bytes, so that a task has all of a context's grams for the
+orders 3 to 5 and counts by sums over sorted grams, without buckets. The counts of
+orders 0 to 2 (at most 2 ** 24, the alphabet's bound) are known to every worker.
+Each distinct gram of all texts gets its chance once; frequent grams, at most
+MOST_GRAMS, are known to every worker with their chances, the others are joined.
+Tokens alike: frequent ones, at most MOST_TOKENS, are known, the others joined.
+
+`fill_tables` and `log2_chances` are a form of fixed size (BUCKET_BITS) for
+callers who need one; contexts share its buckets, and no query uses it.
 
 Null texts are empty: one end token. Without training rows all counts are 0.
 Repeated rows are separate rows, also with the same id.
@@ -36,17 +42,20 @@ from .language import remainder
 
 #: Tokens with their counts that every worker knows, at most.
 MOST_TOKENS = 200_000
+#: Grams with their chances that every worker knows, at most: 48 MB.
+MOST_GRAMS = 3_000_000
+#: Grams in a pack, which has all grams of its contexts of three bytes.
+PACK_GRAMS = 1 << 14
 #: Distinct tokens and grams that a worker counts before it hands them on.
 COUNTED = 400_000
 #: Byte that stands before a text's first and after its last; UTF-8 has none.
 EDGE = 0xFF
-#: For each order the bits of the number of buckets; a bucket has the 15 nodes of half a byte.
+#: Of the form of fixed size, for each order the bits of the number of buckets; a bucket has the 15 nodes of half a byte.
 BUCKET_BITS = (5, 13, 16, 18, 19, 19)
 ORDERS = len(BUCKET_BITS)
 SEGMENT_BITS = 14
-#: Bytes looked at together, and grams whose chance a worker keeps.
+#: Bytes looked at together.
 SLAB = 2 << 20
-KEPT_GRAMS = 1_000_000
 GATES, MAP_BINS = 15 * 8, 33
 ROUNDS, STEP_GRAMS, RATE = 3, 512, 0.02
 
@@ -106,28 +115,90 @@ def _slabs(bodies: list) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return keys, counts
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return keys[first], np.add.reduceat(counts, first, axis=0)
 
 
-def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(gram, n): all 6-grams of bytes of the texts."""
+def pack_grams(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
+    """Rows (grams, n, m) of packed int64: 6-grams of the texts, how often they are learned, and how often they are there.
+
+    A row has all grams whose last three context bytes it has.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, counts = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
+
+        def out() -> pa.RecordBatch:
+            grams = keys.astype(np.int64)
+            return pa.RecordBatch.from_pydict({"context": grams >> 8 & 0xFFFFFF, "gram": grams, "n": counts[:, 0].copy(), "m": counts[:, 1].copy()})
+
         for batch in small(batches):
-            for _, part in _slabs(batch.column(0).to_pylist()):
-                new, n = np.unique(grams_of(part)[0], return_counts=True)
-                keys, counts = _summed(np.concatenate((keys, new)), np.concatenate((counts, n)))
+            learned = np.array(batch.column(1).to_pylist(), bool)
+            for at, part in _slabs(batch.column(0).to_pylist()):
+                every, _ = grams_of(part)
+                own = np.repeat(learned[at : at + len(part)], [len(b) + 1 for b in part])
+                new, places, m = np.unique(every, return_inverse=True, return_counts=True)
+                n = np.bincount(places, own, len(new)).astype(np.int64)
+                keys, counts = _summed(np.concatenate((keys, new)), np.concatenate((counts, np.stack((n, m), axis=1))))
                 if len(keys) > COUNTED:
-                    yield pa.RecordBatch.from_pydict({"gram": keys.astype(np.int64), "n": counts})
+                    yield out()
                     keys, counts = keys[:0], counts[:0]
-        yield pa.RecordBatch.from_pydict({"gram": keys.astype(np.int64), "n": counts})
+        yield out()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(own: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({name: [own[:, i].tobytes()] for i, name in enumerate(("grams", "n", "m"))})
+
+        held = np.zeros((0, 3), np.int64)
+        for batch in batches:
+            held = np.concatenate((held, np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)))
+            while len(held) >= PACK_GRAMS:
+                context = held[:, 0] >> 8 & 0xFFFFFF
+                ends = np.flatnonzero(context[1:] != context[:-1]) + 1
+                if not len(ends):
+                    break
+                end = ends[min(np.searchsorted(ends, PACK_GRAMS), len(ends) - 1)]
+                yield row(held[:end])
+                held = held[end:]
+        if len(held):
+            yield row(held)
+
+    body = docs.select(docs[text].cast("binary"), F.coalesce(learn, F.lit(False)))
+    parts = body.mapInArrow(scan, "context bigint, gram bigint, n bigint, m bigint").repartition("context")
+    # Contexts in the order of their hashes, so that a pack has contexts of all sorts to learn from.
+    counted = parts.groupBy("context", "gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    sorted_ = counted.sortWithinPartitions(F.xxhash64("context"), "context", "gram")
+    return sorted_.select("gram", "n", "m").mapInArrow(pack, "grams binary, n binary, m binary")
+
+
+def packs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            grams, n, m = (np.frombuffer(v, np.int64) for v in row)
+            yield grams.astype(np.uint64), n, m
+
+
+def _sums(keys: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted grams of an order (its context and a byte), and the sums of the counts before each."""
+    keys, n = _summed(keys & np.uint64((1 << 8 * (order + 1)) - 1), n)
+    return keys, np.concatenate(([0], np.cumsum(n)))
+
+
+def low_orders(packs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sums of orders 0 to 2 over all packs."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grams, n, _ in packs_of(batches):
+            keys, total = _summed(grams[n > 0] & np.uint64((1 << 24) - 1), n[n > 0])
+            yield pa.RecordBatch.from_pydict({"gram": keys.astype(np.int32), "n": total})
 
-    parts = docs.select(docs[text].cast("binary")).mapInArrow(scan, "gram bigint, n bigint")
-    return parts.groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = packs.mapInArrow(scan, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = rows.column(0).to_numpy().astype(np.uint64), rows.column(1).to_numpy().astype(np.int64)
+    return [_sums(keys, n, order) for order in range(3)]
 
 
 def _log_count(n: np.ndarray) -> np.ndarray:
@@ -197,29 +268,53 @@ class Bits(NamedTuple):
     bit: np.ndarray
 
 
-def bits_of(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, without: int) -> Iterator[Bits]:
+def _inputs(counts: list[tuple[np.ndarray, np.ndarray]], bit: np.ndarray, at: int, without: int) -> Bits:
+    inputs = np.ones((len(bit), ORDERS + 1), np.float32)
+    seen = []
+    for order, (n0, n1) in enumerate(counts):
+        if without:
+            n0 = np.where(bit == 0, np.maximum(n0 - without, 0), n0)
+            n1 = np.where(bit == 1, np.maximum(n1 - without, 0), n1)
+        inputs[:, order] = np.log((n1 + 0.3) / (n0 + 0.3))
+        if order >= ORDERS - 2:
+            seen.append(n0 + n1)
+    known = np.digitize(seen[1], (0.5, 1.5, 3.5, 15.5)) * 3 + np.digitize(seen[0], (0.5, 3.5))
+    return Bits(inputs, known * 8 + at, bit)
+
+
+def _walk(keys: np.ndarray, known: np.ndarray, sums: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Counts of zeros and ones after the context and the bits so far, for each bit of the grams' last bytes."""
+    # Grams that end alike are looked up once.
+    keys, places = np.unique(keys, return_inverse=True)
+    first = keys & ~np.uint64(255)
+    low, high = (sums[np.searchsorted(known, v)] for v in (first, first + np.uint64(256)))
+    for at in range(8):
+        half = np.uint64(128 >> at)
+        middle = sums[np.searchsorted(known, first + half)]
+        yield (middle - low)[places], (high - middle)[places]
+        one = (keys & half) > 0
+        first = np.where(one, first + half, first)
+        low, high = np.where(one, middle, low), np.where(one, high, middle)
+
+
+def bits_of(keys: np.ndarray, sums: list[tuple[np.ndarray, np.ndarray]], without: int) -> Iterator[Bits]:
     """The eight bits of the grams' last bytes; without: occurrences of its own that a gram does not count."""
+    walks = [_walk(keys & np.uint64((1 << 8 * (order + 1)) - 1), *own) for order, own in enumerate(sums)]
+    for at, counts in enumerate(zip(*walks, strict=True)):
+        yield _inputs(counts, ((keys >> np.uint64(7 - at)) & np.uint64(1)).astype(np.int64), at, without)
+
+
+def table_bits(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> Iterator[Bits]:
+    """bits_of by the tables of fixed size."""
     places = [_buckets(keys, order) for order in range(ORDERS)]
     byte = (keys & np.uint64(255)).astype(np.int64)
     for at in range(8):
-        bit = (byte >> (7 - at)) & 1
         if at < 4:
             node = (1 << at) | (byte >> (8 - at))
         else:
             node = (1 << (at - 4)) | ((byte >> (8 - at)) & ((1 << (at - 4)) - 1))
-        inputs = np.ones((len(keys), ORDERS + 1), np.float32)
-        seen = []
-        for order in range(ORDERS):
-            slot = places[order][at >= 4] * 16 + node
-            n0, n1 = _COUNT[zeros[slot]], _COUNT[ones[slot]]
-            if without:
-                n0 = np.where(bit == 0, np.maximum(n0 - without, 0), n0)
-                n1 = np.where(bit == 1, np.maximum(n1 - without, 0), n1)
-            inputs[:, order] = np.log((n1 + 0.3) / (n0 + 0.3))
-            if order >= ORDERS - 2:
-                seen.append(n0 + n1)
-        known = np.digitize(seen[1], (0.5, 1.5, 3.5, 15.5)) * 3 + np.digitize(seen[0], (0.5, 3.5))
-        yield Bits(inputs, known * 8 + at, bit)
+        slots = [own[at >= 4] * 16 + node for own in places]
+        yield _inputs([(_COUNT[zeros[slot]], _COUNT[ones[slot]]) for slot in slots], (byte >> (7 - at)) & 1, at, 0)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -233,24 +328,25 @@ def _map_place(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, place - low
 
 
-def _learn(grams: DataFrame, zeros: np.ndarray, ones: np.ndarray) -> Model:
-    """Mixing weights, a few rounds over all grams; each task learns online, tasks are averaged by what they saw."""
-    sc = grams.sparkSession.sparkContext
-    tables = sc.broadcast((zeros, ones))
+def _learn(packs: DataFrame, low) -> tuple[np.ndarray, np.ndarray]:
+    """Mixing weights and map, a few rounds over all grams; each task learns online, tasks are averaged by what they saw."""
     weights = np.full((GATES, ORDERS + 1), 0.25)
     weights[:, -1] = 0
 
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Iterator[Bits]]]:
+        for keys, n, _ in packs_of(batches):
+            keys, n = keys[n > 0], n[n > 0]
+            order = np.argsort(_mix(keys), kind="stable")
+            sums = [*low.value, *(_sums(keys, n, k) for k in range(3, ORDERS))]
+            yield n[order].astype(float), bits_of(keys[order], sums, 1)
+
     def learn(start: np.ndarray, rate: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, mass = start.copy(), np.zeros(GATES)
-            for batch in batches:
-                keys = batch.column(0).to_numpy().astype(np.uint64)
-                n = batch.column(1).to_numpy().astype(float)
-                order = np.argsort(_mix(keys), kind="stable")
-                keys, n = keys[order], n[order]
-                for b in bits_of(keys, *tables.value, 1):
-                    np.add.at(mass, b.gate, n)
-                    for at in range(0, len(keys), STEP_GRAMS):
+            for n, bits in learned(batches):
+                for b in bits:
+                    mass += np.bincount(b.gate, n, GATES)
+                    for at in range(0, len(n), STEP_GRAMS):
                         s = slice(at, at + STEP_GRAMS)
                         x, gate = b.inputs[s], b.gate[s]
                         wrong = b.bit[s] - _squash((x * own[gate]).sum(axis=1))
@@ -263,7 +359,7 @@ def _learn(grams: DataFrame, zeros: np.ndarray, ones: np.ndarray) -> Model:
 
     for turn in range(ROUNDS):
         total, mass = np.zeros_like(weights), np.zeros(GATES)
-        for r in grams.mapInArrow(learn(weights, RATE / (1 + turn)), "weights binary, mass binary").collect():
+        for r in packs.mapInArrow(learn(weights, RATE / (1 + turn)), "weights binary, mass binary").collect():
             m = np.frombuffer(r["mass"])
             total += np.frombuffer(r["weights"]).reshape(weights.shape) * m[:, None]
             mass += m
@@ -271,57 +367,50 @@ def _learn(grams: DataFrame, zeros: np.ndarray, ones: np.ndarray) -> Model:
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = np.zeros((2, GATES, MAP_BINS))
-        for batch in batches:
-            n = batch.column(1).to_numpy().astype(float)
-            for b in bits_of(batch.column(0).to_numpy().astype(np.uint64), *tables.value, 1):
-                low, share = _map_place((b.inputs * weights[b.gate]).sum(axis=1))
-                for place, part in ((low, 1 - share), (low + 1, share)):
-                    np.add.at(hits[0], (b.gate, place), n * part)
-                    np.add.at(hits[1], (b.gate, place), n * part * b.bit)
+        for n, bits in learned(batches):
+            for b in bits:
+                at, share = _map_place((b.inputs * weights[b.gate]).sum(axis=1))
+                for place, part in ((at, 1 - share), (at + 1, share)):
+                    place = b.gate * MAP_BINS + place
+                    hits[0] += np.bincount(place, n * part, GATES * MAP_BINS).reshape(GATES, MAP_BINS)
+                    hits[1] += np.bincount(place, n * part * b.bit, GATES * MAP_BINS).reshape(GATES, MAP_BINS)
         yield pa.RecordBatch.from_pydict({"hits": [hits.tobytes()]})
 
     hits = np.zeros((2, GATES, MAP_BINS))
-    for r in grams.mapInArrow(observe, "hits binary").collect():
+    for r in packs.mapInArrow(observe, "hits binary").collect():
         hits += np.frombuffer(r["hits"]).reshape(hits.shape)
     prior = _squash(np.linspace(-8, 8, MAP_BINS))
-    tables.unpersist()
-    return Model(zeros, ones, weights, (hits[1] + 8 * prior) / (hits[0] + 8))
+    return weights, (hits[1] + 8 * prior) / (hits[0] + 8)
 
 
-def log2_chances(model: Model, keys: np.ndarray) -> np.ndarray:
-    """log2 of the chance of each gram's last byte after those before it."""
-    total = np.zeros(len(keys))
-    for b in bits_of(keys, model.zeros, model.ones, 0):
-        x = (b.inputs * model.weights[b.gate]).sum(axis=1)
+def _log2(bits: Iterator[Bits], size: int, weights: np.ndarray, refine: np.ndarray) -> np.ndarray:
+    total = np.zeros(size)
+    for b in bits:
+        x = (b.inputs * weights[b.gate]).sum(axis=1)
         low, share = _map_place(x)
-        refined = model.refine[b.gate, low] * (1 - share) + model.refine[b.gate, low + 1] * share
+        refined = refine[b.gate, low] * (1 - share) + refine[b.gate, low + 1] * share
         p = np.clip((_squash(x) + refined) / 2, 1e-6, 1 - 1e-6)
         total += np.log2(np.where(b.bit == 1, p, 1 - p))
     return total
 
 
-class _Chances:
-    """log2_chances with the grams of earlier texts at hand."""
+def log2_chances(model: Model, keys: np.ndarray) -> np.ndarray:
+    """log2 of the chance of each gram's last byte after those before it, by the tables of fixed size."""
+    return _log2(table_bits(keys, model.zeros, model.ones), len(keys), model.weights, model.refine)
+
+
+def gram_chances(packs: DataFrame) -> DataFrame:
+    """(gram, m, bits): how often each distinct gram is there, log2 of its chance."""
+    low = packs.sparkSession.sparkContext.broadcast(low_orders(packs))
+    weights, refine = _learn(packs, low)
 
-    def __init__(self, model: Model) -> None:
-        self.model, self.keys, self.values = model, np.zeros(0, np.uint64), np.zeros(0)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n, m in packs_of(batches):
+            sums = [*low.value, *(_sums(keys[n > 0], n[n > 0], k) for k in range(3, ORDERS))]
+            bits = _log2(bits_of(keys, sums, 0), len(keys), weights, refine)
+            yield pa.RecordBatch.from_pydict({"gram": keys.astype(np.int64), "m": m, "bits": bits})
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        out = np.empty(len(keys))
-        out[known] = self.values[at[known]]
-        new = keys[~known]
-        if len(new):
-            out[~known] = np.concatenate([log2_chances(self.model, new[i : i + (1 << 16)]) for i in range(0, len(new), 1 << 16)])
-            if len(self.keys) + len(new) > KEPT_GRAMS:
-                self.keys, self.values = self.keys[:0], self.values[:0]
-            merged = np.concatenate((self.keys, new))
-            order = np.argsort(merged, kind="stable")
-            self.keys, self.values = merged[order], np.concatenate((self.values, out[~known]))[order]
-        return out
+    return packs.mapInArrow(scan, "gram bigint, m bigint, bits double")
 
 
 def tokens(body: bytes | None) -> list[bytes]:
@@ -352,7 +441,7 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def score_texts(
-    docs: DataFrame, learn: Column, text: str = "text", keep: list[str] | None = None, most_tokens: int = MOST_TOKENS
+    docs: DataFrame, learn: Column, text: str = "text", keep: list[str] | None = None, most_tokens: int = MOST_TOKENS, most_grams: int = MOST_GRAMS
 ) -> DataFrame:
     """Rows (row, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every text.
 
@@ -360,7 +449,7 @@ def score_texts(
     """
     sc = docs.sparkSession.sparkContext
     training = docs.where(learn)
-    grams = written(count_grams(training, text))
+    chances = written(gram_chances(written(pack_grams(docs, learn, text))))
     counts = written(count_tokens(training, text))
     ends = training.count()
     n_words, n_kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("token")).head()
@@ -368,15 +457,20 @@ def score_texts(
     below = math.log10(n_all + 0.1 * (kinds + 1))
     frequent = counts.where(F.col("n") >= hot_threshold(counts, "n", most_tokens))
     known = sc.broadcast({bytes(r["token"]): math.log10(r["n"] + 0.1) - below for r in frequent.collect()})
-    model = sc.broadcast(_learn(grams, *fill_tables(grams)))
+    often = chances.where(F.col("m") >= hot_threshold(chances, "m", most_grams)).select("gram", "bits").toArrow()
+    grams, bits_of_gram = often.column(0).to_numpy(), often.column(1).to_numpy()
+    order = np.argsort(grams, kind="stable")
+    # A last gram that no text has: every search ends inside.
+    model = sc.broadcast((np.append(grams[order], 1 << 62), np.append(bits_of_gram[order], 0.0)))
+    del often, grams, bits_of_gram, order
     end_score = math.log10(ends + 0.1) - below
 
     def scan(batches):
         values = known.value
-        chances = _Chances(model.value)
+        grams, bits_of_gram = model.value
         for rows, column in batches:
             bodies = column.to_pylist()
-            out = {"n_tokens": [], "n_known": [], "base": [], "rare": [], "score": [], "bits_per_byte": []}
+            out = {"n_tokens": [], "n_known": [], "base": [], "rare": [], "bits": [], "bytes": [], "rare_grams": []}
             for body in bodies:
                 n = Counter(tokens(body))
                 rare = [(t, k) for t, k in n.items() if t not in values]
@@ -387,13 +481,21 @@ def score_texts(
                 out["rare"].append([{"token": t, "n": k} for t, k in rare])
             for _, part in _slabs(bodies):
                 keys, starts = grams_of(part)
-                different, places = np.unique(keys, return_inverse=True)
-                bits = np.add.reduceat(chances(different)[places], starts)
-                out["score"] += (bits * math.log10(2)).tolist()
-                out["bits_per_byte"] += (-bits / np.maximum(1, [len(b) for b in part])).tolist()
+                keys = keys.astype(np.int64)
+                at = np.searchsorted(grams, keys)
+                there = grams[at] == keys
+                out["bits"] += np.add.reduceat(np.where(there, bits_of_gram[at], 0.0), starts).tolist()
+                out["bytes"] += [len(b) for b in part]
+                text_of = np.repeat(np.arange(len(part)), [len(b) + 1 for b in part])[~there]
+                rest = keys[~there]
+                cuts = np.searchsorted(text_of, np.arange(len(part) + 1))
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    own, n = np.unique(rest[i:j], return_counts=True)
+                    out["rare_grams"].append([{"gram": g, "n": k} for g, k in zip(own.tolist(), n.tolist(), strict=True)])
             yield rows, out
 
-    fields = "n_tokens bigint, n_known bigint, base double, rare array<struct<token:binary,n:bigint>>, score double, bits_per_byte double"
+    fields = "n_tokens bigint, n_known bigint, base double, rare array<struct<token:binary,n:bigint>>, bits double, bytes bigint"
+    fields += ", rare_grams array<struct<gram:bigint,n:bigint>>"
     part = written(map_text(docs, scan, fields, text, keep).withColumn("line", F.monotonically_increasing_id()))
     rare = part.select("line", F.explode("rare").alias("r")).select("line", "r.token", F.col("r.n").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))
@@ -405,14 +507,18 @@ def score_texts(
             F.sum(F.col("times") * (F.log10(c + 0.1) - below)).alias("more"),
         )
     )
-    return part.join(rare, "line", "left").select(
+    rest = part.select("line", F.explode("rare_grams").alias("r")).select("line", "r.gram", F.col("r.n").alias("times"))
+    rest = rest.join(chances.select("gram", F.col("bits").alias("own")), "gram").groupBy("line")
+    rest = rest.agg(F.sum(F.col("times") * F.col("own")).alias("more_bits"))
+    bits = F.col("bits") + F.coalesce("more_bits", F.lit(0.0))
+    return part.join(rare, "line", "left").join(rest, "line", "left").select(
         "row",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
-        "bits_per_byte",
+        (bits * math.log10(2)).alias("score"),
+        (-bits / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
     )
 
 

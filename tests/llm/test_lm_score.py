@@ -65,5 +65,37 @@ def test_learning_helps(spark):
     assert got[29] < 1 and got[99] > 4
 
 
+def test_counts_of_all_orders_as_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 101, rng.integers(0, 400)).astype(np.uint8)).decode() for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2)
+    rows = lm_score.pack_grams(docs, docs["doc_id"] % 3 != 0).collect()
+    packs = [(np.frombuffer(r["grams"], np.int64).astype(np.uint64), np.frombuffer(r["n"], np.int64)) for r in rows]
+    low = lm_score.low_orders(spark.createDataFrame(rows, "grams binary, n binary, m binary"))
+    every = Counter(k for i, t in enumerate(texts) if i % 3 for k in lm_score.grams_of([t.encode()])[0].tolist())
+    for keys, n in packs:
+        sums = [*low, *(lm_score._sums(keys, n, k) for k in range(3, lm_score.ORDERS))]
+        for order, own in enumerate(sums):
+            mask = (1 << 8 * (order + 1)) - 1
+            known = Counter()
+            for k, times in every.items():
+                for at in range(8):
+                    known[(k & mask) >> (7 - at), at] += times
+            some = keys[:: max(1, len(keys) // 40)] & np.uint64(mask)
+            for at, (n0, n1) in enumerate(lm_score._walk(some, *own)):
+                node = [int(k) >> (8 - at) << 1 for k in some]
+                assert n0.tolist() == [known[v, at] for v in node] and n1.tolist() == [known[v + 1, at] for v in node]
+
+
+def test_known_and_joined_grams_score_alike(spark):
+    rows = [(i, " ".join(f"w{(i * j) % 37}" for j in range(40))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(1)
+    got = [
+        {r["row"]["doc_id"]: r["score"] for r in lm_score.score_texts(docs, docs["doc_id"] < 15, keep=["doc_id"], most_grams=n).collect()}
+        for n in (5, 10_000)
+    ]
+    assert all(math.isclose(got[0][i], got[1][i], rel_tol=1e-9) for i in range(20))
+
+
 def test_without_rows(spark, tables):
     assert lm_score.op2_lm_score(spark, tables[1]).count() == 0
