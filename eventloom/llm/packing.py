@@ -18,6 +18,8 @@ names can't clash. An empty table gives no pieces.
 from __future__ import annotations
 
 import bisect
+import re
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,39 +32,133 @@ from .common import map_text, table, written
 
 CAPACITY = 4096
 #: Words of at most WORD_BYTES are encoded once while they are in a cache of WORDS of them.
-WORDS, WORD_BYTES = 200_000, 64
+WORDS, WORD_BYTES = 500_000, 64
+#: Bytes of text that are split into words at a time.
+PORTION = 1 << 20
 #: Pieces that are numbered in one group, on average.
 BUCKET_ROWS = 200_000
 PIECE = "piece int, start bigint, length bigint, ids binary"
 
 
+#: A word that stands between words that are encoded together.
+_BETWEEN = "\ue000"
+_WHITE = re.compile(rb"[ \t-\r]")
+#: Latin letters, precomposed and with one lower-case letter each, and a mark behind them.
+_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ſ]+)([.,;:!?]?)")
+
+
 class Encoder:
-    """Ids of whole texts, word by word.
+    """Ids of whole texts, word by word, as little-endian bytes.
 
     The tokenizer never joins over white space, so a text's ids are those of
-    its parts between ASCII white space; frequent parts are encoded once.
+    its parts between ASCII white space. Parts are encoded many at a time, and
+    those of at most WORD_BYTES bytes once, while the cache has them. Latin
+    letters and the mark behind them are ids of their own; lower-case letters
+    need no normalising, and their last id says that it ends a word.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        whole, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        bare.normalizer = normalizers.Sequence([])
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.encode, self.bare = whole.encode_batch_fast, bare.encode_batch_fast
+        self.known: dict[bytes, bytes] = {}
+        self.between = self._ids(_BETWEEN)
+        self.ends = np.zeros(whole.get_vocab_size(), bool)
+        self.ends[[i for t, i in whole.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.encode([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _of_letters(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of lower-case letters."""
+        for found in self.bare([" ".join(words[at : at + 500]) for at in range(0, len(words), 500)], add_special_tokens=False):
+            ids = np.asarray(found.ids, "<u4")
+            yield from _cut(ids.tobytes(), np.flatnonzero(self.ends[ids]) + 1, 0)
+
+    def _of_any(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words that don't hold the word between."""
+        n = len(self.between)
+        texts = [f" {_BETWEEN} ".join([*words[at : at + 500], ""]) for at in range(0, len(words), 500)]
+        for found in self.encode(texts, add_special_tokens=False):
+            ids = np.asarray(found.ids, "<u4")
+            at = np.all([ids[i : len(ids) - n + 1 + i] == x for i, x in enumerate(self.between)], axis=0)
+            yield from _cut(ids.tobytes(), np.flatnonzero(at), n)
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Put words into the cache; returns those that are too long for it."""
+        own, known = _BETWEEN.encode(), self.known
+        single = [w for w in words if len(w) > WORD_BYTES or own in w]
+        plain, other = {}, []
+        for word in words.difference(single):
+            text = word.decode()
+            if found := _LETTERS.fullmatch(text):
+                plain[word] = found[1].lower().encode(), found[2].encode()
+            else:
+                other.append((word, text))
+        letters = list({w for w, _ in plain.values()}.difference(known))
+        known.update(zip(letters, self._of_letters([w.decode() for w in letters]), strict=True))
+        known.update(zip([w for w, _ in other], self._of_any([t for _, t in other]), strict=True))
+        for mark in {m for _, m in plain.values()}.difference(known):
+            known[mark] = self._ids(mark.decode()).tobytes()
+        known.update([(w, known[a] + known[b]) for w, (a, b) in plain.items()])
+        alone = self.encode([w.decode() for w in single], add_special_tokens=False)
+        return {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(single, alone, strict=True)}
+
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        words = [_words(t or b"") for t in texts]
+        every = set().union(*words)
+        if len(self.known) > WORDS:
+            # Words that are in use now stay.
+            self.known = {w: self.known[w] for w in every.intersection(self.known)}
+        long = self._learn(every.difference(self.known))
+        get = ChainMap(self.known, long).__getitem__ if long else self.known.__getitem__
+        return [b"".join(map(get, row)) for row in words]
 
-        self.encode = Tokenizer.from_file(path).encode_batch
-        self.known: dict[bytes, np.ndarray] = {}
 
-    def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        words = [(t or b"").split() for t in texts]
-        if len(self.known) > WORDS:
-            self.known.clear()
-        new = list({w for row in words for w in row if w not in self.known})
-        own = {}
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, found in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False)):
-                own[word] = np.asarray(found.ids, "<u4")
-        self.known.update((w, ids) for w, ids in own.items() if len(w) <= WORD_BYTES)
-        found = {**self.known, **own} if any(len(w) > WORD_BYTES for w in own) else self.known
-        empty = np.zeros(0, "<u4")
-        return [np.concatenate([found[w] for w in row]) if row else empty for row in words]
+def _cut(raw: bytes, ends: np.ndarray, skipped: int) -> Iterator[bytes]:
+    """Parts of ids up to each end, some ids after which belong to no part."""
+    start = 0
+    for end in ends.tolist():
+        yield raw[4 * start : 4 * end]
+        start = end + skipped
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder; tasks that follow find its cache as it was."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def _words(body: bytes) -> list[bytes]:
+    """The parts between white space; letters of ASCII texts in lower case, as the tokenizer makes them anyway."""
+    return (body.lower() if body.isascii() else body).split()
+
+
+def _portions(bodies: list[bytes | None]) -> Iterator[list[tuple[int, bytes]]]:
+    """(number of the text, bytes of it) in portions of about PORTION bytes; long texts are cut at white space."""
+    out, size = [], 0
+    for n, body in enumerate(bodies):
+        body, at = body or b"", 0
+        while True:
+            cut = _WHITE.search(body, at + PORTION) if len(body) - at > PORTION else None
+            end = cut.start() if cut else len(body)
+            out.append((n, body[at:end]))
+            size += end - at
+            if size >= PORTION:
+                yield out
+                out, size = [], 0
+            if not cut:
+                break
+            at = end
+    if out:
+        yield out
 
 
 def pieces_of(docs: DataFrame, path: str, end: int = 1, capacity: int = CAPACITY, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -72,21 +168,25 @@ def pieces_of(docs: DataFrame, path: str, end: int = 1, capacity: int = CAPACITY
     """
 
     def scan(batches: Iterator) -> Iterator:
-        encode = Encoder(path)
+        encode, last = encoder_of(path), np.uint32(end).tobytes()
+        width = 4 * capacity
         for rows, body in batches:
-            # Few texts at a time, so that few are words and ids at once.
-            for at in range(0, len(rows), 100):
-                own, parts = [], []
-                for n, ids in enumerate(encode(body.slice(at, 100).to_pylist())):
-                    ids = np.append(ids, np.uint32(end)).astype("<u4")
-                    for start in range(0, len(ids), capacity):
-                        own.append(at + n)
-                        parts.append((start, ids[start : start + capacity]))
-                starts = np.array([s for s, _ in parts], np.int64)
-                yield rows.take(pa.array(own, pa.int64())), {
-                    "piece": pa.array(starts // capacity, pa.int32()), "start": pa.array(starts, pa.int64()),
-                    "length": pa.array([len(i) for _, i in parts], pa.int64()), "ids": pa.array([i.tobytes() for _, i in parts], pa.binary()),
-                }
+            whole: dict[int, list[bytes]] = {n: [] for n in range(len(rows))}
+            for portion in _portions(body.to_pylist()):
+                for (n, _), ids in zip(portion, encode([t for _, t in portion]), strict=True):
+                    whole[n].append(ids)
+            own, starts, parts = [], [], []
+            for n, ids in whole.items():
+                ids = b"".join([*ids, last])
+                for at in range(0, len(ids), width):
+                    own.append(n)
+                    starts.append(at // 4)
+                    parts.append(ids[at : at + width])
+            starts = np.array(starts, np.int64)
+            yield rows.take(pa.array(own, pa.int64())), {
+                "piece": pa.array(starts // capacity, pa.int32()), "start": pa.array(starts, pa.int64()),
+                "length": pa.array([len(p) // 4 for p in parts], pa.int64()), "ids": pa.array(parts, pa.binary()),
+            }
 
     return map_text(docs, scan, PIECE, text, keep)
 

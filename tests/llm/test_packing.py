@@ -97,10 +97,19 @@ def test_query_as_brute_force(spark, tables, docs, monkeypatch):
     assert packing.op12_packing(spark, tables[1]).count() == 0
 
 
-@pytest.mark.parametrize("text", ["don't WE'LL\x1cno\x85x y  ", "é ́a ΣΑΣ ΣΑΣ", "<|endoftext|>a b<|startoftext|> <|end oftext|>", "　中文 12345", "ab" * 9000])
+@pytest.mark.parametrize("text", ["don't WE'LL\x1cno\x85x y  ", "é ́a ΣΑΣ ΣΑΣ", "<|endoftext|>a b<|startoftext|> <|end oftext|>", "　中文 12345", "ab" * 9000, "a\ue000 \ue000 B\ue000c !\ue000 d", "AbC DeF'S H̱ x", "Don't. é. a.. É, x!? 1. É… …. q;"])
 def test_word_by_word_as_whole(text):
     whole = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
-    assert packing.Encoder(PATH)([text.encode(), None])[0].tolist() == whole
+    assert np.frombuffer(packing.Encoder(PATH)([text.encode(), None])[0], "<u4").tolist() == whole
+
+
+def test_long_texts_in_portions(monkeypatch):
+    monkeypatch.setattr(packing, "PORTION", 50)
+    texts = [b"a b " * 400, None, b"x" * 300, b"", b"one two"]
+    portions = list(packing._portions(texts))
+    assert len(portions) > 20
+    for n, text in enumerate(texts):
+        assert b" ".join(t for p in portions for m, t in p if m == n).split() == (text or b"").split()
 
 
 def test_whole_sequences(spark, docs):
