@@ -11,19 +11,23 @@ Title similarity is the Ratcliff-Obershelp ratio 2M/(la+lb), M being the
 number of characters in matching blocks. It is costly and cannot be indexed,
 so records meet only in blocks that no match can miss:
 
-    d:day   p:place   g:grid cell   c:day and grid cell
+    d:some days   p:place   g:grid cell
 
 Equal URLs need no pairs at all: who shares one is settled by the least rank
 per URL (see `resolve`).
 
-and a pair leaves its block only if cheap upper bounds on M allow the ratio
-the rule asks for. The bounds run inside the join, so rejected pairs are
-never written or shuffled. Only what is left reaches the Python function.
+Rows meet in blocks without their titles, with a signature of fixed size, and a
+pair leaves its block only if upper bounds on M allow the ratio the rule asks
+for. The bounds run inside the join, so rejected pairs are never written or
+shuffled. Of what is left, each pair of different titles is looked at once:
+titles up to SHORT_TITLE characters by their edit distance, then all by their
+longest common subsequence, and only the rest by the ratio itself.
 """
 
 from __future__ import annotations
 
 import datetime
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -46,14 +50,20 @@ from eventloom.schemas import (
     URL_RULE,
 )
 
-CELL_DEGREES = GEO_KM / KM_PER_DEGREE
+# Blocks as wide as twice what the rules look at: a record finds all in a few of them.
+CELL_DEGREES = 2 * GEO_KM / KM_PER_DEGREE
+DAY_STEP = TITLE_DATE_DAYS + 1
 
 # A block with more rows is split over several tasks; a sort-merge join keeps
 # this many rows of a key in its fast in-memory buffer. A task gets about
 # TASK_PAIRS pairs to look at.
-HOT_BLOCK_ROWS = 4_000
-TASK_PAIRS = 20_000_000
+HOT_BLOCK_ROWS = 1_000
+TASK_PAIRS = 1_000_000
 PAIR_WORDS = 4
+TITLE_WORDS = 16
+
+# Titles whose edit distance is worth its time, which grows with the square of the length.
+SHORT_TITLE = 256
 
 # What match rules look at; records equal in all of these are interchangeable.
 CONTENT = ["title_n", "start_dt", "place_n", "lat", "lon"]
@@ -97,24 +107,135 @@ def similarity_udf():
     return ratio
 
 
+def common_letters(a: str, where: dict[str, int], n: int) -> int:
+    """Length of the longest common subsequence of a and a text of n letters, given as bits of each letter's places.
+
+    No matching blocks hold more letters.
+    """
+    full = (1 << n) - 1
+    left = full
+    for letter in a:
+        here = left & where.get(letter, 0)
+        left = ((left + here) | (left - here)) & full
+    return n - left.bit_count()
+
+
+def rare_places(text: str) -> dict[str, list[int]] | None:
+    """Where the letters stand that a matching block of a long later text must hold one of; None for a short one.
+
+    From 200 letters on, letters that make up more than a hundredth of the later text begin no block.
+    """
+    n = len(text)
+    if n < 200:
+        return None
+    places: dict[str, list[int]] = {}
+    for i, letter in enumerate(text):
+        places.setdefault(letter, []).append(i)
+    return {x: at for x, at in places.items() if len(at) <= n // 100 + 1}
+
+
+def most_around_rare(a: str, b: str, rare: dict[str, list[int]], enough: float) -> float:
+    """At least the letters in matching blocks of a and a long b, as far as it takes to know that they are not enough.
+
+    Every block but one at the very beginning holds a rare letter of b; blocks
+    don't overlap, so the longest common runs around all rare places add up to more.
+    """
+    n, m = len(a), len(b)
+    total = 0
+    while total < min(n, m) and a[total] == b[total]:
+        total += 1
+    for letter, places in rare.items():
+        own, at = [], a.find(letter)
+        while at >= 0:
+            own.append(at)
+            at = a.find(letter, at + 1)
+        for j in places:
+            longest = 0
+            for i in own:
+                x, y = i, j
+                while x and y and a[x - 1] == b[y - 1]:
+                    x -= 1
+                    y -= 1
+                p, q = i + 1, j + 1
+                while p < n and q < m and a[p] == b[q]:
+                    p += 1
+                    q += 1
+                if p - x > longest:
+                    longest = p - x
+            total += longest
+        if total > enough:
+            break
+    return total
+
+
+class BoundedRatio:
+    """The Ratcliff-Obershelp ratio where it exceeds a bound, else 0; what is known of the right text is kept for the next call."""
+
+    def __init__(self):
+        from difflib import SequenceMatcher
+
+        self.matcher, self.right, self.matched = SequenceMatcher(None), None, False
+        self.where: dict[str, int] = {}
+        self.rare: dict[str, list[int]] | None = None
+
+    def above(self, left: str, right: str, bound: float) -> float:
+        if left == right:
+            return 1.0
+        needed = bound * (len(left) + len(right)) / 2
+        if min(len(left), len(right)) <= needed:
+            return 0.0
+        if right != self.right:
+            self.right, self.matched, self.rare, self.where = right, False, rare_places(right), {}
+            if self.rare is None:
+                for i, letter in enumerate(right):
+                    self.where[letter] = self.where.get(letter, 0) | 1 << i
+        if self.rare is None:
+            most = common_letters(left, self.where, len(right))
+        else:
+            most = most_around_rare(left, right, self.rare, needed)
+        if most <= needed:
+            return 0.0
+        if not self.matched:
+            self.matcher.set_seq2(right)
+            self.matched = True
+        self.matcher.set_seq1(left)
+        found = self.matcher.ratio()
+        return found if found > bound else 0.0
+
+
+def bounded_similarity_udf():
+    """The ratio of `similarity_udf` where it exceeds the third argument, else 0."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a, b, least):
+        import pandas as pd
+
+        above = BoundedRatio().above
+        return pd.Series([above(*row) for row in zip(a, b, least)], dtype="float64")
+
+    return ratio
+
+
 def with_signature(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Add sets of the characters and character pairs of a text, as bit masks.
+    """Add sets of the characters and of the numbered character pairs of a text, as bit masks.
 
-    {prefix}_len, {prefix}_c (64 bits), {prefix}_p0.. (256 bits), and the parts
+    {prefix}_len, {prefix}_c (64 bits), {prefix}_p0.. (64 bits each), and the parts
     of the length the masks do not account for: {prefix}_c_free, {prefix}_p_free.
+    The second time that a pair occurs it counts as another one, and so on.
     """
     words = [f"{prefix}_p{w}" for w in range(PAIR_WORDS)]
 
     def mask(items: str) -> Column:
         return F.expr(f"aggregate({items}, 0L, (acc, h) -> acc | shiftleft(1L, cast(pmod(h, 64) as int)))")
 
-    pairs = F.expr(
-        "transform(slice(_chars, 2, greatest(size(_chars) - 1, 0)), (c, i) -> xxhash64(concat(get(_chars, i), c)))"
-    )
+    hashes = "transform(slice(_chars, 2, greatest(size(_chars) - 1, 0)), (c, i) -> xxhash64(concat(get(_chars, i), c)))"
+    # Sorted, equal pairs stand together; beyond the eighth they are not told apart.
+    number = " + ".join(f"cast(get(_pairs, i - {n}) <=> h as int)" for n in range(1, 8))
     return (
         df.withColumn(f"{prefix}_len", F.length(text))
         .withColumn("_chars", F.split(F.col(text), ""))
-        .withColumn("_pairs", pairs)
+        .withColumn("_pairs", F.expr(f"array_sort({hashes})"))
+        .withColumn("_pairs", F.expr(f"transform(_pairs, (h, i) -> xxhash64(h, {number}))"))
         .withColumn(f"{prefix}_c", mask("transform(_chars, c -> xxhash64(c))"))
         .withColumns({c: mask(f"filter(_pairs, h -> pmod(shiftright(h, 8), {PAIR_WORDS}) = {w})") for w, c in enumerate(words)})
         .withColumn(f"{prefix}_c_free", F.expr(f"{prefix}_len - bit_count({prefix}_c)"))
@@ -123,15 +244,14 @@ def with_signature(df: DataFrame, text: str, prefix: str) -> DataFrame:
     )
 
 
-def may_exceed(text: str, prefix: str, least: str) -> Column:
-    """Necessary condition for ratio(l.text, r.text) > least, from cheap to costly.
+def may_exceed(prefix: str, least: str, pair_words: int = PAIR_WORDS) -> Column:
+    """Necessary condition for a ratio of the texts of l and r > least, from their signatures.
 
     With S = la + lb, the ratio exceeds `least` only if 2M > least * S. Every
     character of one side missing in the other is unmatched. M characters in
     k blocks hold M - k character pairs in common, and blocks are separated by
     unmatched characters, so k <= 1 + S - 2M; hence 3M <= S + la - (pairs of
-    one side missing in the other). The edit distance is at most the number of
-    unmatched characters S - 2M.
+    one side missing in the other).
 
     The expression runs once per pair looked at: it stays small enough to be
     compiled, and takes one bit count per mask word.
@@ -144,15 +264,21 @@ def may_exceed(text: str, prefix: str, least: str) -> Column:
         return f"least(l.{prefix}_{column}, r.{prefix}_{column})"
 
     total = f"(l.{prefix}_len + r.{prefix}_len)"
-    pairs = " + ".join(shared(f"p{w}") for w in range(PAIR_WORDS))
-    edits = f"cast(ceil((1D - {least}) * {total}) - 1 as int)"
+    pairs = " + ".join(shared(f"p{w}") for w in range(pair_words))
     return F.expr(
-        f"2 * ({smaller('c_free')} + {shared('c')}) > {least} * {total}"
+        f"2 * {smaller('len')} > {least} * {total}"
+        f" AND 2 * ({smaller('c_free')} + {shared('c')}) > {least} * {total}"
         f" AND 2 * ({smaller('p_free')} + {pairs} + {total}) > 3 * {least} * {total}"
-        f" AND levenshtein(l.{text}, r.{text}, {edits}) >= 0"
     )
 
 
+def few_edits(a: str, b: str, least: str) -> Column:
+    """Necessary condition for a ratio of short texts > least: at most as many edits as unmatched characters, S - 2M."""
+    total = f"(length({a}) + length({b}))"
+    edits = f"cast(ceil((1D - {least}) * {total}) - 1 as int)"
+    return F.expr(f"{total} > {2 * SHORT_TITLE} OR levenshtein({a}, {b}, {edits}) >= 0")
+
+
 # -- blocked join -------------------------------------------------------------
 
 
@@ -227,8 +353,9 @@ def similar_places(places: DataFrame, threshold: float = PLACE_SIM, metric=None,
     left = names.withColumn("blk", F.col("band"))
     right = names.withColumn("blk", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     sizes = block_sizes(left.select("blk"), hot_rows)
-    pairs = blocked_join(left, right, may_exceed("place", "p", f"{threshold}D"), sizes)
+    pairs = blocked_join(left, right, may_exceed("p", f"{threshold}D"), sizes)
     pairs = pairs.select(F.col("l.place").alias("place_l"), F.col("r.place").alias("place_r"))
+    pairs = pairs.filter(few_edits("place_l", "place_r", f"{threshold}D"))
     return pairs.withColumn("place_sim", metric("place_l", "place_r")).filter(F.col("place_sim") > threshold)
 
 
@@ -257,17 +384,82 @@ def match_features(
     )
 
 
+def title_bits_udf():
+    """Bit masks of a title's letters (the first) and of its numbered pairs of letters (the others)."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def bits(titles):
+        import numpy as np
+        import pandas as pd
+
+        def mixed(x):
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            return x ^ (x >> np.uint64(29))
+
+        out = []
+        for title in titles:
+            letters = np.frombuffer((title or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
+            words = np.zeros(TITLE_WORDS + 1, np.uint64)
+            np.bitwise_or.at(words, np.zeros(len(letters), int), np.uint64(1) << (mixed(letters) & np.uint64(63)))
+            if len(letters) > 1:
+                pairs = np.sort(letters[:-1] << np.uint64(32) | letters[1:])
+                at = np.arange(len(pairs))
+                first = np.maximum.accumulate(np.where(np.concatenate(([True], pairs[1:] != pairs[:-1])), at, 0))
+                hashes = mixed(mixed(pairs) + (at - first).astype(np.uint64))
+                place = 1 + (hashes >> np.uint64(8)) % np.uint64(TITLE_WORDS)
+                np.bitwise_or.at(words, place.astype(int), np.uint64(1) << (hashes & np.uint64(63)))
+            out.append(words.view(np.int64))
+        return pd.Series(out)
+
+    return bits
+
+
+def with_title(feats: DataFrame) -> DataFrame:
+    """Features with title_id and the signature of the title: what goes from block to block is of fixed size.
+
+    The signature is that of `with_signature` with TITLE_WORDS words; every
+    further time that a pair of letters occurs it counts as another one.
+    """
+    pairs = [f"t_p{w}" for w in range(TITLE_WORDS)]
+    return (
+        feats.withColumns({"t_len": F.length("title_n"), "title_id": F.unhex(F.md5("title_n")), "_bits": title_bits_udf()("title_n")})
+        .withColumns({c: F.get("_bits", F.lit(w)) for w, c in enumerate(["t_c", *pairs])})
+        .withColumn("t_c_free", F.expr("t_len - bit_count(t_c)"))
+        .withColumn("t_p_free", F.expr("t_len - " + " - ".join(f"bit_count({c})" for c in pairs)))
+        .drop("_bits")
+    )
+
+
+def titles_of(feats: DataFrame) -> DataFrame:
+    """(title_id, title_n) of every title once."""
+    return feats.filter("title_n <> ''").groupBy("title_id").agg(F.min("title_n").alias("title_n"))
+
+
+TITLE = ["title_id", "t_len", "t_c", *[f"t_p{w}" for w in range(TITLE_WORDS)], "t_c_free", "t_p_free"]
+
+
+def _known(df: DataFrame) -> DataFrame:
+    """Signature columns that can't be null: without tests for it the condition of the join stays small enough to be compiled."""
+    return df.withColumns({c: F.coalesce(c, F.lit(0).cast(df.schema[c].dataType)) for c in TITLE if c != "title_id"})
+
+
+def _cell(degrees: str, more: str = "") -> str:
+    return f"cast(floor(({degrees}{more}) / {CELL_DEGREES}D) as bigint)"
+
+
+def _day(more: str = "") -> str:
+    return f"cast(floor((unix_date(start_dt){more}) / {DAY_STEP}) as int)"
+
+
 def _own_blocks(df: DataFrame) -> DataFrame:
     """One row per record and block it lives in; a block without all its parts is NULL."""
-    cell = f"floor(lat / {CELL_DEGREES}D), '/', floor(lon / {CELL_DEGREES}D)"
     blocks = f"""
         array(
-            if(title_n <> '', concat('d:', start_dt), null),
-            if(title_n <> '' and place_n <> '', concat('p:', place_n), null),
-            if(title_n <> '', concat('g:', {cell}), null),
-            if(title_n <> '', concat('c:', start_dt, '/', {cell}), null)
+            concat('d:', {_day()}),
+            if(place_n <> '', concat('p:', place_n), null),
+            concat('g:', {_cell("lat")}, '/', {_cell("lon")})
         )"""
-    return df.withColumn("blk", F.expr(f"explode(array_compact({blocks}))"))
+    return _known(df.filter("t_len > 0")).withColumn("blk", F.expr(f"explode(array_compact({blocks}))"))
 
 
 def sizes_of(nodes: DataFrame, hot_rows: int | None = None) -> Blocks:
@@ -275,39 +467,21 @@ def sizes_of(nodes: DataFrame, hot_rows: int | None = None) -> Blocks:
 
 
 def _earlier_blocks(df: DataFrame, places: DataFrame) -> DataFrame:
-    """Blocks in which an earlier record looks for later ones, with what it asks of them.
+    """Blocks in which an earlier record looks for later ones, with the rule that it asks there.
 
-    The days around its date, the names similar to its place, the cells around
-    its own, and the cells of the next days.
+    The days around its date, the names similar to its place, the cells around its position.
     """
-
-    def entry(block: str, least: float, by_position: bool = False) -> str:
-        return f"named_struct('blk', {block}, 'least', {least}D, 'by_position', {str(by_position).lower()})"
-
-    def days(n: int, inner: str) -> str:
-        return f"transform(sequence(-{n}, {n}), d -> {inner})"
-
-    def cells(inner: str) -> str:
-        return f"flatten(transform(sequence(-1, 1), y -> transform(sequence(-1, 1), x -> {inner})))"
-
-    cell = f"floor(lat / {CELL_DEGREES}D) + y, '/', floor(lon / {CELL_DEGREES}D) + x"
-    day = "date_add(start_dt, d)"
-    titled = [
-        days(TITLE_DATE_DAYS, entry(f"concat('d:', {day})", TITLE_DATE_SIM)),
-        cells(entry(f"concat('g:', {cell})", TITLE_PLACE_SIM, True)),
-        f"flatten({days(NEARBY_DAYS, cells(entry(f"concat('c:', {day}, '/', {cell})", NEARBY_SIM, True)))})",
-    ]
-    around = f"filter(concat({', '.join(titled)}), b -> b.blk is not null)"
-    here = df.filter("title_n <> ''").withColumn("_b", F.expr(f"explode({around})")).select(*df.columns, "_b.*")
-    named = (
-        df.filter("title_n <> ''")
-        .join(places.select(F.col("place_l").alias("place_n"), "place_r"), "place_n")
-        .select(
-            *df.columns,
-            F.concat(F.lit("p:"), "place_r").alias("blk"),
-            F.lit(TITLE_PLACE_SIM).alias("least"),
-            F.lit(False).alias("by_position"),
-        )
+    # A little more than the rules ask, so that rounding loses no cell.
+    edge = f"{CELL_DEGREES / 2 * 1.001}D"
+    days = f"sequence({_day(f' - {TITLE_DATE_DAYS}')}, {_day(f' + {TITLE_DATE_DAYS}')})"
+    rows, columns = (f"sequence({_cell(c, f' - {edge}')}, {_cell(c, f' + {edge}')})" for c in ("lat", "lon"))
+    around = f"""concat(
+        if(start_dt is null, array(), transform({days}, d -> named_struct('blk', concat('d:', d), 'asks', 'd'))),
+        if(lat is null, array(), flatten(transform({rows}, y -> transform({columns}, x -> named_struct('blk', concat('g:', y, '/', x), 'asks', 'g'))))))"""
+    titled = _known(df.filter("t_len > 0"))
+    here = titled.withColumn("_b", F.expr(f"explode({around})")).select(*df.columns, "_b.*")
+    named = titled.join(places.select(F.col("place_l").alias("place_n"), "place_r"), "place_n").select(
+        *df.columns, F.concat(F.lit("p:"), "place_r").alias("blk"), F.lit("p").alias("asks")
     )
     return here.unionByName(named)
 
@@ -323,27 +497,21 @@ def geo_close(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.coalesce(km < GEO_KM, F.lit(False))
 
 
-def candidate_pairs(
-    earlier: DataFrame,
-    later: DataFrame,
-    places: DataFrame,
-    sizes: Blocks,
-    extra: Column | None = None,
-) -> DataFrame:
-    """Pairs that may match: columns of l and r, l.least being the title ratio to exceed.
+def candidate_pairs(earlier: DataFrame, later: DataFrame, places: DataFrame, sizes: Blocks, extra: Column, keep: list[Column]) -> DataFrame:
+    """Pairs that may match: `keep`, the ids of the titles and the ratio to exceed.
 
-    Both sides hold the columns of `match_features` and a title signature
-    (`with_signature(..., "title_n", "t")`).
-    `extra` is a further condition on l and r; by default l comes before r.
+    Both sides hold the columns of `match_features` but the title, and `with_title`.
+    `extra` is a further condition on l and r.
     """
-    order = F.col("l.rank") < F.col("r.rank") if extra is None else extra
     near = geo_close(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))
-    condition = (
-        order
-        & may_exceed("title_n", "t", "l.least")
-        & (~F.col("l.by_position") | near)
-    )
-    return blocked_join(_earlier_blocks(earlier, places), _own_blocks(later), condition, sizes)
+    days = F.abs(F.datediff("l.start_dt", "r.start_dt"))
+    asks = F.col("l.asks")
+    least = f"""(case l.asks when 'd' then {TITLE_DATE_SIM}D when 'p' then {TITLE_PLACE_SIM}D
+        else if(coalesce(abs(datediff(l.start_dt, r.start_dt)), 999) <= {NEARBY_DAYS}, {NEARBY_SIM}D, {TITLE_PLACE_SIM}D) end)"""
+    holds = F.when(asks == "d", days <= TITLE_DATE_DAYS).when(asks == "g", near).otherwise(F.lit(True))
+    condition = extra & holds & may_exceed("t", least, TITLE_WORDS)
+    found = blocked_join(_earlier_blocks(earlier, places), _own_blocks(later), condition, sizes)
+    return found.select(*keep, F.col("l.title_id").alias("_a"), F.col("r.title_id").alias("_b"), F.expr(least).alias("_least"))
 
 
 def matching_pairs(
@@ -351,42 +519,76 @@ def matching_pairs(
     later: DataFrame,
     places: DataFrame,
     sizes: Blocks,
+    titles: DataFrame,
     metric=None,
     extra: Column | None = None,
     keep: list[Column] | None = None,
 ) -> DataFrame:
-    """Rows `keep` of the pairs that match by title; a pair may show up in two blocks."""
-    metric = metric or similarity_udf()
-    keep = keep or [F.col("l.rank").alias("src"), F.col("r.rank").alias("dst")]
-    # Equal titles have the ratio 1; as nulls they cost nothing on their way.
-    differ = F.col("l.title_n") != F.col("r.title_n")
-    found = candidate_pairs(earlier, later, places, sizes, extra).select(
-        *keep,
-        F.col("l.least").alias("_least"),
-        F.when(differ, F.col("l.title_n")).alias("_a"),
-        F.when(differ, F.col("r.title_n")).alias("_b"),
-    )
-    scored = found.withColumn("_sim", metric("_a", "_b"))
-    return scored.filter(F.col("_a").isNull() | (F.col("_sim") > F.col("_least"))).drop("_least", "_a", "_b", "_sim")
-
+    """Rows `keep` of the pairs that match by title; a pair may show up in several blocks.
 
-def match_pairs(canonical: DataFrame, ref_date: datetime.date, metric=None, hot_rows: int | None = None) -> DataFrame:
-    """All matching pairs with the rule that holds first and the evidence.
-
-    (leader_id, other_id, rule, title_sim, place_sim, date_diff, geo_close),
-    ids being ranks with leader_id < other_id.
+    By default l comes before r. Each pair of different titles is scored once,
+    however many records have them.
     """
-    metric = metric or similarity_udf()
-    feats = with_signature(match_features(canonical, ref_date), "title_n", "t")
-    places = similar_places(feats, metric=metric)
-    sizes = sizes_of(feats, hot_rows)
-    sides = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "lr" for c in ["rank", "url", *CONTENT]]
-    by_url = feats.filter("url <> ''").alias("l").join(feats.alias("r"), F.expr("l.url = r.url AND l.rank < r.rank")).select(*sides)
-    pairs = matching_pairs(feats, feats, places, sizes, metric, keep=sides).unionByName(by_url).distinct()
-    return with_evidence(pairs, metric).select(
-        F.col("rank_l").alias("leader_id"), F.col("rank_r").alias("other_id"),
-        "rule", "title_sim", "place_sim", "date_diff", "geo_close",
-    )
+    keep = keep or [F.col("l.rank").alias("src"), F.col("r.rank").alias("dst")]
+    extra = F.col("l.rank") < F.col("r.rank") if extra is None else extra
+    found = cut_lineage(candidate_pairs(earlier, later, places, sizes, extra, keep))
+    kept = [c for c in found.columns if c not in ("_a", "_b", "_least")]
+    differ = found.filter("_a <> _b").groupBy("_a", "_b").agg(F.min("_least").alias("_least"))
+    text = lambda s: titles.select(F.col("title_id").alias(f"_{s}"), F.col("title_n").alias(f"_title_{s}"))
+    asked = differ.join(text("a"), "_a").join(text("b"), "_b").filter(few_edits("_title_a", "_title_b", "_least"))
+    # Pairs are few bytes and much work.
+    asked = asked.repartition(sizes.tasks(found.sparkSession), "_b").sortWithinPartitions("_b")
+    sim = metric("_title_a", "_title_b") if metric else bounded_similarity_udf()("_title_a", "_title_b", "_least")
+    scored = asked.withColumn("_sim", sim).filter("_sim > _least").select("_a", "_b", "_sim")
+    same = found.filter("_a = _b").select(*kept)
+    return same.unionByName(found.join(scored, ["_a", "_b"]).filter("_sim > _least").select(*kept))
+
+
+class Rules:
+    """The match rules for two records at a time, on values as a merged record shows them."""
+
+    def __init__(self):
+        self.ratio = BoundedRatio()
+        self.known: dict[tuple[str, str, float], bool] = {}
+
+    @staticmethod
+    def features(row: dict) -> tuple:
+        """(url, title, date, place, position) of a merged record."""
+        lat, lon = (_degrees(row[c] or more) for c, more in (("latitude", ""), ("longitude", "0")))
+        try:
+            day = datetime.date.fromisoformat(row["start_date"])
+        except ValueError:
+            day = None
+        place = (row["city"] or row["venue_name"]).strip(" ")
+        return row["url"].strip(" "), row["title"].strip(" "), day, place, None if lat is None or lon is None else (lat, lon)
+
+    def similar(self, left: str, right: str, least: float) -> bool:
+        if not left or not right:
+            return False
+        key = (left, right, least)
+        if key not in self.known:
+            self.known[key] = self.ratio.above(left, right, least) > least
+        return self.known[key]
+
+    def match(self, one: tuple, other: tuple) -> bool:
+        """Whether the earlier record matches the later one."""
+        url, title, day, place, at = one
+        if url and url == other[0]:
+            return True
+        days = abs((day - other[2]).days) if day and other[2] else 999
+        near = False
+        if at and other[4]:
+            north, east = at[0] - other[4][0], at[1] - other[4][1]
+            near = (north * north + east * east) ** 0.5 * KM_PER_DEGREE < GEO_KM
+        if near and days <= NEARBY_DAYS:
+            return self.similar(title, other[1], NEARBY_SIM)
+        if days <= TITLE_DATE_DAYS:
+            return self.similar(title, other[1], TITLE_DATE_SIM)
+        return self.similar(title, other[1], TITLE_PLACE_SIM) and (near or self.similar(place, other[3], PLACE_SIM))
+
+
+def _degrees(text: str) -> float | None:
+    return float(text) if re.fullmatch(r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", text) else None
 
 
 def with_evidence(pairs: DataFrame, metric=None) -> DataFrame:

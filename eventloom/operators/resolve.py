@@ -21,6 +21,7 @@ records, however large, is turned into all of its pairs:
 from __future__ import annotations
 
 import datetime
+from bisect import insort
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -30,15 +31,19 @@ from eventloom.functions.text import normalize_location, normalize_title, strip,
 
 from eventloom.operators.match import (
     CONTENT,
+    TITLE,
     Blocks,
+    Rules,
     _own_blocks,
     match_features,
     matching_pairs,
     similar_places,
     sizes_of,
+    titles_of,
     with_evidence,
-    with_signature,
+    with_title,
 )
+from eventloom.operators.graph import components
 from eventloom.storage import cut_lineage
 
 WINDOW_PAIRS = 200_000_000
@@ -55,22 +60,28 @@ def greedy_leaders(pairs: DataFrame, urls: DataFrame) -> DataFrame:
     one leader at most.
     """
     live, named, rounds = pairs, urls, []
-    while not (live.isEmpty() and named.isEmpty()):
-        # The least undecided record of a URL waits for nobody there.
-        firsts = named.groupBy("url").agg(F.min("rank").alias("first"))
-        waiting = named.join(firsts, "url").filter("rank > first").select("rank")
-        blocked = live.select(F.col("dst").alias("rank")).unionByName(waiting).distinct()
-        open_ = live.select(F.col("src").alias("rank")).unionByName(named.select("rank")).distinct()
-        leaders = cut_lineage(open_.join(blocked, "rank", "left_anti"))
-        by_pair = live.join(leaders.withColumnRenamed("rank", "src"), "src", "left_semi").select("dst")
-        led = named.join(leaders, "rank", "left_semi").select("url")
-        by_url = named.join(led, "url", "left_semi").join(leaders, "rank", "left_anti").select(F.col("rank").alias("dst"))
-        members = cut_lineage(by_pair.unionByName(by_url).distinct())
+    has_pairs, has_urls = not live.isEmpty(), not named.isEmpty()
+    while has_pairs or has_urls:
+        # A record waits if an undecided earlier one matches it; the least undecided record of a URL waits for nobody there.
+        seen = live.select(F.col("dst").alias("rank"), F.lit(1).alias("waits")).unionByName(live.select(F.col("src").alias("rank"), F.lit(0).alias("waits")))
+        if has_urls:
+            later = F.col("rank") > F.min("rank").over(Window.partitionBy("url"))
+            seen = seen.unionByName(named.select("rank", later.cast("int").alias("waits")))
+        leaders = cut_lineage(seen.groupBy("rank").agg(F.max("waits").alias("waits")).filter("waits = 0").select("rank"))
+        members = live.join(leaders.withColumnRenamed("rank", "src"), "src", "left_semi").select("dst")
+        if has_urls:
+            led = named.join(leaders, "rank", "left_semi").select("url")
+            by_url = named.join(led, "url", "left_semi").join(leaders, "rank", "left_anti").select(F.col("rank").alias("dst"))
+            members = members.unionByName(by_url)
+        members = cut_lineage(members.distinct())
         rounds.append(members)
         gone = members.select(F.col("dst").alias("src"))
         live = cut_lineage(live.join(members, "dst", "left_anti").join(gone, "src", "left_anti"))
-        decided = leaders.unionByName(members.select(F.col("dst").alias("rank")))
-        named = cut_lineage(named.join(decided, "rank", "left_anti"))
+        has_pairs = not live.isEmpty()
+        if has_urls:
+            decided = leaders.unionByName(members.select(F.col("dst").alias("rank")))
+            named = cut_lineage(named.join(decided, "rank", "left_anti"))
+            has_urls = not named.isEmpty()
     if not rounds:
         return pairs.select("dst", F.col("src").alias("leader")).filter("false")
     members = reduce(DataFrame.unionByName, rounds)
@@ -101,7 +112,7 @@ def match_nodes(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, members): one node per set of interchangeable records.
 
     nodes holds the columns of `feats` with the least and the last rank of the
-    set and the title signature; members maps (rank, node) for all records that can match
+    set and `with_title`; members maps (rank, node) for all records that can match
     anything. The others match
     nobody, not even their own copies, and are in neither.
     """
@@ -112,7 +123,7 @@ def match_nodes(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = known.filter((F.col("url") != "") | by_title)
     known = cut_lineage(known.withColumn("key", F.md5(F.to_json(F.struct("url", *CONTENT)))))
     nodes = known.groupBy("key", "url", *CONTENT).agg(F.min("rank").alias("rank"), F.max("rank").alias("last_rank"))
-    nodes = cut_lineage(with_signature(nodes, "title_n", "t"))
+    nodes = cut_lineage(with_title(nodes))
     members = known.select("key", "rank").join(nodes.select("key", F.col("rank").alias("node")), "key").select("rank", "node")
     return nodes.drop("key"), members
 
@@ -152,18 +163,25 @@ def _window_end(nodes: DataFrame, sizes: Blocks, max_pairs: int) -> int | None:
 
 
 def _settle(
-    nodes: DataFrame, members: DataFrame, places: DataFrame, metric, window_pairs: int, hot_rows: int | None
-) -> DataFrame:
-    """(rank, leader) of clusters with two or more members, leaders taken as they came in."""
-    todo, joined = nodes, []
+    nodes: DataFrame, members: DataFrame, places: DataFrame, titles: DataFrame, metric, window_pairs: int, hot_rows: int | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rank, leader) of clusters with two or more members, leaders taken as they came in; and the pairs (src, dst).
+
+    The pairs are those of all nodes if one window held them, else None. A pair
+    stands for a record of src's, at its first rank, and records of dst's after that.
+    """
+    todo, joined, complete = nodes, [], None
     while True:
         sizes = sizes_of(todo, hot_rows)
         end = _window_end(todo, sizes, window_pairs)
         # What is left after a window is sparser, so the next one may be larger.
         window_pairs *= 4
         head = todo if end is None else todo.filter(F.col("rank") <= end)
-        pairs = cut_lineage(matching_pairs(head, head, places, sizes, metric).distinct())
-        settled = cut_lineage(greedy_leaders(pairs, cut_lineage(_urls(head))))
+        after = F.col("l.rank") < F.col("r.last_rank")
+        pairs = cut_lineage(matching_pairs(head, head, places, sizes, titles, metric, extra=after).distinct())
+        if end is None and not joined:
+            complete = pairs
+        settled = cut_lineage(greedy_leaders(pairs.filter("src < dst"), cut_lineage(_urls(head))))
         joined.append(settled)
         if end is None:
             break
@@ -171,7 +189,7 @@ def _settle(
         rest = todo.filter(F.col("rank") > end)
         # One leader at most has a URL.
         same = _urls(rest).join(_urls(leaders).withColumnRenamed("rank", "src"), "url").select("src", F.col("rank").alias("dst"))
-        hits = matching_pairs(leaders, rest, places, sizes, metric).unionByName(same)
+        hits = matching_pairs(leaders, rest, places, sizes, titles, metric).unionByName(same)
         hits = cut_lineage(hits.groupBy("dst").agg(F.min("src").alias("leader")))
         joined.append(hits)
         todo = cut_lineage(rest.join(hits.select(F.col("dst").alias("rank")), "rank", "left_anti"))
@@ -180,7 +198,7 @@ def _settle(
 
     node_leader = reduce(DataFrame.unionByName, joined).withColumnRenamed("dst", "node")
     found = members.join(node_leader, "node", "left").select("rank", F.coalesce("leader", "node").alias("leader"))
-    return _with_heads(found.filter("rank <> leader"))
+    return _with_heads(found.filter("rank <> leader")), complete
 
 
 def _with_heads(followers: DataFrame) -> DataFrame:
@@ -202,7 +220,7 @@ def leader_assignment(
     """
     nodes, members = match_nodes(match_features(canonical, ref_date))
     places = cut_lineage(similar_places(nodes, metric=metric, hot_rows=hot_rows))
-    return _settle(nodes, members, places, metric, window_pairs, hot_rows)
+    return _settle(nodes, members, places, cut_lineage(titles_of(nodes)), metric, window_pairs, hot_rows)[0]
 
 
 # -- comparing with the merged record ------------------------------------------
@@ -211,6 +229,8 @@ def leader_assignment(
 STATE = ["title", "start_date", "city", "venue_name", "latitude", "longitude", "url"]
 CHUNK_ROWS = 100_000
 MAX_CHUNKS = 4_096
+# Records of a component that one task takes in order.
+FOLD_ROWS = 5_000
 
 
 def leader_states(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -301,10 +321,11 @@ def _state_values(canonical: DataFrame, shared_urls: DataFrame, priority: Column
     )
 
 
-def _state_features(states: DataFrame) -> DataFrame:
+def _state_features(states: DataFrame, *keep: str) -> DataFrame:
     """The columns of `match_features` from states."""
     lat, lon = to_degrees(F.col("latitude")), to_degrees(F.expr("if(longitude = '', '0', longitude)"))
     return states.select(
+        *keep,
         "rank",
         "from_rank",
         "to_rank",
@@ -317,14 +338,14 @@ def _state_features(states: DataFrame) -> DataFrame:
     )
 
 
-def united_spans(hits: DataFrame) -> DataFrame:
-    """(leader, from_rank, to_rank, node) with spans that touch or overlap made one."""
-    keys = Window.partitionBy("leader", "node").orderBy("from_rank", "to_rank")
+def united_spans(hits: DataFrame, *more: str) -> DataFrame:
+    """(leader, *more, from_rank, to_rank, node) with spans that touch or overlap made one."""
+    keys = Window.partitionBy("leader", *more, "node").orderBy("from_rank", "to_rank")
     before = F.max("to_rank").over(keys.rowsBetween(Window.unboundedPreceding, -1))
     apart = hits.withColumn("_new", F.when(F.col("from_rank") <= before, 0).otherwise(1))
     return (
         apart.withColumn("_run", F.sum("_new").over(keys.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("leader", "node", "_run")
+        .groupBy("leader", *more, "node", "_run")
         .agg(F.min("from_rank").alias("from_rank"), F.max("to_rank").alias("to_rank"))
         .drop("_run")
     )
@@ -355,6 +376,77 @@ def first_in_time(members: DataFrame, hits: DataFrame, chunk_rows: int) -> DataF
     return held.groupBy(F.col("at").alias("rank")).agg(F.min("leader").alias("leader"))
 
 
+def _by_rounds(
+    nodes: DataFrame, members: DataFrame, values: DataFrame, places: DataFrame, titles: DataFrame, assignment: DataFrame,
+    pairs: DataFrame | None, sizes: Blocks, metric, chunk_rows: int, rounds: list[dict] | None,
+) -> DataFrame:
+    """(rank, leader) of clusters that repeat themselves, from those of `assignment`.
+
+    The clusters give the states of every leader over time, the states give
+    every record its first match, and these give the next clusters. What is
+    settled for the lowest ranks stays settled. A round costs what it changes:
+    states are made for clusters that changed, only states not seen before meet
+    the nodes, and their matches are kept. Leaders that look the same all the
+    time matched their nodes in the first step.
+    """
+    features = ["url", "start_dt", "place_n", "lat", "lon", *TITLE]
+    by_node = nodes.select(F.col("rank").alias("node"), *features)
+    forever = F.lit(2**63 - 1)
+    urls = _urls(nodes)
+    in_time = (F.col("l.from_rank") < F.col("r.last_rank")) & (F.col("l.to_rank") >= F.col("r.rank"))
+    kept = [F.col(f"l.{c}") for c in ("state", "rank", "from_rank", "to_rank")] + [F.col("r.rank").alias("node")]
+    spans, known, hits = None, None, None
+    changed = assignment.select("leader").distinct()
+    while True:
+        # Spans of changed clusters; a cluster whose leader follows now has none.
+        mine = cut_lineage(values.join(assignment.join(changed, "leader", "left_semi"), "rank"))
+        made = leader_states(mine, chunk_rows)
+        made = made.withColumn("moves", F.max(F.col("from_rank") > F.col("rank")).over(Window.partitionBy("rank")))
+        if spans is None:
+            spans = cut_lineage(made.filter("moves").drop("moves"))
+            if spans.isEmpty():
+                # Leaders that look the same all the time leave everything as it is.
+                return assignment
+        else:
+            gone = changed.withColumnRenamed("leader", "rank")
+            spans = cut_lineage(spans.join(gone, "rank", "left_anti").unionByName(made.filter("moves").drop("moves")))
+        moving = spans.select("rank").distinct()
+        still = members.join(assignment.filter("rank <> leader"), "rank", "left_anti").join(moving, "rank", "left_anti")
+        # What `pairs` does not say about a leader: any, if there were several windows, else those of later copies.
+        unknown = still if pairs is None else still.filter("rank <> node")
+        unknown = unknown.join(by_node, "node").select("rank", F.col("rank").alias("from_rank"), forever.alias("to_rank"), *features)
+        shown = with_title(_state_features(spans)).select(*unknown.columns).unionByName(unknown)
+        shown = cut_lineage(shown.withColumn("state", F.xxhash64(*[F.col(c) for c in shown.columns if not c.startswith("t_")])))
+        fresh = shown if known is None else shown.join(known, ["state", "rank"], "left_anti")
+        found = matching_pairs(fresh, nodes, places, sizes, titles, metric, extra=in_time, keep=kept)
+        # A leader shows one URL for most of its time: spans of equal ones are united before nodes meet them.
+        by_url = united_spans(fresh.filter("url <> ''").select(F.col("rank").alias("leader"), "state", "from_rank", "to_rank", F.col("url").alias("node")), "state")
+        same = by_url.join(urls, F.col("node") == F.col("url")).select("state", "leader", "from_rank", "to_rank", F.col("rank").alias("node"))
+        found = found.withColumnRenamed("rank", "leader").unionByName(same)
+        hits = cut_lineage(found if hits is None else hits.unionByName(found))
+        seen = fresh.select("state", "rank")
+        known = cut_lineage(seen if known is None else known.unionByName(seen))
+
+        valid = hits.join(shown.select("state", F.col("rank").alias("leader")), ["state", "leader"], "left_semi").drop("state")
+        first = first_in_time(members, valid, chunk_rows)
+        if pairs is not None:
+            alone = still.filter("rank = node").select(F.col("rank").alias("src"))
+            least = pairs.join(alone, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("leader"))
+            named = urls.join(alone.withColumnRenamed("src", "rank"), "rank", "left_semi").groupBy("url").agg(F.min("rank").alias("leader"))
+            least = least.unionByName(urls.join(named, "url").select(F.col("rank").alias("node"), "leader"))
+            least = members.join(least, "node").filter("leader < rank").select("rank", "leader")
+            first = first.unionByName(least).groupBy("rank").agg(F.min("leader").alias("leader"))
+        following = _with_heads(first)
+        change = following.alias("n").join(assignment.alias("o"), "rank", "full").filter(~F.col("n.leader").eqNullSafe(F.col("o.leader")))
+        moved = change.select(F.explode(F.array("n.leader", "o.leader")).alias("leader")).filter("leader is not null").distinct()
+        changed = cut_lineage(moved)
+        if rounds is not None:
+            rounds.append({"states": shown.count(), "fresh": fresh.count(), "clusters": changed.count()})
+        if changed.isEmpty():
+            return following
+        assignment = following
+
+
 def merged_assignment(
     canonical: DataFrame,
     ref_date: datetime.date,
@@ -363,58 +455,165 @@ def merged_assignment(
     window_pairs: int = WINDOW_PAIRS,
     hot_rows: int | None = None,
     chunk_rows: int = CHUNK_ROWS,
+    fold_rows: int = FOLD_ROWS,
+    rounds: list[dict] | None = None,
 ) -> DataFrame:
     """Like `leader_assignment`, each record compared with its leader as merged by then.
 
-    Which cluster a record joins depends on earlier records only. So, starting
-    from leaders as they came in, the clusters give the states of every leader
-    over time, the states give every record its first match, and these give the
-    next clusters. What is settled for the lowest ranks stays settled; the
-    clusters that repeat themselves are the result.
+    Records linked by matches of what came in are a component. In one, records
+    are taken one after the other as the rule says; components of more than
+    fold_rows records are settled in rounds over the cluster, see `_by_rounds`.
+    Then all leaders that look different from what came in meet the nodes:
+    where one matches a node of another component, both become one, and these
+    are settled again until no match leads out. `rounds` gets a row of counts
+    per step.
     """
     nodes, members = match_nodes(match_features(canonical, ref_date))
     # A state may show the venue of a record that itself goes by its city.
     names = canonical.select(F.explode(F.array("city", "venue_name")).alias("name")).distinct()
     names = names.select(normalize_location(F.col("name")).alias("place_n"))
     places = cut_lineage(similar_places(names, metric=metric, hot_rows=hot_rows))
-    assignment = _settle(nodes, members, places, metric, window_pairs, hot_rows)
-    if assignment.isEmpty():
-        return assignment
+    titles = cut_lineage(titles_of(nodes))
+    static, pairs = _settle(nodes, members, places, titles, metric, window_pairs, hot_rows)
+    if static.isEmpty():
+        return static
 
     shared_urls = nodes.filter("url <> ''").select("url").distinct()
     dated = canonical.withColumn("start_dt", parse_any_date(F.col("start_date"), ref_date))
-    values = cut_lineage(_state_values(dated, shared_urls, priority))
+    values = _state_values(dated, shared_urls, priority).join(members, "rank")
     sizes = sizes_of(nodes, hot_rows)
-    features = ["url", *CONTENT, *[c for c in nodes.columns if c.startswith("t_")]]
-    by_node = nodes.select(F.col("rank").alias("node"), *features)
-    settled, first_round = False, True
-    while not settled:
-        states = cut_lineage(leader_states(cut_lineage(values.join(assignment, "rank")), chunk_rows))
-        moving = states.filter("from_rank > rank").select("rank").distinct()
-        if first_round and moving.isEmpty():
-            # Leaders that look the same all the time leave everything as it is.
-            break
-        first_round = False
-        states = with_signature(_state_features(states.join(moving, "rank", "left_semi")), "title_n", "t")
-        still = (
-            members.join(assignment.filter("rank <> leader"), "rank", "left_anti")
-            .join(moving, "rank", "left_anti")
-            .join(by_node, "node")
-            .select("rank", F.col("rank").alias("from_rank"), F.lit(2**63 - 1).alias("to_rank"), *features)
-        )
-        leaders = cut_lineage(states.select(*still.columns).unionByName(still))
-        in_time = (F.col("l.from_rank") < F.col("r.last_rank")) & (F.col("l.to_rank") >= F.col("r.rank"))
-        kept = [F.col("l.rank").alias("leader"), F.col("l.from_rank"), F.col("l.to_rank"), F.col("r.rank").alias("node")]
-        hits = matching_pairs(leaders, nodes, places, sizes, metric, extra=in_time, keep=kept)
-        # A leader shows one URL for most of its time: spans of equal ones are united before nodes meet them.
-        shown = united_spans(leaders.filter("url <> ''").select(F.col("rank").alias("leader"), "from_rank", "to_rank", F.col("url").alias("node")))
-        same = shown.join(_urls(nodes), F.col("node") == F.col("url")).select("leader", "from_rank", "to_rank", F.col("rank").alias("node"))
-        first = first_in_time(members, hits.unionByName(same), chunk_rows)
-        following = _with_heads(first)
-        change = following.alias("n").join(assignment.alias("o"), "rank", "full").filter(~F.col("n.leader").eqNullSafe(F.col("o.leader")))
-        settled = change.isEmpty()
-        assignment = following
-    return assignment
+    if pairs is None or metric is not None:
+        # Several windows: which nodes a leader could match besides those it has is not known. A metric works on columns only.
+        return _by_rounds(nodes, members, cut_lineage(values.drop("node")), places, titles, static, None, sizes, metric, chunk_rows, rounds)
+    values = cut_lineage(values)
+    urls = _urls(nodes)
+    in_time = (F.col("l.from_rank") < F.col("r.last_rank")) & (F.col("l.to_rank") >= F.col("r.rank"))
+    by_url = urls.join(urls.groupBy("url").agg(F.min("rank").alias("b")), "url").select(F.col("rank").alias("a"), "b")
+    links = pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(by_url)
+    roots = components(links)
+    todo, settled = None, None
+    while True:
+        # Nodes without a link are alone with their copies.
+        placed = values.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = placed if todo is None else placed.join(todo, "root", "left_semi")
+        sized = cut_lineage(placed.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"))
+        few = sized.filter(F.col("n") <= fold_rows).select("root")
+        small = placed.join(few, "root", "left_semi")
+        inside = pairs.join(roots, F.col("src") == F.col("node"), "left").select(F.coalesce("root", "src").alias("root"), "src", "dst")
+        inside = inside.join(few, "root", "left_semi")
+        # Most components are a few records, so a task takes many.
+        tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), sized.agg(F.sum("n")).first()[0] // (4 * FOLD_ROWS))
+        small, inside = (df.withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(tasks))).repartition(tasks, "bucket") for df in (small, inside))
+        done = cut_lineage(small.groupBy("bucket").cogroup(inside.groupBy("bucket")).applyInPandas(_folded, FOLDED))
+        large = cut_lineage(sized.filter(F.col("n") > fold_rows).select("root"))
+        if not large.isEmpty():
+            done = cut_lineage(done.unionByName(_large(nodes, placed.join(large, "root", "left_semi"), places, titles, static, pairs, sizes, metric, chunk_rows, rounds)))
+        if settled is not None:
+            done = cut_lineage(settled.join(todo, "root", "left_anti").unionByName(done))
+        settled = done
+        shown = settled if todo is None else settled.join(todo, "root", "left_semi")
+        shown = cut_lineage(with_title(_state_features(shown.filter("from_rank is not null"), "root")))
+        # Nodes of its own component are settled already.
+        others = nodes.join(roots, F.col("rank") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "rank"))
+        leads_out = in_time & (F.col("l.root") != F.col("r.root"))
+        keep = [F.col("l.root").alias("a"), F.col("r.root").alias("b")]
+        found = matching_pairs(shown, others, places, sizes, titles, metric, extra=leads_out, keep=keep)
+        named = shown.filter("url <> ''").alias("l").join(others.alias("r"), (F.col("l.url") == F.col("r.url")) & leads_out).select(*keep)
+        out = cut_lineage(found.unionByName(named).distinct())
+        if rounds is not None:
+            rounds.append({"states": shown.count(), "links": out.count()})
+        if out.isEmpty():
+            return settled.filter("from_rank is null").select("rank", "leader")
+        # Components that became one have the least root; the others' roots are nodes without results now.
+        joined = cut_lineage(components(out))
+        moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        every = nodes.select(F.col("rank").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = cut_lineage(every.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        todo = joined.select(F.col("node").alias("root"))
+
+
+def _large(nodes, placed, places, titles, static, pairs, sizes, metric, chunk_rows, rounds) -> DataFrame:
+    """What `_folded` gives, for components of any size: nodes and records of these alone, settled in rounds."""
+    placed = cut_lineage(placed)
+    own = placed.select("node").distinct()
+    some = nodes.join(own.withColumnRenamed("node", "rank"), "rank", "left_semi")
+    mine = placed.select("rank").distinct()
+    inside = pairs.join(own.withColumnRenamed("node", "src"), "src", "left_semi").join(own.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    values = placed.drop("node", "root")
+    found = _by_rounds(
+        cut_lineage(some), placed.select("rank", "node"), values, places, titles, cut_lineage(static.join(mine, "rank", "left_semi")),
+        cut_lineage(inside), sizes, metric, chunk_rows, rounds,
+    )
+    found = cut_lineage(found)
+    root = placed.select("rank", "root")
+    states = leader_states(cut_lineage(values.join(found, "rank")), chunk_rows)
+    states = states.withColumn("_moves", F.max(F.col("from_rank") > F.col("rank")).over(Window.partitionBy("rank"))).filter("_moves").drop("_moves")
+    columns = [f.split()[0] for f in FOLDED.split(", ")]
+    none = {c: F.lit(None).cast("bigint") for c in ("from_rank", "to_rank")} | {f: F.lit(None).cast("string") for f in STATE}
+    members = found.join(root, "rank").withColumns(none).select(*columns)
+    return members.unionByName(states.withColumn("leader", F.col("rank")).join(root, "rank").select(*columns))
+
+
+# A record and its leader or, with ranks from and to, a state of a leader.
+FOLDED = ", ".join(["root bigint", "rank bigint", "leader bigint", "from_rank bigint", "to_rank bigint", *[f"{f} string" for f in STATE]])
+
+
+def _folded(rows, pairs):
+    """What records of components become when they are taken in order; see `FOLDED`.
+
+    `pairs` are the matches of nodes as they came in, so only leaders that look
+    different by now have to be compared.
+    """
+    import pandas as pd
+
+    matched_by: dict[int, list[int]] = {}
+    for src, dst in zip(pairs["src"].tolist(), pairs["dst"].tolist()):
+        matched_by.setdefault(dst, []).append(src)
+    by_root: dict[int, list[dict]] = {}
+    for row in rows.sort_values("rank").to_dict("records"):
+        by_root.setdefault(row["root"], []).append(row)
+    rules = Rules()
+    out = [line for root, own in by_root.items() for line in _taken_in_order(root, own, matched_by, rules)]
+    kinds = [f.split() for f in FOLDED.split(", ")]
+    columns = zip(*out) if out else [()] * len(kinds)
+    return pd.DataFrame({n: pd.array(c, "Int64" if kind == "bigint" else "object") for (n, kind), c in zip(kinds, columns)})
+
+
+def _taken_in_order(root: int, rows: list[dict], matched_by: dict[int, list[int]], rules: Rules) -> list[tuple]:
+    """Rows of `FOLDED` for one component, whose records are sorted by rank."""
+    leaders: list[dict] = []
+    # Numbers of the leaders that look as they came in, by node and by URL, and of the others.
+    same: dict[int | str, list[int]] = {}
+    changed: list[int] = []
+    out: list[tuple] = []
+    for row in rows:
+        seen = rules.features(row)
+        found = [same[key][0] for key in (*matched_by.get(row["node"], ()), seen[0] or None) if same.get(key)]
+        at = min(found, default=len(leaders))
+        at = next((i for i in changed if i < at and rules.match(leaders[i]["seen"], seen)), at)
+        if at == len(leaders):
+            now = {f: row[f] for f in STATE}
+            leaders.append({"rank": row["rank"], "priority": row["priority"], "now": now, "seen": seen, "first": seen, "spans": [(row["rank"], now)]})
+            leaders[at]["keys"] = [key for key in (row["node"], seen[0]) if key != ""]
+            for key in leaders[at]["keys"]:
+                same.setdefault(key, []).append(at)
+        else:
+            hit = leaders[at]
+            now = {f: row[f] if row[f] and (not v or row["priority"] > hit["priority"]) else v for f, v in hit["now"].items()}
+            if now != hit["now"]:
+                hit["now"], hit["seen"] = now, rules.features(now)
+                hit["spans"].append((row["rank"], now))
+                if hit["keys"] and hit["seen"] != hit["first"]:
+                    for key in hit["keys"]:
+                        same[key].remove(at)
+                    hit["keys"] = []
+                    insort(changed, at)
+        out.append((root, row["rank"], leaders[at]["rank"], None, None, *[None] * len(STATE)))
+    for x in leaders:
+        ends = [*[start for start, _ in x["spans"][1:]], 2**63 - 1]
+        if len(ends) > 1:
+            out += [(root, x["rank"], x["rank"], start, end, *[now[f] for f in STATE]) for (start, now), end in zip(x["spans"], ends)]
+    return out
 
 
 def earliest_matches(canonical: DataFrame, ref_date: datetime.date, metric=None, hot_rows: int | None = None) -> DataFrame:
@@ -423,7 +622,7 @@ def earliest_matches(canonical: DataFrame, ref_date: datetime.date, metric=None,
     places = cut_lineage(similar_places(nodes, metric=metric, hot_rows=hot_rows))
     least = _urls(nodes).groupBy("url").agg(F.min("rank").alias("src"))
     same = _urls(nodes).join(least, "url").filter("src < rank").select("src", F.col("rank").alias("dst"))
-    found = matching_pairs(nodes, nodes, places, sizes_of(nodes, hot_rows), metric).unionByName(same)
+    found = matching_pairs(nodes, nodes, places, sizes_of(nodes, hot_rows), cut_lineage(titles_of(nodes)), metric).unionByName(same)
     first = found.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("src"))
     # A copy matches the first of its kind, if nothing earlier.
     own = F.when(F.col("node") < F.col("rank"), F.col("node"))

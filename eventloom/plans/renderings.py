@@ -11,17 +11,21 @@ from eventloom.sources.captions import post_events
 from eventloom.sources.lines import group_events
 from eventloom.sources.pages import page_events
 
-TEXT_TABLES = ("documents", "pages", "conversations")
+# Renderings cost more than a row's bytes suggest, so the rows of these tables are dealt out by key.
+DEALT_BY = {
+    "documents": ["doc_id"],
+    "pages": ["page_id"],
+    "conversations": ["conv_id", "turn"],
+    "orders": ["o_orderkey"],
+    "events": ["event_id"],
+}
 REF_DATE = datetime.date(1998, 9, 2)
 
 
 def table(spark: SparkSession, sf: str, name: str, spread: bool = False) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    # Costly work on a table of fewer row groups than cores, as in tests, is
-    # spread; large tables never are.
-    cores = spark.sparkContext.defaultParallelism
-    wanted = spread or name in TEXT_TABLES
-    return df.repartition(cores) if wanted and df.rdd.getNumPartitions() < cores else df
+    costly = spread or name in ("documents", "pages", "conversations")
+    return df.repartition(*DEALT_BY[name]) if costly else df
 
 
 def line_of(*parts) -> Column:

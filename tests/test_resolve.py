@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators.canonical import RANK_STEP, check_order, to_canonical
-from eventloom.operators.match import match_pairs
+from eventloom.operators.match import BoundedRatio, match_features, matching_pairs, similar_places, sizes_of, titles_of, with_evidence, with_title
 from eventloom.operators import report
 from eventloom.operators.merge import feed_sources, merge_clusters, override_priority
 from eventloom.operators.resolve import leader_assignment, membership, merged_assignment
@@ -13,6 +13,18 @@ from eventloom.operators.resolve import leader_assignment, membership, merged_as
 REF = datetime.date(2026, 1, 1)
 
 
+def match_pairs(canonical, hot_rows=None):
+    """All matching pairs (leader_id, other_id) with the rule that holds first."""
+    feats = with_title(match_features(canonical, REF)).withColumn("last_rank", F.col("rank"))
+    places, titles = similar_places(feats), titles_of(feats)
+    sides = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "lr" for c in ["rank", "url", "start_dt", "place_n", "lat", "lon"]]
+    by_url = feats.filter("url <> ''").alias("l").join(feats.alias("r"), F.expr("l.url = r.url AND l.rank < r.rank")).select(*sides)
+    found = matching_pairs(feats, feats, places, sizes_of(feats, hot_rows), titles, keep=sides).unionByName(by_url).distinct()
+    texts = feats.select("rank", "title_n")
+    found = found.join(texts.toDF("rank_l", "title_n_l"), "rank_l").join(texts.toDF("rank_r", "title_n_r"), "rank_r")
+    return with_evidence(found).select(F.col("rank_l").alias("leader_id"), F.col("rank_r").alias("other_id"), "rule")
+
+
 def raw_of(spark, events):
     fields = naive.MERGED + ["source"]
     schema = ", ".join(f"{f} string" for f in fields) + ", ingest_ord bigint"
@@ -41,7 +53,7 @@ def test_pairs_equal_brute_force(spark, seed):
                 expected[a["ingest_ord"], b["ingest_ord"]] = label
     canonical = canonical_of(spark, events)
     for hot_rows in (None, 5):
-        found = match_pairs(canonical, REF, hot_rows=hot_rows).collect()
+        found = match_pairs(canonical, hot_rows).collect()
         got = {(r.leader_id % RANK_STEP, r.other_id % RANK_STEP): r.rule for r in found}
         assert len(got) == len(found)
         assert got == expected
@@ -117,12 +129,40 @@ def test_no_input(spark):
     assert assigned(canonical_of(spark, naive.random_events(1, 1)).limit(0)) == {}
 
 
-@pytest.mark.parametrize("seed, chunk_rows", [(10, 100_000), (11, 2)])
-def test_merged_mode_equals_mutating_loop(spark, seed, chunk_rows):
-    events = naive.random_events(seed, 150)
+@pytest.mark.parametrize(
+    "seed, n, options",
+    [(10, 150, {}), (11, 40, {"chunk_rows": 2, "fold_rows": 0}), (12, 60, {"fold_rows": 10, "hot_rows": 5}), (13, 40, {"window_pairs": 100})],
+)
+def test_merged_mode_equals_mutating_loop(spark, seed, n, options):
+    events = naive.random_events(seed, n)
     canonical = canonical_of(spark, events)
-    assignment = merged_assignment(canonical, REF, override_priority(), chunk_rows=chunk_rows)
+    rounds = []
+    assignment = merged_assignment(canonical, REF, override_priority(), rounds=rounds, **options)
     rows = membership(canonical, assignment).collect()
     got = {r.event_id % RANK_STEP: r.cluster_id % RANK_STEP for r in rows}
     expected = {m: c["head"]["ingest_ord"] for c in naive.fold(events, mutate=True) for m in c["members"]}
     assert got == expected
+    # A round looks at less than the one before once the clusters come to rest.
+    assert len(rounds) < 12
+
+
+def test_long_titles_cost_little_before_the_ratio():
+    import random
+    import time
+
+    rnd = random.Random(1)
+    parts = ["ka", "lo", "min", "tre", "sul", "qu", "vor", "ex"]
+    text = lambda n: "".join(rnd.choice(parts) + " " * (rnd.random() < 0.3) for _ in range(n))
+    bounded = BoundedRatio()
+    for _ in range(60):
+        a, b = text(rnd.choice([20, 60, 200])), text(rnd.choice([20, 60, 200]))
+        near = a[: len(a) // 2] + "zz" + a[len(a) // 2 + 3 :]
+        for left, right in ((a, b), (a, near), (near, a)):
+            exact = naive.ratio(left, right)
+            for least in (0.5, 0.8, 0.85):
+                assert bounded.above(left, right, least) == (exact if exact > least else 0.0)
+    words = [f"{parts[i % 8]}{parts[i // 8 % 8]}" for i in range(64)]
+    a, b = (" ".join(rnd.choice(words) for _ in range(3500)) for _ in range(2))
+    start = time.time()
+    assert bounded.above(a, b, 0.8) == 0.0
+    assert time.time() - start < 1
