@@ -16,7 +16,8 @@ Buckets with more than HOT different surroundings are not sorted in one task:
 all their strings of LENGTH bytes are hashed and counted over the cluster.
 
 Null texts are empty. Texts shorter than LENGTH keep all bytes. Repeated rows
-repeat each other: from LENGTH bytes on both go whole.
+repeat each other: from LENGTH bytes on both go whole. Very long texts are
+hashed in blocks. Extra columns travel in one struct.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ MARK_BITS = 26
 #: Texts and surroundings that a task remembers having handed on.
 REMEMBERED = 300_000
 BLOCK_BITS = 19
+#: Keys that hold more than one in MANY of all rows are joined by a broadcast; there are at most MANY of them.
+MANY = 5_000
 
 _WINDOW = LENGTH - GRAM + 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -366,7 +369,14 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     # Surroundings that stand in several places are covered as far as they go.
     full = kinds.where("n > 1").select(*one, F.lit(LENGTH).alias("more_back"), F.lit(LENGTH).alias("more_ahead"))
     cover = full.unionByName(found).groupBy(*one).agg(F.max("more_back").alias("more_back"), F.max("more_ahead").alias("more_ahead"))
-    covered = sites.join(cover, one).select(
+    # What very many places have, as a line that every third text holds, goes to them rather than they to it.
+    limit = kinds.agg(F.sum("n")).head()[0] or 0
+    hot_kinds = F.broadcast(written(kinds.where(F.col("n") > max(1, limit // MANY)).select(*one)))
+    cover = written(cover)
+    often = sites.join(F.broadcast(cover.join(hot_kinds, one, "left_semi")), one)
+    seldom = sites.join(hot_kinds, one, "left_anti").join(cover, one)
+    columns = ["text", "place", "back", "ahead", "more_back", "more_ahead"]
+    covered = often.select(*columns).unionByName(seldom.select(*columns)).select(
         "text",
         F.struct(
             (F.col("place") - F.least("back", "more_back")).alias("start"), (F.col("place") + F.least("ahead", "more_ahead")).alias("end")
@@ -395,16 +405,21 @@ def without_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None
             yield pa.RecordBatch.from_pydict({"text": [text_key(b) for b in batch.column(0).to_pylist()]})
 
     keys = _long_texts(docs, text).mapInArrow(key_only, "text binary")
-    copies = keys.groupBy("text").agg(F.count("text").alias("n")).where("n > 1")
-    spans = written(spans.join(copies, "text", "full").select("text", "spans", (F.coalesce("n", F.lit(0)) > 1).alias("whole")))
+    copies = written(keys.groupBy("text").agg(F.count("text").alias("n")).where("n > 1"))
+    # Texts with very many copies go whole where they are read; at most MANY keys.
+    limit = copies.agg(F.sum("n")).head()[0] or 0
+    gone = sc.broadcast({bytes(r["text"]) for r in copies.where(F.col("n") > max(1, limit // MANY)).select("text").collect()})
+    spans = spans.join(copies, "text", "full").select("text", "spans", (F.coalesce("n", F.lit(0)) > 1).alias("whole"))
+    spans = written(spans)
     marks = sc.broadcast(_mark(spans, "text"))
 
     def split(batches):
         for rows, bodies in batches:
             found = bodies.to_pylist()
             own = [text_key(b) if b and len(b) >= LENGTH else None for b in found]
-            hit = _marked(marks.value, _numbers([k or b"" for k in own])) & np.array([k is not None for k in own])
-            yield rows, {"body": bodies, "text": [k if h else None for k, h in zip(own, hit, strict=True)]}
+            lost = np.array([k in gone.value for k in own], bool)
+            hit = _marked(marks.value, _numbers([k or b"" for k in own])) & np.array([k is not None for k in own]) & ~lost
+            yield rows, {"body": bodies, "text": [k if h else None for k, h in zip(own, hit, strict=True)], "lost": lost}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -420,10 +435,10 @@ def without_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None
             kinds = {"n_bytes": pa.int64(), "removed": run, "kept": pa.binary()}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, kinds[n]) for n, v in out.items())], names=["row", *out])
 
-    parts = map_text(docs, split, "body binary, text binary", text, keep)
+    parts = map_text(docs, split, "body binary, text binary, lost boolean", text, keep)
     # Only texts that may lose something are moved.
     empty = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
-    none = parts.where("text IS NULL").select("row", "body", empty, F.lit(False).alias("whole"))
+    none = parts.where("text IS NULL").select("row", "body", empty, F.col("lost").alias("whole"))
     some = parts.where("text IS NOT NULL").join(spans, "text", "left").select("row", "body", "spans", "whole")
     fields = "n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary"
     schema = T.StructType([parts.schema["row"], *T._parse_datatype_string(fields).fields])
