@@ -39,7 +39,7 @@ MOST_WORDS = 400_000
 LONGEST, RECENT_WORDS = 128, 50_000
 #: Pieces that a worker counts before it hands their counts on.
 COUNTED_WORDS = 300_000
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 NEVER = (1 << 31) - 1
 
 
@@ -172,10 +172,18 @@ def count_pieces(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame
     return docs.select(docs[text].cast("binary")).mapInArrow(scan, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def _packed(rows: pa.Table) -> dict[str, bytes]:
+def _packed(rows: pa.Table) -> bytes:
+    """The columns as one piece of memory: to the driver they are no words, only bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> dict[str, bytes]:
     """Bytes of the ids by piece."""
     out: dict[str, bytes] = {}
-    for batch in rows.to_batches():
+    for batch in pa.ipc.open_stream(packed):
         ids = batch.column("ids")
         at, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<i4")
         for i, piece in enumerate(batch.column("piece").to_pylist()):
@@ -273,7 +281,7 @@ def encode_texts(
     words, held = (spark.sparkContext.broadcast(x) for x in (_packed(own.toArrow()), ranks))
 
     def scan(batches):
-        split, known = splitter(pattern), _Known(words.value, held.value)
+        split, known = splitter(pattern), _Known(_unpacked(words.value), held.value)
         pieces = {rank: piece for piece, rank in held.value.items()}
         for rows, column in batches:
             found = [b"".join(map(known.__getitem__, split(body or b""))) for body in column.to_pylist()]
