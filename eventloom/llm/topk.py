@@ -8,8 +8,10 @@ survivors are moved together. Every query block meets every shard in a task of
 its own; only the k best of each leave it.
 
 Vectors that are null or hold null or non-finite components take no part.
-Components that a shorter vector lacks count as 0. A vec_id is one vector:
-of repeated rows the least vector counts. Ties go to the smaller vec_id.
+Components that a shorter vector lacks count as 0. Every row is a candidate and,
+if it asks, a query of its own, whether or not others have its id or its vector;
+only the query's own row is left out. Ties go to the smaller vec_id. Rows with
+a null id take no part; an empty table has no results.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ def _matrix(vectors, width: int) -> np.ndarray:
     return out
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, cands: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
-    """(query id, id, score) of the k best candidates of each query, ties to the smaller id."""
+def best_of(queries: np.ndarray, asked_by: np.ndarray, cands: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[tuple]:
+    """(query row, id, score) of the k best candidates of each query, ties to the smaller id; its own row is none."""
     width = cands.shape[1]
     top = max(int(np.abs(queries).max(initial=0)), int(np.abs(cands).max(initial=0)))
     exact = top * top * max(width, 1) < 1 << 53
@@ -50,14 +52,14 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, cands: np.ndarray, ids:
     # Long vectors first: the best known scores rise early.
     norms = np.sqrt((cands.astype(np.float64) ** 2).sum(axis=1))
     order = np.lexsort((ids, -norms))
-    ids, columns = ids[order], np.ascontiguousarray(cands[order].T).astype(kind)
+    ids, rows, columns = ids[order], rows[order], np.ascontiguousarray(cands[order].T).astype(kind)
     blocks = [slice(at, min(at + DIM_BLOCK, width)) for at in range(0, width, DIM_BLOCK)]
     left = lambda m, axis: [np.sqrt((m.astype(np.float64)[b.stop :] ** 2).sum(axis=axis)) for b in blocks]
     rest, out = left(columns, 0), []
-    for query, own in zip(queries, query_ids, strict=True):
+    for query, own in zip(queries, asked_by, strict=True):
         q = query.astype(kind)
         q_rest = left(q, 0)
-        alive = np.flatnonzero(ids != own)
+        alive = np.flatnonzero(rows != own)
         score = np.zeros(len(alive), kind)
         floor = -np.inf
         for n, b in enumerate(blocks):
@@ -79,25 +81,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     sound = vectors.select(F.col(vec_id).alias("id"), quantised(F.col(vector)).alias("cells"), is_query.alias("asks")).where(
         "id IS NOT NULL AND cells IS NOT NULL"
     )
-    sound = written(sound.groupBy("id").agg(F.min("cells").alias("cells"), F.max("asks").alias("asks")))
+    # Written, the rows keep their numbers.
+    sound = written(sound.withColumn("row", F.monotonically_increasing_id()))
     n, n_asks, width = sound.agg(F.count("id"), F.count_if("asks"), F.max(F.size("cells"))).head()
     width = max(width or 0, 1)
     shards = max(1, -(-n * width // SHARD_CELLS))
     blocks = max(1, -(-n_asks * width // QUERY_CELLS))
-    part = lambda many: F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")
+    part = lambda many: F.pmod(F.xxhash64("row"), F.lit(many)).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
-    asks = sound.where("asks").select("id", "cells", part(blocks).alias("block"), every(shards).alias("shard"))
-    cands = sound.select("id", "cells", part(shards).alias("shard"), every(blocks).alias("block"))
+    asks = sound.where("asks").select("row", "cells", part(blocks).alias("block"), every(shards).alias("shard"))
+    cands = sound.select("id", "row", "cells", part(shards).alias("shard"), every(blocks).alias("block"))
 
     def meet(queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        rows = best_of(_matrix(queries["cells"], width), queries["id"].to_numpy(),
-                       _matrix(others["cells"], width), others["id"].to_numpy(), k)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+        rows = best_of(_matrix(queries["cells"], width), queries["row"].to_numpy(),
+                       _matrix(others["cells"], width), others["id"].to_numpy(), others["row"].to_numpy(), k)
+        return pd.DataFrame(rows, columns=["row", "vec_id", "score"])
 
     met = asks.groupBy("block", "shard").cogroup(cands.groupBy("block", "shard"))
-    found = met.applyInPandas(meet, "query_id bigint, vec_id bigint, score bigint")
-    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = met.applyInPandas(meet, "row bigint, vec_id bigint, score bigint")
+    ranked = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+    names = sound.where("asks").select("row", F.col("id").alias("query_id"))
+    return found.withColumn("rank", ranked).where(F.col("rank") <= k).join(names, "row").select("query_id", "rank", "vec_id", "score")
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,14 +111,14 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+  SELECT a.row, a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.row <> b.row
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+  SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
