@@ -32,7 +32,7 @@ from .common import map_text, table, written
 
 CAPACITY = 4096
 #: Words of at most WORD_BYTES are encoded once while they are in a cache of WORDS of them.
-WORDS, WORD_BYTES = 500_000, 64
+WORDS, WORD_BYTES = 700_000, 64
 #: Bytes of text that are split into words at a time.
 PORTION = 1 << 20
 #: Pieces that are numbered in one group, on average.
