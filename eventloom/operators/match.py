@@ -42,6 +42,7 @@ from eventloom.schemas import (
     NEARBY_RULE,
     NEARBY_SIM,
     PLACE_SIM,
+    SAME_TITLE_SIM,
     TITLE_DATE_DAYS,
     TITLE_DATE_RULE,
     TITLE_DATE_SIM,
@@ -120,6 +121,16 @@ def common_letters(a: str, where: dict[str, int], n: int) -> int:
     return n - left.bit_count()
 
 
+def edit_similarity(a, b) -> Column:
+    """One less the share of edits in the longer text, a metric of column functions alone.
+
+    What an alignment leaves alone is a common subsequence, so the bounds on the
+    Ratcliff-Obershelp ratio hold for it too. Empty texts are like none.
+    """
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when((F.length(a) > 0) & (F.length(b) > 0), 1 - F.levenshtein(a, b) / longest).otherwise(F.lit(0.0))
+
+
 def rare_places(text: str) -> dict[str, list[int]] | None:
     """Where the letters stand that a matching block of a long later text must hold one of; None for a short one.
 
@@ -608,4 +619,6 @@ def with_evidence(pairs: DataFrame, metric=None) -> DataFrame:
             .when((title > TITLE_PLACE_SIM) & ((F.col("place_sim") > PLACE_SIM) | geo), F.lit(TITLE_PLACE_RULE))
             .otherwise(F.lit(NEARBY_RULE)),
         )
+        # Holds only where A does, so it never decides.
+        .withColumn("same_title_and_day", (title > SAME_TITLE_SIM) & (date <= 0))
     )

@@ -638,7 +638,7 @@ def match_evidence(canonical: DataFrame, matches: DataFrame, ref_date: datetime.
     feats = match_features(canonical, ref_date)
     side = lambda s: feats.select(*[F.col(c).alias(f"{c}_{s}") for c in feats.columns])
     both = matches.join(side("l"), F.col("earliest_id") == F.col("rank_l")).join(side("r"), F.col("other_id") == F.col("rank_r"))
-    return with_evidence(both, metric).select("other_id", "earliest_id", "rule", "title_sim", "place_sim", "date_diff", "geo_close")
+    return with_evidence(both, metric).select("other_id", "earliest_id", "rule", "title_sim", "place_sim", "date_diff", "geo_close", "same_title_and_day")
 
 
 def membership(canonical: DataFrame, assignment: DataFrame) -> DataFrame:

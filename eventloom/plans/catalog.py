@@ -27,14 +27,20 @@ from eventloom.operators.canonical import (
     to_canonical,
     union_feeds,
 )
+from eventloom.operators.changes import feed_difference
+from eventloom.operators.levels import count_levels
+from eventloom.operators.match import edit_similarity
 from eventloom.operators.merge import cluster_sources, survivors
 from eventloom.operators.resolve import earliest_matches, leader_assignment, match_evidence, membership
+from eventloom.operators.search import search_index, write_index
 from eventloom.plans import renderings as r
-from eventloom.plans.integrate import build_feed, resolve_events
+from eventloom.plans.integrate import build_feed, pass_through, resolve_events
 from eventloom.plans.renderings import REF_DATE, digest, order_day, table
 from eventloom.sources import captions, lines, pages
 from eventloom.schemas import FEED_SCHEMA
-from eventloom.storage import cut_lineage, read_feed, run_dir, split_records, write_feed
+from eventloom.streaming.captures import changed_captures
+from eventloom.streaming.refresh import refresh
+from eventloom.storage import cut_lineage, read_current, read_feed, replace_feed, run_dir, split_records, write_feed
 
 
 def joined(c):
@@ -337,6 +343,20 @@ def match_nearby(spark, sf):
     return _evidence(rows)
 
 
+def match_same_day(spark, sf):
+    """Matches of title and date, and whether the title is all but the same on the same day."""
+    raw = r.worded_orders(spark, sf).select("title", F.col("day").alias("start_date"), "ingest_ord")
+    canonical = cut_lineage(to_canonical(raw))
+    found = match_evidence(canonical, earliest_matches(canonical, REF_DATE), REF_DATE)
+    return ids(found, "other_id", "earliest_id").select("other_id", "earliest_id", "rule", "same_title_and_day")
+
+
+def match_metric(spark, sf):
+    """Earliest matches of title and date with the edit similarity in place of the ratio."""
+    raw = r.worded_orders(spark, sf).select("title", F.col("day").alias("start_date"), "ingest_ord")
+    return ids(earliest_matches(to_canonical(raw), REF_DATE, metric=edit_similarity), "other_id", "earliest_id")
+
+
 def resolve_fuzzy(spark, sf):
     raw = r.worded_orders(spark, sf).select("title", F.col("day").alias("start_date"), "ingest_ord")
     canonical = cut_lineage(to_canonical(raw))
@@ -503,6 +523,76 @@ def search_feed(spark, sf):
     return listed.select("cluster_id", "title", "start_date", "date_label", "source_badge")
 
 
+def pass_through_counts(spark, sf):
+    """Two of three tiers written without resolution, counted as read back."""
+    feeds = {
+        1: table(spark, sf, "supplier").select(F.col("s_name").alias("title"), F.col("s_acctbal").cast("string").alias("cost")),
+        2: table(spark, sf, "customer").select(F.col("c_name").alias("title"), F.col("c_mktsegment").alias("city")),
+        3: table(spark, sf, "part").select(F.col("p_name").alias("title")),
+    }
+    rows = pass_through(feeds, f"{run_dir(spark)}/events-{uuid.uuid4().hex}", tiers=[1, 2])
+    return rows.groupBy("tier").agg(
+        F.count("*").alias("n"), F.min("title").alias("first_title"), F.max("cost").alias("last_cost"), F.count_distinct("city").alias("cities")
+    )
+
+
+def _refreshed_customers(spark, sf) -> DataFrame:
+    """Customers as a later capture would have them: some gone, some changed, some twice, some new."""
+    k = F.col("cluster_id")
+    rows = _customer_records(spark, sf).filter(k % 17 != 0)
+    rows = rows.withColumns({
+        "city": F.when(k % 5 == 0, F.lit("Moved")).otherwise(F.col("city")),
+        "confidence": F.when(k % 10 == 5, F.lit(None)).otherwise(F.col("confidence")),
+    })
+    again = rows.filter(k % 19 == 1)
+    return rows.unionByName(again).unionByName(again.filter(k % 2 == 0).withColumn("cluster_id", -k))
+
+
+def _customer_records(spark, sf) -> DataFrame:
+    return r.customer_feed(spark, sf).select("cluster_id", "title", "start_date", "city", "confidence")
+
+
+def feed_changes(spark, sf):
+    """Customers that a refresh added, removed and changed, with the fields."""
+    return feed_difference(_customer_records(spark, sf), _refreshed_customers(spark, sf), ["cluster_id"])
+
+
+def count_by_level(spark, sf):
+    """Customers per county, city and type, per county and city, per county, and in total."""
+    feed = r.customer_feed(spark, sf).withColumn("source_type", F.element_at("all_sources", 2))
+    return count_levels(feed.withColumn("title", F.substring("title", -2, 2)))
+
+
+def search_by_index(spark, sf):
+    """`search_text` by an index of the documents' trigrams."""
+    feed = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("description"))
+    path = f"{run_dir(spark)}/index-{uuid.uuid4().hex}"
+    write_index(feed, "doc_id", path)
+    return search_index(spark, path, feed, "doc_id", "Tion The").select("doc_id")
+
+
+def replaced_feed(spark, sf):
+    """The current feed after two versions, by day."""
+    path = f"{run_dir(spark)}/versions-{uuid.uuid4().hex}"
+    rows = _customer_records(spark, sf)
+    replace_feed(rows, path)
+    replace_feed(rows.filter("cluster_id % 3 <> 0"), path)
+    return read_current(spark, path).groupBy("start_date").agg(F.count("*").alias("n"), F.min("title").alias("first_title"))
+
+
+def page_changes(spark, sf):
+    """Two captures of every page as a stream, the second with other content for every fourth: what goes on."""
+    folder = f"{run_dir(spark)}/captures-{uuid.uuid4().hex}"
+    first = table(spark, sf, "pages").select("page_id", "url", "html", F.lit("2026-01-01 12:00:00").cast("timestamp").alias("captured"))
+    html = F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit("<!-- new -->"))).otherwise(F.col("html"))
+    again = first.withColumns({"html": html, "captured": F.col("captured") + F.expr("interval 1 day")})
+    for rows in (first, again):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        refresh(spark, f"{folder}/in", "page_id bigint, url string, html string, captured timestamp",
+                lambda new: changed_captures(new, "page_id", ["url", "html"], "captured"), f"{folder}/out", f"{folder}/progress")
+    return spark.read.parquet(f"{folder}/out").select("page_id", F.dayofmonth("captured").alias("day"))
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -513,5 +603,6 @@ QUERIES = {
         match_title_date, match_title_place, match_nearby, resolve_fuzzy, match_rules, leaders_url, resolve_orders, resolve_documents, merge_survivorship, provenance,
         feed_order, feed_output, stage_counts, resolved_by_source, feed_roundtrip, feed_health, sample_feed, count_by_source, count_by_location,
         upcoming, upcoming_shown, search_text, age_band, county_filter, display, search_feed,
+        match_same_day, match_metric, pass_through_counts, feed_changes, count_by_level, search_by_index, replaced_feed, page_changes,
     ]
 }

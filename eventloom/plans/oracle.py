@@ -449,4 +449,41 @@ ORACLE = {
         select cluster_id, title, start_date, coalesce(strftime(day, '%a %-d %b %Y'), start_date) as date_label,
             'allevents' as source_badge
         from feed where county = 'County NATION_3'""",
+    "match_same_day": f"""
+        with {WORDED}
+        select other as other_id, min(earliest) as earliest_id, 'A' as rule, arg_min(ratio > 0.9 and days = 0, earliest) as same_title_and_day
+        from paired where ratio > 0.8 and days <= 3 group by other""",
+    "match_metric": """
+        with titles as (
+            select o_orderkey as k, o_custkey as g, o_orderkey % 6 as day,
+                translate(md5(cast(o_custkey as varchar)), '0123456789abcdef', 'abcdefghijklmnop')[:14 + o_orderkey % 19]
+                || repeat(['q', 'r', 's'][(o_orderkey // 114) % 3 + 1], 1 + (o_orderkey // 19) % 6) as title
+            from orders)
+        select b.k as other_id, min(a.k) as earliest_id
+        from titles a join titles b on a.g = b.g and a.k < b.k and abs(a.day - b.day) <= 3
+        where 1 - levenshtein(a.title, b.title) / greatest(length(a.title), length(b.title)) > 0.8 group by b.k""",
+    "pass_through_counts": """
+        select 1 as tier, count(*) as n, min(s_name) as first_title, max(cast(s_acctbal as varchar)) as last_cost, 0::bigint as cities from supplier
+        union all select 2, count(*), min(c_name), null, count(distinct c_mktsegment) from customer""",
+    "feed_changes": """
+        with kept as (select c_custkey as k, c_custkey % 17 = 0 as gone, c_custkey % 19 = 1 as twice from customer)
+        select k as cluster_id, 'removed' as change, '' as fields, 1::bigint as n from kept where gone
+        union all select k, 'changed', case when k % 10 = 5 then 'city,confidence' else 'city' end, 1 from kept where not gone and k % 5 = 0
+        union all select k, 'added', '', 1 from kept where not gone and twice
+        union all select -k, 'added', '', 1 from kept where not gone and twice and k % 2 = 0""",
+    "count_by_level": f"""
+        with {CUSTOMER_FEED},
+        named as (
+            select coalesce(nullif(trim(county, ' ' || chr(9)), ''), 'Unknown') as county, coalesce(nullif(trim(city), ''), 'Unknown') as city,
+                all_sources[2] as source_type, title[-2:] as title, start_date, confidence
+            from feed)
+        select cast(3 - grouping(county) - grouping(city) - grouping(source_type) as int) as level, county, city, source_type, count(*) as n,
+            count(distinct title) as n_titles, min(nullif(start_date, '')) as first_day, max(confidence) as best
+        from named group by rollup (county, city, source_type)""",
+    "search_by_index": "select doc_id from documents where contains(lower(source) || lower(text), 'tion the')",
+    "replaced_feed": f"""
+        with {CUSTOMER_FEED}
+        select start_date, count(*) as n, min(title) as first_title from feed where cluster_id % 3 <> 0 group by start_date""",
+    "page_changes": """
+        select page_id, 1 as day from pages union all select page_id, 2 from pages where page_id % 4 = 0""",
 }

@@ -83,6 +83,7 @@ URL_RULE, TITLE_DATE_RULE, TITLE_PLACE_RULE, NEARBY_RULE = "url", "A", "B", "C"
 TITLE_DATE_SIM, TITLE_DATE_DAYS = 0.8, 3
 TITLE_PLACE_SIM, PLACE_SIM = 0.85, 0.7
 NEARBY_SIM, NEARBY_DAYS = 0.5, 1
+SAME_TITLE_SIM = 0.9
 GEO_KM, KM_PER_DEGREE = 5.0, 111.0
 
 # Confidence of merged records.

@@ -68,6 +68,39 @@ def write_feed(feed: DataFrame, path: str, fmt: str = "json") -> None:
     feed.select(*FEED_SCHEMA.names).write.mode("overwrite").format(fmt).save(path)
 
 
+def replace_feed(feed: DataFrame, path: str) -> str:
+    """Write a new version of the feed and make it the current one; returns its name.
+
+    The version is written into a folder of its own, and then one small file
+    with its name takes the place of the old one in a single rename. Readers
+    see the old feed or the new one; a write that breaks off changes nothing.
+    """
+    spark = feed.sparkSession
+    version = uuid.uuid4().hex
+    feed.write.parquet(f"{path}/versions/{version}")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    staged = fs.Path(f"{path}/current-{version}")
+    context = fs.FileContext.getFileContext(staged.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.text(f"{path}/names/{version}")
+    name = next(f.getPath() for f in staged.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(fs.Path(f"{path}/names/{version}"))
+                if f.getPath().getName().startswith("part-"))
+    options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(name, fs.Path(f"{path}/current.txt"), options)
+    return version
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a feed written by `replace_feed`; without one, an empty feed."""
+    try:
+        version = spark.read.text(f"{path}/current.txt").first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], FEED_SCHEMA)
+    return spark.read.parquet(f"{path}/versions/{version}")
+
+
 def split_records(df: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """JSON texts in `column` parsed into (good, quarantined); one bad record stops nothing."""
     options = {"columnNameOfCorruptRecord": "_corrupt"}
