@@ -34,5 +34,11 @@ def refresh(
         .trigger(availableNow=True)
         .start(out)
     )
-    run.awaitTermination()
-    return sum(p["numInputRows"] for p in run.recentProgress)
+    # Spark remembers the last hundred batches only, so they are counted as they end.
+    rows: dict[int, int] = {}
+    ended = False
+    while not ended:
+        ended = run.awaitTermination(1)
+        for p in run.recentProgress:
+            rows[p["batchId"]] = max(rows.get(p["batchId"], 0), p["numInputRows"])
+    return sum(rows.values())
