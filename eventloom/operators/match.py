@@ -18,8 +18,8 @@ per URL (see `resolve`).
 
 Rows meet in blocks without their titles, with a signature of fixed size, and a
 pair leaves its block only if upper bounds on M allow the ratio the rule asks
-for. The bounds run inside the join, so rejected pairs are never written or
-shuffled. Of what is left, each pair of different titles is looked at once:
+for. The rows of a block, or of a cell of a large one, are compared as arrays,
+a tile of pairs at a time, so rejected pairs are never written or shuffled. Of what is left, each pair of different titles is looked at once:
 titles up to SHORT_TITLE characters by their edit distance, then all by their
 longest common subsequence, and only the rest by the ratio itself.
 """
@@ -63,6 +63,19 @@ TASK_PAIRS = 1_000_000
 PAIR_WORDS = 4
 TITLE_WORDS = 16
 
+# Titles of a block are compared in cells of at most about CELL_ROWS rows a side, TILE_PAIRS pairs at a time;
+# a task gets about CELL_PAIRS pairs.
+CELL_ROWS = 32_768
+TILE_PAIRS = 1 << 15
+CELL_PAIRS = 200_000_000
+# Words of the masks that a tile looks at first, at most 3: their bits are counted in bytes.
+FOLDED_WORDS = 3
+# Pairs of titles that a task scores.
+SCORED_PAIRS = 100_000
+
+# Letters whose bits are set at a time.
+TITLE_LETTERS = 1 << 20
+
 # Titles whose edit distance is worth its time, which grows with the square of the length.
 SHORT_TITLE = 256
 
@@ -105,7 +118,8 @@ def similarity_udf():
             out.append(seen[pair])
         return pd.Series(out, dtype="float64")
 
-    return ratio
+    # A filter on it would be moved before the rows are dealt out, and the ratio taken there a second time.
+    return ratio.asNondeterministic()
 
 
 def common_letters(a: str, where: dict[str, int], n: int) -> int:
@@ -224,7 +238,8 @@ def bounded_similarity_udf():
         above = BoundedRatio().above
         return pd.Series([above(*row) for row in zip(a, b, least)], dtype="float64")
 
-    return ratio
+    # See `similarity_udf`.
+    return ratio.asNondeterministic()
 
 
 def with_signature(df: DataFrame, text: str, prefix: str) -> DataFrame:
@@ -320,7 +335,7 @@ def block_sizes(blocks: DataFrame, hot_rows: int | None = None) -> Blocks:
     hot = None
     if largest > limit:
         splits = F.ceil(F.col("n") / limit).cast("int")
-        hot = sizes.filter(F.col("n") > limit).select("blk", splits.alias("splits"))
+        hot = sizes.filter(F.col("n") > limit).select("blk", splits.alias("splits"), "n")
     return Blocks(rows, row["pairs"] or 0.0, hot)
 
 
@@ -333,7 +348,7 @@ def blocked_join(left: DataFrame, right: DataFrame, condition: Column, sizes: Bl
     keys = ["blk"]
     if sizes.hot is not None:
         keys.append("salt")
-        hot = F.broadcast(sizes.hot)
+        hot = F.broadcast(sizes.hot.select("blk", "splits"))
         splits = F.coalesce("splits", F.lit(1))
         left = left.join(hot, "blk", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), splits - 1))).drop("splits")
         right = right.join(hot, "blk", "left").withColumn("salt", F.pmod(F.xxhash64("rank"), splits).cast("int")).drop("splits")
@@ -407,20 +422,31 @@ def title_bits_udf():
             x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
             return x ^ (x >> np.uint64(29))
 
-        out = []
+        def of_texts(texts):
+            letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            words = np.zeros((len(texts), TITLE_WORDS + 1), np.uint64)
+            np.bitwise_or.at(words, (row, 0), np.uint64(1) << (mixed(letters) & np.uint64(63)))
+            inside = np.flatnonzero(row[1:] == row[:-1])
+            row, pairs = row[inside], letters[inside] << np.uint64(32) | letters[inside + 1]
+            order = np.lexsort((pairs, row))
+            row, pairs, at = row[order], pairs[order], np.arange(len(order))
+            new = np.ones(len(order), bool)
+            new[1:] = (pairs[1:] != pairs[:-1]) | (row[1:] != row[:-1])
+            first = np.maximum.accumulate(np.where(new, at, 0)) if len(at) else at
+            hashes = mixed(mixed(pairs) + (at - first).astype(np.uint64))
+            place = 1 + (hashes >> np.uint64(8)) % np.uint64(TITLE_WORDS)
+            np.bitwise_or.at(words, (row, place.astype(int)), np.uint64(1) << (hashes & np.uint64(63)))
+            return list(words.view(np.int64))
+
+        out, held, size = [], [], 0
         for title in titles:
-            letters = np.frombuffer((title or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
-            words = np.zeros(TITLE_WORDS + 1, np.uint64)
-            np.bitwise_or.at(words, np.zeros(len(letters), int), np.uint64(1) << (mixed(letters) & np.uint64(63)))
-            if len(letters) > 1:
-                pairs = np.sort(letters[:-1] << np.uint64(32) | letters[1:])
-                at = np.arange(len(pairs))
-                first = np.maximum.accumulate(np.where(np.concatenate(([True], pairs[1:] != pairs[:-1])), at, 0))
-                hashes = mixed(mixed(pairs) + (at - first).astype(np.uint64))
-                place = 1 + (hashes >> np.uint64(8)) % np.uint64(TITLE_WORDS)
-                np.bitwise_or.at(words, place.astype(int), np.uint64(1) << (hashes & np.uint64(63)))
-            out.append(words.view(np.int64))
-        return pd.Series(out)
+            held.append(title or "")
+            size += len(held[-1])
+            if size > TITLE_LETTERS:
+                out += of_texts(held)
+                held, size = [], 0
+        return pd.Series(out + of_texts(held) if held else out, dtype=object)
 
     return bits
 
@@ -508,21 +534,206 @@ def geo_close(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.coalesce(km < GEO_KM, F.lit(False))
 
 
-def candidate_pairs(earlier: DataFrame, later: DataFrame, places: DataFrame, sizes: Blocks, extra: Column, keep: list[Column]) -> DataFrame:
+# A condition of `candidate_pairs`: a column of the earlier side, a comparison, a column of the later side.
+LATER = (("rank", "<", "rank"),)
+ASKED_SIM = {"d": TITLE_DATE_SIM, "p": TITLE_PLACE_SIM, "g": NEARBY_SIM}
+
+
+def in_cells(blocks: DataFrame, side: int, hot: DataFrame | None) -> DataFrame:
+    """Add `cell`: a block, or for a hot one each cell of its grid that rows of this side stand in."""
+    if hot is None:
+        return blocks.withColumn("cell", F.col("blk"))
+    own, others = F.pmod(F.xxhash64(F.lit("cell"), "rank"), F.col("splits")).cast("string"), F.explode(F.sequence(F.lit(0), F.col("splits") - 1))
+    split = blocks.join(F.broadcast(hot), "blk", "left").withColumn("splits", F.coalesce("splits", F.lit(1)))
+    split = split.withColumn("_own", own).withColumn("_other", others)
+    cell = ("_own", "_other") if side == 0 else ("_other", "_own")
+    return split.withColumn("cell", F.concat_ws("/", *cell, "blk")).drop("splits", "_own", "_other")
+
+
+class Compared:
+    """Pairs of rows of the same cell that may match, cell by cell; see `candidate_pairs`."""
+
+    def __init__(self, rows, ops: list[str]):
+        import numpy as np
+
+        words = [f"t_p{w}" for w in range(TITLE_WORDS)]
+        column = {c: rows.column(c) for c in rows.schema.names}
+        self.rows, self.ops = rows, ops
+        self.values = [column[f"_v{n}"].to_numpy() for n in range(len(ops))]
+        self.length = column["t_len"].to_numpy().astype(np.float64)
+        self.letters = column["t_c"].to_numpy().view(np.uint64)
+        self.words = np.column_stack([column[w].to_numpy().view(np.uint64) for w in words])
+        self.letters_free, self.pairs_free = (column[c].to_numpy().astype(np.float64) for c in ("t_c_free", "t_p_free"))
+        self.day = column["_day"].to_numpy(zero_copy_only=False).astype(np.float64)
+        self.at = [column[c].to_numpy(zero_copy_only=False).astype(np.float64) for c in ("lat", "lon")]
+        self.asks = column["asks"].to_numpy(zero_copy_only=False)
+        self.side = column["_side"].to_numpy()
+        # Fewer bits, which allow more: what they reject, all of them would.
+        self.folded = [np.bitwise_or.reduce(self.words[:, w::FOLDED_WORDS], axis=1) for w in range(FOLDED_WORDS)]
+        bits = sum(np.bitwise_count(f).astype(np.float64) for f in self.folded)
+        self.folded_free = self.length - bits
+
+    def tiles(self, ends: list[int]):
+        """(earlier rows, later rows) that may match; a cell ends before each of `ends`."""
+        import numpy as np
+
+        few, size = [], 0
+        start = 0
+        for end in ends:
+            left = start + np.flatnonzero(self.side[start:end] == 0)
+            right = start + len(left) + np.arange(end - start - len(left))
+            start = end
+            if not len(left) or not len(right):
+                continue
+            if len(left) * len(right) > 2048:
+                found = self._large(left, right)
+            else:
+                found = [(np.repeat(left, len(right)), np.tile(right, len(left)))]
+            for pairs in found:
+                few.append(pairs)
+                size += len(pairs[0])
+                if size > TILE_PAIRS:
+                    yield tuple(map(np.concatenate, zip(*few)))
+                    few, size = [], 0
+        if few:
+            yield tuple(map(np.concatenate, zip(*few)))
+
+    def _large(self, left, right):
+        import numpy as np
+
+        # Ordered by what the first condition compares, whole tiles fail it.
+        left, right = (x[np.argsort(self.values[0][x], kind="stable")] for x in (left, right))
+        scale = 1.5 * ASKED_SIM[self.asks[left[0]]] - 1
+        width = min(len(right), 4096)
+        height = min(len(left), max(1, TILE_PAIRS // width))
+        kind = np.int16 if max(self.length[left].max(), self.length[right].max()) < 8000 else np.int32
+        both, hits = np.empty((height, width), np.uint64), np.empty((height, width), bool)
+        bits, more, most = np.empty((height, width), np.uint8), np.empty((height, width), np.uint8), np.empty((height, width), kind)
+        for j in range(0, len(right), width):
+            r = right[j : j + width]
+            # Rounded down on both sides, so that none is rejected that may match.
+            free_r, needed_r = self.folded_free[r].astype(kind), np.floor(scale * self.length[r]).astype(kind)
+            words_r = [f[r] for f in self.folded]
+            for i in range(0, len(left), height):
+                at = left[i : i + height]
+                if any(self._never(op, v[at], v[r]) for op, v in zip(self.ops, self.values)):
+                    continue
+                x, one, two, sums, ok = (array[: len(at), : len(r)] for array in (both, bits, more, most, hits))
+                for n, (f, word) in enumerate(zip(self.folded, words_r)):
+                    np.bitwise_and(f[at, None], word, out=x)
+                    np.bitwise_count(x, out=two if n else one)
+                    if n:
+                        np.add(one, two, out=one)
+                np.minimum(self.folded_free[at].astype(kind)[:, None], free_r, out=sums)
+                np.subtract(sums, needed_r, out=sums)
+                np.add(sums, one, out=sums)
+                np.greater(sums, np.floor(scale * self.length[at]).astype(kind)[:, None], out=ok)
+                a, b = np.divmod(np.flatnonzero(ok), len(r))
+                if len(a):
+                    yield at[a], r[b]
+
+    @staticmethod
+    def _never(op: str, left, right) -> bool:
+        return left.min() >= right.max() if op == "<" else left.max() < right.min() if op == ">=" else False
+
+    def hold(self, a, b):
+        """Which pairs may match, and the ratio that they have to exceed."""
+        import numpy as np
+
+        test = {"<": np.less, ">=": np.greater_equal, "!=": np.not_equal}
+        ok = np.ones(len(a), bool)
+        for op, v in zip(self.ops, self.values):
+            ok &= test[op](v[a], v[b])
+        a, b = a[ok], b[ok]
+        asks = self.asks[a]
+        days = np.nan_to_num(np.abs(self.day[a] - self.day[b]), nan=999.0)
+        north, east = (x[a] - x[b] for x in self.at)
+        near = np.sqrt(north * north + east * east) * KM_PER_DEGREE < GEO_KM
+        least = np.where(asks == "d", TITLE_DATE_SIM, np.where((asks == "p") | (days > NEARBY_DAYS), TITLE_PLACE_SIM, NEARBY_SIM))
+        ok = np.where(asks == "d", days <= TITLE_DATE_DAYS, (asks == "p") | near)
+        total = self.length[a] + self.length[b]
+        ok &= 2 * np.minimum(self.length[a], self.length[b]) > least * total
+        a, b, least, total = a[ok], b[ok], least[ok], total[ok]
+        # See `may_exceed`.
+        pairs = np.minimum(self.pairs_free[a], self.pairs_free[b])
+        pairs += np.bitwise_count(self.words[a] & self.words[b]).sum(axis=1, dtype=np.int64)
+        ok = 2 * (pairs + total) > 3 * least * total
+        a, b, least, total = a[ok], b[ok], least[ok], total[ok]
+        letters = np.minimum(self.letters_free[a], self.letters_free[b]) + np.bitwise_count(self.letters[a] & self.letters[b])
+        ok = 2 * letters > least * total
+        return a[ok], b[ok], least[ok]
+
+
+def _compare(ops: list[str]):
+    """For mapInArrow over rows sorted by cell and side: pairs (l, r, _least). One cell is in memory at a time, and a tile of pairs."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def pairs_in(rows, ends):
+            rows = rows.combine_chunks().to_batches()[0] if rows.num_rows else None
+            if rows is None:
+                return
+            compared = Compared(rows, ops)
+            for a, b in compared.tiles(ends):
+                a, b, least = compared.hold(a, b)
+                if len(a):
+                    out = [rows.column("l").take(pa.array(a)), rows.column("r").take(pa.array(b)), pa.array(least)]
+                    yield pa.RecordBatch.from_arrays(out, ["l", "r", "_least"])
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            cell = batch.column("cell")
+            if len(held) > 1 and held[-2].column("cell")[-1].as_py() == cell[len(cell) - 1].as_py():
+                # Still the same cell.
+                continue
+            rows = pa.Table.from_batches(held)
+            cells = rows.column("cell").combine_chunks()
+            new = pc.not_equal(cells[1:], cells[:-1]).to_numpy(zero_copy_only=False)
+            ends = (np.flatnonzero(new) + 1).tolist()
+            if not ends:
+                continue
+            yield from pairs_in(rows.slice(0, ends[-1]), ends)
+            held = rows.slice(ends[-1]).combine_chunks().to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            cells = rows.column("cell").combine_chunks()
+            new = pc.not_equal(cells[1:], cells[:-1]).to_numpy(zero_copy_only=False)
+            yield from pairs_in(rows, [*(np.flatnonzero(new) + 1).tolist(), rows.num_rows])
+
+    return run
+
+
+def candidate_pairs(
+    earlier: DataFrame, later: DataFrame, places: DataFrame, sizes: Blocks, extra: tuple, keep: list[Column], carry: list[str] | None = None
+) -> DataFrame:
     """Pairs that may match: `keep`, the ids of the titles and the ratio to exceed.
 
     Both sides hold the columns of `match_features` but the title, and `with_title`.
-    `extra` is a further condition on l and r.
+    `extra` lists further conditions on bigint columns of l and r, like `LATER`;
+    `carry` names the columns of either side that `keep` looks at, by default all.
     """
-    near = geo_close(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))
-    days = F.abs(F.datediff("l.start_dt", "r.start_dt"))
-    asks = F.col("l.asks")
-    least = f"""(case l.asks when 'd' then {TITLE_DATE_SIM}D when 'p' then {TITLE_PLACE_SIM}D
-        else if(coalesce(abs(datediff(l.start_dt, r.start_dt)), 999) <= {NEARBY_DAYS}, {NEARBY_SIM}D, {TITLE_PLACE_SIM}D) end)"""
-    holds = F.when(asks == "d", days <= TITLE_DATE_DAYS).when(asks == "g", near).otherwise(F.lit(True))
-    condition = extra & holds & may_exceed("t", least, TITLE_WORDS)
-    found = blocked_join(_earlier_blocks(earlier, places), _own_blocks(later), condition, sizes)
-    return found.select(*keep, F.col("l.title_id").alias("_a"), F.col("r.title_id").alias("_b"), F.expr(least).alias("_least"))
+    hot = None if sizes.hot is None else sizes.hot.filter(F.col("n") > CELL_ROWS).select("blk", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("splits"))
+    rows = []
+    for side, (df, blocks, own) in enumerate(((earlier, _earlier_blocks(earlier, places), "l"), (later, _own_blocks(later), "r"))):
+        carried = [c for c in df.columns if c != "title_n" and c not in TITLE and (carry is None or c in carry)]
+        rows.append(
+            in_cells(blocks.withColumn("asks", F.col("asks") if side == 0 else F.lit(None).cast("string")), side, hot).select(
+                "cell", F.lit(side).alias("_side"), "asks", *TITLE[1:], F.unix_date("start_dt").alias("_day"), "lat", "lon",
+                *[F.col(x[2 * side]).cast("bigint").alias(f"_v{n}") for n, x in enumerate(extra)],
+                F.struct(*carried, "title_id").alias(own),
+            )
+        )
+    tasks = max(int(earlier.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(sizes.pairs // CELL_PAIRS))
+    both = rows[0].unionByName(rows[1], allowMissingColumns=True).repartition(tasks, "cell").sortWithinPartitions("cell", "_side")
+    kinds = [f"{own} {df.schema[own].dataType.simpleString()}" for own, df in zip("lr", rows)]
+    found = both.mapInArrow(_compare([x[1] for x in extra]), ", ".join([*kinds, "_least double"]))
+    return found.select(*keep, F.col("l.title_id").alias("_a"), F.col("r.title_id").alias("_b"), "_least")
 
 
 def matching_pairs(
@@ -532,23 +743,25 @@ def matching_pairs(
     sizes: Blocks,
     titles: DataFrame,
     metric=None,
-    extra: Column | None = None,
+    extra: tuple = LATER,
     keep: list[Column] | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Rows `keep` of the pairs that match by title; a pair may show up in several blocks.
 
     By default l comes before r. Each pair of different titles is scored once,
     however many records have them.
     """
-    keep = keep or [F.col("l.rank").alias("src"), F.col("r.rank").alias("dst")]
-    extra = F.col("l.rank") < F.col("r.rank") if extra is None else extra
-    found = cut_lineage(candidate_pairs(earlier, later, places, sizes, extra, keep))
+    if keep is None:
+        keep, carry = [F.col("l.rank").alias("src"), F.col("r.rank").alias("dst")], ["rank"]
+    found = cut_lineage(candidate_pairs(earlier, later, places, sizes, extra, keep, carry))
     kept = [c for c in found.columns if c not in ("_a", "_b", "_least")]
     differ = found.filter("_a <> _b").groupBy("_a", "_b").agg(F.min("_least").alias("_least"))
     text = lambda s: titles.select(F.col("title_id").alias(f"_{s}"), F.col("title_n").alias(f"_title_{s}"))
     asked = differ.join(text("a"), "_a").join(text("b"), "_b").filter(few_edits("_title_a", "_title_b", "_least"))
     # Pairs are few bytes and much work.
-    asked = asked.repartition(sizes.tasks(found.sparkSession), "_b").sortWithinPartitions("_b")
+    tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), found.count() // SCORED_PAIRS)
+    asked = asked.repartition(tasks, "_b").sortWithinPartitions("_b")
     sim = metric("_title_a", "_title_b") if metric else bounded_similarity_udf()("_title_a", "_title_b", "_least")
     scored = asked.withColumn("_sim", sim).filter("_sim > _least").select("_a", "_b", "_sim")
     same = found.filter("_a = _b").select(*kept)

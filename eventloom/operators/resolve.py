@@ -48,6 +48,8 @@ from eventloom.storage import cut_lineage
 
 WINDOW_PAIRS = 200_000_000
 WINDOW_STEPS = 128
+#: A state holds while records of a node come in, see `candidate_pairs`.
+IN_TIME = (("from_rank", "<", "last_rank"), ("to_rank", ">=", "rank"))
 
 
 def greedy_leaders(pairs: DataFrame, urls: DataFrame) -> DataFrame:
@@ -177,7 +179,7 @@ def _settle(
         # What is left after a window is sparser, so the next one may be larger.
         window_pairs *= 4
         head = todo if end is None else todo.filter(F.col("rank") <= end)
-        after = F.col("l.rank") < F.col("r.last_rank")
+        after = (("rank", "<", "last_rank"),)
         pairs = cut_lineage(matching_pairs(head, head, places, sizes, titles, metric, extra=after).distinct())
         if end is None and not joined:
             complete = pairs
@@ -393,7 +395,6 @@ def _by_rounds(
     by_node = nodes.select(F.col("rank").alias("node"), *features)
     forever = F.lit(2**63 - 1)
     urls = _urls(nodes)
-    in_time = (F.col("l.from_rank") < F.col("r.last_rank")) & (F.col("l.to_rank") >= F.col("r.rank"))
     kept = [F.col(f"l.{c}") for c in ("state", "rank", "from_rank", "to_rank")] + [F.col("r.rank").alias("node")]
     spans, known, hits = None, None, None
     changed = assignment.select("leader").distinct()
@@ -418,7 +419,7 @@ def _by_rounds(
         shown = with_title(_state_features(spans)).select(*unknown.columns).unionByName(unknown)
         shown = cut_lineage(shown.withColumn("state", F.xxhash64(*[F.col(c) for c in shown.columns if not c.startswith("t_")])))
         fresh = shown if known is None else shown.join(known, ["state", "rank"], "left_anti")
-        found = matching_pairs(fresh, nodes, places, sizes, titles, metric, extra=in_time, keep=kept)
+        found = matching_pairs(fresh, nodes, places, sizes, titles, metric, extra=IN_TIME, keep=kept, carry=["state", "rank", "from_rank", "to_rank"])
         # A leader shows one URL for most of its time: spans of equal ones are united before nodes meet them.
         by_url = united_spans(fresh.filter("url <> ''").select(F.col("rank").alias("leader"), "state", "from_rank", "to_rank", F.col("url").alias("node")), "state")
         same = by_url.join(urls, F.col("node") == F.col("url")).select("state", "leader", "from_rank", "to_rank", F.col("rank").alias("node"))
@@ -516,8 +517,9 @@ def merged_assignment(
         # Nodes of its own component are settled already.
         others = nodes.join(roots, F.col("rank") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "rank"))
         leads_out = in_time & (F.col("l.root") != F.col("r.root"))
+        far = (*IN_TIME, ("root", "!=", "root"))
         keep = [F.col("l.root").alias("a"), F.col("r.root").alias("b")]
-        found = matching_pairs(shown, others, places, sizes, titles, metric, extra=leads_out, keep=keep)
+        found = matching_pairs(shown, others, places, sizes, titles, metric, extra=far, keep=keep, carry=["root"])
         named = shown.filter("url <> ''").alias("l").join(others.alias("r"), (F.col("l.url") == F.col("r.url")) & leads_out).select(*keep)
         out = cut_lineage(found.unionByName(named).distinct())
         if rounds is not None:

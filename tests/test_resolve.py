@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators.canonical import RANK_STEP, check_order, to_canonical
-from eventloom.operators.match import BoundedRatio, match_features, matching_pairs, similar_places, sizes_of, titles_of, with_evidence, with_title
+from eventloom.operators.match import BoundedRatio, match_features, matching_pairs, similar_places, similarity_udf, sizes_of, titles_of, with_evidence, with_title
 from eventloom.operators import report
 from eventloom.operators.merge import feed_sources, merge_clusters, override_priority
 from eventloom.operators.resolve import leader_assignment, membership, merged_assignment
@@ -166,3 +166,49 @@ def test_long_titles_cost_little_before_the_ratio():
     start = time.time()
     assert bounded.above(a, b, 0.8) == 0.0
     assert time.time() - start < 1
+
+
+@pytest.mark.parametrize("cell_rows", [7, 40, 32_768])
+def test_tiles_of_large_blocks_equal_brute_force(spark, monkeypatch, cell_rows):
+    """Few places with many titles: the pairs of a block are compared in tiles, and large blocks in cells."""
+    import random
+
+    from eventloom.operators import match
+
+    rnd = random.Random(3)
+    monkeypatch.setattr(match, "CELL_ROWS", cell_rows)
+    event = dict.fromkeys(naive.MERGED + ["source"], "")
+    events, title = [], ""
+    for i in range(240):
+        # Every third title is a change of the one before.
+        title = title[:20] + rnd.choice("abc") + title[21:] if i % 3 else "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.choice([32, 36, 250])))
+        events.append(dict(event, title=title, city=rnd.choice(["Cork", "Galway"]), source=f"web:{i}", ingest_ord=i))
+    order = naive.ordered(events)
+    expected = {(a["ingest_ord"], b["ingest_ord"]) for i, a in enumerate(order) for b in order[i + 1 :] if naive.rule(a, b)}
+    assert len(expected) > 50
+    found = match_pairs(canonical_of(spark, events), 5).collect()
+    assert {(r.leader_id % RANK_STEP, r.other_id % RANK_STEP) for r in found} == expected
+
+
+def test_ratio_is_taken_once(spark, tmp_path):
+    """A filter on the ratio is not moved before the pairs are dealt out to tasks."""
+    pairs = spark.createDataFrame([("ab", "abc"), ("x", "y")], "a string, b string").repartition(3, "b")
+    scored = pairs.withColumn("s", similarity_udf()("a", "b")).filter("s > 0.5")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert scored.count() == 1
+
+
+def test_bits_of_many_titles_at_once(spark, monkeypatch):
+    """Titles handled in any portions have the same bits: each pair of letters that occurs again counts as another one."""
+    import pandas as pd
+
+    from eventloom.operators import match
+
+    texts = pd.Series(["", "a", "aaaa", "abab" * 30, "Ünïcode 🎉🎉", "x" * 300, None])
+    bits = lambda: [list(w) for w in match.title_bits_udf().func(texts)]
+    together = bits()
+    monkeypatch.setattr(match, "TITLE_LETTERS", 0)
+    assert together == bits()
+    assert together[0] == together[-1] == [0] * 17
+    assert sum(bin(int(w) & (2**64 - 1)).count("1") for w in together[2][1:]) == 3
