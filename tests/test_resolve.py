@@ -212,3 +212,46 @@ def test_bits_of_many_titles_at_once(spark, monkeypatch):
     assert together == bits()
     assert together[0] == together[-1] == [0] * 17
     assert sum(bin(int(w) & (2**64 - 1)).count("1") for w in together[2][1:]) == 3
+
+
+def test_ratios_of_many_pairs_at_once():
+    """Blocks of many pairs are found together; the ratio is that of one pair at a time, also next to the bounds."""
+    import random
+
+    import numpy as np
+
+    from eventloom.operators.match import plain_ratios, text_codes, text_ratios
+
+    rnd = random.Random(2)
+    left, right = [], []
+    for i in range(1500):
+        letters = rnd.choice(["ab", "abcdefghijklmnop", "ab é日🎉"])
+        a = "".join(rnd.choice(letters) for _ in range(rnd.choice([0, 1, 3, 20, 33, 199])))
+        at = rnd.randrange(len(a) + 1)
+        b = a[:at] + "".join(rnd.choice(letters) for _ in range(rnd.choice([0, 2, 30]))) + a[at + rnd.randrange(4) :]
+        left.append(a)
+        right.append(b[:199] if i % 3 else b[199::-1][:199])
+    exact = np.array([naive.ratio(a, b) if a and b else 0.0 for a, b in zip(left, right)])
+    assert (text_ratios(left, right) == exact).all()
+    for least in (0.5, 0.8, 0.85):
+        bound = np.full(len(left), least)
+        assert (text_ratios(left, right, bound) == np.where(exact > least, exact, 0)).all()
+        lengths = np.array([len(t) for t in left + right])
+        codes, start, length = text_codes("".join(left + right), lengths)
+        n = len(left)
+        above = plain_ratios(codes, start[:n], length[:n], start[n:], length[n:], bound, whole=False) > 0
+        assert (above == (exact > least)).all()
+
+
+def test_titles_that_are_not_long_are_scored_where_they_meet(spark):
+    """Their pairs need no table of titles, so none is joined to them."""
+    from eventloom.operators.match import PLAIN_LETTERS
+
+    event = dict.fromkeys(naive.MERGED + ["source"], "")
+    titles = ["summer fair", "summer fairs", "summer fare", "w" * PLAIN_LETTERS + "a", "w" * PLAIN_LETTERS + "b"]
+    events = [dict(event, title=t, start_date="2026-05-01", source=f"web:{i}", ingest_ord=i) for i, t in enumerate(titles)]
+    feats = with_title(match_features(canonical_of(spark, events), REF))
+    places, sizes = similar_places(feats), sizes_of(feats)
+    found = lambda titles: {(r.src % RANK_STEP, r.dst % RANK_STEP) for r in matching_pairs(feats, feats, places, sizes, titles).collect()}
+    assert found(titles_of(feats)) == {(0, 1), (0, 2), (1, 2), (3, 4)}
+    assert found(titles_of(feats).limit(0)) == {(0, 1), (0, 2), (1, 2)}
