@@ -255,3 +255,11 @@ def test_titles_that_are_not_long_are_scored_where_they_meet(spark):
     found = lambda titles: {(r.src % RANK_STEP, r.dst % RANK_STEP) for r in matching_pairs(feats, feats, places, sizes, titles).collect()}
     assert found(titles_of(feats)) == {(0, 1), (0, 2), (1, 2), (3, 4)}
     assert found(titles_of(feats).limit(0)) == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_blocks_are_spread_over_cells(spark):
+    """A block that fits one task in rows may still hold most of the pairs; it has several cells, but never very many copies of a row."""
+    from eventloom.operators.match import cells_a_side
+
+    rows = spark.createDataFrame([(n,) for n in (1, 4_096, 4_097, 20_000, 32_768, 262_145, 1_800_000)], "n bigint")
+    assert [r[0] for r in rows.select(cells_a_side(F.col("n"))).collect()] == [1, 1, 2, 5, 8, 9, 55]
