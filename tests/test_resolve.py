@@ -232,10 +232,11 @@ def test_ratios_of_many_pairs_at_once():
         left.append(a)
         right.append(b[:199] if i % 3 else b[199::-1][:199])
     exact = np.array([naive.ratio(a, b) if a and b else 0.0 for a, b in zip(left, right)])
-    assert (text_ratios(left, right) == exact).all()
+    alone = lambda a, b: naive.ratio(a, b) if a and b else 0.0
+    assert (text_ratios(left, right, other=alone) == exact).all()
     for least in (0.5, 0.8, 0.85):
         bound = np.full(len(left), least)
-        assert (text_ratios(left, right, bound) == np.where(exact > least, exact, 0)).all()
+        assert (text_ratios(left, right, bound, BoundedRatio().above) == np.where(exact > least, exact, 0)).all()
         lengths = np.array([len(t) for t in left + right])
         codes, start, length = text_codes("".join(left + right), lengths)
         n = len(left)
