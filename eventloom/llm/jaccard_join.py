@@ -11,7 +11,9 @@ Pairs are looked at in two rounds. First every posting's groups meet only the
 group that has the shingle earliest, which links crowds of copies in a star.
 Then the pairs of groups whose members are not yet all connected are expanded
 and verified. So no link between different components is missed, and a crowd of
-n copies costs about n pairs.
+n copies costs about n pairs. A set's parities, one bit for each class of its
+hashes, tell at least how many hashes only one of two sets has: pairs that differ
+too much already by that are dropped, and only the others' sets are moved.
 
 Null and wordless texts are empty: no shingles, linked with nothing, a
 component of their own. Repeated rows are separate rows of one component. A
@@ -81,6 +83,20 @@ def set_key(own: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
 
 
+def parities(own: np.ndarray) -> bytes:
+    """Whether each class of hashes has an odd number of the set's; at least as many classes as hashes."""
+    width = max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64
+    odd = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """At least so many hashes are in one of two sets only."""
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    # The longer one's classes are parts of the shorter one's.
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
+
+
 def shingle_sketch(docs: DataFrame, size: int, text: str = "text") -> np.ndarray:
     """How many documents have a shingle of each class of hashes; an array of fixed size."""
 
@@ -91,13 +107,16 @@ def shingle_sketch(docs: DataFrame, size: int, text: str = "text") -> np.ndarray
                 np.add.at(total, (shingle_set(known, body, size) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         for i, part in enumerate(total.reshape(-1, 1 << SEGMENT_BITS)):
             if part.any():
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([i], pa.int32()), "counts": [part.tobytes()]})
+                # A task sees few shingles of a class, so this packs well.
+                packed = pa.compress(part.tobytes(), codec="zstd", asbytes=True)
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([i], pa.int32()), "counts": [packed]})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[i] = held.get(i, 0) + np.frombuffer(part, np.uint32).astype(np.uint64)
+                counts = pa.decompress(part, 4 << SEGMENT_BITS, codec="zstd", asbytes=True)
+                held[i] = held.get(i, 0) + np.frombuffer(counts, np.uint32).astype(np.uint64)
         for i, part in held.items():
             counts = np.minimum(part, (1 << 32) - 1).astype(np.uint32)
             yield pa.RecordBatch.from_pydict({"segment": pa.array([i], pa.int32()), "counts": [counts.tobytes()]})
@@ -115,7 +134,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, text: str, keep: list[str]) -> DataFrame:
-    """Rows (row, text_key, n, set_key, prefix, group_key) of every document."""
+    """Rows (row, text_key, n, set_key, prefix, group_key, odd) of every document."""
     sketch = docs.sparkSession.sparkContext.broadcast(shingle_sketch(docs, size, text))
 
     def scan(batches):
@@ -123,7 +142,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, text: str, keep: list[st
 
         known, counts = _Words(), sketch.value
         for rows, column in batches:
-            out: dict = {"text_key": [], "n": [], "set_key": [], "prefix": [], "group_key": []}
+            out: dict = {"text_key": [], "n": [], "set_key": [], "prefix": [], "group_key": [], "odd": []}
             for body in column.to_pylist():
                 own = shingle_set(known, body, size)
                 rare = np.argsort(counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
@@ -132,10 +151,12 @@ def _prefixes(docs: DataFrame, size: int, percent: int, text: str, keep: list[st
                 out["n"].append(len(own))
                 out["set_key"].append(set_key(own))
                 out["prefix"].append(prefix.astype(np.int64))
+                out["odd"].append(parities(own) if len(own) else None)
                 out["group_key"].append(xxhash.xxh3_128_digest(prefix.tobytes() + len(own).to_bytes(8, "little")) if len(own) else None)
             yield rows, out
 
-    return map_text(docs, scan, "text_key binary, n bigint, set_key binary, prefix array<bigint>, group_key binary", text, keep)
+    fields = "text_key binary, n bigint, set_key binary, prefix array<bigint>, group_key binary, odd binary"
+    return map_text(docs, scan, fields, text, keep)
 
 
 def _needed_sets(docs: DataFrame, keys: DataFrame, size: int, text: str) -> DataFrame:
@@ -172,9 +193,27 @@ def _needed_sets(docs: DataFrame, keys: DataFrame, size: int, text: str) -> Data
     return sets.join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.min("cells").alias("cells"))
 
 
+def _hopeful(members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members whose parities leave open that they are similar enough."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            total, x, y = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            apart = np.array([least_difference(*xy) for xy in zip(x, y, strict=True)], np.int64)
+            total = np.array(total, np.int64)
+            near = pa.array((100 + percent) * (total - apart) >= 2 * percent * total)
+            yield batch.select([0, 1]).filter(near)
+
+    own = members.select("member", "n", "odd")
+    x = pairs.join(own.select(F.col("member").alias("a"), F.col("n").alias("nx"), F.col("odd").alias("x")), "a")
+    xy = x.join(own.select(F.col("member").alias("b"), F.col("n").alias("ny"), F.col("odd").alias("y")), "b")
+    return xy.select("a", "b", F.col("nx") + F.col("ny"), "x", "y").mapInArrow(scan, "a bigint, b bigint")
+
+
 def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, size: int, percent: int, text: str) -> DataFrame:
     """The pairs (a, b) of members that are similar enough."""
     spark = docs.sparkSession
+    pairs = written(_hopeful(members, pairs, percent))
     if pairs.isEmpty():
         return spark.createDataFrame([], "a bigint, b bigint")
     own = members.select("member", "text_key")
@@ -203,7 +242,7 @@ def jaccard_groups(
     some = lines.where("set_key IS NOT NULL")
     members = written(
         some.groupBy("set_key")
-        .agg(F.min(F.struct("line", "text_key")).alias("m"), F.min(F.struct("group_key", "n", "prefix")).alias("g"))
+        .agg(F.min(F.struct("line", "text_key")).alias("m"), F.min(F.struct("group_key", "n", "prefix", "odd")).alias("g"))
         .select("set_key", F.col("m.line").alias("member"), "m.text_key", "g.*")
     )
     groups = members.groupBy("group_key").agg(
@@ -259,7 +298,7 @@ def jaccard_groups(
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    found = verified(docs, members, written(more), size, percent, text)
+    found = verified(docs, members, more, size, percent, text)
     if not found.isEmpty():
         roots = components(links.unionByName(found))
     at = members.select("set_key", "member").join(roots, F.col("member") == F.col("node"), "left")

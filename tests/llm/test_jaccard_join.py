@@ -1,5 +1,6 @@
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from eventloom.llm import jaccard_join
@@ -63,3 +64,25 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
+
+
+def test_parities_are_a_lower_bound():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        sizes = rng.integers(0, 300, 3)
+        both, x, y = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in sizes)
+        least = jaccard_join.least_difference(*(jaccard_join.parities(np.concatenate((both, own))) for own in (x, y)))
+        assert least <= len(x) + len(y) and (least > 0 or len(x) + len(y) != 1)
+        assert (len(x) + len(y) - least) % 2 == 0
+
+
+def test_pairs_that_differ_much_move_no_sets(spark, monkeypatch):
+    needed, moved = jaccard_join._needed_sets, []
+    monkeypatch.setattr(jaccard_join, "_needed_sets", lambda docs, keys, *more: moved.append(keys.count()) or needed(docs, keys, *more))
+    tails = [" ".join(["x1 x2", *(f"{c}{i}" for i in range(24))]) for c in "ab"]
+    # Repeated rows make all but the rare shingles frequent, so two texts that share little else have one prefix.
+    rows = [(i, f"r1 r2 r3 r4 {t}") for i, t in enumerate(tails)] + [(10 + i, t) for i, t in enumerate(tails * 5)]
+    found = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = jaccard_join.jaccard_groups(found, 3, 90, keep=["doc_id"]).collect()
+    assert Counter((r["row"]["doc_id"], r["n_shingles"], r["component"]) for r in out) == naive(rows, 3, 90)
+    assert not moved
