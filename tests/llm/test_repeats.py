@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from eventloom.llm import repeats
@@ -68,3 +69,15 @@ def test_reaches_as_all_pairs():
 
 def test_without_rows(spark, tables):
     assert repeats.op7_repeats(spark, tables[1]).count() == 0
+
+
+def test_marks_as_a_set(spark):
+    grams = [-(1 << 62), -5, 0, 5, 1 << 40, 1 << 62]
+    others = [(1 << 62) - 1, (1 << 61), -(1 << 61), 3 << 60]
+    bits = repeats._mark(spark.createDataFrame([(g,) for g in grams * 3], "gram bigint").repartition(3), "gram")
+    as_keys = lambda own: np.array(own, np.int64).astype(np.uint64)
+    assert len(bits) == 1 << repeats.MARK_BITS - 3
+    assert repeats._marked(bits, as_keys(grams)).all() and not repeats._marked(bits, as_keys(others)).any()
+    keys = [repeats.text_key(t) for t in (b"a", b"b", None)]
+    bits = repeats._mark(spark.createDataFrame([(bytearray(k),) for k in keys], "text binary"), "text")
+    assert repeats._marked(bits, repeats._numbers(keys)).all() and not repeats._marked(bits, repeats._numbers([repeats.text_key(b"c")])).any()
