@@ -114,6 +114,12 @@ def _slabs(bodies: list) -> Iterator[tuple[int, list[bytes]]]:
         at = end
 
 
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1])))
+    return first, np.diff(first, append=len(ordered))
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return keys, counts
@@ -136,13 +142,15 @@ def pack_grams(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
             grams = keys.astype(np.int64)
             return pa.RecordBatch.from_pydict({"context": grams >> 8 & 0xFFFFFF, "gram": grams, "n": counts[:, 0].copy(), "m": counts[:, 1].copy()})
 
-        for batch in small(batches):
+        for batch in small(batches, SLAB):
             learned = np.array(batch.column(1).to_pylist(), bool)
             for at, part in _slabs(batch.column(0).to_pylist()):
                 every, _ = grams_of(part)
                 own = np.repeat(learned[at : at + len(part)], [len(b) + 1 for b in part])
-                new, places, m = np.unique(every, return_inverse=True, return_counts=True)
-                n = np.bincount(places, own, len(new)).astype(np.int64)
+                # Whether a gram is learned is its lowest bit, so that one sort does.
+                every = np.sort(every << np.uint64(1) | own)
+                first, m = _runs(every >> np.uint64(1))
+                new, n = every[first] >> np.uint64(1), np.add.reduceat((every & np.uint64(1)).astype(np.int64), first)
                 keys, counts = _summed(np.concatenate((keys, new)), np.concatenate((counts, np.stack((n, m), axis=1))))
                 if len(keys) > COUNTED:
                     yield out()
@@ -413,6 +421,26 @@ def gram_chances(packs: DataFrame) -> DataFrame:
     return packs.mapInArrow(scan, "gram bigint, m bigint, bits double")
 
 
+def _looked_up(part: list[bytes], grams: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each of a few texts the sum of its known grams' bits and how many others it has; those grams, how often.
+
+    grams is sorted and ends with one that no text has.
+    """
+    sizes = [len(b) + 1 for b in part]
+    # 48 bits of a gram, 16 of its text: sorted, they are searched for in order, each gram once.
+    assert len(part) <= 1 << 16
+    both = np.sort(grams_of(part)[0] << np.uint64(16) | np.repeat(np.arange(len(part), dtype=np.uint64), sizes))
+    first, n = _runs(both)
+    own, text = (both[first] >> np.uint64(16)).astype(np.int64), both[first].astype(np.uint16)
+    first, copies = _runs(own)
+    at = np.searchsorted(grams, own[first])
+    known = grams[at] == own[first]
+    total = np.bincount(text, n * np.repeat(np.where(known, bits[at], 0.0), copies), len(part))
+    rare = np.flatnonzero(~np.repeat(known, copies))
+    rare = rare[np.argsort(text[rare], kind="stable")]
+    return total, np.bincount(text[rare], minlength=len(part)), own[rare], n[rare]
+
+
 def tokens(body: bytes | None) -> list[bytes]:
     """Words between ASCII white space, A-Z in lower case."""
     return (body or b"").lower().split()
@@ -470,28 +498,24 @@ def score_texts(
         grams, bits_of_gram = model.value
         for rows, column in batches:
             bodies = column.to_pylist()
-            out = {"n_tokens": [], "n_known": [], "base": [], "rare": [], "bits": [], "bytes": [], "rare_grams": []}
+            out = {"n_tokens": [], "n_known": [], "base": [], "rare": [], "bits": [], "bytes": []}
             for body in bodies:
-                n = Counter(tokens(body))
+                words = tokens(body)
+                n = Counter(words)
                 rare = [(t, k) for t, k in n.items() if t not in values]
-                own = [(values[t] * k, k) for t, k in n.items() if t in values]
-                out["n_tokens"].append(sum(n.values()) + 1)
-                out["n_known"].append(sum(k for _, k in own) + (ends > 0))
-                out["base"].append(math.fsum(v for v, _ in own) + end_score)
+                out["n_tokens"].append(len(words) + 1)
+                out["n_known"].append(len(words) - sum(k for _, k in rare) + (ends > 0))
+                out["base"].append(math.fsum(values[t] * k for t, k in n.items() if t in values) + end_score)
                 out["rare"].append([{"token": t, "n": k} for t, k in rare])
+            rest = []
             for _, part in _slabs(bodies):
-                keys, starts = grams_of(part)
-                keys = keys.astype(np.int64)
-                at = np.searchsorted(grams, keys)
-                there = grams[at] == keys
-                out["bits"] += np.add.reduceat(np.where(there, bits_of_gram[at], 0.0), starts).tolist()
+                bits, *rare_grams = _looked_up(part, grams, bits_of_gram)
+                out["bits"] += bits.tolist()
                 out["bytes"] += [len(b) for b in part]
-                text_of = np.repeat(np.arange(len(part)), [len(b) + 1 for b in part])[~there]
-                rest = keys[~there]
-                cuts = np.searchsorted(text_of, np.arange(len(part) + 1))
-                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                    own, n = np.unique(rest[i:j], return_counts=True)
-                    out["rare_grams"].append([{"gram": g, "n": k} for g, k in zip(own.tolist(), n.tolist(), strict=True)])
+                rest.append(rare_grams)
+            sizes, *pairs = (np.concatenate(v) for v in zip(*rest, strict=True))
+            ends_at = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            out["rare_grams"] = pa.ListArray.from_arrays(ends_at, pa.StructArray.from_arrays([pa.array(v) for v in pairs], ["gram", "n"]))
             yield rows, out
 
     fields = "n_tokens bigint, n_known bigint, base double, rare array<struct<token:binary,n:bigint>>, bits double, bytes bigint"

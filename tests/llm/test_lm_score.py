@@ -97,5 +97,20 @@ def test_known_and_joined_grams_score_alike(spark):
     assert all(math.isclose(got[0][i], got[1][i], rel_tol=1e-9) for i in range(20))
 
 
+def test_texts_looked_up_together_as_brute_force():
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 100, rng.integers(0, 60)).astype(np.uint8)) for _ in range(50)]
+    every = [Counter(lm_score.grams_of([t])[0].tolist()) for t in texts]
+    known = {g: float(rng.normal()) for own in every[::3] for g in own}
+    grams = np.array([*sorted(known), 1 << 62])
+    bits = np.array([*(known[g] for g in sorted(known)), 0.0])
+    total, sizes, rare, n = lm_score._looked_up(texts, grams, bits)
+    ends = np.cumsum(sizes)
+    for i, own in enumerate(every):
+        assert math.isclose(total[i], sum(known[g] * k for g, k in own.items() if g in known), abs_tol=1e-9)
+        part = slice(ends[i] - sizes[i], ends[i])
+        assert list(zip(rare[part].tolist(), n[part].tolist(), strict=True)) == sorted((g, k) for g, k in own.items() if g not in known)
+
+
 def test_without_rows(spark, tables):
     assert lm_score.op2_lm_score(spark, tables[1]).count() == 0
