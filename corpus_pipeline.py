@@ -32,8 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the least id, of each group linked by a similarity of .8 of five-word shingles."""
     found = jaccard_join.jaccard_groups(docs, size=5, percent=80, keep=["doc_id"])
-    kept = found.where("first").select(F.col("row.doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return jaccard_join.rows_of(docs, kept)
+    return jaccard_join.first_rows(docs, found)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ component's id is its smallest id that is not null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,24 +35,14 @@ from .graph import components
 
 #: Counters of the sketch that orders shingles, as a power of two: 2 ** 21 take 8 MB.
 SKETCH_BITS, SEGMENT_BITS = 21, 16
-#: Words whose hashes a worker keeps.
-KEPT_WORDS = 400_000
+#: Longer words are hashed one by one; bytes of a text whose words are hashed together.
+LONG_WORD, PIECE = 64, 1 << 17
 #: Bits of the map that says which sets are needed; what it lets through too much is dropped later.
 NEEDED_BITS = 24
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Words(dict):
-    """64-bit hash by word, of at most KEPT_WORDS words at a time."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
+_LETTERS = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,11 +51,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(known: dict, body: bytes | None, size: int) -> np.ndarray:
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64."""
+    out = []
+    for base in (int(_ODD), pow(int(_ODD), -1, 1 << 64)):
+        one = np.full(PIECE + LONG_WORD, base, np.uint64)
+        one[0] = 1
+        out.append(np.multiply.accumulate(one))
+    return out[0], out[1]
+
+
+def word_hashes(body: bytes) -> np.ndarray:
+    """A hash of each word, in lower case: sums of its letters by place, taken for many words together, mixed."""
+    import xxhash
+
+    body = body.lower()
+    raw = np.frombuffer(body, np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    up, down = _powers()
+    i = 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
+        if ends[i] - starts[i] <= LONG_WORD or j > i + 1:
+            own = raw[starts[i] : ends[j - 1]]
+            total = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(_LETTERS[own] * down[: len(own)], out=total[1:])
+            at, to = starts[i:j] - starts[i], ends[i:j] - starts[i]
+            out[i:j] = _mix((total[to] - total[at]) * up[at] + (to - at).astype(np.uint64))
+        i = j
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(body[starts[i] : ends[i]])
+    return out
+
+
+def shingle_set(body: bytes | None, size: int) -> np.ndarray:
     """Sorted different hashes of a text's shingles of `size` words."""
-    words = (body or b"").lower().split()
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    width = min(size, len(words))
+    h = word_hashes(body or b"")
+    width = min(size, len(h))
     if not width:
         return h
     n = len(h) - width + 1
@@ -101,10 +127,10 @@ def shingle_sketch(docs: DataFrame, size: int, text: str = "text") -> np.ndarray
     """How many documents have a shingle of each class of hashes; an array of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = _Words(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in small(batches):
             for body in batch.column(0).to_pylist():
-                np.add.at(total, (shingle_set(known, body, size) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(total, (shingle_set(body, size) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         for i, part in enumerate(total.reshape(-1, 1 << SEGMENT_BITS)):
             if part.any():
                 # A task sees few shingles of a class, so this packs well.
@@ -140,11 +166,11 @@ def _prefixes(docs: DataFrame, size: int, percent: int, text: str, keep: list[st
     def scan(batches):
         import xxhash
 
-        known, counts = _Words(), sketch.value
+        counts = sketch.value
         for rows, column in batches:
             out: dict = {"text_key": [], "n": [], "set_key": [], "prefix": [], "group_key": [], "odd": []}
             for body in column.to_pylist():
-                own = shingle_set(known, body, size)
+                own = shingle_set(body, size)
                 rare = np.argsort(counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                 prefix = own[rare[: prefix_length(len(own), percent)]]
                 out["text_key"].append(None if body is None else xxhash.xxh3_128_digest(body))
@@ -159,32 +185,46 @@ def _prefixes(docs: DataFrame, size: int, percent: int, text: str, keep: list[st
     return map_text(docs, scan, fields, text, keep)
 
 
-def _needed_sets(docs: DataFrame, keys: DataFrame, size: int, text: str) -> DataFrame:
-    """(text_key, cells) of the wanted texts: they are read again, and only what is needed is split."""
+def _class(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little") >> (64 - NEEDED_BITS)
+
+
+def _marked(marks: np.ndarray, key: bytes) -> bool:
+    at = _class(key)
+    return marks[at >> 3] >> (7 - (at & 7)) & 1 == 1
+
+
+def _marks(keys: DataFrame) -> np.ndarray:
+    """Packed map, of fixed size, of the classes of a column of text keys."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << NEEDED_BITS, bool)
         for batch in batches:
             for key in batch.column(0).to_pylist():
-                bits[int.from_bytes(key[:8], "little") >> (64 - NEEDED_BITS)] = True
+                bits[_class(key)] = True
         yield pa.RecordBatch.from_pydict({"at": np.flatnonzero(bits).astype(np.int32)})
 
     marks = keys.mapInArrow(mark, "at int").distinct()
     bits = np.zeros(1 << NEEDED_BITS, bool)
     for batch in marks.toArrow().to_batches():
         bits[batch.column(0).to_numpy()] = True
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    return np.packbits(bits)
+
+
+def _needed_sets(docs: DataFrame, keys: DataFrame, size: int, text: str) -> DataFrame:
+    """(text_key, cells) of the wanted texts: they are read again, and only what is needed is split."""
+    held = docs.sparkSession.sparkContext.broadcast(_marks(keys))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known, wanted = _Words(), np.unpackbits(held.value)
+        marks = held.value
         for batch in small(batches):
             found: dict[bytes, np.ndarray] = {}
             for body in batch.column(0).to_pylist():
                 key = xxhash.xxh3_128_digest(body or b"")
-                if key not in found and wanted[int.from_bytes(key[:8], "little") >> (64 - NEEDED_BITS)]:
-                    found[key] = shingle_set(known, body, size).astype(np.int64)
+                if key not in found and _marked(marks, key):
+                    found[key] = shingle_set(body, size).astype(np.int64)
             yield pa.RecordBatch.from_pydict(
                 {"text_key": pa.array(list(found), pa.binary()), "cells": pa.array(list(found.values()), pa.list_(pa.int64()))}
             )
@@ -318,20 +358,36 @@ def jaccard_groups(
     )
 
 
-def rows_of(docs: DataFrame, kept: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs with a kept (__id, __key); of repeated rows one."""
+def rows_by_mark(docs: DataFrame, marks: np.ndarray, marked: bool, text: str = "text") -> DataFrame:
+    """Rows (row, __key) whose text's class is marked, and those without text; or all others."""
+    held = docs.sparkSession.sparkContext.broadcast(marks)
 
-    def keys(batches):
+    def scan(batches):
         import xxhash
 
         for rows, column in batches:
-            yield rows, {"__key": [None if b is None else xxhash.xxh3_128_digest(b) for b in column.to_pylist()]}
+            own = [None if b is None else xxhash.xxh3_128_digest(b) for b in column.to_pylist()]
+            some = pa.array([(k is None or _marked(held.value, k)) == marked for k in own], pa.bool_())
+            yield rows.filter(some), {"__key": pa.array(own, pa.binary()).filter(some)}
+
+    return map_text(docs, scan, "__key binary", text)
 
-    own = map_text(docs, keys, "__key binary", text).withColumn("__id", F.col(f"row.{key}"))
+
+def first_rows(docs: DataFrame, found: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id and text are a first one in found (see jaccard_groups); of repeated rows one.
+
+    Only texts of which some row goes, or that have no key, are moved: all other rows stay where they are read.
+    """
+    ids = found.groupBy(F.col(f"row.{key}").alias("__id"), F.col("text_key").alias("__key"))
+    ids = written(ids.agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("first")))
+    marks = _marks(ids.where("__key IS NOT NULL AND (n > 1 OR NOT first)").select("__key"))
+    own = rows_by_mark(docs, marks, True, text).withColumn("__id", F.col(f"row.{key}"))
+    kept = ids.where("first").select("__id", "__key")
     # Rows with the same id and text are told apart by a number.
     same = Window.partitionBy("__id", "__key").orderBy(F.lit(0))
     hit = own["__id"].eqNullSafe(kept["__id"]) & own["__key"].eqNullSafe(kept["__key"])
-    return own.join(kept, hit, "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1").select("row.*")
+    some = own.join(kept, hit, "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1")
+    return rows_by_mark(docs, marks, False, text).select("row.*").unionByName(some.select("row.*"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,35 @@ def test_pairs_that_differ_much_move_no_sets(spark, monkeypatch):
     out = jaccard_join.jaccard_groups(found, 3, 90, keep=["doc_id"]).collect()
     assert Counter((r["row"]["doc_id"], r["n_shingles"], r["component"]) for r in out) == naive(rows, 3, 90)
     assert not moved
+
+
+def test_first_rows_move_only_texts_that_lose_rows(spark, monkeypatch):
+    scanned, by_mark = [], jaccard_join.rows_by_mark
+    monkeypatch.setattr(jaccard_join, "rows_by_mark", lambda docs, marks, marked, *more: scanned.append(
+        (marked, by_mark(docs, marks, marked, *more).count())) or by_mark(docs, marks, marked, *more))
+    base = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    rows = [*enumerate(base), (2, base[2]), (50, base[3]), (51, base[4] + " more"), (None, base[5]), (60, None), (60, None), (61, ""), (61, ""),
+            (62, "  ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = jaccard_join.jaccard_groups(docs, 5, 80, keep=["doc_id"])
+    got = Counter(map(tuple, jaccard_join.first_rows(docs, found).collect()))
+    assert got == Counter([*enumerate(base), (60, None), (61, ""), (62, "  ")])
+    # Rows of texts 2, 3, 5, of one copy of 4, of null, and of the empty text.
+    assert dict(scanned) == {True: 2 + 2 + 2 + 1 + 2 + 2, False: len(rows) - 11}
+
+
+def test_word_hashes_tell_words_apart(monkeypatch):
+    rng = np.random.default_rng(6)
+    letters = np.frombuffer("aAbB\x1f\x00é \n\t\r\x0b\x0c".encode(), np.uint8)
+    texts = [b"", b" \n", b"a", bytes(rng.choice(letters, 20_000)), b"x" * 300 + b" " + b"y" * 64 + b" b " + b"X" * 300]
+    for piece in (128, 1 << 17):
+        monkeypatch.setattr(jaccard_join, "PIECE", piece)
+        jaccard_join._powers.cache_clear()
+        known = {}
+        for text in texts:
+            words = text.lower().split()
+            hashes = jaccard_join.word_hashes(text).tolist()
+            assert len(hashes) == len(words)
+            assert all(known.setdefault(w, h) == h for w, h in zip(words, hashes, strict=True))
+        assert len(set(known.values())) == len(known) > 500
+    jaccard_join._powers.cache_clear()
