@@ -30,6 +30,7 @@ from __future__ import annotations
 import datetime
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -64,13 +65,15 @@ TASK_PAIRS = 1_000_000
 PAIR_WORDS = 4
 TITLE_WORDS = 16
 
-# Titles of a block are compared in cells of at most about CELL_ROWS rows a side, TILE_PAIRS pairs at a time;
-# a task gets about CELL_PAIRS pairs.
-CELL_ROWS = 32_768
-# Blocks of more than SPREAD_ROWS rows have up to SPREAD cells a side, so that no task has most of the pairs.
+# Long titles of a block are compared in cells of at most about CELL_ROWS rows a side, others in cells of PLAIN_ROWS,
+# TILE_PAIRS pairs at a time; a task gets about CELL_PAIRS pairs with a long title, or PLAIN_PAIRS others.
+CELL_ROWS, PLAIN_ROWS = 32_768, 131_072
+# Blocks of more than SPREAD_ROWS long titles have up to SPREAD cells a side, so that no task has most of the pairs.
 SPREAD_ROWS, SPREAD = 4_096, 8
 TILE_PAIRS = 1 << 15
-CELL_PAIRS = 200_000_000
+CELL_PAIRS, PLAIN_PAIRS = 200_000_000, 2_000_000_000
+# Pairs of a large cell that are tried to see which masks let fewer through, and what one let through costs more than a mask of it.
+TRIED_PAIRS, PASSED_COST = 4_096, 100
 # Words of the masks that a tile looks at first, at most 3: their bits are counted in bytes.
 FOLDED_WORDS = 3
 # Pairs of titles that a task scores.
@@ -437,6 +440,7 @@ class Blocks:
     rows: int
     pairs: float
     hot: DataFrame | None
+    long_pairs: float = 0.0
 
     def tasks(self, spark) -> int:
         """Pairs, not bytes, are the work, so partitions are counted by pairs."""
@@ -444,21 +448,22 @@ class Blocks:
 
 
 def block_sizes(blocks: DataFrame, hot_rows: int | None = None) -> Blocks:
-    """Sizes of the blocks of rows in column `blk`.
+    """Sizes of the blocks of rows in column `blk`; `long`, if there, says which have long titles.
 
     At most 10,000 blocks can hold more than a 10,000th of all rows, so `hot`
     is small enough to broadcast at any scale, and none is split into more parts.
     """
-    sizes = blocks.groupBy("blk").agg(F.count("*").alias("n"))
+    long = F.count_if("long") if "long" in blocks.columns else F.lit(0).cast("bigint")
+    sizes = blocks.groupBy("blk").agg(F.count("*").alias("n"), long.alias("long"))
     n = F.col("n").cast("double")
-    row = sizes.agg(F.sum("n").alias("rows"), F.sum(n * n).alias("pairs"), F.max("n").alias("largest")).first()
+    row = sizes.agg(F.sum("n").alias("rows"), F.sum(n * n).alias("pairs"), F.max("n").alias("largest"), F.sum(n * F.col("long")).alias("long_pairs")).first()
     rows, largest = row["rows"] or 0, row["largest"] or 0
     limit = max(hot_rows or HOT_BLOCK_ROWS, rows // 10_000)
     hot = None
     if largest > limit:
         splits = F.ceil(F.col("n") / limit).cast("int")
-        hot = sizes.filter(F.col("n") > limit).select("blk", splits.alias("splits"), "n")
-    return Blocks(rows, row["pairs"] or 0.0, hot)
+        hot = sizes.filter(F.col("n") > limit).select("blk", splits.alias("splits"), "n", "long")
+    return Blocks(rows, row["pairs"] or 0.0, hot, row["long_pairs"] or 0.0)
 
 
 def blocked_join(left: DataFrame, right: DataFrame, condition: Column, sizes: Blocks) -> DataFrame:
@@ -532,33 +537,53 @@ def match_features(
     )
 
 
-def title_words(titles):
-    """Bit masks of each title's letters (the first) and of its numbered pairs of letters (the others), a row per title."""
+def words_of(letters, lengths):
+    """`title_words` of texts whose letters stand together."""
     import numpy as np
 
     def mixed(x):
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         return x ^ (x >> np.uint64(29))
 
-    def of_texts(texts):
-        letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        row = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) for t in texts])
-        words = np.zeros((len(texts), TITLE_WORDS + 1), np.uint64)
-        flat, width, one = words.reshape(-1), np.uint64(TITLE_WORDS + 1), np.uint64(1)
-        np.bitwise_or.at(flat, (row * width).astype(np.int64), one << (mixed(letters) & np.uint64(63)))
-        # A letter takes 21 bits, which leaves 22 for the row.
-        keys = row << np.uint64(42) | letters << np.uint64(21)
-        keys = np.sort((keys[:-1] | letters[1:])[row[1:] == row[:-1]])
-        at = np.arange(len(keys))
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        first = np.maximum.accumulate(np.where(new, at, 0)) if len(at) else at
-        hashes = mixed(mixed(keys & np.uint64((1 << 42) - 1)) + (at - first).astype(np.uint64))
-        place = (keys >> np.uint64(42)) * width + one + (hashes >> np.uint64(8)) % np.uint64(TITLE_WORDS)
-        np.bitwise_or.at(flat, place.astype(np.int64), one << (hashes & np.uint64(63)))
-        return words
+    letters = letters.astype(np.uint64)
+    row = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+    words = np.zeros((len(lengths), TITLE_WORDS + 1), np.uint64)
+    flat, width, one = words.reshape(-1), np.uint64(TITLE_WORDS + 1), np.uint64(1)
+    np.bitwise_or.at(flat, (row * width).astype(np.int64), one << (mixed(letters) & np.uint64(63)))
+    # A letter takes 21 bits, which leaves 22 for the row.
+    keys = row << np.uint64(42) | letters << np.uint64(21)
+    keys = np.sort((keys[:-1] | letters[1:])[row[1:] == row[:-1]])
+    at = np.arange(len(keys))
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = np.maximum.accumulate(np.where(new, at, 0)) if len(at) else at
+    hashes = mixed(mixed(keys & np.uint64((1 << 42) - 1)) + (at - first).astype(np.uint64))
+    place = (keys >> np.uint64(42)) * width + one + (hashes >> np.uint64(8)) % np.uint64(TITLE_WORDS)
+    np.bitwise_or.at(flat, place.astype(np.int64), one << (hashes & np.uint64(63)))
+    return words
+
+
+def portions(lengths):
+    """(first, last + 1) of consecutive texts with about TITLE_LETTERS letters."""
+    import numpy as np
+
+    ends = np.cumsum(lengths)
+    start = 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TITLE_LETTERS)))
+        yield start, end
+        start = end
+
+
+def title_words(titles):
+    """Bit masks of each title's letters (the first) and of its numbered pairs of letters (the others), a row per title."""
+    import numpy as np
 
     out, held, size = [np.zeros((0, TITLE_WORDS + 1), np.uint64)], [], 0
+
+    def of_texts(texts):
+        return words_of(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), [len(t) for t in texts])
+
     for title in titles:
         held.append(title or "")
         size += len(held[-1])
@@ -568,6 +593,41 @@ def title_words(titles):
     return np.concatenate([*out, of_texts(held)] if held else out)
 
 
+def telling_words(codes, starts, lengths):
+    """A mask of 64 bits for each of some texts of fewer than 64 letters, and how many of its letters the mask leaves out.
+
+    The second time that a letter occurs it counts as another one, and so on. A
+    bit stands for one of these, those that tell most of the texts apart; of what
+    is left out two texts share at most as much as either has.
+    """
+    import numpy as np
+
+    items, counts = [], np.zeros(256 * 64, np.int64)
+    # Letters taken for the same one only allow more.
+    folded = codes if codes.dtype == np.uint8 else (codes % 251).astype(np.uint8)
+    for low, high in portions(lengths):
+        own = lengths[low:high]
+        row = np.repeat(np.arange(high - low, dtype=np.uint32), own)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
+        keys = np.sort(row << np.uint32(8) | folded[np.repeat(starts[low:high], own) + within])
+        at = np.arange(len(keys))
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        nth = at - np.maximum.accumulate(np.where(new, at, 0)) if len(at) else at
+        items.append(((keys & np.uint32(255)) << np.uint32(6) | nth.astype(np.uint32)).astype(np.uint16))
+        counts += np.bincount(items[-1], minlength=len(counts))
+    best = np.argsort(-counts * (len(lengths) - counts), kind="stable")[:64]
+    bit = np.zeros(len(counts), np.uint64)
+    bit[best] = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    masks = np.zeros(len(lengths), np.uint64)
+    for (low, high), own in zip(portions(lengths), items):
+        some = lengths[low:high] > 0
+        first = (np.cumsum(lengths[low:high]) - lengths[low:high])[some]
+        if len(first):
+            masks[low:high][some] = np.bitwise_or.reduceat(bit[own], first)
+    return masks, lengths - np.bitwise_count(masks)
+
+
 def title_bits_udf():
     """`title_words` as an array of numbers."""
 
@@ -582,32 +642,47 @@ def title_bits_udf():
 
 
 def packed_bits_udf():
-    """`title_words` as bytes."""
+    """`title_words` as bytes, NULL for NULL."""
 
     @F.pandas_udf(T.BinaryType())
     def bits(titles):
         import pandas as pd
 
-        return pd.Series([w.tobytes() for w in title_words(titles)], dtype=object)
+        out, at = [None] * len(titles), [i for i, t in enumerate(titles) if t is not None]
+        for i, w in zip(at, title_words([titles.iloc[i] for i in at])):
+            out[i] = w.tobytes()
+        return pd.Series(out, dtype=object)
 
     return bits
 
 
 def with_title(feats: DataFrame) -> DataFrame:
-    """Features with title_id, the title itself unless it is long, and its signature: what goes from block to block is bounded.
+    """Features with the title itself or, of a long one, its id and signature: what goes from block to block is bounded.
 
     The signature is that of `with_signature` with TITLE_WORDS words; every
-    further time that a pair of letters occurs it counts as another one.
+    further time that a pair of letters occurs it counts as another one. Titles
+    that are not long get theirs where they meet.
     """
+    long = F.when(F.length("title_n") >= PLAIN_LETTERS, F.col("title_n"))
     return feats.withColumns({
-        "t_len": F.length("title_n"), "title_id": F.unhex(F.md5("title_n")), "t_bits": packed_bits_udf()("title_n"),
+        "t_len": F.length("title_n"), "title_id": F.unhex(F.md5(long)), "t_bits": packed_bits_udf()(long),
         "t_text": F.when(F.length("title_n") < PLAIN_LETTERS, F.col("title_n")),
     })
 
 
 def titles_of(feats: DataFrame) -> DataFrame:
     """(title_id, title_n) of every title once."""
-    return feats.filter("title_n <> ''").groupBy("title_id").agg(F.min("title_n").alias("title_n"))
+    titles = feats.select(F.coalesce("t_text", "title_n").alias("title_n")).filter("title_n <> ''").distinct()
+    return titles.select(F.unhex(F.md5("title_n")).alias("title_id"), "title_n")
+
+
+def asked_titles(nodes: DataFrame, metric=None) -> DataFrame:
+    """The titles that pairs are joined to, written: all for a metric, else long ones and those that may match a long one."""
+    if metric is None:
+        some = not nodes.filter("t_text is null").isEmpty()
+        # No rule asks for less than NEARBY_SIM.
+        nodes = nodes.filter(F.col("t_len") * ((2 - NEARBY_SIM) / NEARBY_SIM) >= PLAIN_LETTERS) if some else nodes.filter("false")
+    return cut_lineage(titles_of(nodes))
 
 
 TITLE = ["title_id", "t_len", "t_bits", "t_text"]
@@ -633,7 +708,7 @@ def _own_blocks(df: DataFrame) -> DataFrame:
 
 
 def sizes_of(nodes: DataFrame, hot_rows: int | None = None) -> Blocks:
-    return block_sizes(_own_blocks(nodes).select("blk"), hot_rows)
+    return block_sizes(_own_blocks(nodes).select("blk", F.col("t_text").isNull().alias("long")), hot_rows)
 
 
 def _earlier_blocks(df: DataFrame, places: DataFrame) -> DataFrame:
@@ -670,6 +745,9 @@ def geo_close(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 # A condition of `candidate_pairs`: a column of the earlier side, a comparison, a column of the later side.
 LATER = (("rank", "<", "rank"),)
 ASKED_SIM = {"d": TITLE_DATE_SIM, "p": TITLE_PLACE_SIM, "g": NEARBY_SIM}
+# Sides of a cell: earlier rows by the kind of block, then later ones.
+KINDS = ("d", "p", "g")
+LATER_SIDE = len(KINDS)
 
 
 def cells_a_side(n: Column) -> Column:
@@ -677,6 +755,11 @@ def cells_a_side(n: Column) -> Column:
     return F.greatest(F.ceil(n / CELL_ROWS), F.least(F.ceil(n / SPREAD_ROWS), F.lit(SPREAD).cast("bigint"))).cast("int")
 
 
+def cells_of(n: Column, long: Column) -> Column:
+    """How many cells a side a block of n rows has, `long` of them with long titles."""
+    return F.greatest(F.ceil(n / PLAIN_ROWS).cast("int"), cells_a_side(long))
+
+
 def in_cells(blocks: DataFrame, side: int, hot: DataFrame | None) -> DataFrame:
     """Add `cell`: a block, or for a hot one each cell of its grid that rows of this side stand in."""
     if hot is None:
@@ -688,6 +771,17 @@ def in_cells(blocks: DataFrame, side: int, hot: DataFrame | None) -> DataFrame:
     return split.withColumn("cell", F.concat_ws("/", *cell, "blk")).drop("splits", "_own", "_other")
 
 
+def set_places(flags):
+    """Where few of many flags are set."""
+    import numpy as np
+
+    whole = len(flags) // 8 * 8
+    some = np.flatnonzero(flags[:whole].view(np.uint64) != 0)
+    at = np.flatnonzero(flags[:whole].reshape(-1, 8)[some].ravel())
+    found = some[at >> 3] * 8 + (at & 7)
+    return np.append(found, whole + np.flatnonzero(flags[whole:])) if whole < len(flags) else found
+
+
 class Compared:
     """Pairs of rows of the same cell that may match, cell by cell; see `candidate_pairs`."""
 
@@ -698,21 +792,56 @@ class Compared:
         self.rows, self.ops = rows, ops
         self.values = [column[f"_v{n}"].to_numpy() for n in range(len(ops))]
         self.length = column["t_len"].to_numpy().astype(np.float64)
-        bits = np.frombuffer(content(column["t_bits"]), np.uint64).reshape(-1, TITLE_WORDS + 1)
-        self.letters, self.words = bits[:, 0], bits[:, 1:]
-        # What the masks do not account for.
-        self.letters_free = self.length - np.bitwise_count(self.letters)
-        self.pairs_free = self.length - np.bitwise_count(self.words).sum(axis=1, dtype=np.int64)
         self.plain = column["t_text"].is_valid().to_numpy(zero_copy_only=False)
-        self.texts = text_codes(content(column["t_text"]).decode(), np.where(self.plain, self.length, 0).astype(np.int64))
+        self.text = content(column["t_text"]).decode()
+        self.texts = text_codes(self.text, np.where(self.plain, self.length, 0).astype(np.int64))
         self.day = column["_day"].to_numpy(zero_copy_only=False).astype(np.float64)
         self.at = [column[c].to_numpy(zero_copy_only=False).astype(np.float64) for c in ("lat", "lon")]
-        self.asks = column["asks"].to_numpy(zero_copy_only=False)
         self.side = column["_side"].to_numpy()
-        # Fewer bits, which allow more: what they reject, all of them would.
-        self.folded = [np.bitwise_or.reduce(self.words[:, w::FOLDED_WORDS], axis=1) for w in range(FOLDED_WORDS)]
-        bits = sum(np.bitwise_count(f).astype(np.float64) for f in self.folded)
-        self.folded_free = self.length - bits
+
+    @cached_property
+    def bits(self):
+        """`title_words` of all rows."""
+        import numpy as np
+
+        out = np.empty((len(self.plain), TITLE_WORDS + 1), np.uint64)
+        out[~self.plain] = np.frombuffer(content(self.rows.column("t_bits")), np.uint64).reshape(-1, TITLE_WORDS + 1)
+        letters, lengths, at = np.frombuffer(self.text.encode("utf-32-le"), np.uint32), self.texts[2][self.plain], np.flatnonzero(self.plain)
+        starts = np.cumsum(lengths) - lengths
+        for low, high in portions(lengths):
+            out[at[low:high]] = words_of(letters[starts[low] : starts[high - 1] + lengths[high - 1]], lengths[low:high])
+        return out
+
+    @cached_property
+    def words(self):
+        return self.bits[:, 1:]
+
+    @cached_property
+    def letters_free(self):
+        """What the mask of letters does not account for."""
+        import numpy as np
+
+        return self.length - np.bitwise_count(self.bits[:, 0])
+
+    @cached_property
+    def pairs_free(self):
+        """What the masks of pairs of letters do not account for."""
+        import numpy as np
+
+        return self.length - np.bitwise_count(self.words).sum(axis=1, dtype=np.int64)
+
+    @cached_property
+    def folded(self):
+        """Fewer bits, which allow more: what they reject, all of them would."""
+        import numpy as np
+
+        return [np.bitwise_or.reduce(self.words[:, w::FOLDED_WORDS], axis=1) for w in range(FOLDED_WORDS)]
+
+    @cached_property
+    def folded_free(self):
+        import numpy as np
+
+        return self.length - sum(np.bitwise_count(f).astype(np.float64) for f in self.folded)
 
     def tiles(self, ends: list[int]):
         """(earlier rows, later rows) that may match; a cell ends before each of `ends`."""
@@ -721,16 +850,12 @@ class Compared:
         few, size = [], 0
         start = 0
         for end in ends:
-            left = start + np.flatnonzero(self.side[start:end] == 0)
+            left = start + np.flatnonzero(self.side[start:end] != LATER_SIDE)
             right = start + len(left) + np.arange(end - start - len(left))
             start = end
             if not len(left) or not len(right):
                 continue
-            if len(left) * len(right) > 2048:
-                found = self._large(left, right)
-            else:
-                found = [(np.repeat(left, len(right)), np.tile(right, len(left)))]
-            for pairs in found:
+            for pairs in self._cell(left, right):
                 few.append(pairs)
                 size += len(pairs[0])
                 if size > TILE_PAIRS:
@@ -739,12 +864,124 @@ class Compared:
         if few:
             yield tuple(map(np.concatenate, zip(*few)))
 
-    def _large(self, left, right):
+    def _cell(self, left, right):
+        import numpy as np
+
+        if len(left) * len(right) <= 2048:
+            yield np.repeat(left, len(right)), np.tile(right, len(left))
+            return
+        asks = KINDS[self.side[left[0]]]
+        if asks != "g":
+            yield from self._by_kind(left, right, ASKED_SIM[asks], TITLE_DATE_DAYS if asks == "d" else None)
+            return
+        # Positions ask for less on days next to each other.
+        yield from self._next_days(left, right)
+        for a, b in self._by_kind(left, right, TITLE_PLACE_SIM, None):
+            apart = ~(np.abs(self.day[a] - self.day[b]) <= NEARBY_DAYS)
+            yield a[apart], b[apart]
+
+    def _next_days(self, left, right):
+        """Pairs at most NEARBY_DAYS apart."""
+        import numpy as np
+
+        left, right = (x[~np.isnan(self.day[x])] for x in (left, right))
+        right = right[np.argsort(self.day[right], kind="stable")]
+        days = self.day[right]
+        low = np.searchsorted(days, self.day[left] - NEARBY_DAYS)
+        n = np.searchsorted(days, self.day[left] + NEARBY_DAYS, "right") - low
+        left, low, n = left[n > 0], low[n > 0], n[n > 0]
+        ends, i = np.cumsum(n), 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TILE_PAIRS)))
+            many = n[i:j]
+            within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            for k in range(0, len(within), TILE_PAIRS):
+                part = slice(k, k + TILE_PAIRS)
+                yield np.repeat(left[i:j], many)[part], right[(np.repeat(low[i:j], many) + within)[part]]
+            i = j
+
+    def _by_kind(self, left, right, least: float, days: int | None):
+        """Titles that are not long by the better of two masks, others by pairs of letters."""
+        plain, long = [x[self.plain[x]] for x in (left, right)], [x[~self.plain[x]] for x in (left, right)]
+        for l, r, both in ((plain[0], plain[1], True), (long[0], right, False), (plain[0], long[1], False)):
+            if not len(l) or not len(r):
+                continue
+            told = self._told(l, r, least) if both else None
+            yield from self._large(l, r, least) if told is None else self._telling(l, r, least, days, *told)
+
+    def _told(self, left, right, least: float):
+        """`telling_words` of rows, unless masks of pairs of letters let so much less through that they cost less."""
+        import numpy as np
+
+        codes, start, length = self.texts
+        both = np.concatenate([left, right])
+        masks, free = telling_words(codes, start[both], length[both])
+        masks, free = (np.split(x, [len(left)]) for x in (masks, free))
+        rng = np.random.default_rng(0)
+        i, j = (rng.integers(0, len(x), TRIED_PAIRS) for x in (left, right))
+        total = least * (self.length[left[i]] + self.length[right[j]])
+        passed = 2 * (np.minimum(free[0][i], free[1][j]) + np.bitwise_count(masks[0][i] & masks[1][j])) > total
+        if passed.mean() * PASSED_COST > FOLDED_WORDS - 1:
+            a, b = left[i], right[j]
+            shared = sum(np.bitwise_count(f[a] & f[b]).astype(np.int64) for f in self.folded) + np.minimum(self.folded_free[a], self.folded_free[b])
+            if (passed.mean() - (2 * shared > 3 * total - 2 * total / least).mean()) * PASSED_COST > FOLDED_WORDS - 1:
+                return None
+        return masks, free
+
+    def _telling(self, left, right, least: float, days: int | None, masks, free):
+        """Pairs of rows by their `telling_words`, many equally demanding rows of the left at a time."""
+        import numpy as np
+
+        # 2 * shared has to exceed what the left and what the right ask for, each with half of what its mask leaves out.
+        asked = [least * self.length[x] - f for x, f in zip((left, right), free)]
+        near = [self.day[x] if days is not None else np.zeros(len(x)) for x in (left, right)]
+        # Ordered by day and by what the first condition compares, whole tiles fail.
+        orders = [np.lexsort((self.values[0][right], near[1])), np.lexsort((self.values[0][left], near[0], asked[0]))]
+        right, masks_r, asked_r, near_r = (x[orders[0]] for x in (right, masks[1], asked[1], near[1]))
+        left, masks_l, asked_l, near_l = (x[orders[1]] for x in (left, masks[0], asked[0], near[0]))
+        width = min(-(-len(right) // 8) * 8, 4096)
+        height = max(1, 2 * TILE_PAIRS // width)
+        # Tiles of the left: their beginnings and ends, the days and the values in them.
+        new = np.flatnonzero(np.diff(asked_l, prepend=np.nan) != 0)
+        lows = np.concatenate([np.arange(low, high, height) for low, high in zip(new, [*new[1:], len(left)])])
+        highs = np.append(lows[1:], len(left))
+        span = lambda x: (np.minimum.reduceat(x, lows), np.maximum.reduceat(x, lows))
+        first_day, last_day = span(near_l)
+        values_l = [span(v[left]) for v in self.values]
+        room = width * height
+        both, bits, hits = np.empty(room, np.uint64), np.empty(room, np.uint8), np.empty(room, bool)
+        for j in range(0, len(right), width):
+            r, words, near = right[j : j + width], masks_r[j : j + width], near_r[j : j + width]
+            open_ = np.ones(len(lows), bool)
+            if days is not None:
+                open_ &= (first_day - days <= near[-1]) & (last_day + days >= near[0])
+            for op, (low, high), v in zip(self.ops, values_l, self.values):
+                if op == "<":
+                    open_ &= low < v[r].max()
+                elif op == ">=":
+                    open_ &= high >= v[r].min()
+            asked = None
+            for low, high in zip(lows[open_].tolist(), highs[open_].tolist()):
+                if asked_l[low] != asked:
+                    asked = asked_l[low]
+                    # Rounded so that none is rejected that may match.
+                    needed = np.clip(np.floor((asked + asked_r[j : j + width] - 1e-6) / 2) + 1, 0, 255).astype(np.uint8)
+                size = (high - low) * len(r)
+                x, n, ok = (array[:size].reshape(high - low, len(r)) for array in (both, bits, hits))
+                np.bitwise_and(masks_l[low:high, None], words, out=x)
+                np.bitwise_count(x, out=n)
+                np.greater_equal(n, needed, out=ok)
+                found = set_places(hits[:size])
+                if len(found):
+                    a, b = np.divmod(found, len(r))
+                    yield left[low + a], r[b]
+
+    def _large(self, left, right, least: float):
         import numpy as np
 
         # Ordered by what the first condition compares, whole tiles fail it.
         left, right = (x[np.argsort(self.values[0][x], kind="stable")] for x in (left, right))
-        scale = 1.5 * ASKED_SIM[self.asks[left[0]]] - 1
+        scale = 1.5 * least - 1
         width = min(len(right), 4096)
         height = min(len(left), max(1, TILE_PAIRS // width))
         kind = np.int16 if max(self.length[left].max(), self.length[right].max()) < 8000 else np.int32
@@ -786,21 +1023,24 @@ class Compared:
         for op, v in zip(self.ops, self.values):
             ok &= test[op](v[a], v[b])
         a, b = a[ok], b[ok]
-        asks = self.asks[a]
+        asks = self.side[a]
         days = np.nan_to_num(np.abs(self.day[a] - self.day[b]), nan=999.0)
         north, east = (x[a] - x[b] for x in self.at)
         near = np.sqrt(north * north + east * east) * KM_PER_DEGREE < GEO_KM
-        least = np.where(asks == "d", TITLE_DATE_SIM, np.where((asks == "p") | (days > NEARBY_DAYS), TITLE_PLACE_SIM, NEARBY_SIM))
-        ok = np.where(asks == "d", days <= TITLE_DATE_DAYS, (asks == "p") | near)
+        d, p = KINDS.index("d"), KINDS.index("p")
+        least = np.where(asks == d, TITLE_DATE_SIM, np.where((asks == p) | (days > NEARBY_DAYS), TITLE_PLACE_SIM, NEARBY_SIM))
+        ok = np.where(asks == d, days <= TITLE_DATE_DAYS, (asks == p) | near)
         total = self.length[a] + self.length[b]
         ok &= 2 * np.minimum(self.length[a], self.length[b]) > least * total
         a, b, least, total = a[ok], b[ok], least[ok], total[ok]
+        if not len(a):
+            return a, b, least
         # See `may_exceed`.
         pairs = np.minimum(self.pairs_free[a], self.pairs_free[b])
         pairs += np.bitwise_count(self.words[a] & self.words[b]).sum(axis=1, dtype=np.int64)
         ok = 2 * (pairs + total) > 3 * least * total
         a, b, least, total = a[ok], b[ok], least[ok], total[ok]
-        letters = np.minimum(self.letters_free[a], self.letters_free[b]) + np.bitwise_count(self.letters[a] & self.letters[b])
+        letters = np.minimum(self.letters_free[a], self.letters_free[b]) + np.bitwise_count(self.bits[a, 0] & self.bits[b, 0])
         ok = 2 * letters > least * total
         return a[ok], b[ok], least[ok]
 
@@ -815,9 +1055,24 @@ class Compared:
         match[at] = plain_ratios(codes, start[a[at]], length[a[at]], start[b[at]], length[b[at]], least[at], False) > 0
         return a[match], b[match], least[match], known[match]
 
+    def ids(self, rows, wanted):
+        """An Arrow column with the title's id of each row that is wanted."""
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        once, where = np.unique(rows[wanted], return_inverse=True)
+        _, start, length = self.texts
+        known = self.rows.column("title_id")
+        made = [hashlib.md5(self.text[start[i] : start[i] + length[i]].encode()).digest() if self.plain[i] else known[i].as_py() for i in once.tolist()]
+        at = np.zeros(len(rows), np.int64)
+        at[wanted] = where
+        return pa.array(made, pa.binary()).take(pa.array(at, mask=~wanted))
+
 
-def _compare(ops: list[str]):
-    """For mapInArrow over rows sorted by cell and side: pairs (l, r, _least). One cell is in memory at a time, and a tile of pairs."""
+def _compare(ops: list[str], plain: bool = True):
+    """For mapInArrow over rows sorted by cell and side: pairs (l, r, _a, _b, _least, _known), see `candidate_pairs`. One cell is in memory at a time, and a tile of pairs."""
 
     def run(batches):
         import numpy as np
@@ -830,10 +1085,13 @@ def _compare(ops: list[str]):
                 return
             compared = Compared(rows, ops)
             for a, b in compared.tiles(ends):
-                a, b, least, known = compared.scored(*compared.hold(a, b))
+                a, b, least = compared.hold(a, b)
+                known = np.zeros(len(a), bool)
+                if plain:
+                    a, b, least, known = compared.scored(a, b, least)
                 if len(a):
-                    out = [rows.column("l").take(pa.array(a)), rows.column("r").take(pa.array(b)), pa.array(least), pa.array(known)]
-                    yield pa.RecordBatch.from_arrays(out, ["l", "r", "_least", "_known"])
+                    out = [rows.column("l").take(pa.array(a)), rows.column("r").take(pa.array(b)), *(compared.ids(x, ~known) for x in (a, b)), pa.array(least), pa.array(known)]
+                    yield pa.RecordBatch.from_arrays(out, ["l", "r", "_a", "_b", "_least", "_known"])
 
         held = []
         for batch in batches:
@@ -873,23 +1131,24 @@ def candidate_pairs(
     `extra` lists further conditions on bigint columns of l and r, like `LATER`;
     `carry` names the columns of either side that `keep` looks at, by default all.
     """
-    hot = None if sizes.hot is None else sizes.hot.select("blk", cells_a_side(F.col("n")).alias("splits")).filter("splits > 1")
+    hot = None if sizes.hot is None else sizes.hot.select("blk", cells_of(F.col("n"), F.col("long")).alias("splits")).filter("splits > 1")
     rows = []
     for side, (df, blocks, own) in enumerate(((earlier, _earlier_blocks(earlier, places), "l"), (later, _own_blocks(later), "r"))):
         carried = [c for c in df.columns if c != "title_n" and c not in TITLE and (carry is None or c in carry)]
+        kind = F.lit(LATER_SIDE) if side else F.array_position(F.array(*map(F.lit, KINDS)), F.col("asks")).cast("int") - 1
         rows.append(
-            in_cells(blocks.withColumn("asks", F.col("asks") if side == 0 else F.lit(None).cast("string")), side, hot).select(
-                "cell", F.lit(side).alias("_side"), "asks", "t_len", "t_bits", (F.col("t_text") if plain else F.lit(None).cast("string")).alias("t_text"), F.unix_date("start_dt").alias("_day"), "lat", "lon",
+            in_cells(blocks, side, hot).select(
+                "cell", kind.alias("_side"), *TITLE, F.unix_date("start_dt").alias("_day"), "lat", "lon",
                 *[F.col(x[2 * side]).cast("bigint").alias(f"_v{n}") for n, x in enumerate(extra)],
-                F.struct(*carried, "title_id").alias(own),
+                F.struct(*carried).alias(own),
             )
         )
-    tasks = max(int(earlier.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(sizes.pairs // CELL_PAIRS))
+    work = sizes.long_pairs / CELL_PAIRS + sizes.pairs / PLAIN_PAIRS
+    tasks = max(int(earlier.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(work))
     both = rows[0].unionByName(rows[1], allowMissingColumns=True).repartition(tasks, "cell").sortWithinPartitions("cell", "_side")
     kinds = [f"{own} {df.schema[own].dataType.simpleString()}" for own, df in zip("lr", rows)]
-    found = both.mapInArrow(_compare([x[1] for x in extra]), ", ".join([*kinds, "_least double", "_known boolean"]))
-    ids = [F.when(~F.col("_known"), F.col(f"{own}.title_id")).alias(c) for own, c in (("l", "_a"), ("r", "_b"))]
-    return found.select(*keep, *ids, "_least", "_known")
+    found = both.mapInArrow(_compare([x[1] for x in extra], plain), ", ".join([*kinds, "_a binary", "_b binary", "_least double", "_known boolean"]))
+    return found.select(*keep, "_a", "_b", "_least", "_known")
 
 
 def matching_pairs(
@@ -917,7 +1176,10 @@ def matching_pairs(
     differ = open_.groupBy("_a", "_b").agg(F.min("_least").alias("_least"))
     text = lambda s: titles.select(F.col("title_id").alias(f"_{s}"), F.col("title_n").alias(f"_title_{s}"))
     # Pairs are few bytes and much work, so they are dealt out before the last text comes to them.
-    tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), open_.count() // SCORED_PAIRS)
+    many = open_.count()
+    if not many:
+        return sure
+    tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), many // SCORED_PAIRS)
     asked = differ.join(text("a"), "_a").repartition(tasks, "_b").join(text("b"), "_b")
     asked = asked.filter(few_edits("_title_a", "_title_b", "_least")).sortWithinPartitions("_b")
     sim = metric("_title_a", "_title_b") if metric else bounded_similarity_udf()("_title_a", "_title_b", "_least")

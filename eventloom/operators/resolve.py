@@ -35,11 +35,11 @@ from eventloom.operators.match import (
     Blocks,
     Rules,
     _own_blocks,
+    asked_titles,
     match_features,
     matching_pairs,
     similar_places,
     sizes_of,
-    titles_of,
     with_evidence,
     with_title,
 )
@@ -119,13 +119,15 @@ def match_nodes(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     nobody, not even their own copies, and are in neither.
     """
     shared = feats.filter("url <> ''").groupBy("url").count().filter("count > 1")
-    known = _keep_shared_urls(feats, shared)
+    # Records without a URL, maybe most of them, need not be dealt out by it.
+    known = _keep_shared_urls(feats.filter("url <> ''"), shared).select(*feats.columns).unionByName(feats.filter("url = ''"))
     # Without a shared URL, a record needs a title and something to go with it.
     by_title = (F.col("title_n") != "") & (F.col("start_dt").isNotNull() | (F.col("place_n") != "") | F.col("lat").isNotNull())
     known = known.filter((F.col("url") != "") | by_title)
-    known = cut_lineage(known.withColumn("key", F.md5(F.to_json(F.struct("url", *CONTENT)))))
+    known = cut_lineage(known.withColumn("key", F.unhex(F.md5(F.to_json(F.struct("url", *CONTENT))))))
     nodes = known.groupBy("key", "url", *CONTENT).agg(F.min("rank").alias("rank"), F.max("rank").alias("last_rank"))
-    nodes = cut_lineage(with_title(nodes))
+    nodes = with_title(nodes)
+    nodes = cut_lineage(nodes.withColumn("title_n", F.when(F.col("t_text").isNull(), F.col("title_n"))))
     members = known.select("key", "rank").join(nodes.select("key", F.col("rank").alias("node")), "key").select("rank", "node")
     return nodes.drop("key"), members
 
@@ -222,7 +224,7 @@ def leader_assignment(
     """
     nodes, members = match_nodes(match_features(canonical, ref_date))
     places = cut_lineage(similar_places(nodes, metric=metric, hot_rows=hot_rows))
-    return _settle(nodes, members, places, cut_lineage(titles_of(nodes)), metric, window_pairs, hot_rows)[0]
+    return _settle(nodes, members, places, asked_titles(nodes, metric), metric, window_pairs, hot_rows)[0]
 
 
 # -- comparing with the merged record ------------------------------------------
@@ -474,7 +476,7 @@ def merged_assignment(
     names = canonical.select(F.explode(F.array("city", "venue_name")).alias("name")).distinct()
     names = names.select(normalize_location(F.col("name")).alias("place_n"))
     places = cut_lineage(similar_places(names, metric=metric, hot_rows=hot_rows))
-    titles = cut_lineage(titles_of(nodes))
+    titles = asked_titles(nodes, metric)
     static, pairs = _settle(nodes, members, places, titles, metric, window_pairs, hot_rows)
     if static.isEmpty():
         return static
@@ -624,7 +626,7 @@ def earliest_matches(canonical: DataFrame, ref_date: datetime.date, metric=None,
     places = cut_lineage(similar_places(nodes, metric=metric, hot_rows=hot_rows))
     least = _urls(nodes).groupBy("url").agg(F.min("rank").alias("src"))
     same = _urls(nodes).join(least, "url").filter("src < rank").select("src", F.col("rank").alias("dst"))
-    found = matching_pairs(nodes, nodes, places, sizes_of(nodes, hot_rows), cut_lineage(titles_of(nodes)), metric).unionByName(same)
+    found = matching_pairs(nodes, nodes, places, sizes_of(nodes, hot_rows), asked_titles(nodes, metric), metric).unionByName(same)
     first = found.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("src"))
     # A copy matches the first of its kind, if nothing earlier.
     own = F.when(F.col("node") < F.col("rank"), F.col("node"))

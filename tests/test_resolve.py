@@ -264,3 +264,64 @@ def test_blocks_are_spread_over_cells(spark):
 
     rows = spark.createDataFrame([(n,) for n in (1, 4_096, 4_097, 20_000, 32_768, 262_145, 1_800_000)], "n bigint")
     assert [r[0] for r in rows.select(cells_a_side(F.col("n"))).collect()] == [1, 1, 2, 5, 8, 9, 55]
+
+
+def test_masks_of_titles_reject_no_match(monkeypatch):
+    """Two titles share at most the letters that their masks share and what these leave out, also in other portions."""
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    from eventloom.operators import match
+
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(rnd.choice(["abcdefghijklmnop", "aé日🎉x y", "a"])) for _ in range(rnd.choice([0, 1, 20, 32, 63]))) for _ in range(200)]
+    made = []
+    for letters in (match.TITLE_LETTERS, 100):
+        monkeypatch.setattr(match, "TITLE_LETTERS", letters)
+        masks, free = match.telling_words(*match.text_codes("".join(texts), np.array([len(t) for t in texts])))
+        made.append((masks.tolist(), free.tolist()))
+    assert made[0] == made[1]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert (Counter(a) & Counter(b)).total() <= min(free[i], free[j]) + (int(masks[i]) & int(masks[j])).bit_count()
+
+
+def test_large_blocks_of_days_and_positions_equal_brute_force(spark):
+    """Titles that are not long bring no signature along; their blocks are compared by one mask, days and positions in bands."""
+    import random
+
+    rnd = random.Random(8)
+    event = dict.fromkeys(naive.MERGED + ["source"], "")
+    events, title = [], ""
+    for i in range(300):
+        title = title[:8] + "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.choice([1, 4, 9]))) + title[15:] if i % 4 else "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.choice([24, 30, 90])))
+        place = {"latitude": rnd.choice(["53.0", "53.03"]), "longitude": "-6.0"} if i % 3 else {}
+        day = {"start_date": f"2026-05-{rnd.randrange(1, 9):02d}"} if i % 7 else {}
+        events.append(dict(event, title=title, source=f"web:{i}", ingest_ord=i, **place, **day))
+    feats = with_title(match_features(canonical_of(spark, events), REF))
+    assert feats.filter("(t_bits is null) <> (length(title_n) < 64) or (title_id is null) <> (t_bits is null)").isEmpty()
+    order = naive.ordered(events)
+    expected = {(a["ingest_ord"], b["ingest_ord"]) for i, a in enumerate(order) for b in order[i + 1 :] if naive.rule(a, b)}
+    assert len(expected) > 50
+    found = match_pairs(canonical_of(spark, events)).collect()
+    assert {(r.leader_id % RANK_STEP, r.other_id % RANK_STEP) for r in found} == expected
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from eventloom.storage import cut_lineage
+
+    files = lambda: {str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in str(f)}
+    before = files()
+    rows = cut_lineage(spark.range(1000).repartition(3, "id"))
+    assert files() <= before
+    assert rows.count() == 1000
+
+
+def test_blocks_of_titles_that_are_not_long_have_few_cells(spark):
+    from eventloom.operators.match import cells_of
+
+    rows = spark.createDataFrame([(100_000, 0), (800_000, 0), (800_000, 20_000), (10, 10)], "n bigint, long bigint")
+    assert [r[0] for r in rows.select(cells_of(F.col("n"), F.col("long"))).collect()] == [1, 7, 7, 1]
