@@ -325,3 +325,17 @@ def test_blocks_of_titles_that_are_not_long_have_few_cells(spark):
 
     rows = spark.createDataFrame([(100_000, 0), (800_000, 0), (800_000, 20_000), (10, 10)], "n bigint, long bigint")
     assert [r[0] for r in rows.select(cells_of(F.col("n"), F.col("long"))).collect()] == [1, 7, 7, 1]
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_one_window_where_few_records_match(spark, monkeypatch, alike):
+    """Blocks with many pairs of which few match are compared at once; crowds are still absorbed window by window."""
+    from eventloom.operators import resolve
+
+    event = dict.fromkeys(naive.MERGED + ["source"], "")
+    title = lambda i: "summer fair on the green " + "abcdefghij"[i % 10] if alike else "".join(chr(97 + (i * 7 + j * (i // 7 + 1)) % 26) for j in range(20))
+    events = [dict(event, title=title(i), start_date=f"2026-05-{1 + i // 10 % 3:02d}", source=f"web:{i}", ingest_ord=i) for i in range(120)]
+    sides, found = [], resolve.matching_pairs
+    monkeypatch.setattr(resolve, "matching_pairs", lambda a, b, *more, **options: sides.append(a is b) or found(a, b, *more, **options))
+    assert assigned(canonical_of(spark, events), window_pairs=400) == naive.leaders(events)
+    assert (sides == [True, True]) is not alike
