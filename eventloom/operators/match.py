@@ -57,12 +57,8 @@ from eventloom.schemas import (
 CELL_DEGREES = 4 * GEO_KM / KM_PER_DEGREE
 DAY_STEP = 2 * (TITLE_DATE_DAYS + 1)
 
-# A block with more rows is split over several tasks; a sort-merge join keeps
-# this many rows of a key in its fast in-memory buffer. A task gets about
-# TASK_PAIRS pairs to look at.
+# Only a block with more rows may be split over several tasks.
 HOT_BLOCK_ROWS = 1_000
-TASK_PAIRS = 1_000_000
-PAIR_WORDS = 4
 TITLE_WORDS = 16
 
 # Long titles of a block are compared in cells of at most about CELL_ROWS rows a side, others in cells of PLAIN_ROWS,
@@ -367,62 +363,6 @@ def bounded_similarity_udf():
     return ratio.asNondeterministic()
 
 
-def with_signature(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Add sets of the characters and of the numbered character pairs of a text, as bit masks.
-
-    {prefix}_len, {prefix}_c (64 bits), {prefix}_p0.. (64 bits each), and the parts
-    of the length the masks do not account for: {prefix}_c_free, {prefix}_p_free.
-    The second time that a pair occurs it counts as another one, and so on.
-    """
-    words = [f"{prefix}_p{w}" for w in range(PAIR_WORDS)]
-
-    def mask(items: str) -> Column:
-        return F.expr(f"aggregate({items}, 0L, (acc, h) -> acc | shiftleft(1L, cast(pmod(h, 64) as int)))")
-
-    hashes = "transform(slice(_chars, 2, greatest(size(_chars) - 1, 0)), (c, i) -> xxhash64(concat(get(_chars, i), c)))"
-    # Sorted, equal pairs stand together; beyond the eighth they are not told apart.
-    number = " + ".join(f"cast(get(_pairs, i - {n}) <=> h as int)" for n in range(1, 8))
-    return (
-        df.withColumn(f"{prefix}_len", F.length(text))
-        .withColumn("_chars", F.split(F.col(text), ""))
-        .withColumn("_pairs", F.expr(f"array_sort({hashes})"))
-        .withColumn("_pairs", F.expr(f"transform(_pairs, (h, i) -> xxhash64(h, {number}))"))
-        .withColumn(f"{prefix}_c", mask("transform(_chars, c -> xxhash64(c))"))
-        .withColumns({c: mask(f"filter(_pairs, h -> pmod(shiftright(h, 8), {PAIR_WORDS}) = {w})") for w, c in enumerate(words)})
-        .withColumn(f"{prefix}_c_free", F.expr(f"{prefix}_len - bit_count({prefix}_c)"))
-        .withColumn(f"{prefix}_p_free", F.expr(f"{prefix}_len - " + " - ".join(f"bit_count({c})" for c in words)))
-        .drop("_chars", "_pairs")
-    )
-
-
-def may_exceed(prefix: str, least: str, pair_words: int = PAIR_WORDS) -> Column:
-    """Necessary condition for a ratio of the texts of l and r > least, from their signatures.
-
-    With S = la + lb, the ratio exceeds `least` only if 2M > least * S. Every
-    character of one side missing in the other is unmatched. M characters in
-    k blocks hold M - k character pairs in common, and blocks are separated by
-    unmatched characters, so k <= 1 + S - 2M; hence 3M <= S + la - (pairs of
-    one side missing in the other).
-
-    The expression runs once per pair looked at: it stays small enough to be
-    compiled, and takes one bit count per mask word.
-    """
-
-    def shared(column: str) -> str:
-        return f"bit_count(l.{prefix}_{column} & r.{prefix}_{column})"
-
-    def smaller(column: str) -> str:
-        return f"least(l.{prefix}_{column}, r.{prefix}_{column})"
-
-    total = f"(l.{prefix}_len + r.{prefix}_len)"
-    pairs = " + ".join(shared(f"p{w}") for w in range(pair_words))
-    return F.expr(
-        f"2 * {smaller('len')} > {least} * {total}"
-        f" AND 2 * ({smaller('c_free')} + {shared('c')}) > {least} * {total}"
-        f" AND 2 * ({smaller('p_free')} + {pairs} + {total}) > 3 * {least} * {total}"
-    )
-
-
 def few_edits(a: str, b: str, least: str) -> Column:
     """Necessary condition for a ratio of short texts > least: at most as many edits as unmatched characters, S - 2M."""
     total = f"(length({a}) + length({b}))"
@@ -442,10 +382,6 @@ class Blocks:
     hot: DataFrame | None
     long_pairs: float = 0.0
 
-    def tasks(self, spark) -> int:
-        """Pairs, not bytes, are the work, so partitions are counted by pairs."""
-        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(self.pairs // TASK_PAIRS))
-
 
 def block_sizes(blocks: DataFrame, hot_rows: int | None = None) -> Blocks:
     """Sizes of the blocks of rows in column `blk`; `long`, if there, says which have long titles.
@@ -461,57 +397,10 @@ def block_sizes(blocks: DataFrame, hot_rows: int | None = None) -> Blocks:
     limit = max(hot_rows or HOT_BLOCK_ROWS, rows // 10_000)
     hot = None
     if largest > limit:
-        splits = F.ceil(F.col("n") / limit).cast("int")
-        hot = sizes.filter(F.col("n") > limit).select("blk", splits.alias("splits"), "n", "long")
+        hot = sizes.filter(F.col("n") > limit).select("blk", "n", "long")
     return Blocks(rows, row["pairs"] or 0.0, hot, row["long_pairs"] or 0.0)
 
 
-def blocked_join(left: DataFrame, right: DataFrame, condition: Column, sizes: Blocks) -> DataFrame:
-    """Join l and r on `blk` under `condition`.
-
-    The right rows of a hot block are spread over `splits` tasks; its left
-    rows go to each of them.
-    """
-    keys = ["blk"]
-    if sizes.hot is not None:
-        keys.append("salt")
-        hot = F.broadcast(sizes.hot.select("blk", "splits"))
-        splits = F.coalesce("splits", F.lit(1))
-        left = left.join(hot, "blk", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), splits - 1))).drop("splits")
-        right = right.join(hot, "blk", "left").withColumn("salt", F.pmod(F.xxhash64("rank"), splits).cast("int")).drop("splits")
-    tasks = sizes.tasks(left.sparkSession)
-    on = condition
-    for k in keys:
-        on = (F.col(f"l.{k}") == F.col(f"r.{k}")) & on
-    return left.repartition(tasks, *keys).alias("l").join(right.repartition(tasks, *keys).alias("r"), on)
-
-
-# -- places -------------------------------------------------------------------
-
-
-def similar_places(places: DataFrame, threshold: float = PLACE_SIM, metric=None, hot_rows: int | None = None) -> DataFrame:
-    """Ordered pairs (place_l, place_r) of similar distinct place names, each with itself.
-
-    The lengths of two similar names differ by a bounded factor, so they share
-    a length band or lie in neighbouring ones.
-    """
-    metric = metric or similarity_udf()
-    factor = (2 - threshold) / threshold
-    names = (
-        places.select(F.col("place_n").alias("place")).filter("place <> ''").distinct()
-        .withColumn("rank", F.xxhash64("place"))
-    )
-    names = with_signature(names, "place", "p").withColumn("band", F.floor(F.log(factor, F.col("p_len"))))
-    names = cut_lineage(names)
-    left = names.withColumn("blk", F.col("band"))
-    right = names.withColumn("blk", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    sizes = block_sizes(left.select("blk"), hot_rows)
-    pairs = blocked_join(left, right, may_exceed("p", f"{threshold}D"), sizes)
-    pairs = pairs.select(F.col("l.place").alias("place_l"), F.col("r.place").alias("place_r"))
-    pairs = pairs.filter(few_edits("place_l", "place_r", f"{threshold}D"))
-    return pairs.withColumn("place_sim", metric("place_l", "place_r")).filter(F.col("place_sim") > threshold)
-
-
 # -- records ------------------------------------------------------------------
 
 
@@ -659,9 +548,9 @@ def packed_bits_udf():
 def with_title(feats: DataFrame) -> DataFrame:
     """Features with the title itself or, of a long one, its id and signature: what goes from block to block is bounded.
 
-    The signature is that of `with_signature` with TITLE_WORDS words; every
-    further time that a pair of letters occurs it counts as another one. Titles
-    that are not long get theirs where they meet.
+    The signature is a mask of its letters and TITLE_WORDS words of its pairs of
+    letters; every further time that a pair occurs it counts as another one.
+    Titles that are not long get theirs where they meet.
     """
     long = F.when(F.length("title_n") >= PLAIN_LETTERS, F.col("title_n"))
     return feats.withColumns({
@@ -785,11 +674,11 @@ def set_places(flags):
 class Compared:
     """Pairs of rows of the same cell that may match, cell by cell; see `candidate_pairs`."""
 
-    def __init__(self, rows, ops: list[str]):
+    def __init__(self, rows, ops: list[str], least: float | None = None):
         import numpy as np
 
         column = {c: rows.column(c) for c in rows.schema.names}
-        self.rows, self.ops = rows, ops
+        self.rows, self.ops, self.least = rows, ops, least
         self.values = [column[f"_v{n}"].to_numpy() for n in range(len(ops))]
         self.length = column["t_len"].to_numpy().astype(np.float64)
         self.plain = column["t_text"].is_valid().to_numpy(zero_copy_only=False)
@@ -871,8 +760,8 @@ class Compared:
             yield np.repeat(left, len(right)), np.tile(right, len(left))
             return
         asks = KINDS[self.side[left[0]]]
-        if asks != "g":
-            yield from self._by_kind(left, right, ASKED_SIM[asks], TITLE_DATE_DAYS if asks == "d" else None)
+        if asks != "g" or self.least is not None:
+            yield from self._by_kind(left, right, ASKED_SIM[asks] if self.least is None else self.least, TITLE_DATE_DAYS if asks == "d" else None)
             return
         # Positions ask for less on days next to each other.
         yield from self._next_days(left, right)
@@ -936,7 +825,7 @@ class Compared:
         asked = [least * self.length[x] - f for x, f in zip((left, right), free)]
         near = [self.day[x] if days is not None else np.zeros(len(x)) for x in (left, right)]
         # Ordered by day and by what the first condition compares, whole tiles fail.
-        orders = [np.lexsort((self.values[0][right], near[1])), np.lexsort((self.values[0][left], near[0], asked[0]))]
+        orders = [np.lexsort((*(v[right] for v in self.values[:1]), near[1])), np.lexsort((*(v[left] for v in self.values[:1]), near[0], asked[0]))]
         right, masks_r, asked_r, near_r = (x[orders[0]] for x in (right, masks[1], asked[1], near[1]))
         left, masks_l, asked_l, near_l = (x[orders[1]] for x in (left, masks[0], asked[0], near[0]))
         width = min(-(-len(right) // 8) * 8, 4096)
@@ -980,7 +869,7 @@ class Compared:
         import numpy as np
 
         # Ordered by what the first condition compares, whole tiles fail it.
-        left, right = (x[np.argsort(self.values[0][x], kind="stable")] for x in (left, right))
+        left, right = (x[np.argsort(self.values[0][x], kind="stable")] if self.values else x for x in (left, right))
         scale = 1.5 * least - 1
         width = min(len(right), 4096)
         height = min(len(left), max(1, TILE_PAIRS // width))
@@ -1023,19 +912,23 @@ class Compared:
         for op, v in zip(self.ops, self.values):
             ok &= test[op](v[a], v[b])
         a, b = a[ok], b[ok]
-        asks = self.side[a]
-        days = np.nan_to_num(np.abs(self.day[a] - self.day[b]), nan=999.0)
-        north, east = (x[a] - x[b] for x in self.at)
-        near = np.sqrt(north * north + east * east) * KM_PER_DEGREE < GEO_KM
-        d, p = KINDS.index("d"), KINDS.index("p")
-        least = np.where(asks == d, TITLE_DATE_SIM, np.where((asks == p) | (days > NEARBY_DAYS), TITLE_PLACE_SIM, NEARBY_SIM))
-        ok = np.where(asks == d, days <= TITLE_DATE_DAYS, (asks == p) | near)
+        if self.least is None:
+            asks = self.side[a]
+            days = np.nan_to_num(np.abs(self.day[a] - self.day[b]), nan=999.0)
+            north, east = (x[a] - x[b] for x in self.at)
+            near = np.sqrt(north * north + east * east) * KM_PER_DEGREE < GEO_KM
+            d, p = KINDS.index("d"), KINDS.index("p")
+            least = np.where(asks == d, TITLE_DATE_SIM, np.where((asks == p) | (days > NEARBY_DAYS), TITLE_PLACE_SIM, NEARBY_SIM))
+            ok = np.where(asks == d, days <= TITLE_DATE_DAYS, (asks == p) | near)
+        else:
+            least, ok = np.full(len(a), self.least), np.ones(len(a), bool)
         total = self.length[a] + self.length[b]
         ok &= 2 * np.minimum(self.length[a], self.length[b]) > least * total
         a, b, least, total = a[ok], b[ok], least[ok], total[ok]
         if not len(a):
             return a, b, least
-        # See `may_exceed`.
+        # With S letters together, 2M > least * S. M letters in k blocks hold M - k pairs of letters in common, and blocks are
+        # separated by unmatched letters, so k <= 1 + S - 2M; hence 3M <= S + 1 + shared pairs, and a mask leaves out at least one.
         pairs = np.minimum(self.pairs_free[a], self.pairs_free[b])
         pairs += np.bitwise_count(self.words[a] & self.words[b]).sum(axis=1, dtype=np.int64)
         ok = 2 * (pairs + total) > 3 * least * total
@@ -1071,7 +964,7 @@ class Compared:
         return pa.array(made, pa.binary()).take(pa.array(at, mask=~wanted))
 
 
-def _compare(ops: list[str], plain: bool = True):
+def _compare(ops: list[str], plain: bool = True, least_of_all: float | None = None):
     """For mapInArrow over rows sorted by cell and side: pairs (l, r, _a, _b, _least, _known), see `candidate_pairs`. One cell is in memory at a time, and a tile of pairs."""
 
     def run(batches):
@@ -1083,7 +976,7 @@ def _compare(ops: list[str], plain: bool = True):
             rows = rows.combine_chunks().to_batches()[0] if rows.num_rows else None
             if rows is None:
                 return
-            compared = Compared(rows, ops)
+            compared = Compared(rows, ops, least_of_all)
             for a, b in compared.tiles(ends):
                 a, b, least = compared.hold(a, b)
                 known = np.zeros(len(a), bool)
@@ -1131,10 +1024,18 @@ def candidate_pairs(
     `extra` lists further conditions on bigint columns of l and r, like `LATER`;
     `carry` names the columns of either side that `keep` looks at, by default all.
     """
+    found = cell_pairs(_earlier_blocks(earlier, places), _own_blocks(later), sizes, extra, carry, plain)
+    return found.select(*keep, "_a", "_b", "_least", "_known")
+
+
+def cell_pairs(
+    earlier: DataFrame, later: DataFrame, sizes: Blocks, extra: tuple = (), carry: list[str] | None = None, plain: bool = True, least: float | None = None
+) -> DataFrame:
+    """(l, r, _a, _b, _least, _known) of the pairs in column `blk` that may match, see `candidate_pairs`; with `least` by that ratio alone."""
     hot = None if sizes.hot is None else sizes.hot.select("blk", cells_of(F.col("n"), F.col("long")).alias("splits")).filter("splits > 1")
     rows = []
-    for side, (df, blocks, own) in enumerate(((earlier, _earlier_blocks(earlier, places), "l"), (later, _own_blocks(later), "r"))):
-        carried = [c for c in df.columns if c != "title_n" and c not in TITLE and (carry is None or c in carry)]
+    for side, (blocks, own) in enumerate(((earlier, "l"), (later, "r"))):
+        carried = [c for c in blocks.columns if c not in ("title_n", "blk", "asks", *TITLE) and (carry is None or c in carry)]
         kind = F.lit(LATER_SIDE) if side else F.array_position(F.array(*map(F.lit, KINDS)), F.col("asks")).cast("int") - 1
         rows.append(
             in_cells(blocks, side, hot).select(
@@ -1147,8 +1048,40 @@ def candidate_pairs(
     tasks = max(int(earlier.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(work))
     both = rows[0].unionByName(rows[1], allowMissingColumns=True).repartition(tasks, "cell").sortWithinPartitions("cell", "_side")
     kinds = [f"{own} {df.schema[own].dataType.simpleString()}" for own, df in zip("lr", rows)]
-    found = both.mapInArrow(_compare([x[1] for x in extra], plain), ", ".join([*kinds, "_a binary", "_b binary", "_least double", "_known boolean"]))
-    return found.select(*keep, "_a", "_b", "_least", "_known")
+    return both.mapInArrow(_compare([x[1] for x in extra], plain, least), ", ".join([*kinds, "_a binary", "_b binary", "_least double", "_known boolean"]))
+
+
+# -- places -------------------------------------------------------------------
+
+
+def similar_places(places: DataFrame, threshold: float = PLACE_SIM, metric=None, hot_rows: int | None = None) -> DataFrame:
+    """Ordered pairs (place_l, place_r) of similar distinct place names, each with itself.
+
+    The lengths of two similar names differ by a bounded factor, so they share
+    a length band or lie in neighbouring ones. Names of a band are compared as titles of a block are.
+    """
+    factor = (2 - threshold) / threshold
+    names = places.select(F.col("place_n").alias("title_n")).filter("title_n <> ''").distinct()
+    names = with_title(names.withColumn("rank", F.xxhash64("title_n"))).withColumn("band", F.floor(F.log(factor, F.col("t_len"))))
+    # What a row of this table goes by in the comparison, beside its name.
+    none = {"start_dt": F.lit(None).cast("date"), "lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")}
+    names = cut_lineage(names.withColumnRenamed("title_n", "place")).withColumns(none)
+    left = names.withColumn("blk", F.col("band").cast("string"))
+    right = names.withColumn("blk", F.explode(F.array(*[(F.col("band") + n).cast("string") for n in (-1, 0, 1)])))
+    sizes = block_sizes(left.select("blk", F.col("t_text").isNull().alias("long")), hot_rows)
+    left = left.withColumn("asks", F.lit("p"))
+    found = cell_pairs(left, right, sizes, carry=["place"], plain=metric is None, least=threshold)
+    found = found.select(F.col("l.place").alias("place_l"), F.col("r.place").alias("place_r"), "_known")
+    if metric is None:
+        found = cut_lineage(found)
+    sure = found.filter("_known").drop("_known")
+    open_ = found.filter("NOT _known").drop("_known").filter(few_edits("place_l", "place_r", f"{threshold}D"))
+    sim = metric("place_l", "place_r") if metric else bounded_similarity_udf()("place_l", "place_r", F.lit(threshold))
+    open_ = open_.withColumn("_sim", sim).filter(F.col("_sim") > threshold).drop("_sim")
+    return sure.unionByName(open_)
+
+
+# -- matches ------------------------------------------------------------------
 
 
 def matching_pairs(

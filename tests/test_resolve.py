@@ -339,3 +339,25 @@ def test_one_window_where_few_records_match(spark, monkeypatch, alike):
     monkeypatch.setattr(resolve, "matching_pairs", lambda a, b, *more, **options: sides.append(a is b) or found(a, b, *more, **options))
     assert assigned(canonical_of(spark, events), window_pairs=400) == naive.leaders(events)
     assert (sides == [True, True]) is not alike
+
+
+def test_place_names_are_compared_as_titles_are(spark, monkeypatch):
+    """Names that are not long are scored where they meet, longer ones by pairs; each ordered pair as brute force has it."""
+    import random
+
+    from eventloom.operators import match
+
+    rnd = random.Random(6)
+    names, name = set(), ""
+    for i in range(160):
+        name = name[: len(name) - 2] + rnd.choice("abcdef") if i % 3 and len(name) > 3 else "".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([3, 9, 17, 70])))
+        names.add(name)
+    asked, long = [], match.BoundedRatio.above
+    monkeypatch.setattr(match.BoundedRatio, "above", lambda self, a, b, least: asked.append((a, b)) or long(self, a, b, least))
+    places = spark.createDataFrame([(n,) for n in names] + [("",), (None,)], "place_n string")
+    found = sorted((r.place_l, r.place_r) for r in similar_places(places).collect())
+    assert found == sorted((a, b) for a in names for b in names if naive.ratio(a, b) > 0.7)
+    similar = similar_places(places, metric=match.edit_similarity).collect()
+    assert {(r.place_l, r.place_r) for r in similar} < set(found)
+    plan = similar_places(places)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
