@@ -40,7 +40,12 @@ def parse_any_date(c: Column, ref_date: datetime.date | Column, relaxed: bool =
 
     `relaxed` also accepts a bare `Oct 30th` or `Oct 30, 2025`.
     """
-    s = strip(c)
+    # As a function of one text, Spark takes the steps one by one. As a single expression they become one method of
+    # generated code, too large to be compiled, in which every step costs many times as much.
+    return F.get(F.transform(F.array(strip(c)), lambda s: _parsed(s, ref_date, relaxed)), 0)
+
+
+def _parsed(s: Column, ref_date: datetime.date | Column, relaxed: bool) -> Column:
     ref_year = F.year(F.lit(ref_date)).cast("string")
 
     def part(pattern, i):

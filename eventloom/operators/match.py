@@ -1057,17 +1057,19 @@ def cell_pairs(
 def similar_places(places: DataFrame, threshold: float = PLACE_SIM, metric=None, hot_rows: int | None = None) -> DataFrame:
     """Ordered pairs (place_l, place_r) of similar distinct place names, each with itself.
 
-    The lengths of two similar names differ by a bounded factor, so they share
-    a length band or lie in neighbouring ones. Names of a band are compared as titles of a block are.
+    The lengths of two similar names differ by a bounded factor, so they lie in
+    bands of length at most two apart. Names of two bands are compared as titles of a block are.
     """
-    factor = (2 - threshold) / threshold
+    factor = ((2 - threshold) / threshold) ** 0.5
     names = places.select(F.col("place_n").alias("title_n")).filter("title_n <> ''").distinct()
     names = with_title(names.withColumn("rank", F.xxhash64("title_n"))).withColumn("band", F.floor(F.log(factor, F.col("t_len"))))
     # What a row of this table goes by in the comparison, beside its name.
     none = {"start_dt": F.lit(None).cast("date"), "lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")}
     names = cut_lineage(names.withColumnRenamed("title_n", "place")).withColumns(none)
-    left = names.withColumn("blk", F.col("band").cast("string"))
-    right = names.withColumn("blk", F.explode(F.array(*[(F.col("band") + n).cast("string") for n in (-1, 0, 1)])))
+    # A block is a pair of bands, so that no task has most of the names.
+    own, others = F.col("band").cast("string"), F.array(*[(F.col("band") + n).cast("string") for n in range(-2, 3)])
+    left = names.withColumn("blk", F.explode(F.transform(others, lambda x: F.concat_ws("/", own, x))))
+    right = names.withColumn("blk", F.explode(F.transform(others, lambda x: F.concat_ws("/", x, own))))
     sizes = block_sizes(left.select("blk", F.col("t_text").isNull().alias("long")), hot_rows)
     left = left.withColumn("asks", F.lit("p"))
     found = cell_pairs(left, right, sizes, carry=["place"], plain=metric is None, least=threshold)

@@ -99,3 +99,9 @@ def test_priorities_and_decay(spark):
 def test_degrees(spark):
     cases = {"53.34": 53.34, " -6.2 ": -6.2, ".5": 0.5, "1e1": 10.0, "53.1d": None, "None": None, "nan": None, "": None}
     assert apply(spark, t.to_degrees, list(cases)) == list(cases.values())
+
+
+def test_dates_are_parsed_from_a_text_taken_once(spark):
+    """The steps are a function of the stripped text, not one expression that strips and searches it in every step."""
+    parsed = spark.createDataFrame([("Oct 30th",)], "d string").select(parse_any_date(F.col("d"), datetime.date(2025, 1, 1)))
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("trim(") <= 2
