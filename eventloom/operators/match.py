@@ -1037,9 +1037,12 @@ def cell_pairs(
     for side, (blocks, own) in enumerate(((earlier, "l"), (later, "r"))):
         carried = [c for c in blocks.columns if c not in ("title_n", "blk", "asks", *TITLE) and (carry is None or c in carry)]
         kind = F.lit(LATER_SIDE) if side else F.array_position(F.array(*map(F.lit, KINDS)), F.col("asks")).cast("int") - 1
+        # Only blocks of positions look at positions, and those of places at no dates.
+        of = lambda k: F.col("blk").startswith(f"{k}:")
+        seen = [F.when(~of("p"), F.unix_date("start_dt")).alias("_day"), *[F.when(of("g"), F.col(c)).alias(c) for c in ("lat", "lon")]]
         rows.append(
             in_cells(blocks, side, hot).select(
-                "cell", kind.alias("_side"), *TITLE, F.unix_date("start_dt").alias("_day"), "lat", "lon",
+                "cell", kind.alias("_side"), *TITLE, *seen,
                 *[F.col(x[2 * side]).cast("bigint").alias(f"_v{n}") for n, x in enumerate(extra)],
                 F.struct(*carried).alias(own),
             )
